@@ -98,7 +98,8 @@ def flight(pi: list[float], size: list[float]) -> list[float]:
 
 
 def _fly(block: pd.DataFrame) -> pd.DataFrame:
-    block = block.sort_values(["rank", "doc_id", "size"], kind="stable")
+    # Large documents are decided first, so that the few left for the landing are small.
+    block = block.sort_values(["size", "rank", "doc_id"], ascending=[False, True, True], kind="stable")
     block["pi"] = flight(block["pi"].tolist(), [float(x) for x in block["size"]])
     return block
 
