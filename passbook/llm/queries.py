@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, simhash, sketches
+from . import bpe, langid, mixing, quality, simhash, sketches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": langid.query,
     "op2_simhash": simhash.query,
+    "op3_quality": quality.query,
     "op6_byte_bpe": bpe.query,
     "op9_fingerprints": sketches.query,
     "op10_mixing": mixing.query,
