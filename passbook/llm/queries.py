@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, quality, simhash, sketches
+from . import bpe, langid, linededup, mixing, quality, rules, simhash, sketches, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": langid.query,
     "op2_simhash": simhash.query,
     "op3_quality": quality.query,
+    "op4_toxicity": toxicity.query,
+    "op5_line_dedup": linededup.query,
     "op6_byte_bpe": bpe.query,
+    "op7_rules": rules.query,
     "op9_fingerprints": sketches.query,
     "op10_mixing": mixing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": linededup.SQL}
