@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token is a doubly linked list of byte positions. Every adjacent pair whose
-joined bytes have a merge rank is filed in that rank's bucket; a three-level
-bitmap of 64-bit words has a bit for each non-empty bucket, so find-first-set
-from the top yields the lowest rank in three steps whatever the length of the
+joined bytes have a merge rank is filed in that rank's bucket; a two-level
+bitmap of 256-bit words has a bit for each non-empty bucket, so find-first-set
+from the top yields the lowest rank in two steps whatever the length of the
 pre-token. Entries whose pair has changed since they were filed are stale and
 skipped. The cost is O(n) bucket operations, where rescanning all pairs after
-each merge is O(n^2); this matters for pre-tokens of many thousand bytes.
+each merge is O(n^2); this matters for pre-tokens of many thousand bytes. Many
+pre-tokens share one list and queue, with barriers that no pair crosses.
 
 Results of short pre-tokens are kept in a bounded memo in each Python worker.
 
@@ -18,10 +19,14 @@ encoded each.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import re
+import sys
+import types
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -38,133 +43,201 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Buckets of positions by rank below a three-level bitmap."""
+    """Buckets of positions by rank below a two-level bitmap of 256-bit words."""
 
-    __slots__ = ("buckets", "top", "mid", "low")
+    __slots__ = ("buckets", "top", "low")
 
     def __init__(self) -> None:
         self.buckets: dict[int, list[int]] = {}
-        self.top, self.mid, self.low = 0, {}, {}
-
-    def fill(self, pairs: dict[int, list[int]]) -> None:
-        for rank, at in pairs.items():
-            heapify(at)
-            self.buckets[rank] = at
-            self._mark(rank)
+        self.top, self.low = 0, {}
+
+    def file(self, rank: int, bucket: list[int]) -> None:
+        """Add a bucket for a rank that has none."""
+        self.buckets[rank] = bucket
+        word = rank >> 8
+        if word in self.low:
+            self.low[word] |= 1 << (rank & 255)
+        else:
+            self.low[word] = 1 << (rank & 255)
+            self.top |= 1 << word
 
     def push(self, rank: int, at: int) -> None:
-        if rank in self.buckets:
-            heappush(self.buckets[rank], at)
+        bucket = self.buckets.get(rank)
+        if bucket is None:
+            self.file(rank, [at])
+        else:
+            bucket.append(at)
+
+    def pop(self) -> tuple[int, list[int]]:
+        """The lowest rank and its positions from left to right; (-1, []) if nothing is left."""
+        top = self.top
+        if not top:
+            return -1, []
+        word = (top & -top).bit_length() - 1
+        bits = self.low[word]
+        first = bits & -bits
+        rank = word << 8 | first.bit_length() - 1
+        if bits == first:
+            del self.low[word]
+            self.top = top ^ 1 << word
         else:
-            self.buckets[rank] = [at]
-            self._mark(rank)
-
-    def _mark(self, rank: int) -> None:
-        mid, top = rank >> 6, rank >> 12
-        self.low[mid] = self.low.get(mid, 0) | 1 << (rank & 63)
-        self.mid[top] = self.mid.get(top, 0) | 1 << (mid & 63)
-        self.top |= 1 << top
-
-    def pop(self) -> tuple[int, int]:
-        """The lowest rank and its leftmost position; (-1, -1) if nothing is left."""
-        if not self.top:
-            return -1, -1
-        top = (self.top & -self.top).bit_length() - 1
-        word = self.mid[top]
-        mid = top << 6 | (word & -word).bit_length() - 1
-        word = self.low[mid]
-        rank = mid << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[mid] ^= 1 << (rank & 63)
-            if not self.low[mid]:
-                self.mid[top] ^= 1 << (mid & 63)
-                if not self.mid[top]:
-                    self.top ^= 1 << top
-        return rank, at
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    end, before, rank_at = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-    filed: dict[int, list[int]] = {}
-    for i in range(n - 1):
-        r = ranks.get(piece[i : i + 2])
-        if r is not None:
-            rank_at[i] = r
-            filed.setdefault(r, []).append(i)
-    queue = RankQueue()
-    queue.fill(filed)
-
-    def file(i: int) -> None:
-        j = end[i]
-        r = ranks.get(piece[i : end[j]]) if j < n else None
-        rank_at[i] = -1 if r is None else r
-        if r is not None:
-            queue.push(r, i)
-
-    while True:
-        rank, i = queue.pop()
-        if rank < 0:
-            break
-        if rank_at[i] != rank:
-            continue  # stale: this pair was merged or changed
-        j = end[i]
-        rank_at[j] = -1
-        end[i] = end[j]
-        if end[i] < n:
-            before[end[i]] = i
-        file(i)
-        if before[i] >= 0:
-            file(before[i])
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return ids
-
-
-class Memo(dict):
-    """Token ids of pre-tokens seen in this worker."""
+            self.low[word] = bits ^ first
+        bucket = self.buckets.pop(rank)
+        bucket.sort()
+        return rank, bucket
+
+
+class Merger:
+    """Merges pre-tokens; many are laid out in one linked list with barriers between, so that they share the queue."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        super().__init__()
         self.ranks = ranks
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        ids = tuple(merge(raw, self.ranks))
-        if len(raw) <= MEMO_BYTES:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)])
+        self.pair = np.full(1 << 16, -1, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pair[token[0] << 8 | token[1]] = rank
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Token ids of each pre-token; no pre-token is empty."""
+        buffer = b"".join(pieces)
+        n = len(buffer)
+        if not n:
+            return []
+        raw = np.frombuffer(buffer, np.uint8).astype(np.int64)
+        starts = np.cumsum([0, *map(len, pieces)])
+        barrier = np.zeros(n + 1, bool)
+        barrier[starts] = True
+        pairs = np.append(self.pair[raw[:-1] << 8 | raw[1:]], -1)
+        pairs[:-1][barrier[1:n]] = -1
+        filed = np.flatnonzero(pairs >= 0)
+        filed = filed[np.argsort(pairs[filed], kind="stable")]
+        keys, first = np.unique(pairs[filed], return_index=True)
+        queue = RankQueue()
+        for rank, at in zip(keys.tolist(), np.split(filed, first[1:]) if len(keys) else [], strict=True):
+            queue.file(rank, at.tolist())
+        # The token that starts at i: its id, its end, and the rank of its pair with the next one.
+        token, end, pair = self.byte[raw].tolist(), list(range(1, n + 1)), pairs.tolist()
+        before, barrier = list(range(-1, n)), barrier.tolist()
+        rank_of, push, pop = self.ranks.get, queue.push, queue.pop
+        while True:
+            rank, bucket = pop()
+            if rank < 0:
+                break
+            for k, i in enumerate(bucket):
+                if pair[i] != rank:
+                    continue  # stale: this pair was merged or changed
+                j = end[i]
+                e = end[i] = end[j]
+                before[e] = i
+                token[i] = rank
+                pair[j] = pair[i] = -1
+                lower = False
+                if not barrier[e]:
+                    r = rank_of(buffer[i : end[e]])
+                    if r is not None:
+                        pair[i] = r
+                        push(r, i)
+                        lower = r < rank
+                if not barrier[i]:
+                    h = before[i]
+                    r = rank_of(buffer[h:e])
+                    if r is None:
+                        pair[h] = -1
+                    else:
+                        pair[h] = r
+                        push(r, h)
+                        lower = lower or r < rank
+                if lower:  # a lower rank goes first; the rest of this bucket waits
+                    if k + 1 < len(bucket):
+                        queue.file(rank, bucket[k + 1 :])
+                    break
+        out = []
+        for i, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            ids = []
+            while i < stop:
+                ids.append(token[i])
+                i = end[i]
+            out.append(ids)
+        return out
+
+
+#: Letters, numbers and white space among the first 256 code points.
+LATIN = {"L": r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "N": r"0-9\xb2\xb3\xb9\xbc-\xbe", "s": r"\t-\r \x85\xa0"}
+
+
+def latin_pattern(pattern: str) -> str | None:
+    """``pattern`` for texts of the first 256 code points in terms of plain character sets; None if it uses other classes."""
+    out, inside = [], False
+    for part in re.split(r"(\\p\{\w+\}|\\.|[\[\]])", pattern):
+        if part in ("[", "]"):
+            inside = part == "["
+        elif part in (r"\p{L}", r"\p{N}", r"\s"):
+            part = LATIN[part[-2] if "{" in part else "s"]
+            part = part if inside else f"[{part}]"
+        elif part == r"\S" and not inside:
+            part = f"[^{LATIN['s']}]"
+        elif part.startswith("\\"):
+            return None
+        out.append(part)
+    return "".join(out)
 
 
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.split = regex.compile(pattern).findall
-        self.memo = Memo(ranks)
+        self.wide = regex.compile(pattern).findall
+        narrow = latin_pattern(pattern)
+        self.narrow = re.compile(narrow).findall if narrow else self.wide
+        self.ranks, self.merger = ranks, Merger(ranks)
+        self.memo: dict[str, list[int]] = {}
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
 
+    def split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.wide(text)
+        return self.narrow(text)
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text. Pre-tokens that the memo lacks are merged together."""
+        split, memo = list(map(self.split, texts)), self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        new = [p for p in set().union(*split) if p not in memo]
+        raw = [p.encode() for p in new]
+        rest = []
+        for p, r in zip(new, raw, strict=True):
+            if r in self.ranks:
+                memo[p] = [self.ranks[r]]
+            else:
+                rest.append((p, r))
+        memo.update(zip((p for p, _ in rest), self.merger.merge([r for _, r in rest]), strict=True))
+        out = [[i for p in pieces for i in memo[p]] for pieces in split]
+        for p, r in zip(new, raw, strict=True):
+            if len(r) > MEMO_BYTES:
+                del memo[p]
+        return out
+
     def encode(self, text: str) -> list[int]:
-        memo = self.memo
-        return [i for piece in self.split(text) for i in memo[piece]]
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def worker_codec(rank_file: str, pattern: str) -> Codec:
+    """The codec of this worker process; later tasks in it find the memo filled."""
+    kept = sys.modules.setdefault("_passbook_worker", types.ModuleType("_passbook_worker")).__dict__
+    if (rank_file, pattern) not in kept:
+        kept[rank_file, pattern] = Codec(load_ranks(rank_file), pattern)
+    return kept[rank_file, pattern]
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, the ids themselves of every text.
 
@@ -172,14 +245,14 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool = True)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(load_ranks(rank_file), pattern)
+        codec = worker_codec(rank_file, pattern)
+        gc.disable()  # nothing here is cyclic, and the memo is large to scan
         decimal = [str(i) for i in range(len(codec.bytes_of))]
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 300):
+                part = batch.slice(start, 300)
                 out: list[list] = [[], [], [], []]
-                for text in part.column(1).to_pylist():
-                    ids = codec.encode(text or "")
+                for ids in codec.encode_all([t or "" for t in part.column(1).to_pylist()]):
                     out[0].append(len(ids))
                     out[1].append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                     out[2].append(hashlib.sha256(codec.decode(ids)).hexdigest())

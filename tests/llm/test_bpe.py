@@ -32,16 +32,20 @@ def test_long_pretokens(ranks, known, s):
     assert bpe.Codec(ranks, P.PATTERN).encode(s) == known.encode_ordinary(s)
 
 
-def test_rank_queue_pops_lowest_rank_leftmost(rng):
-    queue, held = bpe.RankQueue(), []
-    for _ in range(2000):
+def test_rank_queue_pops_the_lowest_rank(rng):
+    queue, held = bpe.RankQueue(), {}
+    for _ in range(3000):
         if held and rng.random() < 0.4:
-            held.sort()
-            assert queue.pop() == held.pop(0)
+            rank = min(held)
+            assert queue.pop() == (rank, sorted(held.pop(rank)))
         else:
-            held.append((rng.randrange(200_000), rng.randrange(9)))
-            queue.push(*held[-1])
-    assert [queue.pop() for _ in range(len(held) + 1)] == sorted(held) + [(-1, -1)]
+            rank, at = rng.randrange(60_000), rng.randrange(9)
+            held.setdefault(rank, []).append(at)
+            queue.push(rank, at)
+    while held:
+        rank = min(held)
+        assert queue.pop() == (rank, sorted(held.pop(rank)))
+    assert queue.pop() == (-1, [])
 
 
 def test_query_and_edges(docs, texts, known, edge, empty):
