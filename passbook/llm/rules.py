@@ -22,7 +22,7 @@ from .common import WORD, stash
 
 #: Quartile distances, and slack of each ratio, that a document may be outside its group's quartiles.
 REACH = 4.0
-SLACK = {"word_length": 1.5, "symbols": 0.1, "dup_lines": 0.2, "repeats": 0.15}
+SLACK = {"word_length": 1.5, "symbols": 0.1, "dup_lines": 0.4, "repeats": 0.3}
 ACCURACY = 2000
 
 _SPACE = r"[\x20\x09-\x0D]+"
