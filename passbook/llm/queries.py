@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, mixing, quality, rules, simhash, sketches, toxicity
+from . import bpe, langid, linededup, mixing, quality, repeats, rules, simhash, sketches, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": langid.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": linededup.query,
     "op6_byte_bpe": bpe.query,
     "op7_rules": rules.query,
+    "op8_repeats": repeats.query,
     "op9_fingerprints": sketches.query,
     "op10_mixing": mixing.query,
 }
