@@ -238,8 +238,8 @@ def worker_codec(rank_file: str, pattern: str) -> Codec:
     return kept[rank_file, pattern]
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, the ids themselves of every text.
+def encode(docs: DataFrame, rank_file: str, pattern: str, keep_ids: str | None = "array") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids themselves of every text: ``keep_ids`` is array, packed (32-bit little-endian binary) or None.
 
     ``rank_file`` is read once a worker; it must be there on every machine, as the tokenizer package is.
     """
@@ -256,14 +256,14 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool = True)
                     out[0].append(len(ids))
                     out[1].append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                     out[2].append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                    out[3].append(ids if keep_ids else None)
+                    out[3].append(np.array(ids, "<i4").tobytes() if keep_ids == "packed" else ids if keep_ids else None)
                 arrays = [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    arrays, names = [*arrays, pa.array(out[3], pa.list_(pa.int32()))], [*names, "ids"]
+                    arrays, names = [*arrays, pa.array(out[3], pa.binary() if keep_ids == "packed" else pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + {"array": ", ids array<int>", "packed": ", ids binary", None: ""}[keep_ids]
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
@@ -271,4 +271,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op6: every whole text encoded by the multilingual 50k ranks, decoded again, with digests of both."""
     import public_tokenizers
 
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=None)

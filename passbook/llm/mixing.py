@@ -31,12 +31,12 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: Mean number of documents that one flight sees.
 BLOCK = 2000
 
-_UNIT = "doc_id long, source string, size long, pi double, rank long, block long"
+_UNIT = "doc_id long, key long, source string, size long, pi double, rank long, block long"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: number of words of the whole text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, key (hash of the text), size: number of words of the whole text."""
+    return docs.select(F.col("doc_id").cast("long"), "source", F.xxhash64("text").alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(per_source: Sequence[tuple[str | None, int]], share: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS) -> dict[str | None, float]:
@@ -117,9 +117,22 @@ def _land(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS, block: int = BLOCK) -> DataFrame:
-    """Return doc_id, source, size, source_size, target, copies (how often the mix takes the row) of every row."""
-    spark = docs.sparkSession
-    sized, _ = stash(sizes(docs))
+    """Return doc_id, key, source, size, source_size, target, copies (how often the mix takes the row) of every row."""
+    return mix_units(sizes(docs), share, most, weights, block)
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; rows alike in doc_id, source and text are one unit."""
+    units = sizes(docs).groupBy("doc_id", "source", "key").agg(F.sum("size").alias("size"))
+    taken = mix_units(units, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("key").alias("__key"), F.col("copies").cast("int").alias("__copies"))
+    found = docs.withColumn("__k", F.xxhash64("text")).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__k") == F.col("__key")))
+    return found.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(docs.columns)
+
+
+def mix_units(units: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS, block: int = BLOCK) -> DataFrame:
+    """``mix`` for units (doc_id, key, source, size)."""
+    spark = units.sparkSession
+    sized, _ = stash(units)
     # One row a source: the only thing the driver sees.
     known = [(r["source"], r["words"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()]
     goal = targets([(s, w) for s, w, _ in known], share, most, weights)
@@ -128,15 +141,15 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequenc
     of = spark.createDataFrame(plan, schema).withColumnRenamed("source", "__s")
     rows = sized.join(F.broadcast(of), F.col("source").eqNullSafe(F.col("__s"))).drop("__s") if len(plan) <= 10_000 else sized.join(of, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     rows = rows.withColumn("pi", F.col("rate") - F.floor("rate")).withColumn("base", F.floor("rate"))
-    units = rows.select("doc_id", "source", "size", "pi", F.xxhash64("doc_id", "size").alias("rank"), "base", "blocks", "source_size", "target")
-    decided = units.where("pi < 1e-9 or pi > 1 - 1e-9").select("doc_id", "source", "size", F.round("pi").alias("pi"))
-    live, most_blocks = units.where("pi between 1e-9 and 1 - 1e-9").select("doc_id", "source", "size", "pi", "rank", "blocks"), max((p[4] for p in plan), default=1)
+    units = rows.select("doc_id", "key", "source", "size", "pi", F.xxhash64("doc_id", "key", "size").alias("rank"), "base", "blocks", "source_size", "target")
+    decided = units.where("pi < 1e-9 or pi > 1 - 1e-9").select("doc_id", "key", "source", "size", F.round("pi").alias("pi"))
+    live, most_blocks = units.where("pi between 1e-9 and 1 - 1e-9").select("doc_id", "key", "source", "size", "pi", "rank", "blocks"), max((p[4] for p in plan), default=1)
     live = live.withColumn("block", F.pmod(F.xxhash64("rank", F.lit(7)), F.col("blocks")))
     done = [decided]
     while True:
         last = most_blocks <= 1
-        flown, path = stash(live.select("doc_id", "source", "size", "pi", "rank", "block").groupBy("source", "block").applyInPandas(_land if last else _fly, _UNIT))
-        done.append(flown.where("pi = 0 or pi = 1").select("doc_id", "source", "size", "pi"))
+        flown, path = stash(live.select("doc_id", "key", "source", "size", "pi", "rank", "block").groupBy("source", "block").applyInPandas(_land if last else _fly, _UNIT))
+        done.append(flown.where("pi = 0 or pi = 1").select("doc_id", "key", "source", "size", "pi"))
         if last:
             break
         # Two or fewer a block are left: that many blocks fewer hold them all.
@@ -147,7 +160,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequenc
         taken = taken.unionByName(d)
     return (
         (taken.join(F.broadcast(of), F.col("source").eqNullSafe(F.col("__s"))) if len(plan) <= 10_000 else taken.join(of, F.col("source").eqNullSafe(F.col("__s"))))
-        .select("doc_id", "source", "size", "source_size", "target", (F.floor("rate") + F.col("pi")).cast("long").alias("copies"))
+        .select("doc_id", "key", "source", "size", "source_size", "target", (F.floor("rate") + F.col("pi")).cast("long").alias("copies"))
     )
 
 

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -54,7 +55,9 @@ def test_query_and_edges(docs, texts, known, edge, empty):
         assert (r["ids"], r["n_tokens"]) == (ids, len(ids))
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
-    got = bpe.encode(edge, FILE, P.PATTERN, keep_ids=False)
+    got = bpe.encode(edge, FILE, P.PATTERN, keep_ids=None)
     assert got.count() == 11
     assert got.where("doc_id = 1").first()["ids_sha256"] == hashlib.sha256(b"").hexdigest()
+    packed = bpe.encode(edge, FILE, P.PATTERN, keep_ids="packed").where("doc_id = 5").first()["ids"]
+    assert np.frombuffer(packed, "<i4").tolist() == known.encode_ordinary("one two")
     assert bpe.encode(empty, FILE, P.PATTERN).count() == 0
