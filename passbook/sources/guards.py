@@ -10,7 +10,7 @@ MESSAGES = {"EMPTY_FILE": "The file is empty.", "FILE_TOO_LARGE": "The file is t
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files below ``path`` (path, length, content) with a content-derived doc_id."""
+    """Files below ``path`` (path, length, content) with a content-derived doc_id; Spark's reader passes over empty files."""
     return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("doc_id"), "path", "length", "content")
 
 
