@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stash
+from .common import bound_batches, partitions, stash
 
 #: Bytes of a string and of a sampled tuple; contexts of a tuple that one task compares; starts that one pass looks at.
 SPAN, TUPLE, GROUP, PIECE = 200, 64, 2048, 1 << 22
@@ -202,14 +202,16 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row."""
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("key", F.unhex(F.md5("text"))).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     rows, _ = stash(texts.select("key", "id", "text").mapInArrow(_sample, "key binary, id long, g long, c long, p0 long, p1 long"))
-    twice = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # A written side lets Spark split the join's large partitions, which it can't below an aggregate.
+    twice, _ = stash(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     shared, _ = stash(rows.join(twice, "g"))
     # Contexts of shared tuples by name, one place of each, and how many contexts their tuple has.
     named = shared.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "id", "p0", "p1")).alias("at"))
     named, _ = stash(named.select("g", "c", "n", "at.*"))
-    wide = named.groupBy("g").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1")
+    wide, _ = stash(named.groupBy("g").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"))
     whole = shared.join(named.where("n > 1").select("g", "c"), ["g", "c"]).select("key", "p0", "p1")
     asked = named.join(wide, "g").select("key", "id", F.struct("g", "p0", "p1", (F.col("n") == 1).alias("single"), (F.col("n_contexts") > group).alias("many")).alias("x"))
     asked = asked.groupBy("key", "id").agg(F.collect_list("x").alias("asked"))
