@@ -40,3 +40,30 @@ def account_profiles(accounts: DataFrame, profiles: DataFrame) -> DataFrame:
     placed = accounts.join(profiles, F.col("pos") == F.col("ord"), "left").select("acct", "connection", F.struct("bank", "holder").alias("placed"))
     chosen = placed.join(by_name, "acct", "left").withColumn("p", F.coalesce("named", "placed"))
     return chosen.select("acct", "connection", F.coalesce("p.bank", F.lit("")).alias("bank"), F.coalesce("p.holder", F.lit("")).alias("holder"))
+
+
+def backfill(ledger: DataFrame, stated: DataFrame) -> DataFrame:
+    """Period and balances of each account as stated (acct, from_date, to_date, opening, closing), else from its first and last rows, else from the other balance and the totals."""
+    s = summary(ledger).select("acct", "opening_balance", "closing_balance", "net_cash_flow")
+    ends = ledger.groupBy("acct").agg(F.min_by("d", "seq").alias("first_d"), F.max_by("d", "seq").alias("last_d"))
+    all_of = s.join(ends, "acct").join(stated, "acct", "left")
+    opening = F.coalesce("opening", F.col("closing") - F.col("net_cash_flow"), "opening_balance").cast("decimal(18,2)")
+    closing = F.coalesce("closing", F.col("opening") + F.col("net_cash_flow"), "closing_balance").cast("decimal(18,2)")
+    return all_of.select("acct", F.coalesce("from_date", "first_d").alias("from_date"), F.coalesce("to_date", "last_d").alias("to_date"), opening.alias("opening_balance"), closing.alias("closing_balance"))
+
+
+def routes(pages: DataFrame) -> DataFrame:
+    """How each document (doc_id, raw_text, words) is to be read: by the bank's own line parser, by coordinates where a page has ten words or more, else by lines."""
+    axis = F.lower("raw_text").rlike(r"\baxis\s*bank\b|\butib0")
+    g = pages.groupBy("doc_id").agg(F.bool_or(axis).alias("axis"), (F.max("words") >= 10).alias("placed"))
+    return g.select("doc_id", F.when(F.col("axis"), "BANK_LINES").when(F.col("placed"), "COORDINATES").otherwise("LINES").alias("route"))
+
+
+def latest(ledger: DataFrame, most: int = 100) -> DataFrame:
+    """The first ``most`` rows of each account in ledger order."""
+    return ledger.withColumn("__k", F.row_number().over(Window.partitionBy("acct").orderBy("seq"))).where(F.col("__k") <= most).drop("__k")
+
+
+def masked_map(frame: DataFrame, column: str, keys: tuple[str, ...] = ("account", "pan", "phone", "email", "name")) -> DataFrame:
+    """Values of the keys that are personal become stars; others stay."""
+    return frame.withColumn(column, F.transform_values(column, lambda k, v: F.when(F.lower(k).isin(*keys), "***").otherwise(v)))

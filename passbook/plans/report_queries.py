@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import reports
 from ..sources import ledgers
 from . import sql as S
+from .document_queries import PAGE_SQL
 from .ledger_queries import shown
 from .sql import dbl
 
@@ -59,7 +60,27 @@ def _profiles(spark, sf_dir):
     return reports.account_profiles(c, n)
 
 
+def _backfill(spark, sf_dir):
+    led = ledgers.events(spark, sf_dir)
+    k = F.col("acct") % 3
+    money = lambda test, v: F.when(test, F.lit(v)).cast("decimal(18,2)")
+    stated = led.select("acct").distinct().select("acct", F.when(k == 0, F.lit("2024-02-01").cast("date")).alias("from_date"), F.lit(None).cast("date").alias("to_date"), money(k == 1, 500).alias("opening"), money(k == 2, 900).alias("closing"))
+    return shown(reports.backfill(led, stated))
+
+
+def _routes(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.expr(PAGE_SQL).alias("raw_text"), (F.col("c_custkey") % 20).alias("words"))
+    return reports.routes(c)
+
+
+def _masked_map(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    m = c.select("c_custkey", F.create_map(F.lit("Name"), "c_name", F.lit("segment"), "c_mktsegment").alias("m"))
+    return reports.masked_map(m, "m").select("c_custkey", F.col("m")["Name"].alias("name"), F.col("m")["segment"].alias("segment"))
+
+
 QUERIES = {
+    "metadata_backfill": _backfill, "parser_route": _routes, "sensitive_map": _masked_map, "first_rows": lambda spark, sf_dir: reports.latest(ledgers.events(spark, sf_dir), 20).select("acct", "id", "seq"),
     "narration_merge": _merged, "payment_words": _words, "column_headings": _headings, "category_names": _names, "holder_names": _holders, "extraction_counts": _pages, "account_profiles": _profiles,
     "ledger_report": lambda spark, sf_dir: shown(reports.ledger_report(ledgers.events(spark, sf_dir))),
 }
@@ -68,6 +89,11 @@ _NAMES = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in N.CATEGORY
 _HIT = " + ".join(rf"CAST(regexp_matches(x, '(^|[^\pL\pN_]){w}([^\pL\pN_]|$)', 'i') AS BIGINT)" for w in N.PAYMENT_WORDS)
 
 ORACLE_SQL = {
+    "metadata_backfill": f"""{S.EVENTS}, g AS (SELECT acct, acct % 3 AS k, arg_min(d, seq) AS d1, arg_max(d, seq) AS d2, arg_min(CASE WHEN type = 'CREDIT' THEN balance - credit ELSE balance + debit END, seq) AS ob, arg_max(balance, seq) AS cb, sum(credit - debit) AS net FROM led GROUP BY acct)
+SELECT acct, CASE WHEN k = 0 THEN '2024-02-01' ELSE strftime(d1, '%Y-%m-%d') END AS from_date, strftime(d2, '%Y-%m-%d') AS to_date, {dbl('CASE k WHEN 1 THEN 500 WHEN 2 THEN 900 - net ELSE ob END')} AS opening_balance, {dbl('CASE k WHEN 1 THEN 500 + net WHEN 2 THEN 900 ELSE cb END')} AS closing_balance FROM g""",
+    "parser_route": "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 8 = 0 THEN 'BANK_LINES' WHEN c_custkey % 20 >= 10 THEN 'COORDINATES' ELSE 'LINES' END AS route FROM customer",
+    "sensitive_map": "SELECT c_custkey, '***' AS name, c_mktsegment AS segment FROM customer",
+    "first_rows": f"{S.EVENTS} SELECT acct, id, seq FROM led WHERE seq <= 20",
     "narration_merge": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'UPI/P2M/Paymentd/' || o_custkey WHEN 1 THEN 'ref/x/y' WHEN 2 THEN 'KVPL-' || o_custkey WHEN 3 THEN 'a b C' ELSE 'Bank Transaction' END AS narration FROM orders",
     "payment_words": rf"WITH c AS (SELECT conv_id, turn, text, concat_ws(' ', text, CASE WHEN turn % 2 = 0 THEN 'upi transfer' END, CASE WHEN turn % 3 = 0 THEN 'Rev-UPI' END) AS x FROM conversations) SELECT conv_id, turn, {_HIT} AS payment_words, length(text) >= 50 AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) > 1)) >= 6 AS native_sufficient FROM c",
     "column_headings": """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'DATE' WHEN 1 THEN 'DESCRIPTION' WHEN 2 THEN 'REFERENCE' WHEN 3 THEN 'DEBIT' WHEN 4 THEN 'CREDIT' WHEN 5 THEN 'BALANCE' WHEN 6 THEN 'AMOUNT' WHEN 7 THEN 'DR_CR' END AS heading,
