@@ -32,8 +32,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Memo entries a worker keeps, and the longest pre-token (bytes) among them.
-MEMO, MEMO_BYTES = 400_000, 64
+MEMO, MEMO_BYTES = 200_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -92,13 +94,14 @@ class Merger:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
+        self.ids = list(range(max(ranks.values(), default=-1) + 1))  # one object an id, however often it is kept
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)])
         self.pair = np.full(1 << 16, -1, np.int64)
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.pair[token[0] << 8 | token[1]] = rank
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Token ids of each pre-token; no pre-token is empty."""
         buffer = b"".join(pieces)
         n = len(buffer)
@@ -119,7 +122,7 @@ class Merger:
         # The token that starts at i: its id, its end, and the rank of its pair with the next one.
         token, end, pair = self.byte[raw].tolist(), list(range(1, n + 1)), pairs.tolist()
         before, barrier = list(range(-1, n)), barrier.tolist()
-        rank_of, push, pop = self.ranks.get, queue.push, queue.pop
+        rank_of, push, pop, shared = self.ranks.get, queue.push, queue.pop, self.ids
         while True:
             rank, bucket = pop()
             if rank < 0:
@@ -130,7 +133,7 @@ class Merger:
                 j = end[i]
                 e = end[i] = end[j]
                 before[e] = i
-                token[i] = rank
+                token[i] = shared[rank]
                 pair[j] = pair[i] = -1
                 lower = False
                 if not barrier[e]:
@@ -158,7 +161,7 @@ class Merger:
             while i < stop:
                 ids.append(token[i])
                 i = end[i]
-            out.append(ids)
+            out.append(tuple(ids))
         return out
 
 
@@ -191,7 +194,7 @@ class Codec:
         narrow = latin_pattern(pattern)
         self.narrow = re.compile(narrow).findall if narrow else self.wide
         self.ranks, self.merger = ranks, Merger(ranks)
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -213,7 +216,7 @@ class Codec:
         rest = []
         for p, r in zip(new, raw, strict=True):
             if r in self.ranks:
-                memo[p] = [self.ranks[r]]
+                memo[p] = (self.merger.ids[self.ranks[r]],)
             else:
                 rest.append((p, r))
         memo.update(zip((p for p, _ in rest), self.merger.merge([r for _, r in rest]), strict=True))
@@ -247,22 +250,26 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, keep_ids: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(rank_file, pattern)
         gc.disable()  # nothing here is cyclic, and the memo is large to scan
-        decimal = [str(i) for i in range(len(codec.bytes_of))]
-        for batch in batches:
-            for start in range(0, batch.num_rows, 300):
-                part = batch.slice(start, 300)
-                out: list[list] = [[], [], [], []]
-                for ids in codec.encode_all([t or "" for t in part.column(1).to_pylist()]):
-                    out[0].append(len(ids))
-                    out[1].append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    out[2].append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                    out[3].append(np.array(ids, "<i4").tobytes() if keep_ids == "packed" else ids if keep_ids else None)
-                arrays = [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_ids:
-                    arrays, names = [*arrays, pa.array(out[3], pa.binary() if keep_ids == "packed" else pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
+        try:
+            decimal = [str(i) for i in range(len(codec.bytes_of))]
+            for batch in batches:
+                for start in range(0, batch.num_rows, 300):
+                    part = batch.slice(start, 300)
+                    out: list[list] = [[], [], [], []]
+                    for ids in codec.encode_all([t or "" for t in part.column(1).to_pylist()]):
+                        out[0].append(len(ids))
+                        out[1].append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                        out[2].append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                        out[3].append(np.array(ids, "<i4").tobytes() if keep_ids == "packed" else ids if keep_ids else None)
+                    arrays = [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    if keep_ids:
+                        arrays, names = [*arrays, pa.array(out[3], pa.binary() if keep_ids == "packed" else pa.list_(pa.int32()))], [*names, "ids"]
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+        finally:
+            gc.enable()  # the worker serves other tasks next
+
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + {"array": ", ids array<int>", "packed": ", ids binary", None: ""}[keep_ids]
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 

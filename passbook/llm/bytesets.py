@@ -13,7 +13,7 @@ def chunks(batch: pa.RecordBatch, column: int, most: int = 1 << 20, gap: int = 4
 
     A chunk holds about ``most`` bytes; a longer text is a chunk of its own.
     """
-    texts = [t or b"" for t in batch.column(column).to_pylist()]
+    texts = [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
     at = 0
     while at < len(texts):
         end, size = at, 0

@@ -25,6 +25,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession, most: int = 1000) -> None:
+    """At most ``most`` documents in an Arrow batch: what a Python worker and its JVM side hold at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def _shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of our own only where none is set (tests, one machine)."""
     where = spark.conf.get("spark.checkpoint.dir", None)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks
-from .common import fold
+from .common import bound_batches, fold
 
 #: Documents a language that the machines are fitted on.
 PER_LANGUAGE = 800
@@ -132,6 +132,7 @@ class Model:
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on at most ``per_language`` documents a language of ``labelled`` (doc_id, text, lang), chosen by hash of the id."""
+    bound_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -174,6 +175,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns, predicted language and score (0 to 1) of every whole text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.families, model.members, model.pairs, model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +183,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
-            for _, _, buffer, starts, ends in chunks(batch, 0):
+            for _, _, buffer, starts, ends in chunks(batch, text_at):
                 if m is None:
                     langs += ["und"] * len(starts)
                     scores += [0.0] * len(starts)
@@ -199,10 +201,11 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
                         found[i], sure[i] = "und", 0.0
                 langs += found
                 scores += sure.tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
-    frame = docs.select(F.col("text").cast("binary").alias("__text"), *keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:])
+    frame = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else ["text"]))
+    text_at = frame.columns.index("text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[: len(keep)])
     return frame.mapInArrow(run, f"{kinds}, {names[0]} string, {names[1]} double")
 
 

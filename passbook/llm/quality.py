@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks
-from .common import fold
+from .common import bound_batches, fold
 
 #: Labelled documents that the trees are fitted on.
 MAX_ROWS = 12_000
@@ -148,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
 def score(docs: DataFrame, forest: Forest) -> DataFrame:
     """doc_id and score of every whole text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((forest.feature, forest.threshold, forest.leaf, forest.start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

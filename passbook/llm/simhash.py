@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import bound_batches, stash
 from .components import components
 
 
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, n_words: int = 3, keep: tuple[str, ...] = ("do
             fps = [fingerprint(shingle_hashes(t.as_py() or b"", n_words)) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], names=[*batch.schema.names[1:], "fp"])
 
+    bound_batches(docs.sparkSession)
     frame = docs.select(F.col("text").cast("binary").alias("__text"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:])
     return frame.mapInArrow(run, f"{kinds}, fp long")

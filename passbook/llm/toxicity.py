@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import bound_batches, fold
 
 #: Labelled documents that lexicons are mined from and posteriors are made for.
 MAX_ROWS = 12_000
@@ -192,6 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 
 def score(docs: DataFrame, lexicon: dict[str, int], weights: np.ndarray) -> DataFrame:
     """doc_id and score of every whole text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
