@@ -1,17 +1,19 @@
 """One document of each group of near copies: the SimHash stage of the pipeline.
 
-Five-word shingles, similarity 0.8 or more. Near copies of that likeness differ
-in about 15 % of the bits of a SimHash, too many for one ball over 64 bits; so a
-text gets ``BANDS`` independent 32-bit SimHashes, and balls of radius 2 are hashed
-on each: every band emits its variants within one bit and two texts within two
-bits in some band meet (93 % of pairs at likeness 0.8, 99 % at 0.85, nearly all
-above). Each meeting place links its members to one of them, places differ in
-which; the links are verified on all bits: those within what the likeness implies,
-and half a standard error, stand.
-
-Only texts that can have a near copy emit variants: of a text's 16 least shingle
-hashes a near copy shares 14 on average, so texts of which fewer than 6 recur
-anywhere are left out. Texts alike in words count once.
+Five-word shingles; two texts are near copies if their shingle sets have a Jaccard
+likeness of 0.8 or more, and groups are the connected components. Every link is
+verified on the shingle sets (64-bit hashes); SimHash only proposes pairs.
+
+First, balls: a text gets ``BANDS`` independent 32-bit SimHashes of its shingle set,
+and balls of radius 2 are hashed on each: every band emits its variants within one
+bit and two texts within two bits in some band meet. Each meeting place proposes
+its members with one of them; pairs within the differing bits of likeness 0.8 and
+three standard errors are verified.
+
+Only texts that can have a near copy are looked at: a near copy shares at least
+0.8 of the hashes of the larger text, so texts of which fewer than 6 of the 16 least
+recur anywhere are left out (a text with 20 % shingles of its own is left out by
+chance at 3 in 100,000). Texts alike in words count once.
 
 Kept is a row with the least doc_id of a group; all columns stay. Null texts and texts without words form one group. Repeated rows
 are copies.
@@ -33,6 +35,8 @@ from .components import components
 from .simhash import shingle_hashes
 
 WORDS, LIKENESS, BANDS, LEAST, RECUR = 5, 0.8, 20, 16, 6
+#: Counts are compared with products of LIKENESS, which are not exact.
+SLACK = 1e-6
 
 
 def bits(hashes: np.ndarray, n_bands: int = BANDS) -> list[int]:
@@ -49,38 +53,53 @@ def bits(hashes: np.ndarray, n_bands: int = BANDS) -> list[int]:
 
 
 def most_bits(likeness: float, n: int) -> int:
-    """Differing bits of ``n`` that a Jaccard likeness implies, and half a standard error."""
+    """Differing bits of ``n`` that a Jaccard likeness implies, and three standard errors."""
     p = acos(2 * likeness / (1 + likeness)) / pi
-    return int(n * p + sqrt(n * p * (1 - p)) / 2)
+    return int(n * p + 3 * sqrt(n * p * (1 - p)))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key(raw: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(raw.lower().split()))
+
+
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for start in range(0, whole.num_rows, 1000):
             batch = whole.slice(start, 1000)
-            keys, least, bands = [], [], []
-            for text in batch.column(1):
+            keys, least = [], []
+            for text in batch.column(2):
                 raw = text.as_py() or b""
-                keys.append(xxhash.xxh3_128_digest(b" ".join(raw.lower().split())))
+                keys.append(_key(raw))
                 h = shingle_hashes(raw, WORDS)
                 least.append(np.unique(h.reshape(-1).view(">u8").astype(np.uint64))[:LEAST].view(np.int64))
-                bands.append(bits(h) if len(h) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "least", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "whole", "key", "least"])
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Verified links (lo, hi) between ``nodes`` (node, bands).
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, 1000):
+            batch = whole.slice(start, 1000)
+            sets, bands = [], []
+            for text in batch.column(1):
+                own = np.unique(shingle_hashes(text.as_py(), WORDS).reshape(-1).view(">u8"))
+                sets.append(own.astype(np.uint64).view(np.int64))
+                bands.append(bits(own.view(np.uint8).reshape(-1, 8)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["node", "bands", "grams"])
+
 
-    Texts with one value in a band are linked to one of them, which alone emits
-    that value's ball; so a large group of copies costs a link a text and band.
+def met_in_balls(nodes: DataFrame) -> DataFrame:
+    """Pairs (lo, hi) of ``nodes`` (node, bands) that meet in a ball and have few enough differing bits.
+
+    Texts with one value in a band are proposed with one of them, which alone emits
+    that value's ball; so a large group of copies costs a pair a text and band.
     """
     masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << b for b in range(32)))])
-    first = lambda node, place: F.min(F.struct(F.xxhash64(node, place).alias("r"), F.col(node).alias("node"))).alias("c")
+    first = F.min(F.struct(F.xxhash64("node").alias("r"), "node")).alias("c")
     values = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("value")).alias("spot"))
-    heads, _ = stash(values.groupBy("spot").agg(first("node", "spot")).select("spot", F.col("c.node").alias("head")))
+    heads, _ = stash(values.groupBy("spot").agg(first).select("spot", F.col("c.node").alias("head")))
     same = values.join(heads, "spot").where("node <> head").select("node", F.col("head").alias("centre"))
     places = heads.select(F.col("head").alias("node"), F.explode(F.transform(masks, lambda m: F.col("spot").bitwiseXOR(m))).alias("place"))
-    centre = places.groupBy("place").agg(F.count("*").alias("n"), first("node", "place")).where("n > 1").select("place", F.col("c.node").alias("centre"))
+    centre = places.groupBy("place").agg(F.count("*").alias("n"), first).where("n > 1").select("place", F.col("c.node").alias("centre"))
     balls = places.join(centre, "place").where("node <> centre").select("node", "centre")
     met = same.union(balls).select(F.least("node", "centre").alias("lo"), F.greatest("node", "centre").alias("hi")).distinct()
     side = lambda n: nodes.select(F.col("node").alias(n), F.col("bands").alias(f"{n}_bands"))
@@ -89,17 +108,30 @@ def links(nodes: DataFrame) -> DataFrame:
     return both.where(differ <= most_bits(LIKENESS, 32 * BANDS)).select("lo", "hi")
 
 
+def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (lo, hi) whose shingle sets (node, grams) are alike."""
+    side = lambda n: nodes.select(F.col("node").alias(n), F.col("grams").alias(f"{n}_grams"))
+    both = pairs.join(side("lo"), "lo").join(side("hi"), "hi")
+    shared = F.size(F.array_intersect("lo_grams", "hi_grams"))
+    return both.where(shared >= LIKENESS * (F.size("lo_grams") + F.size("hi_grams") - shared) - SLACK).select("lo", "hi")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay."""
     bound_batches(docs.sparkSession)
-    made, _ = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_features, "doc_id long, key binary, least array<long>, bands array<long>"))
-    # One node a word sequence; a text's least hashes and bands follow from its words.
-    texts, _ = stash(made.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("least").alias("least"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("key")))
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("binary")).alias("whole"), F.col("text").cast("binary").alias("text"))
+    made, _ = stash(raw.mapInArrow(_least, "doc_id long, whole long, key binary, least array<long>"))
+    # One node a word sequence; a text's shingles follow from its words.
+    least = made.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "whole")).alias("w"), F.first("least").alias("least"))
+    texts, _ = stash(least.select("key", F.col("w.doc_id").alias("first"), F.col("w.whole").alias("whole"), "least", F.xxhash64("key").alias("node")))
     hashes = texts.select("node", F.explode("least").alias("h"))
     recur = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     enough = hashes.join(recur, "h").groupBy("node").agg(F.count("*").alias("n"))
-    able, _ = stash(texts.join(enough, "node").where(F.col("n") * LEAST >= RECUR * F.size("least")).select("node", "bands"))
-    roots = components(links(able))
+    able, _ = stash(texts.join(enough, "node").where(F.col("n") * LEAST >= RECUR * F.size("least")).select("node", "first", F.col("whole").alias("__whole")))
+    own = raw.join(able, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("whole") == F.col("__whole"))).select("node", "text")
+    nodes, _ = stash(own.mapInArrow(_features, "node long, bands array<long>, grams array<long>").dropDuplicates(["node"]))
+    near, _ = stash(verified(met_in_balls(nodes), nodes))
+    roots = components(near)
     named = texts.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
     chosen = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "key")).alias("w")).select(F.col("w.first").alias("__first"), F.col("w.key").alias("__key"))
     chosen, _ = stash(chosen)
@@ -113,7 +145,7 @@ def _rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            keys = [_key(t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "__w"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -77,3 +77,36 @@ def test_stages_against_brute_force(spark, sf_dir, stages):
         assert len(ids) == r["n_tokens"] and codec.decode(ids).decode() == texts[r["doc_id"]]
     again = corpus_pipeline.run(spark, sf_dir).select("doc_id", "ids_sha256").collect()
     assert sorted(map(tuple, again)) == sorted((r["doc_id"], r["ids_sha256"]) for r in rows)
+
+
+def groups(rows):
+    """Least id of each component of pairs at 0.8 or more, by brute force."""
+    sets = {i: shingles(t) for i, t in rows.items()}
+    root = {i: i for i in rows}
+    for i in rows:
+        for j in rows:
+            if i < j and root[i] != root[j] and likeness(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    return set(root.values())
+
+
+def kept_ids(spark, rows):
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    return {r["doc_id"] for r in nearcopies.keep_one(frame).collect()}
+
+
+def changed(rng, text, share):
+    """A copy with words replaced at its end, so that about ``share`` of the shingles of both are in both."""
+    own = round(len(text) * (1 - share) / (1 + share))
+    return text[: len(text) - own] + [f"new{rng.randrange(10**9)}" for _ in range(own)]
+
+
+def test_links_are_verified_on_the_shingle_sets(spark, rng):
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(n)]
+    line = words(12)
+    rows = {k: " ".join(line * 12 + words(40)) for k in range(20)}  # alike by count of shingles, not by sets
+    for k in range(60):
+        text = words(200)
+        rows[100 + 2 * k], rows[101 + 2 * k] = " ".join(text), " ".join(changed(rng, text, (0.7, 0.74, 0.77)[k % 3]))
+    assert kept_ids(spark, rows) == groups(rows) == set(rows)
