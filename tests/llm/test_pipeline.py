@@ -110,3 +110,19 @@ def test_links_are_verified_on_the_shingle_sets(spark, rng):
         text = words(200)
         rows[100 + 2 * k], rows[101 + 2 * k] = " ".join(text), " ".join(changed(rng, text, (0.7, 0.74, 0.77)[k % 3]))
     assert kept_ids(spark, rows) == groups(rows) == set(rows)
+
+
+def test_near_copies_are_those_of_brute_force(spark, rng):
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(n)]
+    rows = {}
+    for k in range(150):
+        text = words(rng.randrange(60, 300))
+        rows[2 * k], rows[2 * k + 1] = " ".join(text), " ".join(changed(rng, text, 0.81))
+    common = words(200)
+    for k in range(60):  # pairs inside a family of loosely alike texts
+        text = common + words(50)
+        rows[1000 + 2 * k], rows[1001 + 2 * k] = " ".join(text), " ".join(words(8) + text[8:-14] + words(14))
+    for k in range(8):  # a chain: each is like the next only
+        common = changed(rng, common[20:] + common[:20], 0.85)
+        rows[2000 + k] = " ".join(common)
+    assert kept_ids(spark, rows) == groups(rows)
