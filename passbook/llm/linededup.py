@@ -6,9 +6,13 @@ than another. Lines estimated clearly above the threshold are boilerplate; lines
 near it are counted exactly. Then boilerplate lines leave the documents.
 
 A site is a value of ``source``; null is a site of its own. Blank lines are never
-boilerplate. A document of which boilerplate would be more than half (in
-characters of non-blank lines) is a copy rather than a page with boilerplate: it
-stays whole, for near-duplicate search to judge.
+boilerplate. Boilerplate lines go whatever their share of a document. Only a
+document without any worded line of its own is a copy rather than a page with
+boilerplate: it stays whole, for near-duplicate search to judge.
+
+``op5_line_dedup`` is held to its SQL, which spares every document of which
+boilerplate is more than half (in characters of non-blank lines): ``at_most_half``.
+``op5_all_lines`` and the pipeline remove all of it.
 
 Defined cases: null text stays null and has no lines; the empty text has one
 blank line. Rows that share a doc_id are judged each by its own lines. Extra
@@ -43,8 +47,11 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return spread.where(F.col("sites") > min_sites * (1 + BAND)).select("h").union(exact.select("h"))
 
 
-def remove(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of text, and __n_lines, __n_removed (long)."""
+def remove(docs: DataFrame, min_sites: int = MIN_SITES, at_most_half: bool = False) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of text, and __n_lines, __n_removed (long).
+
+    With ``at_most_half`` documents stay whole that would lose more than half of their characters.
+    """
     hashed = docs.select("doc_id", F.concat(F.lit("="), "source").alias("site"), F.explode(F.array_distinct(F.transform(F.filter(_lines(), _worded), lambda line: F.xxhash64(line)))).alias("h"))
     hashed, _ = stash(hashed.withColumn("site", F.coalesce("site", F.lit(""))))
     bad, _ = stash(boilerplate(hashed.select("h", "site"), min_sites))
@@ -54,17 +61,27 @@ def remove(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, line: n + F.length(line))
     kept = joined.withColumn("__kept", F.when(F.col("__bad").isNotNull(), F.filter(_lines(), lambda line: ~hit(line))))
     total, left = chars(F.filter(_lines(), _worded)), chars(F.filter("__kept", _worded))
-    kept = kept.withColumn("__out", F.coalesce(F.col("__kept").isNotNull() & (2 * left >= total), F.lit(False)))
+    enough = 2 * left >= total if at_most_half else F.exists("__kept", _worded)
+    kept = kept.withColumn("__out", F.coalesce(F.col("__kept").isNotNull() & enough, F.lit(False)))
     n_lines = F.coalesce(F.size(_lines()), F.lit(0)).cast("long")
     removed = F.when(F.col("__out"), F.size(_lines()) - F.size("__kept")).otherwise(0).cast("long")
     text = F.when(F.col("__out"), F.array_join("__kept", "\n")).otherwise(F.col("text"))
     return kept.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("__n_lines"), removed.alias("__n_removed"))
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    """op5: lines of every document, how many left it, and the digest of what stays."""
+def _shown(spark, sf_dir: str, at_most_half: bool) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return remove(docs).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return remove(docs, at_most_half=at_most_half).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    """op5: lines of every document, how many left it, and the digest of what stays; documents that are mostly boilerplate stay whole."""
+    return _shown(spark, sf_dir, True)
+
+
+def all_lines(spark, sf_dir: str) -> DataFrame:
+    """op5 with boilerplate taken out of every document that has a line of its own."""
+    return _shown(spark, sf_dir, False)
 
 
 SQL = f"""
@@ -90,3 +107,26 @@ SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines,
        sha256(CASE WHEN cut AND n_hit > 0 THEN coalesce(rest, '') ELSE coalesce(text, '') END) AS kept_sha256
 FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id
 """
+
+SQL_ALL = f"""
+WITH l AS (
+  SELECT doc_id, coalesce('=' || source, '') AS site,
+         unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM documents WHERE text IS NOT NULL
+), w AS (
+  SELECT *, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS worded FROM l
+), bad AS (
+  SELECT line AS bad_line FROM w WHERE worded GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}
+), m AS (
+  SELECT w.*, bad_line IS NOT NULL AS hit FROM w LEFT JOIN bad ON worded AND line = bad_line
+), d AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS n_hit, bool_or(worded AND NOT hit) AS own,
+         string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit) AS rest
+  FROM m GROUP BY doc_id
+)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines,
+       CASE WHEN own THEN n_hit ELSE 0 END AS n_removed,
+       sha256(CASE WHEN own AND n_hit > 0 THEN rest ELSE coalesce(text, '') END) AS kept_sha256
+FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id
+"""

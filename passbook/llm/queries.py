@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": quality.query,
     "op4_toxicity": toxicity.query,
     "op5_line_dedup": linededup.query,
+    "op5_all_lines": linededup.all_lines,
     "op6_byte_bpe": bpe.query,
     "op7_rules": rules.query,
     "op8_repeats": repeats.query,
@@ -21,7 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": mixing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": linededup.SQL, "op5_all_lines": linededup.SQL_ALL}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

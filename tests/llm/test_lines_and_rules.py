@@ -20,6 +20,22 @@ def test_lines_match_sql(spark, sf):
     assert got["n_removed"].sum() > 0
 
 
+def test_boilerplate_goes_whatever_its_share(spark):
+    passage = "a license passage that is much longer than what the page itself has to say, " * 3
+    rows = [(s, f"own {s}\n{passage}", f"s{s}") for s in range(12)] + [(100 + s, passage, f"s{s}") for s in range(12)]
+    out = linededup.remove(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == {s: f"own {s}" for s in range(12)} | {100 + s: passage for s in range(12)}
+
+
+def test_all_lines_match_sql(spark):
+    where = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{where}/documents.parquet'")
+    got = sorted(map(tuple, linededup.all_lines(spark, where).collect()))
+    assert got == sorted(con.sql(linededup.SQL_ALL).fetchall())
+    assert sum(r[2] for r in got) > linededup.query(spark, where).agg({"n_removed": "sum"}).first()[0]
+
+
 def test_lines_near_the_threshold(spark):
     rows = [(1000 * n + s, f"own text of document {n} {s} and more of it\nline of {n} sites", f"s{s}") for n in range(2, 20) for s in range(n)]
     out = linededup.remove(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=8).collect()
