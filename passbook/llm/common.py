@@ -56,3 +56,8 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a stashed table that no later plan reads."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs: it learns of them when the driver collects garbage."""
+    spark.sparkContext._jvm.java.lang.System.gc()

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stash
+from .common import bound_batches, release, stash
 from .components import components
 from .simhash import shingle_hashes
 
@@ -156,12 +156,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     able, _ = stash(texts.join(enough, "node").where(F.col("n") * LEAST >= RECUR * F.size("least")).select("node", "first", F.col("whole").alias("__whole")))
     own = raw.join(able, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("whole") == F.col("__whole"))).select("node", "text")
     nodes, _ = stash(own.mapInArrow(_features, "node long, bands array<long>, grams array<long>").dropDuplicates(["node"]))
+    release(docs.sparkSession)
     near, _ = stash(verified(met_in_balls(nodes), nodes))
     rest = verified(apart(nodes, components(near)), nodes)
     roots = components(near.union(rest))
     named = texts.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
     chosen = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "key")).alias("w")).select(F.col("w.first").alias("__first"), F.col("w.key").alias("__key"))
     chosen, _ = stash(chosen)
+    release(docs.sparkSession)
     return _rows(docs, chosen)
 
 
@@ -177,5 +179,7 @@ def _rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     marked = docs.mapInArrow(mark, f"{kinds}, __w binary")
-    found = marked.join(chosen, (F.col("__w") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__first")))
-    return found.dropDuplicates(["doc_id", "__w"]).select(docs.columns)
+    # One key for the join and the copies, so that texts are shuffled once.
+    at_key = lambda key, doc_id: F.concat(key, F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")).cast("binary"))
+    found = marked.withColumn("__at", at_key("__w", "doc_id")).join(chosen.select(at_key("__key", "__first").alias("__at")), "__at")
+    return found.dropDuplicates(["__at"]).select(docs.columns)
