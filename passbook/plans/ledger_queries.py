@@ -106,6 +106,12 @@ def _stated(spark, sf_dir):
     return rows.where("id % 50 <> 0").withColumn("stated_closing", F.when(F.col("acct") % 3 == 0, F.lit(1234.5)).when(F.col("acct") % 3 == 1, F.lit(0)).cast(MONEY))
 
 
+def _audited(spark, sf_dir):
+    rows = ledgers.events(spark, sf_dir)
+    audit = rows.groupBy("acct").agg(F.count("*").alias("candidates"), F.count_if((F.col("acct") % 4 != 0) | (F.col("id") % 3 != 0)).alias("accounted")).withColumn("suspicious", F.col("acct") % 5)
+    return integrity.checks(rows, audit=audit).select("acct", "failed", "check_d", "completeness_ratio")
+
+
 def _dedup(spark, sf_dir):
     rows = ledgers.events(spark, sf_dir)
     twice = rows.withColumn("copy", F.explode(F.when(F.col("id") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
@@ -133,6 +139,7 @@ QUERIES = {
     "recurring_candidates": over_events(accounts.recurring_candidates),
     "integrity_checks": lambda spark, sf_dir: shown(integrity.checks(_stated(spark, sf_dir))),
     "integrity_status": lambda spark, sf_dir: shown(integrity.status(_stated(spark, sf_dir))),
+    "integrity_audited": _audited,
     "prev_balance_fill": over_events(lambda x: sequence.fill_previous(holed(x)).select("acct", "id", "prev_balance")),
     "inherited_date": over_events(lambda x: sequence.inherit_date(holed(x)).select("acct", "id", "d")),
     "continuity_flags": over_events(lambda x: sequence.continuity_flags(holed(x)).select("acct", "id", "continuous")),
@@ -211,6 +218,10 @@ SELECT acct, {divided(cents('emi'), BASE, 10000)} AS emi_to_income_ratio, {divid
 FROM led WHERE type = 'CREDIT' AND credit > 0 AND {hit(LOW, T.SALARY)} GROUP BY acct""",
     "recurring_candidates": rf"""{S.EVENTS}, c AS (SELECT acct, credit, substring(trim(regexp_replace({LOW}, '[\d/\-_]', '', 'g')), 1, 20) || '_' || CAST(CAST(round_even({dbl('credit')} / 1000, 0) * 1000 AS BIGINT) AS VARCHAR) AS key FROM led WHERE type = 'CREDIT' AND credit > 0) SELECT acct, key, count(*) AS n, {dbl('sum(credit)')} AS amount FROM c GROUP BY acct, key""",
     "integrity_checks": f"{STATED} SELECT * FROM c",
+    "integrity_audited": f"""{S.EVENTS}, w AS (SELECT *, lag(balance) OVER (PARTITION BY acct ORDER BY seq) + credit - debit - balance AS gap FROM led
+), g AS (SELECT acct, count(*) FILTER (WHERE abs(gap) > 0.05) AS failed, count(*) FILTER (WHERE acct % 4 <> 0 OR id % 3 <> 0) AS accounted, count(*) AS candidates FROM w GROUP BY acct
+), r AS (SELECT *, {divided('accounted', 'candidates', 10000)} AS completeness_ratio FROM g)
+SELECT acct, failed, CASE WHEN failed = 0 AND completeness_ratio >= 0.98 AND acct % 5 <= 2 THEN 'PASS' ELSE 'FAIL' END AS check_d, completeness_ratio FROM r""",
     "integrity_status": f"""{STATED}, s AS (SELECT *, CASE WHEN check_d = 'PASS' AND check_a <> 'FAIL' AND check_b <> 'FAIL' AND check_c <> 'FAIL' THEN 'GREEN' WHEN check_a <> 'FAIL' AND check_b <> 'FAIL' AND failed <= 1 THEN 'YELLOW' ELSE 'RED' END AS status,
   1 + CAST(stated_closing IS NOT NULL AS BIGINT) + CAST(total_credits > 0 AS BIGINT) + CAST(total_debits > 0 AS BIGINT) + CAST(transaction_count > 0 AS BIGINT) AS fields_present FROM c)
 SELECT acct, status, CASE WHEN status = 'RED' THEN concat_ws(', ', CASE WHEN check_a = 'FAIL' THEN 'arithmetic' END, CASE WHEN check_b = 'FAIL' THEN 'statement' END, CASE WHEN check_c = 'FAIL' THEN failed || ' gap(s)' END) ELSE '' END AS reasons, fields_present,
