@@ -60,6 +60,13 @@ def _profiles(spark, sf_dir):
     return reports.account_profiles(c, n)
 
 
+def _document_profiles(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("doc_id", F.floor(F.col("c_custkey") / 10))
+    a = c.select("doc_id", F.col("c_custkey").alias("acct"), (F.col("c_custkey") % 10).alias("pos"), F.substring("c_mktsegment", 1, 4).alias("connection"))
+    p = c.select("doc_id", (F.lit(9) - F.col("c_custkey") % 10).alias("ord"), F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("Bank of "), F.lower("c_mktsegment"))).otherwise("Bank").alias("bank"), F.col("c_name").alias("holder"))
+    return reports.account_profiles(a, p)
+
+
 def _backfill(spark, sf_dir):
     led = ledgers.events(spark, sf_dir)
     k = F.col("acct") % 3
@@ -81,7 +88,7 @@ def _masked_map(spark, sf_dir):
 
 QUERIES = {
     "metadata_backfill": _backfill, "parser_route": _routes, "sensitive_map": _masked_map, "first_rows": lambda spark, sf_dir: reports.latest(ledgers.events(spark, sf_dir), 20).select("acct", "id", "seq"),
-    "narration_merge": _merged, "payment_words": _words, "column_headings": _headings, "category_names": _names, "holder_names": _holders, "extraction_counts": _pages, "account_profiles": _profiles,
+    "narration_merge": _merged, "payment_words": _words, "column_headings": _headings, "category_names": _names, "holder_names": _holders, "extraction_counts": _pages, "account_profiles": _profiles, "document_profiles": _document_profiles,
     "ledger_report": lambda spark, sf_dir: shown(reports.ledger_report(ledgers.events(spark, sf_dir))),
 }
 
@@ -103,6 +110,8 @@ SELECT acct, CASE WHEN k = 0 THEN '2024-02-01' ELSE strftime(d1, '%Y-%m-%d') END
     "extraction_counts": "WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM p) SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE q % 3 = 0) AS scanned, count(*) FILTER (WHERE q % 3 <> 0) AS native, round(avg(floor(q) / 64), 4) AS confidence, bool_and(page = k) AS page_sequence_valid, count(*) FILTER (WHERE CAST(q AS BIGINT) >= 10) >= 1 AS has_geometry FROM k GROUP BY doc_id",
     "account_profiles": """WITH n AS (SELECT c_custkey AS ord, 'Bank of ' || lower(c_mktsegment) AS bank, c_name AS holder FROM customer WHERE c_custkey <= 5), a AS (SELECT c_custkey AS acct, c_custkey % 7 AS pos, substring(c_mktsegment, 1, 4) AS connection FROM customer
 ), m AS (SELECT acct, arg_min(bank, ord) AS bank, arg_min(holder, ord) AS holder FROM a JOIN n ON contains(bank, lower(connection)) GROUP BY acct) SELECT a.acct, connection, coalesce(m.bank, n.bank, '') AS bank, coalesce(m.holder, n.holder, '') AS holder FROM a LEFT JOIN m USING (acct) LEFT JOIN n ON pos = ord""",
+    "document_profiles": """WITH c AS (SELECT *, c_custkey // 10 AS doc_id FROM customer), n AS (SELECT doc_id, 9 - c_custkey % 10 AS ord, CASE WHEN c_custkey % 3 > 0 THEN 'Bank of ' || lower(c_mktsegment) ELSE 'Bank' END AS bank, c_name AS holder FROM c), a AS (SELECT doc_id, c_custkey AS acct, c_custkey % 10 AS pos, substring(c_mktsegment, 1, 4) AS connection FROM c
+), m AS (SELECT doc_id, acct, arg_min(bank, ord) AS bank, arg_min(holder, ord) AS holder FROM a JOIN n USING (doc_id) WHERE contains(bank, lower(connection)) GROUP BY ALL) SELECT a.doc_id, a.acct, connection, coalesce(m.bank, n.bank, '') AS bank, coalesce(m.holder, n.holder, '') AS holder FROM a LEFT JOIN m ON a.doc_id = m.doc_id AND a.acct = m.acct LEFT JOIN n ON a.doc_id = n.doc_id AND pos = ord""",
     "ledger_report": f"""{S.EVENTS}, w AS (SELECT *, abs(last_value(balance IGNORE NULLS) OVER (PARTITION BY acct ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + credit - debit - balance) AS gap, lag(row(d, amount, balance, description, type)) OVER (PARTITION BY acct ORDER BY seq) = row(d, amount, balance, description, type) AS rep FROM led
 ), g AS (SELECT acct, arg_min(CASE WHEN type = 'CREDIT' THEN balance - credit ELSE balance + debit END, seq) AS ob, sum(credit) AS cr, sum(debit) AS dr, arg_max(balance, seq) AS bn, count(*) AS n, count(*) FILTER (WHERE credit > 0) AS nc, count(*) FILTER (WHERE debit > 0) AS nd, count(*) FILTER (WHERE coalesce(gap <= 0.01, true)) AS cp, count(*) FILTER (WHERE gap > 0.01) AS cf, count(*) FILTER (WHERE credit = 0 AND debit = 0) AS nn, count(*) FILTER (WHERE rep) AS du FROM w GROUP BY acct)
 SELECT acct, {dbl('ob')} AS opening_balance, {dbl('cr')} AS total_credits, {dbl('dr')} AS total_debits, {dbl('ob + cr - dr')} AS calculated_closing, {dbl('bn')} AS closing_balance, {dbl('abs(ob + cr - dr - bn)')} AS difference, abs(ob + cr - dr - bn) <= 0.01 AS verified, n AS transaction_count, nc AS credit_count, nd AS debit_count, cp AS continuity_passed, cf AS continuity_failed, nn AS neither_side, CAST(0 AS BIGINT) AS both_sides, du AS duplicates FROM g""",
