@@ -32,7 +32,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
 
 #: Memo entries a worker keeps, and the longest pre-token (bytes) among them.
 MEMO, MEMO_BYTES = 200_000, 64
@@ -269,7 +268,6 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, keep_ids: str | None =
         finally:
             gc.enable()  # the worker serves other tasks next
 
-    bound_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + {"array": ", ids array<int>", "packed": ", ids binary", None: ""}[keep_ids]
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 

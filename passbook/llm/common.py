@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_open: ContextVar[list[str] | None] = ContextVar("_open", default=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,17 +30,38 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bound_batches(spark: SparkSession, most: int = 1000) -> None:
-    """At most ``most`` documents in an Arrow batch: what a Python worker and its JVM side hold at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= most:
-        spark.conf.set(name, str(most))
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as no column has it (names are alike whatever their case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def quoted(columns: Sequence[str]) -> list[Column]:
+    """Columns by exactly these names, whatever characters they have."""
+    return [F.col(f"`{c}`") for c in columns]
+
+
+def kinds(df: DataFrame) -> str:
+    """Columns of ``df`` as a DDL schema."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` with columns named c0, c1, ...: what mapInArrow takes, which looks up names with dots in vain."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def _shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (tests, one machine)."""
+    """The cluster's shared folder; a folder of our own only where none is set and all of Spark is on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -48,14 +74,28 @@ def stash(df: DataFrame) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{_shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
+    if _open.get() is not None:
+        _open.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a stashed table that no later plan reads."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete stashed tables that no later plan reads."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables stashed inside are deleted at its end; take a path off the list to keep its table."""
+    token = _open.set([])
+    try:
+        yield _open.get()
+        discard(spark, *_open.get())
+    finally:
+        _open.reset(token)
 
 
 def release(spark: SparkSession) -> None:

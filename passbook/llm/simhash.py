@@ -16,8 +16,9 @@ gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,31 +26,50 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stash
+from .common import kinds, stash
 from .components import components
 
+_BLANKS = re.compile(rb"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")  # runs that are not one space already
+#: Shingles that are hashed, and whose bits are counted, at a time.
+BLOCK = 1 << 16
+
+
+def plain(text: bytes) -> bytes:
+    """The words of ``text`` with A-Z lower-cased, one space between (ASCII case and white space only)."""
+    return _BLANKS.sub(b" ", text.lower()).strip(b" ")
+
 
 def shingle_hashes(text: bytes, n_words: int, seed: int = 42) -> np.ndarray:
-    """XXH64 digests, one row of 8 bytes each, of all shingles of ``text`` with A-Z lower-cased, repeats included."""
-    words = text.lower().split()  # bytes: ASCII case and ASCII white space only
-    digest = xxhash.xxh64_digest
-    joined = b" ".join(words)
-    if len(words) <= n_words:
-        found = [digest(joined, seed)] if words else []
-    else:
-        ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
-        found = [digest(joined[0 : ends[n_words - 1]], seed), *[digest(joined[s + 1 : e], seed) for s, e in zip(ends, ends[n_words:])]]
-    return np.frombuffer(b"".join(found), np.uint8).reshape(-1, 8)
+    """XXH64 digests, one row of 8 bytes each, of all shingles of ``text`` with A-Z lower-cased, repeats included.
+
+    Beside the result, numbers of 8 bytes a word and one block of digests are held.
+    """
+    joined = plain(text)
+    if not joined:
+        return np.zeros((0, 8), np.uint8)
+    at = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    n, digest = max(1, len(at) + 2 - n_words), xxhash.xxh64_digest
+    starts = np.concatenate([[0], at[: n - 1] + 1])
+    ends = np.concatenate([at[n_words - 1 :], [len(joined)]])
+    out = np.empty((n, 8), np.uint8)
+    for k in range(0, n, BLOCK):
+        found = [digest(joined[s:e], seed) for s, e in zip(starts[k : k + BLOCK].tolist(), ends[k : k + BLOCK].tolist(), strict=True)]
+        out[k : k + BLOCK] = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 8)
+    return out
+
+
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many rows (8 bytes each, one at least) have each of the 64 bits."""
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[k : k + BLOCK], axis=1)
+        total += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return total
 
 
 def fingerprint(hashes: np.ndarray) -> int:
     """The 64 majority bits, as a signed integer; zero if there is no hash."""
-    n = len(hashes)
-    if not n:
-        return 0
-    bits = np.unpackbits(hashes, axis=1)
-    counts = np.add.reduceat(bits, np.arange(0, n, 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n).view(">i8")[0])
+    return int(np.packbits(2 * ones(hashes) > len(hashes)).view(">i8")[0]) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, n_words: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -60,10 +80,8 @@ def fingerprints(docs: DataFrame, n_words: int = 3, keep: tuple[str, ...] = ("do
             fps = [fingerprint(shingle_hashes(t.as_py() or b"", n_words)) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], names=[*batch.schema.names[1:], "fp"])
 
-    bound_batches(docs.sparkSession)
-    frame = docs.select(F.col("text").cast("binary").alias("__text"), *keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:])
-    return frame.mapInArrow(run, f"{kinds}, fp long")
+    frame = docs.select(F.col("text").cast("binary"), *keep)
+    return frame.mapInArrow(run, f"{kinds(frame.select(*keep))}, fp long")
 
 
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
