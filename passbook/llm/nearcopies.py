@@ -5,23 +5,24 @@ likeness of 0.8 or more, and groups are the connected components. Every link is
 verified on the shingle sets (64-bit hashes); SimHash only proposes pairs.
 
 First, balls: a text gets ``BANDS`` independent 32-bit SimHashes of its shingle set,
-and balls of radius 2 are hashed on each: every band emits its variants within one
-bit and two texts within two bits in some band meet. Each meeting place proposes
-its members with one of them; pairs within the differing bits of likeness 0.8 and
-three standard errors are verified.
+and balls of radius 2 are hashed on each: every band value emits its variants within
+one bit, and the values that meet at a variant (33 at most) are paired. Texts with
+one value in a band are paired with one of them, which stands for the value. Pairs
+within the differing bits of likeness 0.8 and three standard errors are verified.
 
 Then the rest, exactly: two sets of likeness 0.8 share one of the rarest shingles of
 each, a fifth of the set and one. All texts that share such a shingle, are of fitting
 sizes and are not yet in one group are compared, so no pair is lost to the bits, to a
-centre that failed or to a text whose band value another text stands for.
+text that stands for others or to a ball.
 
 Only texts that can have a near copy are looked at: a near copy shares at least
-0.8 of the hashes of the larger text, so texts of which fewer than 6 of the 16 least
-recur anywhere are left out (a text with 20 % shingles of its own is left out by
-chance at 3 in 100,000). Texts alike in words count once.
+0.8 of the hashes of the larger text, so a text of which fewer than 19 of the 48 least
+hashes recur anywhere is left out. A near copy is left out so with probability
+2e-10 or less (19 of 48 draws at 0.8); up to 48 shingles the rule is exact.
 
-Kept is a row with the least doc_id of a group; all columns stay. Null texts and texts without words form one group. Repeated rows
-are copies.
+Texts alike in words count once. Kept is a row with the least doc_id of a group; all
+columns stay, whatever their names. Null texts and texts without words form one
+group. Repeated rows are copies. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,11 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, release, stash
+from .common import discard, kinds, placed, quoted, release, stash, unused
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import ones, plain, shingle_hashes
 
-WORDS, LIKENESS, BANDS, LEAST, RECUR = 5, 0.8, 20, 16, 6
+WORDS, LIKENESS, BANDS, LEAST, RECUR = 5, 0.8, 20, 48, 19
 #: Counts are compared with products of LIKENESS, which are not exact.
 SLACK = 1e-6
 
@@ -51,9 +52,7 @@ def bits(hashes: np.ndarray, n_bands: int = BANDS) -> list[int]:
     for _ in range(n_bands // 2):
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
         mixed = h ^ (h >> np.uint64(29))
-        found = np.unpackbits(mixed.view(np.uint8).reshape(n, 8), axis=1)
-        counts = np.add.reduceat(found, np.arange(0, n, 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        out += np.packbits(2 * counts > n).view(">u4").tolist()
+        out += np.packbits(2 * ones(mixed.view(np.uint8).reshape(n, 8)) > n).view(">u4").tolist()
     return out
 
 
@@ -64,53 +63,59 @@ def most_bits(likeness: float, n: int) -> int:
 
 
 def _key(raw: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(raw.lower().split()))
+    return xxhash.xxh3_128_digest(plain(raw))
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            yield batch.slice(start, most)
 
 
 def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, 1000):
-            batch = whole.slice(start, 1000)
-            keys, least = [], []
-            for text in batch.column(2):
-                raw = text.as_py() or b""
-                keys.append(_key(raw))
-                h = shingle_hashes(raw, WORDS)
-                least.append(np.unique(h.reshape(-1).view(">u8").astype(np.uint64))[:LEAST].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "whole", "key", "least"])
+    for batch in _sliced(batches):
+        keys, least = [], []
+        for text in batch.column(2):
+            raw = text.as_py() or b""
+            keys.append(_key(raw))
+            h = shingle_hashes(raw, WORDS)
+            least.append(np.unique(h.reshape(-1).view(">u8").astype(np.uint64))[:LEAST].view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "whole", "key", "least"])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, 1000):
-            batch = whole.slice(start, 1000)
-            sets, bands = [], []
-            for text in batch.column(1):
-                own = np.unique(shingle_hashes(text.as_py(), WORDS).reshape(-1).view(">u8"))
-                sets.append(own.astype(np.uint64).view(np.int64))
-                bands.append(bits(own.view(np.uint8).reshape(-1, 8)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["node", "bands", "grams"])
+    for batch in _sliced(batches):
+        sets, bands = [], []
+        for text in batch.column(1):
+            own = np.unique(shingle_hashes(text.as_py(), WORDS).reshape(-1).view(">u8"))
+            sets.append(own.astype(np.uint64).view(np.int64))
+            bands.append(bits(own.view(np.uint8).reshape(-1, 8)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["node", "bands", "grams"])
 
 
 def met_in_balls(nodes: DataFrame) -> DataFrame:
     """Pairs (lo, hi) of ``nodes`` (node, bands) that meet in a ball and have few enough differing bits.
 
     Texts with one value in a band are proposed with one of them, which alone emits
-    that value's ball; so a large group of copies costs a pair a text and band.
+    that value's ball; so a large group of copies costs a pair a text and band, and
+    no place has more than the 33 values within one bit of it.
     """
     masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << b for b in range(32)))])
-    first = F.min(F.struct(F.xxhash64("node").alias("r"), "node")).alias("c")
     values = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("value")).alias("spot"))
-    heads, _ = stash(values.groupBy("spot").agg(first).select("spot", F.col("c.node").alias("head")))
+    heads, path = stash(values.groupBy("spot").agg(F.min(F.struct(F.xxhash64("node").alias("r"), "node")).alias("c")).select("spot", F.col("c.node").alias("head")))
     same = values.join(heads, "spot").where("node <> head").select("node", F.col("head").alias("centre"))
-    places = heads.select(F.col("head").alias("node"), F.explode(F.transform(masks, lambda m: F.col("spot").bitwiseXOR(m))).alias("place"))
-    centre = places.groupBy("place").agg(F.count("*").alias("n"), first).where("n > 1").select("place", F.col("c.node").alias("centre"))
-    balls = places.join(centre, "place").where("node <> centre").select("node", "centre")
-    met = same.union(balls).select(F.least("node", "centre").alias("lo"), F.greatest("node", "centre").alias("hi")).distinct()
+    places = heads.select("head", F.explode(F.transform(masks, lambda m: F.col("spot").bitwiseXOR(m))).alias("place"))
+    balls = places.groupBy("place").agg(F.collect_list("head").alias("at")).where(F.size("at") > 1)
+    paired = F.flatten(F.transform("at", lambda x, i: F.transform(F.slice("at", i + 2, F.size("at")), lambda y: F.struct(x.alias("node"), y.alias("centre")))))
+    met = same.union(balls.select(F.inline(paired))).select(F.least("node", "centre").alias("lo"), F.greatest("node", "centre").alias("hi")).distinct()
+    met, met_path = stash(met)
+    release(nodes.sparkSession)
     side = lambda n: nodes.select(F.col("node").alias(n), F.col("bands").alias(f"{n}_bands"))
     both = met.join(side("lo"), "lo").join(side("hi"), "hi")
     differ = F.aggregate(F.zip_with("lo_bands", "hi_bands", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-    return both.where(differ <= most_bits(LIKENESS, 32 * BANDS)).select("lo", "hi")
+    near, _ = stash(both.where(differ <= most_bits(LIKENESS, 32 * BANDS)).select("lo", "hi"))
+    discard(nodes.sparkSession, path, met_path)
+    return near
 
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -124,62 +129,74 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def apart(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """All pairs (lo, hi) of ``nodes`` (node, grams) of different ``roots`` (node, root) that can be alike.
 
-    Shingles are ordered by how many texts have them; a place is one of the rarest
-    of a text, as many as leave too few others for the likeness.
+    Shingles are ordered by how many texts have them, then by hash; one number holds
+    both, so shingles that differ only in what it leaves out are one place, which
+    proposes more pairs and loses none. A text meets others at its rarest, as many as
+    leave too few others for the likeness.
     """
+    spark = nodes.sparkSession
     grams = nodes.select("node", F.explode("grams").alias("h"))
-    many = grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    recur = grams.join(many, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("hs"))
+    many, many_path = stash(grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    release(spark)
+    place = F.shiftleft(F.least("n", F.lit(127)), 56) + F.col("h").bitwiseAND(F.lit((1 << 56) - 1))
+    recur, recur_path = stash(grams.join(many, "h").select("node", place.alias("x")).groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("xs")))
+    release(spark)
+    discard(spark, many_path)
     sized = nodes.select("node", F.size("grams").alias("size"))
     # A text's shingles that no other has come first in the order, and are no meeting places.
-    most = F.col("size") - F.ceil(LIKENESS * F.col("size") - SLACK) + 1 - (F.col("size") - F.size("hs"))
-    rare = recur.join(sized, "node").join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), F.explode(F.slice("hs", F.lit(1), F.greatest(most, F.lit(0)).cast("int"))).alias("x"))
-    rare, _ = stash(rare.select("node", "size", "root", F.col("x.h").alias("h")))
-    mixed = rare.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("h")
-    at = rare.join(mixed, "h")
-    side = lambda n: at.select("h", F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("root").alias(f"{n}_root"))
+    most = F.col("size") - F.ceil(LIKENESS * F.col("size") - SLACK) + 1 - (F.col("size") - F.size("xs"))
+    rare = recur.join(sized, "node").join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), F.explode(F.slice("xs", F.lit(1), F.greatest(most, F.lit(0)).cast("int"))).alias("x"))
+    rare, _ = stash(rare)
+    discard(spark, recur_path)
+    mixed = rare.groupBy("x").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("x")
+    at = rare.join(mixed, "x")
+    side = lambda n: at.select("x", F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("root").alias(f"{n}_root"))
     fits = F.least("lo_size", "hi_size") >= LIKENESS * F.greatest("lo_size", "hi_size") - SLACK
-    return side("lo").join(side("hi"), "h").where((F.col("lo") < F.col("hi")) & (F.col("lo_root") != F.col("hi_root")) & fits).select("lo", "hi").distinct()
+    return side("lo").join(side("hi"), "x").where((F.col("lo") < F.col("hi")) & (F.col("lo_root") != F.col("hi_root")) & fits).select("lo", "hi").distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay."""
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("binary")).alias("whole"), F.col("text").cast("binary").alias("text"))
-    made, _ = stash(raw.mapInArrow(_least, "doc_id long, whole long, key binary, least array<long>"))
-    # One node a word sequence; a text's shingles follow from its words.
+    made, made_path = stash(raw.mapInArrow(_least, "doc_id long, whole long, key binary, least array<long>"))
+    # One node a word sequence, numbered when written; a text's shingles follow from its words.
     least = made.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "whole")).alias("w"), F.first("least").alias("least"))
-    texts, _ = stash(least.select("key", F.col("w.doc_id").alias("first"), F.col("w.whole").alias("whole"), "least", F.xxhash64("key").alias("node")))
+    texts, _ = stash(least.select(F.monotonically_increasing_id().alias("node"), "key", F.col("w.doc_id").alias("first"), F.col("w.whole").alias("whole"), "least"))
+    discard(spark, made_path)
     hashes = texts.select("node", F.explode("least").alias("h"))
-    recur = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    recur, recur_path = stash(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     enough = hashes.join(recur, "h").groupBy("node").agg(F.count("*").alias("n"))
-    able, _ = stash(texts.join(enough, "node").where(F.col("n") * LEAST >= RECUR * F.size("least")).select("node", "first", F.col("whole").alias("__whole")))
-    own = raw.join(able, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("whole") == F.col("__whole"))).select("node", "text")
-    nodes, _ = stash(own.mapInArrow(_features, "node long, bands array<long>, grams array<long>").dropDuplicates(["node"]))
-    release(docs.sparkSession)
+    able, _ = stash(texts.join(enough, "node").where(F.col("n") * LEAST >= RECUR * F.size("least")).select("node", "first", F.col("whole").alias("of")))
+    discard(spark, recur_path)
+    release(spark)
+    own = raw.join(able, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("whole") == F.col("of"))).select("node", "text")
+    nodes, nodes_path = stash(own.mapInArrow(_features, "node long, bands array<long>, grams array<long>").dropDuplicates(["node"]))
+    release(spark)
     near, _ = stash(verified(met_in_balls(nodes), nodes))
-    rest = verified(apart(nodes, components(near)), nodes)
+    rest, _ = stash(verified(apart(nodes, components(near)), nodes))
+    discard(spark, nodes_path)
+    release(spark)
     roots = components(near.union(rest))
     named = texts.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
-    chosen = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "key")).alias("w")).select(F.col("w.first").alias("__first"), F.col("w.key").alias("__key"))
+    chosen = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "key")).alias("w")).select("w.first", "w.key")
     chosen, _ = stash(chosen)
-    release(docs.sparkSession)
+    release(spark)
     return _rows(docs, chosen)
 
 
 def _rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """One row of each chosen (id, word sequence): copies of a row differ in blanks and case at most."""
-
+    """One row of each of ``chosen`` (first, key: an id and a word sequence); copies of a row differ in blanks and case at most."""
     at = docs.columns.index("text")
+    own, spot = unused(docs.columns, "words", "spot")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [_key(t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "__w"])
+            keys = [_key(t.as_py() or b"") for t in batch.column(at).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "words"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = docs.mapInArrow(mark, f"{kinds}, __w binary")
+    marked = placed(docs).mapInArrow(mark, f"{kinds(placed(docs))}, words binary").toDF(*docs.columns, own)
     # One key for the join and the copies, so that texts are shuffled once.
-    at_key = lambda key, doc_id: F.concat(key, F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")).cast("binary"))
-    found = marked.withColumn("__at", at_key("__w", "doc_id")).join(chosen.select(at_key("__key", "__first").alias("__at")), "__at")
-    return found.dropDuplicates(["__at"]).select(docs.columns)
+    at_key = lambda key, doc_id: F.concat(F.col(key), F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")).cast("binary")).alias(spot)
+    found = marked.select(*quoted(docs.columns), at_key(own, "doc_id")).join(chosen.select(at_key("key", "first")), spot)
+    return found.dropDuplicates([spot]).select(*quoted(docs.columns))
