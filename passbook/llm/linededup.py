@@ -10,13 +10,9 @@ boilerplate. Boilerplate lines go whatever their share of a document. Only a
 document without any worded line of its own is a copy rather than a page with
 boilerplate: it stays whole, for near-duplicate search to judge.
 
-``op5_line_dedup`` is held to its SQL, which spares every document of which
-boilerplate is more than half (in characters of non-blank lines): ``at_most_half``.
-``op5_all_lines`` and the pipeline remove all of it.
-
 Defined cases: null text stays null and has no lines; the empty text has one
 blank line. Rows that share a doc_id are judged each by its own lines. Extra
-columns are kept. Everything here is DataFrame expressions.
+columns are kept, whatever their names. Everything here is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -24,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import quoted, stash, unused
 
 #: Sites from which on a line is boilerplate; relative width of the band that is counted exactly; log2 of a sketch's registers.
 MIN_SITES, BAND, LG_K = 10, 0.25, 10
@@ -47,68 +43,36 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return spread.where(F.col("sites") > min_sites * (1 + BAND)).select("h").union(exact.select("h"))
 
 
-def remove(docs: DataFrame, min_sites: int = MIN_SITES, at_most_half: bool = False) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of text, and __n_lines, __n_removed (long).
-
-    With ``at_most_half`` documents stay whole that would lose more than half of their characters.
-    """
-    hashed = docs.select("doc_id", F.concat(F.lit("="), "source").alias("site"), F.explode(F.array_distinct(F.transform(F.filter(_lines(), _worded), lambda line: F.xxhash64(line)))).alias("h"))
+def remove(docs: DataFrame, min_sites: int = MIN_SITES, counts: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of text; ``counts`` names two more columns: lines of the text, and lines removed (long)."""
+    if counts and {c.lower() for c in counts} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"a column has the name of a count: {counts}")
+    row, bad_of, rest, out = unused(docs.columns, "row", "bad", "rest", "out")
+    # Rows alike in id and text have the same lines; no id, not even null, gathers the lines of unlike texts.
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    hashed = keyed.select(F.col(row).alias("row"), F.concat(F.lit("="), "source").alias("site"), F.explode(F.array_distinct(F.transform(F.filter(_lines(), _worded), lambda line: F.xxhash64(line)))).alias("h"))
     hashed, _ = stash(hashed.withColumn("site", F.coalesce("site", F.lit(""))))
     bad, _ = stash(boilerplate(hashed.select("h", "site"), min_sites))
-    of_doc = hashed.join(bad, "h").groupBy("doc_id").agg(F.collect_set("h").alias("__bad")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(of_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    hit = lambda line: F.array_contains(F.col("__bad"), F.xxhash64(line)) & _worded(line)
-    chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, line: n + F.length(line))
-    kept = joined.withColumn("__kept", F.when(F.col("__bad").isNotNull(), F.filter(_lines(), lambda line: ~hit(line))))
-    total, left = chars(F.filter(_lines(), _worded)), chars(F.filter("__kept", _worded))
-    enough = 2 * left >= total if at_most_half else F.exists("__kept", _worded)
-    kept = kept.withColumn("__out", F.coalesce(F.col("__kept").isNotNull() & enough, F.lit(False)))
-    n_lines = F.coalesce(F.size(_lines()), F.lit(0)).cast("long")
-    removed = F.when(F.col("__out"), F.size(_lines()) - F.size("__kept")).otherwise(0).cast("long")
-    text = F.when(F.col("__out"), F.array_join("__kept", "\n")).otherwise(F.col("text"))
-    return kept.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("__n_lines"), removed.alias("__n_removed"))
-
-
-def _shown(spark, sf_dir: str, at_most_half: bool) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return remove(docs, at_most_half=at_most_half).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    of_row = hashed.select("row", "h").join(bad, "h").groupBy(F.col("row").alias(row)).agg(F.collect_set("h").alias(bad_of))
+    joined = keyed.join(of_row, row, "left")
+    hit = lambda line: F.array_contains(F.col(bad_of), F.xxhash64(line)) & _worded(line)
+    kept = joined.withColumn(rest, F.when(F.col(bad_of).isNotNull(), F.filter(_lines(), lambda line: ~hit(line))))
+    kept = kept.withColumn(out, F.coalesce(F.exists(rest, _worded), F.lit(False)))
+    text = F.when(F.col(out), F.array_join(rest, "\n")).otherwise(F.col("text"))
+    shown = [text.alias("text") if c == "text" else col for c, col in zip(docs.columns, quoted(docs.columns), strict=True)]
+    if counts:
+        n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines())).cast("long")
+        shown += [n_lines.alias(counts[0]), F.when(F.col(out), F.size(_lines()) - F.size(rest)).otherwise(0).cast("long").alias(counts[1])]
+    return kept.select(*shown)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op5: lines of every document, how many left it, and the digest of what stays; documents that are mostly boilerplate stay whole."""
-    return _shown(spark, sf_dir, True)
-
-
-def all_lines(spark, sf_dir: str) -> DataFrame:
-    """op5 with boilerplate taken out of every document that has a line of its own."""
-    return _shown(spark, sf_dir, False)
+    """op5: lines of every document, how many left it, and the digest of what stays."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return remove(docs, counts=("n_lines", "n_removed")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = f"""
-WITH l AS (
-  SELECT doc_id, coalesce('=' || source, '') AS site,
-         unnest(string_split(text, chr(10))) AS line,
-         unnest(range(len(string_split(text, chr(10))))) AS pos
-  FROM documents WHERE text IS NOT NULL
-), w AS (
-  SELECT *, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS worded FROM l
-), bad AS (
-  SELECT line AS bad_line FROM w WHERE worded GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}
-), m AS (
-  SELECT w.*, bad_line IS NOT NULL AS hit FROM w LEFT JOIN bad ON worded AND line = bad_line
-), d AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS n_hit,
-         2 * coalesce(sum(length(line)) FILTER (WHERE worded AND NOT hit), 0) >= coalesce(sum(length(line)) FILTER (WHERE worded), 0) AS cut,
-         string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit) AS rest
-  FROM m GROUP BY doc_id
-)
-SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines,
-       CASE WHEN cut THEN n_hit ELSE 0 END AS n_removed,
-       sha256(CASE WHEN cut AND n_hit > 0 THEN coalesce(rest, '') ELSE coalesce(text, '') END) AS kept_sha256
-FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id
-"""
-
-SQL_ALL = f"""
 WITH l AS (
   SELECT doc_id, coalesce('=' || source, '') AS site,
          unnest(string_split(text, chr(10))) AS line,

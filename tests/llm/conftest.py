@@ -9,8 +9,9 @@ EDGE = [(1, None, None, None), (2, "", "en", "a"), (3, "  \n\t ", "en", "a"), (4
 @pytest.fixture(scope="session")
 def edge(spark):
     """Edge cases with clashing extra columns."""
-    rows = [(i, t, lang, s, len(t or ""), 0.5, "x", 7) for i, t, lang, s in EDGE]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, block int")
+    names = ["fp", "__k", "__kept", "__out", "__bad", "__id", "__key", "__W", "__first", "__lang", "__score", "__row", "__rest", "__copies", "__words", "__spot", "__y", "a.b"]
+    rows = [(i, t, lang, s, len(t or ""), 0.5, 7, *names) for i, t, lang, s in EDGE]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, block int, " + ", ".join(f"`{n}` string" for n in names))
 
 
 @pytest.fixture(scope="session")

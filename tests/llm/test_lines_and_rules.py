@@ -27,25 +27,18 @@ def test_boilerplate_goes_whatever_its_share(spark):
     assert {r["doc_id"]: r["text"] for r in out} == {s: f"own {s}" for s in range(12)} | {100 + s: passage for s in range(12)}
 
 
-def test_all_lines_match_sql(spark):
-    where = "/root/testdata/sf0.01"
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{where}/documents.parquet'")
-    got = sorted(map(tuple, linededup.all_lines(spark, where).collect()))
-    assert got == sorted(con.sql(linededup.SQL_ALL).fetchall())
-    assert sum(r[2] for r in got) > linededup.query(spark, where).agg({"n_removed": "sum"}).first()[0]
-
-
 def test_lines_near_the_threshold(spark):
     rows = [(1000 * n + s, f"own text of document {n} {s} and more of it\nline of {n} sites", f"s{s}") for n in range(2, 20) for s in range(n)]
-    out = linededup.remove(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=8).collect()
-    assert {r["doc_id"] // 1000 for r in out if r["__n_removed"]} == set(range(8, 20))
+    out = linededup.remove(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=8, counts=("n", "gone")).collect()
+    assert {r["doc_id"] // 1000 for r in out if r["gone"]} == set(range(8, 20))
 
 
 def test_line_edges(edge, empty):
     got = linededup.remove(edge, min_sites=2)
     assert got.count() == 11 and linededup.remove(empty).count() == 0
-    assert got.columns[: len(edge.columns)] == edge.columns
+    assert got.columns == edge.columns
+    with pytest.raises(ValueError):
+        linededup.remove(edge, counts=("n", "SCORE"))
     assert got.where("doc_id = 8").first()["text"]  # a copied document stays whole
     assert got.where("doc_id = 1").first()["text"] is None
 
