@@ -13,7 +13,8 @@ is left, whose last two documents are landed by rounding.
 Defined cases: null text or no word: size 0, the document takes part in the
 document balance only. Null source: a source of its own, after all others.
 Source without words: target 0, nothing is taken. Empty table: empty result.
-Repeated rows are separate units. Other columns of the input are ignored.
+Repeated rows are separate units (``mixed_rows``: one unit, copied together).
+Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import WORD, stash
+from .common import WORD, quoted, stash, unused
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Mean number of documents that one flight sees.
@@ -39,24 +39,34 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "source", F.xxhash64("text").alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
-def targets(per_source: Sequence[tuple[str | None, int]], share: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS) -> dict[str | None, float]:
-    """Target words of each source: ``share`` of all words dealt by weight, none above ``most`` times its own words.
+def numbered(sources: DataFrame) -> DataFrame:
+    """Add at: place of the row by source (code points, null last), from 0. No task or driver sees more than a range of them."""
+    spark = sources.sparkSession
+    # A number written in range order is the partition's number and the place within it.
+    placed, _ = stash(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("written", F.monotonically_increasing_id()))
+    per_part = sorted((r["part"], r["n"]) for r in placed.groupBy(F.shiftright("written", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    before = [(part, sum(n for _, n in per_part[:i])) for i, (part, _) in enumerate(per_part)]
+    offsets = spark.createDataFrame(before, "part long, before long")  # a row a partition
+    return placed.join(F.broadcast(offsets), F.shiftright("written", 33) == F.col("part")).select(*sources.columns, (F.col("before") + F.col("written").bitwiseAND(F.lit((1 << 33) - 1))).alias("at"))
 
-    What a capped source can't take is dealt again by weight among the others.
+
+def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """Add target, the words that each source (source, words: long) gives: ``share`` of all words dealt by weight, none above ``most`` times its own.
+
+    What a capped source can't take is dealt again by weight among the others: the
+    target is weight times a level, or the cap. Each round raises the level by the
+    words that capped sources leave; the driver sees a sum and a count a weight.
     """
-    order = sorted(per_source, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    words = dict(order)
-    left, out, open_ = share * sum(words.values()), {}, set(words)
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = {s for s in open_ if left * weight[s] / total > most * words[s]}
-        if not over:
-            return out | {s: left * weight[s] / total for s in open_}
-        out |= {s: most * words[s] for s in over}
-        left -= sum(out[s] for s in over)
-        open_ -= over
-    return out
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
+    dealt, _ = stash(numbered(sources).withColumn("weight", weight).drop("at"))
+    cap, level, capped = F.col("words") * most, 0.0, -1
+    while True:
+        over = cap < F.col("weight") * level
+        sums = dealt.groupBy("weight").agg(F.sum("words").alias("all"), F.sum(F.when(over, F.col("words")).otherwise(0)).alias("capped"), F.count(F.when(over, 1)).alias("n"), F.count(F.when(~over, 1)).alias("open")).orderBy("weight").collect()
+        n, open_ = sum(r["n"] for r in sums), sum(r["weight"] * r["open"] for r in sums)
+        if n == capped or not open_:
+            return dealt.withColumn("target", F.least(cap, F.col("weight") * level) if open_ else cap).drop("weight")
+        capped, level = n, (share * sum(r["all"] for r in sums) - most * sum(r["capped"] for r in sums)) / open_
 
 
 def flight(pi: list[float], size: list[float]) -> list[float]:
@@ -122,28 +132,25 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequenc
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them; rows alike in doc_id, source and text are one unit."""
+    """The rows of ``docs`` as often as the mix takes them; rows alike in doc_id, source and text are one unit. Columns stay, whatever their names."""
     units = sizes(docs).groupBy("doc_id", "source", "key").agg(F.sum("size").alias("size"))
-    taken = mix_units(units, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("key").alias("__key"), F.col("copies").cast("int").alias("__copies"))
-    found = docs.withColumn("__k", F.xxhash64("text")).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__k") == F.col("__key")))
-    return found.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(docs.columns)
+    own, of_id, of_source, key, copies, copy = unused(docs.columns, "own", "id", "source", "key", "copies", "copy")
+    taken = mix_units(units, **options).where("copies > 0").select(F.col("doc_id").alias(of_id), F.col("source").alias(of_source), F.col("key").alias(key), F.col("copies").cast("int").alias(copies))
+    found = docs.withColumn(own, F.xxhash64("text")).join(taken, F.col("doc_id").eqNullSafe(F.col(of_id)) & F.col("source").eqNullSafe(F.col(of_source)) & (F.col(own) == F.col(key)))
+    return found.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*quoted(docs.columns))
 
 
 def mix_units(units: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS, block: int = BLOCK) -> DataFrame:
     """``mix`` for units (doc_id, key, source, size)."""
-    spark = units.sparkSession
     sized, _ = stash(units)
-    # One row a source: the only thing the driver sees.
-    known = [(r["source"], r["words"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()]
-    goal = targets([(s, w) for s, w, _ in known], share, most, weights)
-    plan = [(s, w, goal[s], min(most, goal[s] / w) if w else 0.0, -(-n // block)) for s, w, n in known]
-    schema = StructType([StructField("source", StringType()), StructField("source_size", LongType()), StructField("target", DoubleType()), StructField("rate", DoubleType()), StructField("blocks", LongType())])
-    of = spark.createDataFrame(plan, schema).withColumnRenamed("source", "__s")
-    rows = sized.join(F.broadcast(of), F.col("source").eqNullSafe(F.col("__s"))).drop("__s") if len(plan) <= 10_000 else sized.join(of, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    rows = rows.withColumn("pi", F.col("rate") - F.floor("rate")).withColumn("base", F.floor("rate"))
-    units = rows.select("doc_id", "key", "source", "size", "pi", F.xxhash64("doc_id", "key", "size").alias("rank"), "base", "blocks", "source_size", "target")
+    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")), share, most, weights)
+    rate = F.when(F.col("words") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("words"))).otherwise(0.0)
+    # A row a source; Spark broadcasts it only if it is small.
+    of, _ = stash(goal.select(F.col("source").alias("of"), F.col("words").alias("source_size"), "target", rate.alias("rate"), F.ceil(F.col("n") / block).alias("blocks")))
+    rows = sized.join(of, F.col("source").eqNullSafe(F.col("of")))
+    units = rows.select("doc_id", "key", "source", "size", (F.col("rate") - F.floor("rate")).alias("pi"), F.xxhash64("doc_id", "key", "size").alias("rank"), "blocks")
     decided = units.where("pi < 1e-9 or pi > 1 - 1e-9").select("doc_id", "key", "source", "size", F.round("pi").alias("pi"))
-    live, most_blocks = units.where("pi between 1e-9 and 1 - 1e-9").select("doc_id", "key", "source", "size", "pi", "rank", "blocks"), max((p[4] for p in plan), default=1)
+    live, most_blocks = units.where("pi between 1e-9 and 1 - 1e-9"), of.agg(F.max("blocks")).first()[0] or 1
     live = live.withColumn("block", F.pmod(F.xxhash64("rank", F.lit(7)), F.col("blocks")))
     done = [decided]
     while True:
@@ -158,10 +165,8 @@ def mix_units(units: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     taken = done[0]
     for d in done[1:]:
         taken = taken.unionByName(d)
-    return (
-        (taken.join(F.broadcast(of), F.col("source").eqNullSafe(F.col("__s"))) if len(plan) <= 10_000 else taken.join(of, F.col("source").eqNullSafe(F.col("__s"))))
-        .select("doc_id", "key", "source", "size", "source_size", "target", (F.floor("rate") + F.col("pi")).cast("long").alias("copies"))
-    )
+    found = taken.join(of, F.col("source").eqNullSafe(F.col("of")))
+    return found.select("doc_id", "key", "source", "size", "source_size", "target", (F.floor("rate") + F.col("pi")).cast("long").alias("copies"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

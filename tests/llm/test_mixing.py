@@ -1,13 +1,45 @@
+import duckdb
 import pytest
 
 from passbook.llm import mixing
 
 
-def test_targets_cap_and_reshare():
-    t = mixing.targets([("a", 100), ("b", 1000), (None, 1000)])
-    assert t["a"] == 200 and sum(t.values()) == pytest.approx(1.5 * 2100)
-    assert t[None] == pytest.approx((3150 - 200) * 2 / 3)
-    assert mixing.targets([]) == {} and mixing.targets([("a", 0)]) == {"a": 0}
+def brute_targets(words, share=1.5, most=2.0, weights=(3, 1, 2)):
+    order = sorted(words, key=lambda x: (x is None, x or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    out, left = {}, share * sum(words.values())
+    while True:
+        rest = [s for s in order if s not in out]
+        deal = {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        over = [s for s in rest if deal[s] > most * words[s]]
+        if not over:
+            return out | deal
+        for s in over:
+            out[s] = most * words[s]
+            left -= out[s]
+
+
+def spark_targets(spark, words):
+    frame = spark.createDataFrame(list(words.items()), "source string, words long")
+    return {r["source"]: r["target"] for r in mixing.targets(frame).collect()}
+
+
+def test_targets_cap_and_reshare(spark, rng):
+    for words in ({"a": 100, "b": 1000, None: 1000}, {"a": 0}, {"a": 0, "b": 7}, {f"s{k}": rng.randrange(1 << rng.randrange(1, 20)) for k in range(300)} | {"é": 5, "Z": 9, None: 40}):
+        assert spark_targets(spark, words) == pytest.approx(brute_targets(words))
+    assert spark_targets(spark, {}) == {}
+
+
+def test_sizes_and_targets_match_sql(spark, sf_dir):
+    got = mixing.query(spark, sf_dir).toPandas()
+    con = duckdb.connect()
+    sizes = con.sql(rf"SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM '{sf_dir}/documents.parquet'").df()
+    both = got.merge(sizes, on="doc_id")
+    words = {s: int(g["size_y"].sum()) for s, g in both.groupby("source", dropna=False)}
+    target = brute_targets(words)
+    assert len(both) == len(got) and (both["size_x"] == both["size_y"]).all()
+    assert both["source_size"].tolist() == [words[s] for s in both["source"]]
+    assert both["target"].tolist() == pytest.approx([target[s] for s in both["source"]])
 
 
 def test_flight_keeps_both_totals(rng):
@@ -34,3 +66,5 @@ def test_edges(edge, empty):
     got = mixing.mix(edge).toPandas()
     assert len(got) == 11 and mixing.mix(empty).count() == 0
     assert got[got["doc_id"] == 1]["size"].iloc[0] == 0 and (got["copies"] <= 2).all()
+    assert mixing.mixed_rows(edge).columns == edge.columns and mixing.mixed_rows(empty).count() == 0
+    assert {tuple(r) for r in mixing.mixed_rows(edge).collect()} <= {tuple(r) for r in edge.collect()}
