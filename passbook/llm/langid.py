@@ -6,8 +6,10 @@ n-grams (1 to 4 bytes, letters lower-cased, other ASCII as blanks) of the whole
 text as shares of their number. All models are linear, so scoring a text is one
 pass that looks up and sums weights, vectorised over a buffer of many texts.
 
-Machines are fitted by dual coordinate descent on a sample of at most
-``per_language`` labelled documents a language, whose features the executors make.
+Machines are fitted by dual coordinate descent on a sample of labelled documents,
+at most ``per_language`` a language and ``most_rows`` in all, of the ``languages``
+that label most documents; the executors make the features. Rarer values of lang
+are not learned: that bounds what the driver holds and the broadcast weights.
 
 Defined cases: null text, or one without any letter: ``und`` with score 0. One
 learned language: it is predicted for every text with letters. No learned
@@ -27,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks
-from .common import bound_batches, fold
+from .common import fold, kinds, placed, quoted
 
-#: Documents a language that the machines are fitted on.
-PER_LANGUAGE = 800
+#: Documents a language, and documents in all, that the machines are fitted on; languages that are learned.
+PER_LANGUAGE, MOST_ROWS, LANGUAGES = 800, 12_000, 100
 BITS, ORDERS, SCALE = 16, (1, 2, 3, 4), 40.0
 
 # ISO 639-1 codes by language family; a code not listed is a family of its own.
@@ -130,13 +132,13 @@ class Model:
         return langs, scores
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fit on at most ``per_language`` documents a language of ``labelled`` (doc_id, text, lang), chosen by hash of the id."""
-    bound_batches(labelled.sparkSession)
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, languages: int = LANGUAGES) -> Model | None:
+    """Fit on a bounded sample of ``labelled`` (doc_id, text, lang), chosen by hash of the id."""
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return None
+    per_language = min(per_language, max(1, most_rows // len(counts)))
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
     wanted = F.lit(False)
     for lang, n in sorted(counts.items()):
@@ -175,7 +177,6 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns, predicted language and score (0 to 1) of every whole text."""
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.families, model.members, model.pairs, model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,12 +202,12 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
                         found[i], sure[i] = "und", 0.0
                 langs += found
                 scores += sure.tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[: len(keep)], "lang", "score"])
 
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else ["text"]))
+    frame = docs.select(*quoted(keep), *([] if "text" in keep else ["text"]))
     text_at = frame.columns.index("text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[: len(keep)])
-    return frame.mapInArrow(run, f"{kinds}, {names[0]} string, {names[1]} double")
+    named = placed(frame).mapInArrow(run, f"{kinds(placed(frame.select(*quoted(keep))))}, lang string, score double")
+    return named.toDF(*keep, *names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
