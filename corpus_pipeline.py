@@ -1,5 +1,10 @@
 """From raw documents to token ids: five stages of the corpus operators.
 
+Defined cases: null texts and texts without a letter leave in the first stage;
+without any lang to learn from, all do. Rows alike in doc_id, source and text are
+mixed as one. An empty table gives an empty result; extra columns are kept up to
+the last stage, whatever their names.
+
 Each stage takes (spark, docs, sf_dir) and returns rows for the next; ``run``
 writes each stage's rows as Parquet in the cluster's shared folder and reads them
 again, so no stage recomputes another. All stages but the last return the columns
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passbook.llm import bpe, langid, linededup, mixing, nearcopies
-from passbook.llm.common import stash
+from passbook.llm.common import discard, quoted, scratch, stash, unused
 
 #: Documents whose predicted language is less sure than this are rejected.
 LEAST_SCORE = 0.3
@@ -20,14 +25,17 @@ LEAST_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from ``docs``; texts without letters and unsure ones go."""
-    named = langid.identify(docs, langid.train(docs), tuple(docs.columns), ("__lang", "__score"))
-    return named.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)
+    lang, score = unused(docs.columns, "lang", "score")
+    named = langid.identify(docs, langid.train(docs), tuple(docs.columns), (lang, score))
+    return named.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*quoted(docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site boilerplate lines; ``n_chars`` follows the text."""
     out = linededup.remove(docs)
-    return out.select(*[F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +63,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs, _ = stash(stage(spark, docs, sf_dir))
+        with scratch(spark) as made:  # what a stage wrote on its way goes with it
+            docs, path = stash(stage(spark, docs, sf_dir))
+            made.remove(path)
+        discard(spark, *before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
