@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks
-from .common import fold, kinds, placed, quoted
+from .common import fold, kinds, placed, quoted, sliced
 
 #: Documents a language, and documents in all, that the machines are fitted on; languages that are learned.
 PER_LANGUAGE, MOST_ROWS, LANGUAGES = 800, 12_000, 100
@@ -145,7 +145,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int
         wanted = wanted | ((F.col("lang") == lang) & (share < per_language / n))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [features(t) if has_letter(t) else (np.zeros(0, np.int32), np.zeros(0, np.float32)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))], names=["doc_id", "lang", "at", "v"])
 
@@ -181,7 +181,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value and Model(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             langs: list[str] = []
             scores: list[float] = []
             for _, _, buffer, starts, ends in chunks(batch, text_at):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks
-from .common import fold
+from .common import fold, sliced
 
 #: Labelled documents that the trees are fitted on.
 MAX_ROWS = 12_000
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     rows = docs.select("doc_id", "text").join(known, "doc_id").select(F.col("doc_id").cast("long"), "__y", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(statistics(batch, 2)), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     got = rows.mapInArrow(make, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id").slice(0, max_rows)
@@ -152,7 +152,7 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = Forest(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees.score(statistics(batch, 1)), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, score double")
