@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .money import let
+
 # Month names, with misreadings that scans produce.
 MONTHS = {"01": "jan january", "02": "feb february", "03": "mar march", "04": "apr april", "05": "may", "06": "jun june", "07": "jul july", "08": "aug august aus avg auq", "09": "sep sept september", "10": "oct october", "11": "nov november", "12": "dec december"}
 DAY, MONTH, YEAR = r"(0?[1-9]|[12]\d|3[01])", r"(0?[1-9]|1[0-2])", r"(20\d{2}|19\d{2}|\d{2})"
@@ -14,17 +16,18 @@ DAY_MONTH = rf"\b{DAY}[-/.]{MONTH}[-/.]{YEAR}\b"
 YEAR_MONTH = rf"\b(20\d{{2}}|19\d{{2}})[-/.]{MONTH}[-/.]{DAY}\b"
 
 
+MONTH_OF = {name: number for number, names in MONTHS.items() for name in names.split()}
+
+
 def _date(text: Column, pattern: str, day: int, month: int, year: int, named: bool) -> Column:
-    part = lambda g: F.regexp_extract(text, pattern, g)
-    y = part(year)
-    y = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    if named:
-        low, m = F.lower(part(month)), F.lit(None).cast("string")
-        for number, names in MONTHS.items():
-            m = F.when(low.isin(*names.split()), number).otherwise(m)
-    else:
-        m = F.lpad(part(month), 2, "0")
-    return F.when(text.rlike(pattern), F.try_to_timestamp(F.concat_ws("-", y, m, F.lpad(part(day), 2, "0")), F.lit("yyyy-MM-dd")).cast("date"))
+    """The first match of ``pattern`` as a date; null if there is none or no such day."""
+
+    def made(parts: Column) -> Column:
+        y, m, d = (F.get(parts, k) for k in range(3))
+        number = F.try_element_at(F.create_map(*[F.lit(x) for pair in MONTH_OF.items() for x in pair]), F.lower(m)) if named else m
+        return F.concat(F.when(F.length(y) == 2, "20").otherwise(""), y, F.lit("-"), number, F.lit("-"), d).try_cast("date")
+
+    return let(F.split(F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, f"${year} ${month} ${day}"), " "), made)
 
 
 def _any(text: Column) -> Column:
@@ -40,9 +43,13 @@ def sanitized(text: Column) -> Column:
 
 def parse(raw: Column) -> Column:
     """ISO strictly; else the first of day-month name, month name-day, day/month and year/month forms that is a date, in the text as it is and then as sanitized."""
-    text = F.trim(raw)
-    iso = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
-    return F.when(iso, F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")).otherwise(F.coalesce(_any(text), _any(sanitized(text))))
+
+    def of(text: Column) -> Column:
+        iso, none = text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(None).cast("date")
+        printed = F.aggregate(F.array(text, sanitized(text)), none, lambda found, form: F.coalesce(found, _any(form)))
+        return F.when(iso, text.try_cast("date")).when(text.rlike(r"\d"), printed)
+
+    return let(F.trim(raw), of)
 
 
 RANGE = r"(?i)(?:period|statement\s+period|from|dated|duration)[\s:]*([^\n\r]+?)(?:to|through|-|–|\s+till\s+)([^\n\r,]+)"
@@ -51,14 +58,20 @@ BETWEEN = r"(?i)(?:between)[\s:]*([^\n\r]+?)(?:and)([^\n\r,]+)"
 
 def period(text: Column) -> Column:
     """struct(start, end): a labelled range of two dates, else the least and greatest date among runs of four words."""
-    found = F.lit(None).cast("struct<start:date,end:date>")
-    for pattern in (BETWEEN, RANGE):
-        start, end = (parse(F.regexp_extract(text, pattern, g)) for g in (1, 2))
-        found = F.when(text.rlike(pattern) & start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end"))).otherwise(found)
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: parse(F.array_join(F.slice(words, i, 4), " ")))
-    scanned = F.filter(runs, lambda d: d.isNotNull())
-    return F.coalesce(found, F.when(F.size(scanned) > 0, F.struct(F.array_min(scanned).alias("start"), F.array_max(scanned).alias("end"))))
+
+    def of(text: Column) -> Column:
+        ends = F.array(*[F.array(*[F.regexp_extract(text, p, g) for g in (1, 2)]) for p in (RANGE, BETWEEN)])
+        pairs = F.transform(ends, lambda pair: F.transform(pair, parse))
+        both = lambda d: F.get(d, 0).isNotNull() & F.get(d, 1).isNotNull()
+        labelled = let(F.get(F.filter(pairs, both), 0), lambda d: F.when(d.isNotNull(), F.struct(F.get(d, 0).alias("start"), F.get(d, 1).alias("end"))))
+        return F.coalesce(labelled, let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), scan))
+
+    def scan(words: Column) -> Column:
+        runs = F.transform(words, lambda _, i: F.array_join(F.slice(words, i + 1, 4), " "))
+        dates = F.filter(F.transform(F.filter(runs, lambda run: run.rlike(r"\d")), parse), lambda d: d.isNotNull())
+        return let(dates, lambda d: F.when(F.size(d) > 0, F.struct(F.array_min(d).alias("start"), F.array_max(d).alias("end"))))
+
+    return let(text, of)
 
 
 def period_days(start: Column, end: Column) -> Column:

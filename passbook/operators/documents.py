@@ -29,11 +29,11 @@ def decide(pages: DataFrame) -> DataFrame:
 def account_fields(pages: DataFrame) -> DataFrame:
     """Bank, account, codes, period, balances and stated totals of each document (doc_id, raw_text)."""
     t = F.col("raw_text")
-    account = fields.account_number(t)
-    return pages.select(
-        "doc_id", fields.bank(t).alias("bank"), account.alias("account_number"), masking.account(account).alias("account_masked"), fields.account_type(t).alias("account_type"), text.ifsc(t).alias("ifsc"), text.micr(t).alias("micr"),
+    found = pages.select("doc_id", "raw_text", fields.account_number(t).alias("account"), dates.period(t).alias("period"))
+    return found.select(
+        "doc_id", fields.bank(t).alias("bank"), F.col("account").alias("account_number"), masking.account(F.col("account")).alias("account_masked"), fields.account_type(t).alias("account_type"), text.ifsc(t).alias("ifsc"), text.micr(t).alias("micr"),
         fields.labelled_amount(t, fields.OPENING).alias("opening_balance"), fields.labelled_amount(t, fields.CLOSING).alias("closing_balance"), fields.labelled_amount(t, fields.CREDITS).alias("stated_credits"), fields.labelled_amount(t, fields.DEBITS).alias("stated_debits"),
-        dates.period(t)["start"].alias("from_date"), dates.period(t)["end"].alias("to_date"), text.currency(t).alias("currency"),
+        F.col("period.start").alias("from_date"), F.col("period.end").alias("to_date"), text.currency(t).alias("currency"),
     )
 
 

@@ -41,8 +41,9 @@ def _dates(spark, sf_dir):
 def _periods(spark, sf_dir):
     a, b = F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), (F.col(KEY) % 40).cast("int"))
     forms = [F.concat(F.lit("Statement period: "), F.date_format(a, "dd/MM/yyyy"), F.lit(" to "), F.date_format(b, "dd/MM/yyyy")), F.concat(F.lit("between "), F.date_format(a, "dd MMM yyyy"), F.lit(" and "), F.date_format(b, "dd MMM yyyy")), F.concat(F.lit("seen "), F.date_format(b, "yyyy-MM-dd"), F.lit(" then "), F.date_format(a, "yyyy-MM-dd"))]
-    p = dates.period(F.get(F.array(*forms), (F.col(KEY) % 3).cast("int")))
-    return shown(orders(spark, sf_dir).select(KEY, p["start"].alias("from_date"), p["end"].alias("to_date"), dates.period_days(p["start"], p["end"]).alias("days")))
+    found = orders(spark, sf_dir).select(KEY, dates.period(F.get(F.array(*forms), (F.col(KEY) % 3).cast("int"))).alias("p"))
+    p = F.col("p")
+    return shown(found.select(KEY, p["start"].alias("from_date"), p["end"].alias("to_date"), dates.period_days(p["start"], p["end"]).alias("days")))
 
 
 # The same text in both engines.
