@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .money import clean_amount
-from .text import _found, first_match, ifsc
+from .dates import parse
+from .money import clean_amount, let
+from .text import _found, first_match
 
 # Bank names with the aliases and routing prefix that tell them; the first that is found in the text counts.
 BANKS = [
@@ -38,17 +39,50 @@ PAGES = [
     ("TRANSACTION_PAGE", [r"\b(tran\s*date|value\s*date|date)\b", r"\b(particulars|narration|description|details|withdrawal|deposit|debit|credit|balance)\b"], None),
     ("ACCOUNT_INFO_PAGE", [r"\b(account\s*(number|no)|customer\s*(id|name)|ifsc|branch|account\s+type|micr)\b"], None),
 ]
-# Evidence by pattern on lower-cased text: signal, group, weight, sign.
+# Evidence by pattern on lower-cased text: signal, group, weight, where it is sought (info: account region, then page one; all: every page).
 EVIDENCE = [
-    ("ACCOUNT_NUMBER", "ACCOUNT_DETAILS", 25, 1, r"\b(?:account|a/c)\s*(?:number|no)"),
-    ("CUSTOMER_ID", "ACCOUNT_DETAILS", 15, 1, r"\b(?:customer\s*id|crn|cif)\b"),
-    ("MICR_CODE", "ROUTING_CODES", 15, 1, r"\bmicr(?:\s*code)?[\s:.\-_]*(\d{9})\b"),
-    ("STATEMENT_PERIOD", "STATEMENT_PERIOD", 15, 1, r"\b(?:statement\s*period|period|from\s*date)\b"),
-    ("OPENING_BALANCE", "BALANCES", 15, 1, r"\b(?:opening\s*balance|beginning\s*balance|brought\s*forward|b/f)\b"),
-    ("CLOSING_BALANCE", "BALANCES", 15, 1, r"\b(?:closing\s*balance|ending\s*balance|carried\s*forward|c/f|available\s*balance|cleared\s*balance)\b"),
-    ("TABLE_HEADER", "LEDGER", 35, 1, r"\bdate\b.*\b(?:particulars|description|narration)\b.*\b(?:debit|credit|withdrawal|deposit)\b.*\bbalance\b"),
+    ("ACCOUNT_NUMBER", "ACCOUNT_INFO", 25, "info", r"(?:account\s*(?:no|number|num)|a/c\s*(?:no|num|number)|acc\s*(?:no|num)|a/c)[\s:.\-_#]*([a-z0-9]{8,22})|\b(?:account|a/c)[\s:.\-_#]+(\d{9,18})\b"),
+    ("CUSTOMER_ID", "ACCOUNT_INFO", 15, "info", r"\b(?:customer\s*(?:id|no|number)|cust\s*id|crn|cif\s*(?:no|number)|client\s*id)[\s:.\-_#]*([a-z0-9]{4,18})\b"),
+    ("ACCOUNT_HOLDER", "ACCOUNT_INFO", 15, "info", r"\b(?:customer\s*name|name\s*of\s*(?:holder|account|customer)|account\s*holder|mr\.|mrs\.|ms\.|shri|smt\.)[\s:]*([a-z\s.]{3,35})"),
+    ("ACCOUNT_TYPE", "ACCOUNT_INFO", 15, "info", r"\b(?:savings\s*(?:account|a/c)|current\s*(?:account|a/c)|checking\s*(?:account|a/c)|salary\s*(?:account|a/c)|overdraft\s*(?:account|a/c))\b"),
+    ("IFSC", "ROUTING_CODES", 20, "all", r"\b([a-z]{4}0[a-z0-9]{6})\b"),
+    ("MICR_CODE", "ROUTING_CODES", 15, "all", r"\bmicr(?:\s*code)?[\s:.\-_]*(\d{9})\b"),
+    ("STATEMENT_PERIOD", "STATEMENT_PERIOD", 15, "all", r"\b(?:statement\s*period|period\s*from|statement\s*date|for\s*the\s*period|statement\s*from|account\s*statement\s*for)\b"),
+    ("OPENING_BALANCE", "BALANCES", 15, "all", r"\b(?:opening\s*balance|beginning\s*balance|brought\s*forward|b/f)\b"),
+    ("CLOSING_BALANCE", "BALANCES", 15, "all", r"\b(?:closing\s*balance|ending\s*balance|carried\s*forward|c/f|available\s*balance|cleared\s*balance)\b"),
 ]
-INVOICE = [[r"\b(tax\s*invoice|commercial\s*invoice|bill\s*of\s*supply|proforma\s*invoice)\b"], [r"\b(invoice\s*(?:no|number|#)|bill\s*(?:no|number))", r"\b(invoice\s*date|due\s*date|po\s*(?:no|number|date))\b"], [r"\b(sold\s*by|seller|vendor|supplier)\b", r"\b(bill\s*to|ship\s*to|buyer|consignee)\b"], [r"\b(qty|quantity|units?)\b", r"\b(rate|unit\s*price|price/unit)\b", r"\b(hsn|sac|cgst|sgst|igst|tax\s*rate)\b"]]
+SWIFT = r"\b(?:swift|bic)(?:\s*code)?[\s:.\-_]*([a-z]{6}[a-z0-9]{2,5})\b"
+HEADER_BANK = r"\bbank\b|\bbanking\b|\bfinancial\s+services\b|\bcredit\s+union\b|\bbuilding\s+society\b|\bfinances?\b"
+GENERIC_BANK = r"[a-z\s]+\s+bank\b"
+# Columns that a ledger's header line names.
+LEDGER_HEADER = [
+    r"\b(date|tran\s*date|trans\s*date|txn\s*date|value\s*date|posting\s*date)\b",
+    r"\b(particulars|description|narration|remarks|transaction\s*details|details)\b",
+    r"\b(debit|credit|dr|cr|withdrawal|deposit|withdrawals|deposits|paid\s*out|paid\s*in|amount)\b",
+    r"\b(balance|running\s*balance|available\s*balance|closing\s*balance|net\s*balance)\b",
+]
+# Pillars of other kinds of documents; a pillar holds if all its patterns are found in (head: page one's header region, one: page one, all: every page).
+INVOICE = [
+    [("head", r"\b(tax\s*invoice|commercial\s*invoice|bill\s*of\s*supply|proforma\s*invoice)\b")],
+    [("one", r"\b(invoice\s*(?:no|number|#)|bill\s*(?:no|number))\b"), ("one", r"\b(invoice\s*date|due\s*date|po\s*(?:no|number|date))\b")],
+    [("one", r"\b(sold\s*by|seller|vendor|supplier)\b"), ("one", r"\b(bill\s*to|ship\s*to|buyer|consignee)\b")],
+    [("one", r"\b(qty|quantity|units?)\b"), ("one", r"\b(rate|unit\s*price|price/unit)\b"), ("one", r"\b(hsn|sac|cgst|sgst|igst|tax\s*rate)\b")],
+]
+LOAN = [
+    [("head", r"\b(loan\s*agreement|facility\s*agreement|sanction\s*letter|promissory\s*note|mortgage\s*deed|deed\s*of\s*hypothecation)\b")],
+    [("one", r"\b(borrower|debtor|obligor|borrower\s*name)\b"), ("one", r"\b(lender|creditor|financier|bank\s*as\s*lender)\b")],
+    [("one", r"\b(whereas|recitals|now\s*therefore|terms\s*and\s*conditions|event\s*of\s*default|governing\s*law|jurisdiction)\b")],
+    [("all", r"\b(in\s*witness\s*whereof|signature\s*of\s*borrower|authorised\s*signatory|witness\s*1|signed,\s*sealed)\b")],
+]
+PAYSLIP = {
+    "title": r"\b(payslip|salary\s*slip|pay\s*slip\s*for\s*the\s*month)\b",
+    "employee": r"\b(employee\s*(?:id|code|name)|uan|pf\s*no|designation|department)\b",
+    "earnings": r"\b(basic|hra|gross\s*salary|gross\s*earnings|net\s*pay|take\s*home)\b",
+    "deductions": r"\b(provident\s*fund|epf|professional\s*tax|tds|deductions)\b",
+}
+AADHAAR = r"\b(unique\s+identification\s+authority\s+of\s+india|uidai)\b|मेरा\s+आधार"
+PAN_CARD = r"\b(incometax\s+department|permanent\s+account\s+number\s+card)\b"
+RESUME = (r"\b(curriculum\s+vitae|resume)\b", r"\b(education|experience|skills|projects)\b")
 
 
 def bank(text: Column) -> Column:
@@ -100,19 +134,48 @@ def page_kind(text: Column) -> Column:
     return first_match(rules, "UNKNOWN")
 
 
-def evidence(text: Column) -> Column:
-    """array<struct<signal, kind, weight, sign>> of what the text shows for and against a bank statement."""
-    low = F.lower(text)
-    item = lambda test, *v: F.when(test, F.struct(F.lit(v[0]).alias("signal"), F.lit(v[1]).alias("kind"), F.lit(v[2]).cast("long").alias("weight"), F.lit(v[3]).cast("long").alias("sign")))
-    items = [item(low.rlike(p), s, k, w, sign) for s, k, w, sign, p in EVIDENCE]
-    known = bank(text)
-    swift = F.upper(text).rlike(r"\b(?:SWIFT|BIC)(?:\s*CODE)?[\s:.\-_]*([A-Z]{6}[A-Z0-9]{2,5})\b")
-    items += [item(known.isNotNull(), "KNOWN_BANK", "BANK_IDENTITY", 35, 1), item(known.isNull() & low.rlike(r"[a-z\s]+\s+bank\b"), "GENERIC_BANK", "BANK_IDENTITY", 20, 1), item(ifsc(F.upper(text)).isNotNull(), "IFSC", "ROUTING_CODES", 20, 1), item(swift & ifsc(F.upper(text)).isNull(), "SWIFT", "ROUTING_CODES", 20, 1)]
-    pillars = F.lit(0)
-    for group in INVOICE:
-        test = low.rlike(group[0])
-        for p in group[1:]:
-            test = test & low.rlike(p)
-        pillars = pillars + F.when(test, 1).otherwise(0)
-    items += [item(pillars >= 3, "INVOICE", "INVOICE", 85, -1), item(low.rlike(r"\b(salary\s*slip|payslip|pay\s*slip)\b") & low.rlike(r"\b(basic\s*pay|net\s*pay|earnings)\b"), "PAYSLIP", "PAYSLIP", 80, -1), item(low.rlike(r"\b(curriculum\s*vitae|resume|work\s*experience)\b") & low.rlike(r"\b(education|skills)\b"), "RESUME", "RESUME", 80, -1)]
+def ledger_lines(line: Column) -> Column:
+    """struct(columns, is_row) of a printed line: how many of the four header columns it names, and whether it is a dated row with an amount."""
+    low = F.lower(line)
+    columns = sum((F.when(low.rlike(p), 1).otherwise(0) for p in LEDGER_HEADER), F.lit(0))
+
+    def row(words: Column) -> Column:
+        dated = parse(F.get(words, 0)).isNotNull() | parse(F.array_join(F.slice(words, 1, 2), " ")).isNotNull()
+        return dated & F.exists(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda w: clean_amount(w).isNotNull())
+
+    return F.struct(columns.alias("columns"), F.coalesce(let(F.filter(F.split(F.trim(line), r"\s+"), lambda w: w != ""), row), F.lit(False)).alias("is_row"))
+
+
+def evidence(where: dict[str, Column], header: Column, rows: Column) -> Column:
+    """array<struct<signal, kind, weight, sign>> of what a document shows for and against a bank statement.
+
+    ``where`` has its lower-cased texts: head (header region of page one), info
+    (account and header regions), one (page one), all (every page). ``header``: most
+    columns that one line names, from 3; ``rows``: dated lines with an amount.
+    """
+    item = lambda test, *v: F.when(test, F.struct(F.lit(v[0]).alias("signal"), F.lit(v[1]).alias("kind"), (v[2] if isinstance(v[2], Column) else F.lit(v[2])).cast("long").alias("weight"), F.lit(v[3]).cast("long").alias("sign")))
+    seen = lambda place, pattern: where["info"].rlike(pattern) | where["one"].rlike(pattern) if place == "info" else where[place].rlike(pattern)
+    known, head_word = bank(where["all"]).isNotNull(), where["head"].rlike(HEADER_BANK)
+    generic = ~known & ~head_word & F.substring(where["all"], 1, 1000).rlike(GENERIC_BANK)
+    identity, ledger = known | head_word | generic, (header >= 3) | (rows >= 3)
+    items = [item(known, "KNOWN_BANK", "BANK_IDENTITY", 35, 1), item(head_word, "HEADER_BANK", "BANK_IDENTITY", 25, 1), item(generic, "GENERIC_BANK", "BANK_IDENTITY", 20, 1)]
+    items += [item(seen(place, p), s, k, w, 1) for s, k, w, place, p in EVIDENCE]
+    items += [item(where["all"].rlike(SWIFT) & ~where["all"].rlike(next(e[4] for e in EVIDENCE if e[0] == "IFSC")), "SWIFT", "ROUTING_CODES", 20, 1)]
+    items += [item(header >= 3, "TABLE_HEADER", "LEDGER", F.when(header == 4, 35).otherwise(25), 1), item(rows > 0, "LEDGER_ROWS", "LEDGER", F.when(rows >= 10, 35).when(rows >= 4, 25).otherwise(15), 1)]
+
+    def pillars(groups: list) -> Column:
+        held = F.lit(0)
+        for group in groups:
+            test = F.lit(True)
+            for place, p in group:
+                test = test & where[place].rlike(p)
+            held = held + F.when(test, 1).otherwise(0)
+        return held
+
+    title = F.coalesce(F.nullif(where["head"], F.lit("")), where["one"])
+    pay = {k: (title if k == "title" else where["one"]).rlike(p) for k, p in PAYSLIP.items()}
+    against = F.when(ledger, 30).otherwise(70)
+    items += [item(~(ledger & identity) & (pillars(groups) >= 3), k, k, against, -1) for k, groups in (("INVOICE", INVOICE), ("LOAN_AGREEMENT", LOAN))]
+    items += [item(~ledger & pay["title"] & pay["employee"] & (pay["earnings"] | pay["deductions"]), "PAYSLIP", "PAYSLIP", 75, -1), item(~ledger & where["all"].rlike(AADHAAR), "AADHAAR", "AADHAAR", 80, -1)]
+    items += [item(~ledger & ~identity & where["all"].rlike(PAN_CARD), "PAN_CARD", "PAN_CARD", 80, -1), item(~ledger & title.rlike(RESUME[0]) & where["one"].rlike(RESUME[1]), "RESUME", "RESUME", 80, -1)]
     return F.array_compact(F.array(*items))

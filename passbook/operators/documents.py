@@ -8,22 +8,39 @@ from pyspark.sql import functions as F
 from ..functions import dates, fields, masking, text
 
 
+def _shown(pages: DataFrame) -> DataFrame:
+    """doc_id and evidence (array) of each document: one grouping over its pages."""
+    part = lambda c: F.col(c) if c in pages.columns else F.lit("")
+    number = F.col("page") if "page" in pages.columns else F.lit(1)
+    text = F.coalesce("raw_text", F.lit(""))
+    line = F.transform(F.split(text, "\n"), fields.ledger_lines)
+    found = pages.select("doc_id", number.alias("page"), text.alias("text"), F.coalesce(part("header"), F.lit("")).alias("header"), F.coalesce(part("info"), F.lit("")).alias("info"), line.alias("lines"))
+    # The first header line counts, as pages and lines follow.
+    columns = F.get(F.filter(F.transform("lines", lambda x: x["columns"]), lambda n: n >= 3), 0)
+    found = found.select("doc_id", F.struct("page", "text", "header", "info", columns.alias("columns"), F.size(F.filter("lines", lambda x: x["is_row"])).alias("rows")).alias("p"))
+    docs = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    first = F.get("ps", 0)
+    texts = docs.select(
+        "doc_id", F.lower(first["header"]).alias("head"), F.lower(F.concat_ws(" ", first["info"], first["header"])).alias("info"), F.lower(first["text"]).alias("one"), F.lower(F.array_join(F.transform("ps", lambda p: p["text"]), " ")).alias("all"),
+        F.coalesce(F.get(F.filter(F.transform("ps", lambda p: p["columns"]), lambda n: n.isNotNull()), 0), F.lit(0)).alias("columns"), F.aggregate("ps", F.lit(0), lambda n, p: n + p["rows"]).alias("rows"),
+    )
+    return texts.select("doc_id", fields.evidence({k: F.col(k) for k in ("head", "info", "one", "all")}, F.col("columns"), F.col("rows")).alias("evidence"))
+
+
 def evidence(pages: DataFrame) -> DataFrame:
-    """Evidence rows (doc_id, signal, kind, weight, sign) of pages (doc_id, raw_text)."""
-    return pages.select("doc_id", F.explode(fields.evidence(F.col("raw_text"))).alias("e")).select("doc_id", "e.*")
+    """Evidence rows (doc_id, signal, kind, weight, sign) of documents' pages (doc_id, raw_text; page, and texts of the header and info regions, if known)."""
+    return _shown(pages).select("doc_id", F.inline("evidence"))
 
 
 def decide(pages: DataFrame) -> DataFrame:
     """Kind of each document: summed evidence, then the decision table; documents without evidence are uncertain."""
-    found = evidence(pages).distinct()
-    side = lambda s: F.coalesce(F.sum(F.when(F.col("sign") == s, F.col("weight"))), F.lit(0))
-    sums = found.groupBy("doc_id").agg(side(1).alias("positive"), side(-1).alias("negative"), F.coalesce(F.sum(F.when(F.col("kind") == "LEDGER", F.col("weight"))), F.lit(0)).alias("table_score"), F.count("*").alias("signals"))
-    all_docs = pages.select("doc_id").distinct().join(sums, "doc_id", "left").na.fill(0)
+    add = lambda test: F.aggregate("evidence", F.lit(0).cast("long"), lambda n, e: n + F.when(test(e), e["weight"]).otherwise(0))
+    sums = _shown(pages).select("doc_id", add(lambda e: e["sign"] == 1).alias("positive"), add(lambda e: e["sign"] == -1).alias("negative"), add(lambda e: e["kind"] == "LEDGER").alias("table_score"), F.size("evidence").cast("long").alias("signals"))
     pos, neg = F.col("positive"), F.col("negative")
     no = (neg >= 60) & (neg > pos + 25)
     yes = (pos >= 50) | ((F.col("table_score") >= 35) & (pos >= 35))
-    share = F.least(F.lit(990), F.lit(700) + F.floor(pos * 280 / 150)) / 1000.0
-    return all_docs.select("doc_id", "positive", "negative", "table_score", "signals", F.when(no, "NOT_BANK_STATEMENT").when(yes, "BANK_STATEMENT").otherwise("UNCERTAIN").alias("decision"), F.when(no, 0.95).when(yes, share).otherwise(pos / 100.0).alias("confidence"))
+    sure = F.round(F.least(F.lit(0.99), 0.7 + pos / 150.0 * 0.28), 2)
+    return sums.select("*", F.when(no, "NOT_BANK_STATEMENT").when(yes, "BANK_STATEMENT").otherwise("UNCERTAIN").alias("decision"), F.when(no, 0.0).when(yes, sure).otherwise(F.round(pos / 100.0, 2)).alias("confidence"))
 
 
 def account_fields(pages: DataFrame) -> DataFrame:

@@ -218,29 +218,46 @@ def classify_side(rows: DataFrame) -> DataFrame:
     return rows.select("*", side.alias("side"), F.coalesce(amount, F.lit(0)).cast(MONEY).alias("amount"))
 
 
-def resolve_line_amounts(lines: DataFrame, opening: float = 0.0) -> DataFrame:
-    """Transactions (doc_id, seq, description, amounts array<double>) to side, amount and balance.
+# Words of a narration that tell its side, credits first.
+CREDIT_WORDS = r"\b(SALARY|CREDITED|CREDIT|CR\b|BY\s+TRANSFER|INWARD|RECEIVED|REFUND|REVERSAL|CASH\s+DEP|SELF\s+CASH\s+DEP|BNA/|INTEREST|INT\.PD|DEPOSIT|REV-UPI)\b"
 
-    Two amounts are amount and balance, one is an amount or, if it explains the
-    known balance, the balance; a row may compute the balance the next one needs,
-    so a document is one fold.
-    """
 
-    def document(doc: pd.DataFrame) -> pd.DataFrame:
-        doc, run, out = doc.sort_values("seq"), round(opening * 100), []
-        for text, found in zip(doc["description"], doc["amounts"], strict=True):
-            cents = [round(x * 100) for x in found]
-            guess = -1 if any(w in (text or "").lower() for w in ("atm", "withdrawal", "purchase", "debit", "paid")) or not any(w in (text or "").lower() for w in ("salary", "credit", "refund", "inward", "deposit")) else 1
-            amount, balance = (cents[-2], cents[-1]) if len(cents) > 1 else (cents[0] if cents else 0, None)
-            if balance is not None and abs(abs(balance - run) - amount) <= 5 and balance != run:
-                sign = 1 if balance > run else -1
-            else:
-                sign = guess
-            run = balance if balance is not None else run + sign * amount
-            out.append(("CREDIT" if sign > 0 else "DEBIT", amount / 100, run / 100))
-        return pd.DataFrame({"doc_id": doc["doc_id"], "seq": doc["seq"], "type": [o[0] for o in out], "amount": [o[1] for o in out], "balance": [o[2] for o in out]})
+def infer_side(narration: Column, hint: Column) -> Column:
+    """The column's side if known, CREDIT by the narration's words, else DEBIT."""
+    return F.coalesce(hint, F.when(F.upper(narration).rlike(CREDIT_WORDS), "CREDIT"), F.lit("DEBIT"))
 
-    return lines.select("doc_id", "seq", "description", "amounts").groupBy("doc_id").applyInPandas(document, "doc_id long, seq long, type string, amount double, balance double")
+
+def resolve_line_amounts(lines: DataFrame, opening: float | None = None, tolerance: float = 0.05) -> DataFrame:
+    """Transactions (doc_id, seq, description, amounts; hint: side of the column, if known) to type, amount, balance, continuous and ambiguous.
+
+    The last of two amounts or more is the balance. Which side an amount is on, and
+    which of several it is, follows from the balance before; else from the words. A
+    row with one amount moves the balance, one with none keeps it. So the balance is
+    the last stated one and what single amounts added since: a running sum.
+    """
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    hint = F.col("hint") if "hint" in lines.columns else F.lit(None).cast("string")
+    rows = lines.select("doc_id", "seq", infer_side(F.col("description"), hint).alias("guess"), F.transform("amounts", lambda a: a.cast(MONEY)).alias("a")).withColumn("n", F.size("a"))
+    rows = rows.withColumn("stated", F.when(F.col("n") >= 2, F.element_at("a", -1)))
+    rows = rows.withColumn("moved", F.sum(F.when(F.col("n") == 1, F.get("a", 0) * F.when(F.col("guess") == "CREDIT", 1).otherwise(-1)).otherwise(0)).over(order))
+    first = F.lit(opening).cast(MONEY)
+    rows = rows.withColumn("balance", (F.coalesce(F.last(F.col("stated") - F.col("moved"), ignorenulls=True).over(order), first) + F.col("moved")).cast(MONEY))
+    rows = rows.withColumn("prev", F.coalesce(F.lag("balance").over(order), first))
+    change, near = F.col("stated") - F.col("prev"), F.lit(tolerance).cast(MONEY)
+    up, down = (lambda x: F.abs(change - x) <= near), (lambda x: F.abs(change + x) <= near)
+    # Of two amounts the first, whatever its sign; of more the last positive one that explains the change.
+    fits = F.filter(F.reverse(F.slice("a", 1, F.greatest(F.col("n") - 1, F.lit(0)))), lambda x: ((F.col("n") == 2) | (x > 0)) & (up(x) | down(x)))
+    rows = rows.withColumn("fit", F.get(fits, 0))
+    one, two, guess = F.get("a", 0), F.get("a", 1), F.col("guess")
+    either = F.when((one > 0) & (two == 0), "DEBIT").when((two > 0) & (one == 0), "CREDIT")
+    chosen = F.when(guess == "CREDIT", F.coalesce(F.nullif(two, F.lit(0)), one)).otherwise(F.coalesce(F.nullif(one, F.lit(0)), two))
+    known = F.col("prev").isNotNull()
+    moved_side = F.when(change > 0, "CREDIT").when((change < 0) | (F.col("n") > 2), "DEBIT").otherwise(guess)
+    side = F.when(F.col("n") == 0, "DEBIT").when(F.col("n") == 1, guess).when(F.col("fit").isNotNull(), F.when(up(F.col("fit")), "CREDIT").otherwise("DEBIT")).when(known, moved_side).when(F.col("n") == 2, guess).otherwise(F.coalesce(either, guess))
+    amount = F.when(F.col("n") == 0, 0).when(F.col("n") <= 2, one).when(F.col("fit").isNotNull(), F.col("fit")).when(known, F.get("a", F.col("n") - 2)).otherwise(F.when(either == "DEBIT", one).when(either == "CREDIT", two).otherwise(chosen))
+    holds = F.when(F.col("n") == 0, False).when(F.col("n") == 1, True).when(known, F.col("fit").isNotNull()).otherwise((F.col("n") == 2) | either.isNotNull())
+    unsure = (F.col("n") == 0) | ((F.col("n") == 2) & known & F.col("fit").isNull() & (change == 0)) | ((F.col("n") > 2) & ~known & either.isNull())
+    return rows.select("doc_id", "seq", side.alias("type"), amount.cast(MONEY).alias("amount"), "balance", holds.alias("continuous"), F.coalesce(unsure, F.lit(False)).alias("ambiguous"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

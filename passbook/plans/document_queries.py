@@ -89,6 +89,33 @@ def pages(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), "c_acctbal", F.expr(PAGE_SQL).alias("raw_text"))
 
 
+# Documents of every kind; the first line is the header region, the next two the account region. Some customers' documents have two pages.
+EVIDENCE_TEXTS = [
+    f"concat('Axis Bank', chr(10), 'Account No: 91', lpad({CUST}, 10, '0'), ' IFSC UTIB0', lpad({CUST}, 6, '0'), chr(10), 'Customer ID ', lpad({CUST}, 6, '1'), ' savings account. Statement period: 01/08/2026 to 31/08/2026', chr(10), 'Tran date particulars debit credit balance', chr(10), '05/08/2026 shop 120.00 ', {BAL}, chr(10), '06 Aug 2026 cash 20.00 ', {BAL}, chr(10), 'closing balance ', {BAL})",
+    f"concat('Kotak Mahindra', chr(10), 'a/c ', lpad({CUST}, 11, '7'), chr(10), 'account holder Asha Rao', chr(10), 'date details amount', chr(10), repeat(concat('15-07-2026 order ', {CUST}, ' 12.50', chr(10)), CAST(c_custkey % 13 AS INT)))",
+    f"concat('Tax invoice', chr(10), 'Invoice no 12 invoice date 3', chr(10), 'Sold by ', c_name, ' bill to you', chr(10), 'qty 2 unit price 3 cgst 9 ', {CUST})",
+    "concat('Curriculum vitae', chr(10), c_name, chr(10), 'experience and education')",
+    "concat('Loan agreement', chr(10), 'the borrower and the lender', chr(10), 'whereas ', c_mktsegment, ' in witness whereof')",
+    "concat('Payslip', chr(10), 'employee code 7', chr(10), 'basic 100 net pay 90 ', c_mktsegment)",
+    "concat('', chr(10), 'Unique Identification Authority of India', chr(10), c_name)",
+    "concat('', chr(10), 'permanent account number card', chr(10), c_name)",
+    f"concat('Village cooperative bank', chr(10), 'micr code: 400', lpad({CUST}, 6, '0'), chr(10), 'brought forward ', {BAL})",
+    f"concat('Notice', chr(10), 'from the city bank', chr(10), 'swift code ABCDEF12 ', {CUST})",
+    "concat('Tax invoice of the bank', chr(10), 'invoice no 1 due date 2 seller buyer', chr(10), 'date narration debit balance units rate hsn')",
+    "concat('Letter', chr(10), c_mktsegment, chr(10), 'nothing to see')",
+]
+EVIDENCE_SQL = f"CASE c_custkey % {len(EVIDENCE_TEXTS)} " + " ".join(f"WHEN {k} THEN {s}" for k, s in enumerate(EVIDENCE_TEXTS)) + " END"
+SECOND_SQL = f"CASE WHEN c_custkey % 5 = 0 THEN concat('page two', chr(10), '09/08/2026 fee 1.00 ', {BAL}, chr(10), 'date description withdrawal balance', chr(10), 'carried forward') END"
+
+
+def evidence_pages(spark, sf_dir) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    first = c.select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("page"), F.expr(EVIDENCE_SQL).alias("raw_text"))
+    second = c.select(F.col("c_custkey").alias("doc_id"), F.lit(2).alias("page"), F.expr(SECOND_SQL).alias("raw_text")).where("raw_text is not null")
+    lines = F.split("raw_text", "\n")
+    return first.union(second).withColumn("header", F.when(F.col("page") == 1, F.get(lines, 0))).withColumn("info", F.when(F.col("page") == 1, F.array_join(F.slice(lines, 2, 2), " ")))
+
+
 def _kinds(spark, sf_dir):
     t = F.col("raw_text")
     return pages(spark, sf_dir).select("doc_id", fields.page_kind(t).alias("page_kind"), fields.bank(t).alias("bank"), fields.earliest_bank(t).alias("earliest_bank"), fields.account_type(t).alias("account_type"), F.initcap(F.trim(F.regexp_replace(F.lit("RAVI  kumar."), r"[.\s]+", " "))).alias("holder"))
@@ -134,8 +161,8 @@ QUERIES = {
     "page_kind_and_bank": _kinds,
     "corpus_banks": _corpus_kinds,
     "account_fields": lambda spark, sf_dir: shown(documents.account_fields(pages(spark, sf_dir))),
-    "doc_evidence": lambda spark, sf_dir: documents.evidence(pages(spark, sf_dir)),
-    "doc_decision": lambda spark, sf_dir: documents.decide(pages(spark, sf_dir)),
+    "doc_evidence": lambda spark, sf_dir: documents.evidence(evidence_pages(spark, sf_dir)),
+    "doc_decision": lambda spark, sf_dir: documents.decide(evidence_pages(spark, sf_dir)),
     "file_guard": _files,
     "file_guard_error": lambda spark, sf_dir: guards.messages(_files(spark, sf_dir)),
     "ocr_quality_gate": _gate,
@@ -148,8 +175,39 @@ FIRST = "least(" + ", ".join(f"coalesce(nullif(instr(lower(t), '{a}'), 0), 10000
 EARLIEST = case([(" OR ".join(f"instr(lower(t), '{a}') = found_at" for a in al), f"'{n}'") for n, al in fields.BANKS], "NULL")
 KIND_SQL = case([(" AND ".join([hit("lower(t)", p) for p in need] + ([f"NOT {hit('lower(t)', no)}"] if no else [])), f"'{k}'") for k, need, no in fields.PAGES], "'UNKNOWN'")
 PAGES_SQL = f"WITH p AS (SELECT c_custkey AS doc_id, {PAGE_SQL} AS t, c_acctbal, c_custkey % 8 AS k FROM customer)"
-E = {0: [("ACCOUNT_NUMBER", "ACCOUNT_DETAILS", 25), ("CUSTOMER_ID", "ACCOUNT_DETAILS", 15), ("MICR_CODE", "ROUTING_CODES", 15), ("STATEMENT_PERIOD", "STATEMENT_PERIOD", 15), ("OPENING_BALANCE", "BALANCES", 15), ("CLOSING_BALANCE", "BALANCES", 15), ("TABLE_HEADER", "LEDGER", 35), ("KNOWN_BANK", "BANK_IDENTITY", 35), ("IFSC", "ROUTING_CODES", 20)], 1: [("STATEMENT_PERIOD", "STATEMENT_PERIOD", 15), ("OPENING_BALANCE", "BALANCES", 15), ("KNOWN_BANK", "BANK_IDENTITY", 35)], 2: [("KNOWN_BANK", "BANK_IDENTITY", 35), ("INVOICE", "INVOICE", -85)], 3: [("RESUME", "RESUME", -80)], 6: [("KNOWN_BANK", "BANK_IDENTITY", 35)], 7: [("KNOWN_BANK", "BANK_IDENTITY", 35), ("SWIFT", "ROUTING_CODES", 20), ("TABLE_HEADER", "LEDGER", 35)]}
-FOUND_SQL = PAGES_SQL + ", e(k, signal, kind, w) AS (VALUES " + ", ".join(f"({k}, '{s}', '{g}', {w})" for k, xs in E.items() for s, g, w in xs) + "), f AS (SELECT doc_id, signal, kind, abs(w) AS weight, sign(w) AS sign FROM p JOIN e USING (k))"
+IN = {"info": "({t}(info, '{p}') OR {t}(one, '{p}'))", "one": "{t}(one, '{p}')", "head": "{t}(head, '{p}')", "all": "{t}(al, '{p}')"}
+
+
+def seen(place: str, pattern: str) -> str:
+    return IN[place].format(t="regexp_matches", p=pattern)
+
+
+def pillars(groups) -> str:
+    return " + ".join("CAST(" + " AND ".join(seen(*x) for x in g) + " AS INT)" for g in groups)
+
+
+TITLE = "CASE WHEN head = '' THEN one ELSE head END"
+KNOWN = BANK_SQL.format(t="al") + " IS NOT NULL"
+COLUMNS = " + ".join(f"CAST({hit('lower(line)', p)} AS INT)" for p in fields.LEDGER_HEADER)
+FOUND_SQL = rf"""WITH pg AS (SELECT c_custkey AS doc_id, 1 AS page, {EVIDENCE_SQL} AS t FROM customer UNION ALL SELECT c_custkey, 2, {SECOND_SQL} FROM customer WHERE c_custkey % 5 = 0
+), ln AS (SELECT doc_id, page, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM pg
+), lc AS (SELECT *, {COLUMNS} AS cols, regexp_matches(line, '^(\d{{2}}[-/]\d{{2}}[-/]\d{{4}}|\d{{2}} Aug \d{{4}}) .*\d') AS is_row FROM ln
+), ld AS (SELECT doc_id, coalesce(arg_min(cols, page * 1000 + pos) FILTER (WHERE cols >= 3), 0) AS cols, count(*) FILTER (WHERE is_row) AS n FROM lc GROUP BY doc_id
+), tx AS (SELECT doc_id, lower(split_part(any_value(t) FILTER (WHERE page = 1), chr(10), 1)) AS head, lower(any_value(t) FILTER (WHERE page = 1)) AS one, lower(string_agg(t, ' ' ORDER BY page)) AS al FROM pg GROUP BY doc_id
+), d0 AS (SELECT *, split_part(one, chr(10), 2) || ' ' || split_part(one, chr(10), 3) || ' ' || head AS info, {KNOWN} AS known, {hit('head', fields.HEADER_BANK)} AS hb, cols >= 3 OR n >= 3 AS ledger FROM tx JOIN ld USING (doc_id)
+), dd AS (SELECT *, NOT known AND NOT hb AND {hit('left(al, 1000)', fields.GENERIC_BANK)} AS gb FROM d0
+), f AS (""" + " UNION ALL ".join(
+    f"SELECT doc_id, '{s}' AS signal, '{k}' AS kind, {w} AS weight, {sign} AS sign FROM dd WHERE {test}"
+    for s, k, w, sign, test in [
+        ("KNOWN_BANK", "BANK_IDENTITY", 35, 1, "known"), ("HEADER_BANK", "BANK_IDENTITY", 25, 1, "hb"), ("GENERIC_BANK", "BANK_IDENTITY", 20, 1, "gb"),
+        *((s, k, w, 1, seen(place, p)) for s, k, w, place, p in fields.EVIDENCE), ("SWIFT", "ROUTING_CODES", 20, 1, f"{seen('all', fields.SWIFT)} AND NOT {seen('all', fields.EVIDENCE[4][4])}"),
+        ("TABLE_HEADER", "LEDGER", "CASE cols WHEN 4 THEN 35 ELSE 25 END", 1, "cols >= 3"), ("LEDGER_ROWS", "LEDGER", "CASE WHEN n >= 10 THEN 35 WHEN n >= 4 THEN 25 ELSE 15 END", 1, "n > 0"),
+        *((k, k, "CASE WHEN ledger THEN 30 ELSE 70 END", -1, f"NOT (ledger AND (known OR hb OR gb)) AND {pillars(g)} >= 3") for k, g in (("INVOICE", fields.INVOICE), ("LOAN_AGREEMENT", fields.LOAN))),
+        ("PAYSLIP", "PAYSLIP", 75, -1, f"NOT ledger AND {hit(TITLE, fields.PAYSLIP['title'])} AND {seen('one', fields.PAYSLIP['employee'])} AND ({seen('one', fields.PAYSLIP['earnings'])} OR {seen('one', fields.PAYSLIP['deductions'])})"),
+        ("AADHAAR", "AADHAAR", 80, -1, f"NOT ledger AND {seen('all', fields.AADHAAR)}"), ("PAN_CARD", "PAN_CARD", 80, -1, f"NOT ledger AND NOT (known OR hb OR gb) AND {seen('all', fields.PAN_CARD)}"),
+        ("RESUME", "RESUME", 80, -1, f"NOT ledger AND {hit(TITLE, fields.RESUME[0])} AND {seen('one', fields.RESUME[1])}"),
+    ]
+) + ")"
 
 ORACLE_SQL = {
     "amount_parse": f"SELECT {KEY}, {dbl(f'CASE {KEY} % 9 WHEN 2 THEN -{V} WHEN 3 THEN -{V} WHEN 7 THEN NULL WHEN 8 THEN floor({V}) ELSE {V} END')} AS amount, CASE {KEY} % 9 WHEN 2 THEN 'DEBIT' WHEN 3 THEN 'DEBIT' WHEN 4 THEN 'CREDIT' WHEN 6 THEN 'DEBIT' END AS side FROM orders",
@@ -171,9 +229,9 @@ SELECT doc_id, {BANK_SQL.format(t='t')} AS bank, coalesce(a, CASE WHEN k IN (2,
   CASE WHEN k <= 1 THEN {dbl('abs(CAST(c_acctbal AS DECIMAL(18,2)))')} END AS opening_balance, CASE WHEN k = 0 THEN CAST(99.5 AS DOUBLE) END AS closing_balance, CASE k WHEN 0 THEN CAST(120 AS DOUBLE) WHEN 6 THEN CAST(12 AS DOUBLE) END AS stated_credits, CASE k WHEN 0 THEN CAST(20.5 AS DOUBLE) WHEN 1 THEN CAST(5 AS DOUBLE) END AS stated_debits,
   CASE k WHEN 0 THEN '2026-08-01' WHEN 1 THEN '2026-07-01' END AS from_date, CASE k WHEN 0 THEN '2026-08-31' WHEN 1 THEN '2026-07-31' END AS to_date, 'INR' AS currency FROM q""",
     "doc_evidence": f"{FOUND_SQL} SELECT doc_id, signal, kind, CAST(weight AS BIGINT) AS weight, CAST(sign AS BIGINT) AS sign FROM f",
-    "doc_decision": f"""{FOUND_SQL}, s AS (SELECT p.doc_id, CAST(coalesce(sum(weight) FILTER (WHERE sign = 1), 0) AS BIGINT) AS positive, CAST(coalesce(sum(weight) FILTER (WHERE sign = -1), 0) AS BIGINT) AS negative, CAST(coalesce(sum(weight) FILTER (WHERE kind = 'LEDGER'), 0) AS BIGINT) AS table_score, count(weight) AS signals FROM p LEFT JOIN f USING (doc_id) GROUP BY p.doc_id
+    "doc_decision": f"""{FOUND_SQL}, s AS (SELECT dd.doc_id, CAST(coalesce(sum(weight) FILTER (WHERE sign = 1), 0) AS BIGINT) AS positive, CAST(coalesce(sum(weight) FILTER (WHERE sign = -1), 0) AS BIGINT) AS negative, CAST(coalesce(sum(weight) FILTER (WHERE kind = 'LEDGER'), 0) AS BIGINT) AS table_score, count(weight) AS signals FROM dd LEFT JOIN f USING (doc_id) GROUP BY dd.doc_id
 ), d AS (SELECT *, CASE WHEN negative >= 60 AND negative > positive + 25 THEN 'NOT_BANK_STATEMENT' WHEN positive >= 50 OR (table_score >= 35 AND positive >= 35) THEN 'BANK_STATEMENT' ELSE 'UNCERTAIN' END AS decision FROM s)
-SELECT *, CASE decision WHEN 'NOT_BANK_STATEMENT' THEN CAST(0.95 AS DOUBLE) WHEN 'BANK_STATEMENT' THEN least(990, 700 + positive * 280 // 150) / 1000.0 ELSE positive / 100.0 END AS confidence FROM d""",
+SELECT *, CASE decision WHEN 'NOT_BANK_STATEMENT' THEN CAST(0 AS DOUBLE) WHEN 'BANK_STATEMENT' THEN least(99, (1050000 + positive * 2800 + 7500) // 15000) / 100.0 ELSE positive / 100.0 END AS confidence FROM d""",
     "file_guard": "SELECT p_name || p_partkey || CASE WHEN p_partkey % 6 = 4 THEN '.txt' ELSE '.PDF' END AS path, CAST(CASE p_partkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 13 WHEN 2 THEN 13 WHEN 3 THEN 9 WHEN 4 THEN 5 ELSE 30000000 END AS BIGINT) AS length, CASE p_partkey % 6 WHEN 0 THEN 'EMPTY_FILE' WHEN 3 THEN 'INVALID_PDF' WHEN 4 THEN 'INVALID_FILE_TYPE' WHEN 5 THEN 'FILE_TOO_LARGE' END AS error_code FROM part",
     "file_guard_error": "SELECT CASE p_partkey % 6 WHEN 0 THEN 'EMPTY_FILE' WHEN 3 THEN 'INVALID_PDF' WHEN 4 THEN 'INVALID_FILE_TYPE' WHEN 5 THEN 'FILE_TOO_LARGE' END AS error_code, CASE p_partkey % 6 WHEN 0 THEN 'The file is empty.' WHEN 3 THEN 'The file is not a readable PDF.' WHEN 4 THEN 'Only PDF files are accepted.' WHEN 5 THEN 'The file is too large.' END AS message, count(*) AS files FROM part WHERE p_partkey % 6 IN (0, 3, 4, 5) GROUP BY ALL",
     "ocr_quality_gate": """WITH t AS (SELECT l_orderkey % 200 AS doc_id, l_orderkey % 3 AS page, l_partkey % 7 IN (0, 2, 4, 6) AS kw, l_suppkey % 5 * 25 AS c FROM lineitem

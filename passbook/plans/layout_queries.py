@@ -130,6 +130,19 @@ def _lines(spark, sf_dir):
     return shown(layout.resolve_line_amounts(layout.parse_lines(statement_lines(spark, sf_dir)), 1000.0).select("doc_id", "seq", "amount", "balance"))
 
 
+def printed_amounts(spark, sf_dir) -> DataFrame:
+    """Transactions with none to three printed amounts, some of which do not explain the balance."""
+    e = ledgers.events(spark, sf_dir)
+    m = lambda x: F.lit(x).cast("decimal(18,2)")
+    a, b = F.col("amount"), F.col("balance")
+    forms = [F.array().cast("array<decimal(18,2)>"), F.array(a), F.array(a, b), F.array(m(7), a, b), F.array(a, m(0), b), F.array(a, (b + 3).cast("decimal(18,2)")), F.array(m(0), a, (b - 9).cast("decimal(18,2)")), F.array(a, a, (b + 40).cast("decimal(18,2)"))]
+    return e.select(F.col("acct").alias("doc_id"), "seq", "description", F.when(F.col("id") % 11 == 0, "CREDIT").alias("hint"), F.get(F.array(*forms), (F.col("id") % 8).cast("int")).alias("amounts"))
+
+
+def _financials(spark, sf_dir):
+    return shown(layout.resolve_line_amounts(printed_amounts(spark, sf_dir)))
+
+
 def _row_kinds(spark, sf_dir):
     t = F.array(*[F.lit(x) for x in ("Date Particulars Debit Credit Balance", "Opening balance: 1,200.00", "UPI/P2M/Swiggy 12.00", "Page 2 of 9", "Total deposits 44", "carried forward: 3", "details amount")])
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", layout.row_kind(F.get(t, (F.col("p_partkey") % 7).cast("int"))).alias("kind"))
@@ -151,7 +164,7 @@ QUERIES = {
     "column_assign": _assign, "column_bin": _bin, "row_text": _text, "column_bounds": _bounds, "region_segment": _regions, "table_zone": _zone,
     "dominant_schema": lambda spark, sf_dir: shown(layout.dominant_schema(headers(spark, sf_dir))), "schema_forward_fill": lambda spark, sf_dir: layout.inherit_schema(headers(spark, sf_dir)), "horizontal_values": _right,
     "y_bucket_cluster": lambda spark, sf_dir: layout.bucket_rows(tokens(spark, sf_dir).withColumn("page", F.lit(1).cast("long"))), "row_cluster": _clusters, "decimal_token_join": _decimals, "coord_transform": _points, "row_kind": _row_kinds,
-    "ledger_state_machine": _actions, "ledger_drafts": _drafts, "debit_credit_signals": _sides, "line_statement": _lines, "report_json": report,
+    "ledger_state_machine": _actions, "ledger_drafts": _drafts, "debit_credit_signals": _sides, "line_statement": _lines, "resolve_financials": _financials, "report_json": report,
 }
 
 _COL = "CASE " + " ".join(f"WHEN (x0 + x1) / 2 BETWEEN {a} AND {b} THEN '{n}'" for n, a, b in COLUMNS) + " END"
@@ -176,5 +189,15 @@ SELECT doc_id, string_agg(CASE WHEN tok % 2 = 1 AND nt = tok + 1 THEN x || '.' |
     "debit_credit_signals": f"""{EVENTS}, s AS (SELECT *, id % 3 AS m, id % 4 AS c FROM led)
 SELECT id, CASE WHEN amount = 0 THEN 'DEBIT' WHEN id % 10 = 0 THEN 'CREDIT' WHEN id % 10 = 5 THEN 'DEBIT' WHEN c = 0 THEN 'CREDIT' WHEN m = 0 THEN 'CREDIT' WHEN m = 2 THEN 'DEBIT'
   WHEN regexp_matches(lower(description), '\\b(salary|payroll|refund|credit|reversed|inward|interest\\s*credit)\\b') THEN 'CREDIT' ELSE 'DEBIT' END AS side, {dbl('amount')} AS amount FROM s""",
+    # A recursion over the rows of each account, one case after the other; Spark's plan is a running sum.
+    "resolve_financials": f"""WITH RECURSIVE {EVENTS[5:]}, x AS (SELECT acct, seq, id % 8 AS k, CASE WHEN id % 8 = 0 THEN 0 WHEN id % 8 = 1 THEN 1 WHEN id % 8 IN (2, 5) THEN 2 ELSE 3 END AS n, CASE id % 8 WHEN 3 THEN 7 WHEN 6 THEN 0 ELSE amount END AS a1, CASE id % 8 WHEN 4 THEN 0 ELSE amount END AS a2,
+  balance + CASE id % 8 WHEN 5 THEN 3 WHEN 6 THEN -9 WHEN 7 THEN 40 ELSE 0 END AS st, CASE WHEN id % 11 = 0 OR regexp_matches(upper(description), '{layout.CREDIT_WORDS}') THEN 1 ELSE -1 END AS g FROM led
+), w AS (SELECT acct, CAST(0 AS BIGINT) AS seq, 0 AS n, 0 AS side, CAST(NULL AS DECIMAL(18,2)) AS amount, CAST(NULL AS DECIMAL(18,2)) AS bal, false AS cont, false AS unsure FROM (SELECT DISTINCT acct FROM x)
+  UNION ALL SELECT acct, seq, n, side, CAST(amount AS DECIMAL(18,2)), CAST(CASE n WHEN 0 THEN prev WHEN 1 THEN prev + side * amount ELSE st END AS DECIMAL(18,2)), cont, unsure FROM (
+    SELECT *, CASE WHEN n = 0 THEN -1 WHEN n = 1 THEN g WHEN prev IS NULL AND n = 2 THEN g WHEN prev IS NULL THEN CASE WHEN a1 > 0 AND a2 = 0 THEN -1 WHEN a2 > 0 AND a1 = 0 THEN 1 ELSE g END WHEN fit > 0 THEN CASE WHEN abs(prev + f - st) <= 0.05 THEN 1 ELSE -1 END WHEN st > prev THEN 1 WHEN st < prev OR n = 3 THEN -1 ELSE g END AS side,
+      CASE WHEN n = 0 THEN 0 WHEN n <= 2 THEN a1 WHEN fit > 0 THEN f WHEN prev IS NOT NULL THEN a2 WHEN a1 > 0 AND a2 = 0 THEN a1 WHEN a2 > 0 AND a1 = 0 THEN a2 WHEN g = 1 THEN coalesce(nullif(a2, 0), a1) ELSE coalesce(nullif(a1, 0), a2) END AS amount,
+      CASE WHEN n = 0 THEN false WHEN n = 1 THEN true WHEN prev IS NOT NULL THEN fit > 0 ELSE n = 2 OR (a1 > 0) <> (a2 > 0) END AS cont, n = 0 OR (n = 2 AND coalesce(st = prev AND fit = 0, false)) OR (n = 3 AND prev IS NULL AND NOT (a1 > 0) <> (a2 > 0)) AS unsure
+    FROM (SELECT *, CASE fit WHEN 2 THEN a2 ELSE a1 END AS f FROM (SELECT x.*, w.bal AS prev, CASE WHEN w.bal IS NULL OR x.n < 2 THEN 0 WHEN x.n = 3 AND a2 > 0 AND abs(abs(st - w.bal) - a2) <= 0.05 THEN 2 WHEN (x.n = 2 OR a1 > 0) AND abs(abs(st - w.bal) - a1) <= 0.05 THEN 1 ELSE 0 END AS fit FROM w JOIN x ON x.acct = w.acct AND x.seq = w.seq + 1))))
+SELECT acct AS doc_id, seq, CASE WHEN side > 0 THEN 'CREDIT' ELSE 'DEBIT' END AS type, {dbl('amount')} AS amount, {dbl('bal')} AS balance, cont AS continuous, unsure AS ambiguous FROM w WHERE seq > 0""",
     "line_statement": f"{EVENTS} SELECT acct AS doc_id, seq, {dbl('amount')} AS amount, {dbl('abs(balance)')} AS balance FROM led",
 }

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from passbook.functions import dates, fields, masking, money, narration, text
-from passbook.operators import accounts, fraud, integrity, layout, sequence
+from passbook.operators import accounts, documents, fraud, integrity, layout, sequence
 
 
 def one(spark, column, *values):
@@ -112,3 +112,26 @@ def test_ratios_round_half_away(spark, pairs):
     got = [r[0] for r in spark.createDataFrame(pairs, "a long, b long").select(money.divided(F.col("a"), F.col("b"), 10_000)).collect()]
     want = [float((Decimal(abs(a)) / b).quantize(Decimal("0.0001"), rounding="ROUND_HALF_UP")) * (1 if a >= 0 else -1) for a, b in pairs]
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_line_amounts(spark):
+    rows = [(1, 1, "x", [49.13]), (1, 2, "x", [16758.0, 16807.13]), (1, 3, "x", [25.0, 16782.13]), (1, 4, "x", [3.0, 9.0, 40.0, 16791.13]), (1, 5, "salary", [100.0]), (1, 6, "x", []), (1, 7, "x", [5.0, 20000.0]), (1, 8, "x", [1.0, 2.0, 19000.0]), (2, 1, "refund", [0.0, 8.0, 50.0]), (2, 2, "x", [7.0, 50.0])]
+    got = {(r["doc_id"], r["seq"]): (r["type"], float(r["amount"]), r["balance"] and float(r["balance"]), r["continuous"], r["ambiguous"]) for r in layout.resolve_line_amounts(spark.createDataFrame(rows, "doc_id long, seq long, description string, amounts array<double>"), 98.26).collect()}
+    assert [got[1, k] for k in range(1, 9)] == [
+        ("DEBIT", 49.13, 49.13, True, False), ("CREDIT", 16758, 16807.13, True, False), ("DEBIT", 25, 16782.13, True, False), ("CREDIT", 9, 16791.13, True, False),
+        ("CREDIT", 100, 16891.13, True, False), ("DEBIT", 0, 16891.13, False, True), ("CREDIT", 5, 20000, False, False), ("DEBIT", 2, 19000, False, False),
+    ]
+    assert got[2, 2] == ("DEBIT", 7, 50, False, True)
+    unknown = layout.resolve_line_amounts(spark.createDataFrame([(1, 1, "x", [5.0]), (1, 2, "refund", [0.0, 8.0, 50.0])], "doc_id long, seq long, description string, amounts array<double>")).orderBy("seq").collect()
+    assert [(r["type"], r["balance"], r["continuous"]) for r in unknown] == [("DEBIT", None, True), ("CREDIT", 50, True)]
+
+
+def test_kinds_of_documents(spark):
+    pages = [
+        (1, 1, "Axis Bank\nAccount No: 912010045675012 IFSC UTIB0000123\nDate Particulars Debit Credit Balance\n05/08/2026 loan agreement 5.00 9.00", "Axis Bank"),
+        (2, 1, "Curriculum Vitae\nwork experience at a bank", "Curriculum Vitae"),
+        (3, 1, "Loan Agreement\nborrower lender whereas", "Loan Agreement"), (3, 2, "in witness whereof", None),
+        (4, 1, "nothing", ""),
+    ]
+    got = {r["doc_id"]: (r["decision"], r["positive"], r["negative"]) for r in documents.decide(spark.createDataFrame(pages, "doc_id long, page int, raw_text string, header string")).collect()}
+    assert got == {1: ("BANK_STATEMENT", 155, 0), 2: ("NOT_BANK_STATEMENT", 20, 80), 3: ("NOT_BANK_STATEMENT", 0, 70), 4: ("UNCERTAIN", 0, 0)}
