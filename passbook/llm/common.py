@@ -57,6 +57,13 @@ def placed(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
+def bound_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Arrow batches of at most ``most`` bytes, unless the session has a bound of its own: what a task's JVM and Python hold of its input at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's default
+        spark.conf.set(name, most)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``most`` rows: what a worker turns into Python values at once."""
     for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks
-from .common import fold, kinds, placed, quoted, sliced
+from .common import bound_batches, fold, kinds, placed, quoted, sliced
 
 #: Documents a language, and documents in all, that the machines are fitted on; languages that are learned.
 PER_LANGUAGE, MOST_ROWS, LANGUAGES = 800, 12_000, 100
@@ -134,6 +134,7 @@ class Model:
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, languages: int = LANGUAGES) -> Model | None:
     """Fit on a bounded sample of ``labelled`` (doc_id, text, lang), chosen by hash of the id."""
+    bound_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
@@ -177,6 +178,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns, predicted language and score (0 to 1) of every whole text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.families, model.members, model.pairs, model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ First, balls: a text gets ``BANDS`` independent 32-bit SimHashes of its shingle
 and balls of radius 2 are hashed on each: every band value emits its variants within
 one bit, and the values that meet at a variant (33 at most) are paired. Texts with
 one value in a band are paired with one of them, which stands for the value. Pairs
-within the differing bits of likeness 0.8 and three standard errors are verified.
+within the differing bits of likeness 0.8 and two standard errors are verified. Bands
+go in rounds; a round compares no texts that are in one group already.
 
 Then the rest: two sets of likeness 0.8 share one of the rarest shingles of each, a
 fifth of the set and one. Texts that share such a shingle with at most ``CROWD``
@@ -16,8 +17,8 @@ texts, are of fitting sizes and are not yet in one group are all compared, so th
 no pair is lost to the bits, to a text that stands for others or to a ball. Comparing
 all pairs of a crowd (a large family of texts that are loosely alike) would cost the
 square of its size. Texts that meet in a crowd emit the balls of ``MORE`` more bands
-instead: a pair at 0.8 meets in a band with probability 0.118, so it is missed in all
-60 in 5 of 10,000 cases, one at 0.85 in 2 of a million.
+instead: a pair at 0.8 is found in a round with probability 0.70, so all six miss it
+in 7 of 10,000 cases; one at 0.85 is found with 0.87 and missed in 5 of a million.
 
 Only texts that can have a near copy are looked at: a near copy shares at least
 0.8 of the hashes of the larger text, so a text of which fewer than 19 of the 48 least
@@ -37,20 +38,21 @@ from math import acos, pi, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, kinds, placed, quoted, release, sliced, stash, unused
+from .common import bound_batches, discard, kinds, placed, quoted, release, sliced, stash, unused
 from .components import components
 from .simhash import ones, plain, shingle_hashes
 
 WORDS, LIKENESS, BANDS, LEAST, RECUR = 5, 0.8, 20, 48, 19
-CROWD, MORE = 16, 40
+#: Texts at a place that are all compared; bands of those at larger places; bands whose balls are hashed at a time.
+CROWD, MORE, ROUND = 16, 40, 10
 #: Counts are compared with products of LIKENESS, which are not exact.
 SLACK = 1e-6
 
 
-def bits(hashes: np.ndarray, first: int = 0, n_bands: int = BANDS) -> list[int]:
+def bits(hashes: np.ndarray, first: int = 0, n_bands: int = ROUND) -> list[int]:
     """``n_bands`` 32-bit SimHashes of shingle hashes (numbers of 8 bytes) from the band ``first`` on, two from each remixed hash."""
     n, out = len(hashes), []
     h = hashes.astype(np.uint64)
@@ -64,9 +66,9 @@ def bits(hashes: np.ndarray, first: int = 0, n_bands: int = BANDS) -> list[int]:
 
 
 def most_bits(likeness: float, n: int) -> int:
-    """Differing bits of ``n`` that a Jaccard likeness implies, and three standard errors."""
+    """Differing bits of ``n`` that a Jaccard likeness implies, and two standard errors."""
     p = acos(2 * likeness / (1 + likeness)) / pi
-    return int(n * p + 3 * sqrt(n * p * (1 - p)))
+    return int(n * p + 2 * sqrt(n * p * (1 - p)))
 
 
 def _key(raw: bytes) -> bytes:
@@ -84,45 +86,45 @@ def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "whole", "key", "least"])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        sets, bands = [], []
-        for text in batch.column(1):
-            own = np.unique(shingle_hashes(text.as_py(), WORDS).reshape(-1).view(">u8"))
-            sets.append(own.astype(np.uint64).view(np.int64))
-            bands.append(bits(own))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["node", "bands", "grams"])
+        sets = [np.unique(shingle_hashes(text.as_py(), WORDS).reshape(-1).view(">u8")).astype(np.uint64).view(np.int64) for text in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
 
 
-def _more(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+def _bands(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
         bands = [bits(grams.values.to_numpy().view(np.uint64), first) for grams in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64())), batch.column(1)], names=["node", "bands", "grams"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64()))], names=["node", "bands"])
 
 
-def met_in_balls(nodes: DataFrame) -> DataFrame:
-    """Pairs (lo, hi) of ``nodes`` (node, bands) that meet in a ball and have few enough differing bits.
+def met_in_balls(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (lo, hi) of ``nodes`` (node, bands) of different ``roots`` (node, root) that meet in a ball and have few enough differing bits.
 
     Texts with one value in a band are proposed with one of them, which alone emits
     that value's ball; so a large group of copies costs a pair a text and band, and
     no place has more than the 33 values within one bit of it.
     """
     masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << b for b in range(32)))])
-    values = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("value")).alias("spot"))
-    heads, path = stash(values.groupBy("spot").agg(F.min(F.struct(F.xxhash64("node").alias("r"), "node")).alias("c")).select("spot", F.col("c.node").alias("head")))
-    same = values.join(heads, "spot").where("node <> head").select("node", F.col("head").alias("centre"))
+    # All bits of the round travel with a text, so that pairs are judged where they meet.
+    packed = [F.shiftleft(F.get("bands", k), 32).bitwiseOR(F.get("bands", k + 1)).alias(f"s{k}") for k in range(0, ROUND, 2)]
+    rooted = nodes.join(roots, "node", "left").select(F.struct("node", F.coalesce("root", "node").alias("root"), *packed).alias("t"), F.posexplode("bands").alias("band", "value"))
+    values = rooted.select("t", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("value")).alias("spot"))
+    heads, path = stash(values.groupBy("spot").agg(F.min(F.struct(F.xxhash64("t.node").alias("r"), "t")).alias("c")).select("spot", F.col("c.t").alias("head")))
+
+    def alike(x: Column, y: Column) -> Column:
+        differ = sum((F.bit_count(x[f"s{k}"].bitwiseXOR(y[f"s{k}"])) for k in range(0, ROUND, 2)), F.lit(0))
+        return (x["root"] != y["root"]) & (differ <= most_bits(LIKENESS, 32 * ROUND))
+
+    same = values.join(heads, "spot").where(alike(F.col("t"), F.col("head"))).select("t.node", F.col("head.node").alias("centre"))
     places = heads.select("head", F.explode(F.transform(masks, lambda m: F.col("spot").bitwiseXOR(m))).alias("place"))
     balls = places.groupBy("place").agg(F.collect_list("head").alias("at")).where(F.size("at") > 1)
-    paired = F.flatten(F.transform("at", lambda x, i: F.transform(F.slice("at", i + 2, F.size("at")), lambda y: F.struct(x.alias("node"), y.alias("centre")))))
-    met = same.union(balls.select(F.inline(paired))).select(F.least("node", "centre").alias("lo"), F.greatest("node", "centre").alias("hi")).distinct()
-    met, met_path = stash(met)
+    others = lambda x, i: F.filter(F.slice("at", i + 2, F.size("at")), lambda y: alike(x, y))
+    paired = F.flatten(F.transform("at", lambda x, i: F.transform(others(x, i), lambda y: F.struct(x["node"].alias("node"), y["node"].alias("centre")))))
+    met, _ = stash(same.union(balls.select(F.inline(paired))).select(F.least("node", "centre").alias("lo"), F.greatest("node", "centre").alias("hi")).distinct())
+    discard(nodes.sparkSession, path)
     release(nodes.sparkSession)
-    side = lambda n: nodes.select(F.col("node").alias(n), F.col("bands").alias(f"{n}_bands"))
-    both = met.join(side("lo"), "lo").join(side("hi"), "hi")
-    differ = F.aggregate(F.zip_with("lo_bands", "hi_bands", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-    near, _ = stash(both.where(differ <= most_bits(LIKENESS, 32 * BANDS)).select("lo", "hi"))
-    discard(nodes.sparkSession, path, met_path)
-    return near
+    return met
 
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -164,9 +166,22 @@ def apart(nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, at.where(F.col("n") > CROWD).select("node").distinct()
 
 
+def _by_balls(some: DataFrame, nodes: DataFrame, links: DataFrame, rounds: range) -> DataFrame:
+    """``links`` and those that balls find among ``some`` of ``nodes``; a round compares no texts that links connect already."""
+    for first in rounds:
+        roots = components(links)
+        banded, path = stash(some.mapInArrow(lambda batches, first=first: _bands(batches, first), "node long, bands array<long>"))
+        found, _ = stash(verified(met_in_balls(banded, roots), nodes))
+        links = links.union(found)
+        discard(nodes.sparkSession, path)
+        release(nodes.sparkSession)
+    return links
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay."""
     spark = docs.sparkSession
+    bound_batches(spark)
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("binary")).alias("whole"), F.col("text").cast("binary").alias("text"))
     made, made_path = stash(raw.mapInArrow(_least, "doc_id long, whole long, key binary, least array<long>"))
     # One node a word sequence, numbered when written; a text's shingles follow from its words.
@@ -180,19 +195,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     discard(spark, recur_path)
     release(spark)
     own = raw.join(able, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("whole") == F.col("of"))).select("node", "text")
-    nodes, nodes_path = stash(own.mapInArrow(_features, "node long, bands array<long>, grams array<long>").dropDuplicates(["node"]))
+    nodes, nodes_path = stash(own.mapInArrow(_sets, "node long, grams array<long>").dropDuplicates(["node"]))
     release(spark)
-    near, _ = stash(verified(met_in_balls(nodes), nodes))
-    pairs, crowd = apart(nodes, components(near))
+    links = _by_balls(nodes, nodes, spark.createDataFrame([], "lo long, hi long"), range(0, BANDS, ROUND))
+    pairs, crowd = apart(nodes, components(links))
     rest, _ = stash(verified(pairs, nodes))
-    links, (crowd, _) = near.union(rest), stash(crowd)
+    links, (crowd, _) = links.union(rest), stash(crowd)
     if not crowd.isEmpty():
-        for first in range(BANDS, BANDS + MORE, BANDS):
-            again, path = stash(nodes.select("node", "grams").join(crowd, "node").mapInArrow(lambda batches, first=first: _more(batches, first), "node long, bands array<long>, grams array<long>"))
-            found, _ = stash(verified(met_in_balls(again), again))
-            links = links.union(found)
-            discard(spark, path)
-            release(spark)
+        links = _by_balls(nodes.join(crowd, "node"), nodes, links, range(BANDS, BANDS + MORE, ROUND))
     discard(spark, nodes_path)
     roots = components(links)
     named = texts.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks
-from .common import fold, sliced
+from .common import bound_batches, fold, sliced
 
 #: Labelled documents that the trees are fitted on.
 MAX_ROWS = 12_000
@@ -131,6 +131,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Forest:
     """Fit on at most ``max_rows`` labelled documents, chosen by hash of the id."""
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("__y"))
     n = known.count()
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(1 << 20)) / float(1 << 20)
@@ -148,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
 def score(docs: DataFrame, forest: Forest) -> DataFrame:
     """doc_id and score of every whole text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((forest.feature, forest.threshold, forest.leaf, forest.start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

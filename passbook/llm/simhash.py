@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kinds, sliced, stash
+from .common import bound_batches, kinds, sliced, stash
 from .components import components
 
 _BLANKS = re.compile(rb"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")  # runs that are not one space already
@@ -80,6 +80,7 @@ def fingerprints(docs: DataFrame, n_words: int = 3, keep: tuple[str, ...] = ("do
             fps = [fingerprint(shingle_hashes(t.as_py() or b"", n_words)) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], names=[*batch.schema.names[1:], "fp"])
 
+    bound_batches(docs.sparkSession)
     frame = docs.select(F.col("text").cast("binary"), *keep)
     return frame.mapInArrow(run, f"{kinds(frame.select(*keep))}, fp long")
 
