@@ -1,17 +1,20 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns of three strengths: insult words known
-beforehand, words, and word stems (4 to 6 letters) that labelled documents tie
-to toxicity, each in a one-hit and a several-hits form, and voters for clean
-text. A generative label model estimates each voter's accuracy by expectation
-maximisation from how voters agree; votes of voters that stay correlated given
-the estimated class are discounted by the size of their correlations. The
-model's posteriors, not the labels, train a linear (logistic) classifier over
-hit counts and densities, which scores every whole text.
-
-Lexicons are mined from at most ``max_rows`` labelled documents. Defined cases:
-null text is the empty text, scored like any other. Without toxic labels only the
-fixed lexicon votes. Several labels of one document: the greatest is used.
+Voters are lexicons and patterns: insult words known beforehand, words, and word
+stems (4 to 6 letters) of three strengths that labelled documents tie to toxicity,
+patterns of abuse (insults addressed to someone, dismissals, threats, insults in
+a row), each in a one-hit, a several-hits and a density form, and voters for clean
+text. A generative label model estimates by expectation maximisation each voter's
+accuracy, and each pair's correlation given the class: every round, voters that agree
+beyond what the class explains share their say. The model's posteriors, not the
+labels, train a linear (logistic) classifier over hit counts and densities, which
+scores every whole text.
+
+Lexicons are mined from at most ``max_rows`` labelled documents, all their terms;
+so what the driver holds is bounded by that sample. Defined cases: null text is the
+empty text, scored like any other. Without toxic labels only the fixed lexicon and
+the patterns vote, and a few made-up rows (no hit: clean; several insults: toxic)
+stand for the missing cases. Several labels of one document: the greatest is used.
 Repeated rows are scored each; other columns are ignored.
 """
 
@@ -33,13 +36,19 @@ MAX_ROWS = 12_000
 STEMS = (4, 5, 6)
 #: Log-odds from which a term belongs to the weak, medium and strong lexicon, and documents that must have it.
 TIERS, LEAST = (2.5, 3.5, 4.5), 3
-#: Terms that mining may return, the best first: a bound on what the driver holds.
-MOST_TERMS = 20_000
 
 # Insults in common use.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown imbecile fool jerk bastard bitch asshole".split())
 
 _WORD = re.compile(r"[^\W\d_]+")
+_ABUSE = "|".join(sorted(INSULTS))
+#: Patterns that vote, on the text as it is; each looks a bounded way ahead.
+PATTERNS = {
+    "addressed": re.compile(rf"\b(?:you|your|you're|ur|he|she|they)\b[^.!?\n]{{0,40}}\b(?:{_ABUSE})\b", re.I),
+    "dismissal": re.compile(r"\b(?:shut up|get lost|drop dead|go to hell|screw you|hate you|nobody (?:likes|wants|asked) you|you (?:people|lot) (?:are|should))\b", re.I),
+    "threat": re.compile(r"\b(?:kill|hurt|beat|hunt|destroy|punish)\s+(?:you|him|her|them|yourself)\b", re.I),
+    "stacked": re.compile(rf"\b(?:{_ABUSE})\b\W{{1,4}}(?:\w{{1,20}}\W{{1,4}}){{0,3}}(?:{_ABUSE})\b", re.I),
+}
 
 
 def terms(word: str) -> Iterator[str]:
@@ -50,6 +59,9 @@ def terms(word: str) -> Iterator[str]:
             yield f"{word[:k]}*{k}"
 
 
+N_FEATURES = 2 + 2 * len(TIERS) + len(PATTERNS)
+
+
 class Voters:
     """Term lexicons by tier, and the features that they give a text."""
 
@@ -58,9 +70,11 @@ class Voters:
         self.stems = [(n, {t.split("*")[0]: k for t, k in lexicon.items() if t.endswith(f"*{n}")}) for n in STEMS]
 
     def features(self, text: str) -> list[float]:
-        """Hits of insults, words by tier and stems by tier, and the number of words."""
+        """Hits of insults, words by tier, stems by tier and patterns, and the number of words."""
         counts = Counter(_WORD.findall(text.lower()))
-        out = [0.0] * (2 + 2 * len(TIERS))
+        out = [0.0] * N_FEATURES
+        for k, pattern in enumerate(PATTERNS.values()):
+            out[1 + 2 * len(TIERS) + k] = float(sum(1 for _ in pattern.finditer(text)))
         tier, stems, n_tiers = self.tier.get, self.stems, len(TIERS)
         for word, n in counts.items():
             out[-1] += n
@@ -97,18 +111,18 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
     score = (v == 1).sum(axis=1) - 2.0 * (v == -1).sum(axis=1)
     post = np.where(score > 0, 0.9, 0.05)
     discount = np.ones(kinds.shape[2])
-    for step in range(rounds):
+    for _ in range(rounds):
         tables = [(np.tensordot(kinds, q, axes=([1], [0])) + 0.5) / (q.sum() + 1.5) for q in (post, 1 - post)]
         weight = np.log(tables[0]) - np.log(tables[1])
-        if step == rounds // 2:  # voters that agree beyond what the class explains share their say
-            mean = post[:, None] * (tables[0][0] - tables[0][2]) + (1 - post[:, None]) * (tables[1][0] - tables[1][2])
-            rest = v[:, fired] - mean
-            scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            tie = np.abs(rest.T @ rest / len(v) / np.outer(scale, scale))
-            discount = 1 / np.where(tie > 0.3, tie, 0).sum(axis=1).clip(1)
+        # Correlation of each pair of voters given the class; those that agree beyond it share their say.
+        mean = post[:, None] * (tables[0][0] - tables[0][2]) + (1 - post[:, None]) * (tables[1][0] - tables[1][2])
+        rest = v[:, fired] - mean
+        scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
+        tie = np.abs(rest.T @ rest / len(v) / np.outer(scale, scale))
+        discount = (discount + 1 / np.where(tie > 0.3, tie, 0).sum(axis=1).clip(1)) / 2
         logit = np.log(prior / (1 - prior)) + np.tensordot(kinds * discount, weight, axes=([0, 2], [0, 1]))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if step > rounds // 2 and np.abs(new - post).max() < 1e-6:
+        if np.abs(new - post).max() < 1e-6:
             break
         post = new
     return post
@@ -160,7 +174,7 @@ def mine(rows: DataFrame, n_toxic: int, n_clean: int) -> dict[str, int]:
     counted = rows.groupBy("text").agg(F.max("__y").alias("__y")).mapInArrow(count, "term string, toxic long, clean long")
     sums = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= LEAST)
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    best = sums.withColumn("odds", odds).where(F.col("odds") >= TIERS[0]).orderBy(F.desc("odds"), "term").limit(MOST_TERMS).collect()
+    best = sums.withColumn("odds", odds).where(F.col("odds") >= TIERS[0]).select("term", "odds").collect()
     return {r["term"]: sum(r["odds"] >= t for t in TIERS) - 1 for r in best}
 
 
@@ -168,9 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     """Lexicon and classifier weights from at most ``max_rows`` labelled documents, chosen by hash of the id."""
     bound_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("__y"))
-    n = known.count()
-    share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(31)), F.lit(1 << 20)) / float(1 << 20)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known.where(share < (max_rows / n if n else 1.0)), "doc_id").select("doc_id", "text", "__y")
+    known = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(31)), "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id").select("doc_id", "text", "__y")
     per = {r["__y"]: r["n"] for r in rows.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = per.get(1, 0), per.get(0, 0)
     lexicon = mine(rows.select("text", "__y"), n_toxic, n_clean) if n_toxic else {}
@@ -181,14 +194,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([voters.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "x"])
 
     got = rows.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, x array<double>").toArrow().sort_by("doc_id")
-    x = np.array(got.column("x").to_pylist()).reshape(-1, 2 + 2 * len(TIERS))
-    # Anchors keep the classifier sane where the sample lacks a case: no hit is clean, many insults are toxic.
-    anchors = np.zeros((20, x.shape[1]))
-    anchors[:, -1] = np.arange(20) * 40
-    anchors[10:, 0] = 4
+    x = np.array(got.column("x").to_pylist()).reshape(-1, N_FEATURES)
     prior = min(0.5, max(0.01, n_toxic / max(1, n_toxic + n_clean)))
-    target = np.concatenate([label_model(votes(x), prior) if len(x) else [], np.repeat([0.0, 1.0], 10)])
-    return lexicon, fit_linear(design(np.concatenate([x, anchors])), target)
+    target = label_model(votes(x), prior) if len(x) else np.zeros(0)
+    if not n_toxic:  # nothing to learn the toxic side from
+        made = np.zeros((20, N_FEATURES))
+        made[:, -1] = np.arange(20) * 40
+        made[10:, 0] = 4
+        x, target = np.concatenate([x, made]), np.concatenate([target, np.repeat([0.0, 1.0], 10)])
+    return lexicon, fit_linear(design(x), target)
 
 
 def score(docs: DataFrame, lexicon: dict[str, int], weights: np.ndarray) -> DataFrame:
