@@ -61,6 +61,23 @@ def sketch(hashes: np.ndarray, k: int = K) -> np.ndarray:
     return np.unique(hashes)[:k]
 
 
+def sketch_text(text: str, memo: WordHashes, n_words: int = SHINGLE, k: int = K, part: int = 1 << 22) -> np.ndarray:
+    """The sketch of a whole text; one of over ``part`` characters is sketched in parts that overlap by a shingle less a word, and merged."""
+    if len(text) <= part:
+        return sketch(shingles(text, memo, n_words), k)
+    out, rest, whole = np.zeros(0, np.uint64), "", False
+    for start in range(0, len(text), part):
+        rest += text[start : start + part]
+        last = start + part >= len(text)
+        tail = "" if last or not rest or rest[-1].isspace() else rest.rsplit(None, 1)[-1]  # a word may go on in the next part
+        words = rest[: len(rest) - len(tail)].encode().split()
+        if len(words) >= n_words or (last and not whole):
+            out, whole = merge(out, sketch(shingles(b" ".join(words).decode(), memo, n_words), k), k), True
+            words = words[len(words) - n_words + 1 :]
+        rest = b" ".join(words).decode() + " " + tail
+    return out
+
+
 def merge(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
     return np.union1d(a, b)[:k]
 
@@ -101,7 +118,7 @@ def fingerprints(docs: DataFrame, k: int = K, n_words: int = SHINGLE) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            found = [sketch(shingles(t.as_py() or "", memo, n_words), k) for t in batch.column(1)]
+            found = [sketch_text(t.as_py() or "", memo, n_words, k) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(text_of, found), pa.string()), pa.array([distinct(a, k) for a in found], pa.float64())], names=["doc_id", "fingerprint", "n_shingles"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string, n_shingles double")
@@ -150,16 +167,16 @@ def edited_pairs(docs: DataFrame, k: int = K, n_words: int = SHINGLE) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "in_next"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
         held, shown = None, set()
 
         def row(before, text, own):
             n = len(before[1])
             half = n // 2
             edited = before[1][: n - half] + text[:half]
-            e = sketch(shingles(edited, memo, n_words), k)
-            return before[0], n, hashlib.sha256(edited.encode()).hexdigest(), text_of(before[2]), text_of(e), resemblance(before[2], e, k), resemblance(before[2], own, k)
+            e = sketch_text(edited, memo, n_words, k)
+            return before[0], n, hashlib.sha256(edited.encode()).hexdigest(), text_of(before[2]), text_of(e), resemblance(before[2], e, k), resemblance(before[2], own, k), distinct(before[2], k), containment(before[2], own, k)
 
         out: list[tuple] = []
         for batch in batches:
@@ -167,7 +184,7 @@ def edited_pairs(docs: DataFrame, k: int = K, n_words: int = SHINGLE) -> DataFra
                 if ahead and bucket in shown:
                     continue  # a repeat of the look-ahead row
                 text = text or ""
-                own = sketch(shingles(text, memo, n_words), k)
+                own = sketch_text(text, memo, n_words, k)
                 if held is not None:
                     out.append(row(held, text, own))
                 held = None if ahead else (doc_id, text, own)
@@ -179,9 +196,9 @@ def edited_pairs(docs: DataFrame, k: int = K, n_words: int = SHINGLE) -> DataFra
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    return with_next(docs, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, in_next double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op9: fingerprints of every text and of the text whose latter half is taken from the next document's start."""
+    """op9: fingerprints of every text and of the text whose latter half is taken from the next document's start; estimated distinct shingles, and the share of them that the next text has."""
     return edited_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -41,6 +41,15 @@ def test_merge_and_estimates(rng):
     assert (S.from_text(S.text_of(S.sketch(a))) == S.sketch(a)).all()
 
 
+def test_long_texts_are_sketched_in_parts(rng):
+    memo = S.WordHashes()
+    for n in (0, 1, 4, 5, 6, 400):
+        text = " \n ".join(f"wörd{rng.randrange(200)}" + "x" * rng.randrange(30) for _ in range(n))
+        for part in (7, 50, 333):
+            assert (S.sketch_text(text, memo, part=part) == S.sketch(S.shingles(text, memo))).all()
+    assert (S.sketch_text("a" * 100, memo, part=9) == S.sketch(S.shingles("a" * 100, memo))).all()
+
+
 def test_edges(spark, edge, empty, tmp_path):
     got = S.edited_pairs(edge).toPandas()
     assert len(got) == 11 and S.edited_pairs(empty).count() == 0
