@@ -9,7 +9,7 @@ and balls of radius 2 are hashed on each: every band value emits its variants wi
 one bit, and the values that meet at a variant (33 at most) are paired. Texts with
 one value in a band are paired with one of them, which stands for the value. Pairs
 within the differing bits of likeness 0.8 and two standard errors are verified. Bands
-go in rounds; a round compares no texts that are in one group already.
+go in two rounds; the second compares no texts that are in one group already.
 
 Then the rest: two sets of likeness 0.8 share one of the rarest shingles of each, a
 fifth of the set and one. Texts that share such a shingle with at most ``CROWD``
@@ -17,8 +17,9 @@ texts, are of fitting sizes and are not yet in one group are all compared, so th
 no pair is lost to the bits, to a text that stands for others or to a ball. Comparing
 all pairs of a crowd (a large family of texts that are loosely alike) would cost the
 square of its size. Texts that meet in a crowd emit the balls of ``MORE`` more bands
-instead: a pair at 0.8 is found in a round with probability 0.70, so all six miss it
-in 7 of 10,000 cases; one at 0.85 is found with 0.87 and missed in 5 of a million.
+instead, in two rounds: a pair at 0.8 meets in a round of 20 with probability 0.92 and
+is within the bits with 0.98, of 10 with 0.70 in all; so all four rounds miss it in 9
+of 10,000 cases.
 
 Only texts that can have a near copy are looked at: a near copy shares at least
 0.8 of the hashes of the larger text, so a text of which fewer than 19 of the 48 least
@@ -46,13 +47,13 @@ from .components import components
 from .simhash import ones, plain, shingle_hashes
 
 WORDS, LIKENESS, BANDS, LEAST, RECUR = 5, 0.8, 20, 48, 19
-#: Texts at a place that are all compared; bands of those at larger places; bands whose balls are hashed at a time.
-CROWD, MORE, ROUND = 16, 40, 10
+#: Texts at a place that are all compared; bands whose balls are hashed at a time; bands, and bands at a time, of texts at larger places.
+CROWD, ROUND, MORE, MORE_ROUND = 16, 10, 40, 20
 #: Counts are compared with products of LIKENESS, which are not exact.
 SLACK = 1e-6
 
 
-def bits(hashes: np.ndarray, first: int = 0, n_bands: int = ROUND) -> list[int]:
+def bits(hashes: np.ndarray, first: int, n_bands: int) -> list[int]:
     """``n_bands`` 32-bit SimHashes of shingle hashes (numbers of 8 bytes) from the band ``first`` on, two from each remixed hash."""
     n, out = len(hashes), []
     h = hashes.astype(np.uint64)
@@ -92,14 +93,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+def _bands(batches: Iterator[pa.RecordBatch], first: int, n_bands: int) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        bands = [bits(grams.values.to_numpy().view(np.uint64), first) for grams in batch.column(1)]
+        bands = [bits(grams.values.to_numpy().view(np.uint64), first, n_bands) for grams in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64()))], names=["node", "bands"])
 
 
-def met_in_balls(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (lo, hi) of ``nodes`` (node, bands) of different ``roots`` (node, root) that meet in a ball and have few enough differing bits.
+def met_in_balls(nodes: DataFrame, roots: DataFrame, n_bands: int) -> DataFrame:
+    """Pairs (lo, hi) of ``nodes`` (node, bands: ``n_bands`` of them) of different ``roots`` (node, root) that meet in a ball and have few enough differing bits.
 
     Texts with one value in a band are proposed with one of them, which alone emits
     that value's ball; so a large group of copies costs a pair a text and band, and
@@ -107,14 +108,14 @@ def met_in_balls(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """
     masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << b for b in range(32)))])
     # All bits of the round travel with a text, so that pairs are judged where they meet.
-    packed = [F.shiftleft(F.get("bands", k), 32).bitwiseOR(F.get("bands", k + 1)).alias(f"s{k}") for k in range(0, ROUND, 2)]
+    packed = [F.shiftleft(F.get("bands", k), 32).bitwiseOR(F.get("bands", k + 1)).alias(f"s{k}") for k in range(0, n_bands, 2)]
     rooted = nodes.join(roots, "node", "left").select(F.struct("node", F.coalesce("root", "node").alias("root"), *packed).alias("t"), F.posexplode("bands").alias("band", "value"))
     values = rooted.select("t", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("value")).alias("spot"))
     heads, path = stash(values.groupBy("spot").agg(F.min(F.struct(F.xxhash64("t.node").alias("r"), "t")).alias("c")).select("spot", F.col("c.t").alias("head")))
 
     def alike(x: Column, y: Column) -> Column:
-        differ = sum((F.bit_count(x[f"s{k}"].bitwiseXOR(y[f"s{k}"])) for k in range(0, ROUND, 2)), F.lit(0))
-        return (x["root"] != y["root"]) & (differ <= most_bits(LIKENESS, 32 * ROUND))
+        differ = sum((F.bit_count(x[f"s{k}"].bitwiseXOR(y[f"s{k}"])) for k in range(0, n_bands, 2)), F.lit(0))
+        return (x["root"] != y["root"]) & (differ <= most_bits(LIKENESS, 32 * n_bands))
 
     same = values.join(heads, "spot").where(alike(F.col("t"), F.col("head"))).select("t.node", F.col("head.node").alias("centre"))
     places = heads.select("head", F.explode(F.transform(masks, lambda m: F.col("spot").bitwiseXOR(m))).alias("place"))
@@ -166,16 +167,13 @@ def apart(nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, at.where(F.col("n") > CROWD).select("node").distinct()
 
 
-def _by_balls(some: DataFrame, nodes: DataFrame, links: DataFrame, rounds: range) -> DataFrame:
-    """``links`` and those that balls find among ``some`` of ``nodes``; a round compares no texts that links connect already."""
-    for first in rounds:
-        roots = components(links)
-        banded, path = stash(some.mapInArrow(lambda batches, first=first: _bands(batches, first), "node long, bands array<long>"))
-        found, _ = stash(verified(met_in_balls(banded, roots), nodes))
-        links = links.union(found)
-        discard(nodes.sparkSession, path)
-        release(nodes.sparkSession)
-    return links
+def _by_balls(some: DataFrame, nodes: DataFrame, roots: DataFrame, first: int, n_bands: int) -> DataFrame:
+    """Links that the balls of some bands find among ``some`` of ``nodes`` that have different roots."""
+    banded, path = stash(some.mapInArrow(lambda batches: _bands(batches, first, n_bands), "node long, bands array<long>"))
+    found, _ = stash(verified(met_in_balls(banded, roots, n_bands), nodes))
+    discard(nodes.sparkSession, path)
+    release(nodes.sparkSession)
+    return found
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -197,12 +195,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own = raw.join(able, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("whole") == F.col("of"))).select("node", "text")
     nodes, nodes_path = stash(own.mapInArrow(_sets, "node long, grams array<long>").dropDuplicates(["node"]))
     release(spark)
-    links = _by_balls(nodes, nodes, spark.createDataFrame([], "lo long, hi long"), range(0, BANDS, ROUND))
-    pairs, crowd = apart(nodes, components(links))
+    roots, links = spark.createDataFrame([], "node long, root long"), None
+    for first in range(0, BANDS, ROUND):
+        found = _by_balls(nodes, nodes, roots, first, ROUND)
+        links = found if links is None else links.union(found)
+        roots = components(links)
+    pairs, crowd = apart(nodes, roots)
     rest, _ = stash(verified(pairs, nodes))
     links, (crowd, _) = links.union(rest), stash(crowd)
     if not crowd.isEmpty():
-        links = _by_balls(nodes.join(crowd, "node"), nodes, links, range(BANDS, BANDS + MORE, ROUND))
+        for first in range(BANDS, BANDS + MORE, MORE_ROUND):
+            links = links.union(_by_balls(nodes.join(crowd, "node"), nodes, roots, first, MORE_ROUND))
     discard(spark, nodes_path)
     roots = components(links)
     named = texts.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
