@@ -1,7 +1,8 @@
 """Ledgers that arrive in files: the batch operators over a drop folder, and windows over posting times.
 
-The batch operators need all rows of an account, so ``follow`` runs them on each
-arrival over the accounts that arrived. ``hourly_totals`` is an incremental
+The batch operators need all rows of an account, so ``follow`` keeps what arrived and
+runs them on each arrival over all rows of the accounts that it touches; the last
+result of an account counts (``current``). ``hourly_totals`` is an incremental
 aggregate with a watermark: late rows within it still count, state beyond it goes.
 """
 
@@ -14,16 +15,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def follow(spark: SparkSession, folder: str, schema: str, operator: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Apply ``operator`` to each arrival and write its rows below ``out`` by batch; a repeated batch replaces itself."""
+def follow(spark: SparkSession, folder: str, schema: str, operator: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "acct") -> StreamingQuery:
+    """Apply ``operator`` to the accounts of each arrival and write its rows below ``out`` by batch; a repeated batch replaces itself."""
+    kept = f"{out}/_ledger"  # readers of ``out`` pass over names with an underscore
 
     def each(rows: DataFrame, batch: int) -> None:
-        operator(rows).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        rows.write.mode("overwrite").parquet(f"{kept}/batch={batch}")
+        ledger = rows.sparkSession.read.schema(f"{schema}, batch int").parquet(kept).where(F.col("batch") <= batch).drop("batch")
+        touched = rows.sparkSession.read.schema(schema).parquet(f"{kept}/batch={batch}").select(key).distinct()
+        operator(ledger.join(touched, key, "left_semi")).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     stream = spark.readStream.schema(schema).parquet(folder)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, out: str, key: str = "acct") -> DataFrame:
+    """The last result of each account that ``follow`` wrote."""
+    rows = spark.read.parquet(out)
+    return rows.join(rows.groupBy(key).agg(F.max("batch").alias("batch")), [key, "batch"], "left_semi").drop("batch")
+
+
 def hourly_totals(rows: DataFrame, late: str = "2 hours") -> DataFrame:
     """Credits, debits and rows by account type and hour of posting (ts, type, amount)."""
     hours = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "type")

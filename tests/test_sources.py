@@ -35,6 +35,17 @@ def test_stream_gives_what_the_batch_gives(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, accounts.monthly_cash_flow(led).select(got.columns).collect()))
 
 
+def test_accounts_over_two_arrivals(spark, sf_dir, tmp_path):
+    led = ledgers.events(spark, sf_dir)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in led.schema)
+    where = {k: str(tmp_path / k) for k in ("in", "out", "cp")}
+    for part in (0, 1):
+        led.where(F.col("id") % 2 == part).write.mode("append").parquet(where["in"])
+        ledger_stream.follow(spark, where["in"], kinds, accounts.monthly_cash_flow, where["out"], where["cp"]).awaitTermination()
+    got = ledger_stream.current(spark, where["out"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, accounts.monthly_cash_flow(led).select(got.columns).collect()))
+
+
 def test_hourly_totals_stream(spark, sf_dir, tmp_path):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.col("event_type").alias("type"), F.col("value").alias("amount"))
     e.write.parquet(str(tmp_path / "in"))
