@@ -1,25 +1,17 @@
 """Removal of byte strings of 200 bytes that occur elsewhere.
 
-The strings to judge are all 200-byte prefixes of suffixes. As in a
-difference-cover suffix sort, only a sample of suffixes is named and the others
-are merged by their offset to a sampled one:
-
-1. Sample. The cover is chosen by content: the position whose 64-byte tuple has
-   the least hash among the tuples of a string. Equal strings choose the same
-   offset, which is what a difference cover guarantees for pairs of positions,
-   with 1.5 % of positions instead of the two thirds of residues modulo 3.
-2. Sort sampled tuples. Tuples are counted by name; strings whose tuple is unique
-   are unique.
-3. Recurse on names. Strings that choose one sampled position form one context;
-   contexts are named in turn. Where a whole context recurs, all its strings do.
-4. Merge the remaining suffixes. Contexts that share a tuple but are not equal
-   are compared string by string: tuples with few contexts within a task, tuples
-   with more than ``GROUP`` contexts by counting every string in a shuffle, so
-   that no key gathers unbounded rows in a task.
-5. Compare adjacent prefixes: strings found equal are repeated, their bytes go.
-
-Sorting all mod-3 triples of the corpus would shuffle several times two thirds
-of a row for each byte; README has the figures.
+This is not the difference-cover suffix sort: no suffix is sorted, positions are
+sampled by content and grouped by hash (README has the reason).
+
+1. Sample. Every string chooses the position whose 64-byte tuple has the least hash
+   among its tuples. Equal strings choose the same offset; 1.5 % of positions are chosen.
+2. Tuples are counted by name; strings whose tuple is unique are unique.
+3. Strings that choose one sampled position form a context, which is named in turn.
+   Where a whole context recurs, all its strings do.
+4. Contexts that share a tuple but are not equal are compared string by string:
+   tuples with few contexts within a task, tuples with more than ``GROUP`` contexts by
+   counting every string in a shuffle, so that no key gathers unbounded rows in a task.
+5. Strings found equal are repeated; their bytes go.
 
 Defined cases: null text is the empty text; texts below 200 bytes are never
 touched; equal texts of 200 bytes or more lose every byte; overlapping repeats
