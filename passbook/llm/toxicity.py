@@ -42,12 +42,19 @@ INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers scum tra
 
 _WORD = re.compile(r"[^\W\d_]+")
 _ABUSE = "|".join(sorted(INSULTS))
-#: Patterns that vote, on the text as it is; each looks a bounded way ahead.
+#: Patterns that vote, on the lower-cased text; each looks a bounded way ahead.
 PATTERNS = {
-    "addressed": re.compile(rf"\b(?:you|your|you're|ur|he|she|they)\b[^.!?\n]{{0,40}}\b(?:{_ABUSE})\b", re.I),
-    "dismissal": re.compile(r"\b(?:shut up|get lost|drop dead|go to hell|screw you|hate you|nobody (?:likes|wants|asked) you|you (?:people|lot) (?:are|should))\b", re.I),
-    "threat": re.compile(r"\b(?:kill|hurt|beat|hunt|destroy|punish)\s+(?:you|him|her|them|yourself)\b", re.I),
-    "stacked": re.compile(rf"\b(?:{_ABUSE})\b\W{{1,4}}(?:\w{{1,20}}\W{{1,4}}){{0,3}}(?:{_ABUSE})\b", re.I),
+    "addressed": re.compile(rf"\b(?:you|your|you're|ur|he|she|they)\b[^.!?\n]{{0,40}}\b(?:{_ABUSE})\b"),
+    "dismissal": re.compile(r"\b(?:shut up|get lost|drop dead|go to hell|screw you|hate you|nobody (?:likes|wants|asked) you|you (?:people|lot) (?:are|should))\b"),
+    "threat": re.compile(r"\b(?:kill|hurt|beat|hunt|destroy|punish)\s+(?:you|him|her|them|yourself)\b"),
+    "stacked": re.compile(rf"\b(?:{_ABUSE})\b\W{{1,4}}(?:\w{{1,20}}\W{{1,4}}){{0,3}}(?:{_ABUSE})\b"),
+}
+#: One of these words stands in every match of a pattern: texts without any of them need no search.
+NEEDED = {
+    "addressed": INSULTS,
+    "dismissal": frozenset("shut lost drop hell screw hate nobody people lot".split()),
+    "threat": frozenset("kill hurt beat hunt destroy punish".split()),
+    "stacked": INSULTS,
 }
 
 
@@ -62,32 +69,43 @@ def terms(word: str) -> Iterator[str]:
 N_FEATURES = 2 + 2 * len(TIERS) + len(PATTERNS)
 
 
+#: Words without a feature that a task remembers at once, and the longest of them in characters.
+MEMO, LONGEST = 200_000, 64
+
+
 class Voters:
     """Term lexicons by tier, and the features that they give a text."""
 
     def __init__(self, lexicon: dict[str, int]) -> None:
         self.tier = {t: k for t, k in lexicon.items() if "*" not in t}
         self.stems = [(n, {t.split("*")[0]: k for t, k in lexicon.items() if t.endswith(f"*{n}")}) for n in STEMS]
+        self.plain: set[str] = set()
+
+    def hits(self, word: str) -> list[int]:
+        """Features that ``word`` counts for: insult, its tier, the tier of its shortest known stem."""
+        out = [0] if word in INSULTS else []
+        if word in self.tier:
+            out.append(1 + self.tier[word])
+        stem = next((known[word[:n]] for n, known in self.stems if len(word) > n and word[:n] in known), None)
+        return out if stem is None else [*out, 1 + len(TIERS) + stem]
 
     def features(self, text: str) -> list[float]:
         """Hits of insults, words by tier, stems by tier and patterns, and the number of words."""
-        counts = Counter(_WORD.findall(text.lower()))
-        out = [0.0] * N_FEATURES
-        for k, pattern in enumerate(PATTERNS.values()):
-            out[1 + 2 * len(TIERS) + k] = float(sum(1 for _ in pattern.finditer(text)))
-        tier, stems, n_tiers = self.tier.get, self.stems, len(TIERS)
-        for word, n in counts.items():
-            out[-1] += n
-            if word in INSULTS:
-                out[0] += n
-            k = tier(word)
-            if k is not None:
-                out[1 + k] += n
-            for size, known in stems:
-                k = known.get(word[:size]) if len(word) > size else None
-                if k is not None:
-                    out[1 + n_tiers + k] += n
-                    break
+        low, out = text.lower(), [0.0] * N_FEATURES
+        words = _WORD.findall(low)
+        counts = Counter(words)
+        out[-1] = float(len(words))
+        for word in counts.keys() - self.plain:
+            found = self.hits(word)
+            for k in found:
+                out[k] += counts[word]
+            if not found and len(word) <= LONGEST:
+                self.plain.add(word)
+        if len(self.plain) > MEMO:
+            self.plain.clear()
+        for k, (name, pattern) in enumerate(PATTERNS.items(), 1 + 2 * len(TIERS)):
+            if not NEEDED[name].isdisjoint(counts):
+                out[k] = float(sum(1 for _ in pattern.finditer(low)))
         return out
 
 

@@ -75,3 +75,23 @@ def test_label_model_finds_the_better_voter(rng):
     v = np.stack([vote(0.95), vote(0.9), vote(0.9), vote(0.55)], axis=1)
     post = toxicity.label_model(v, 0.3)
     assert ((post > 0.5) == truth).mean() > 0.93
+
+
+def test_toxicity_features_match_a_search_of_everything(rng):
+    lexicon = {"grim": 0, "vile": 2, "rott*4": 1, "wretch*6": 2, "wret*4": 0}
+    words = "you they ur idiot MORON dumb kill hurt punish him yourself shut up get lost drop dead hate nobody likes people are lot should grim vile rotten wretched wretch calm".split()
+    texts = ["", "".join(["x"] * 500), "you\u00a0idiot", "idiot9 _moron"] + ["".join(rng.choice(words) + rng.choice([" ", " ", ", ", ". ", "\n", "-"]) for _ in range(rng.randrange(60))) for _ in range(400)]
+    voters, fired = toxicity.Voters(lexicon), np.zeros(toxicity.N_FEATURES)
+    for text in texts:
+        low, slow = text.lower(), [0.0] * toxicity.N_FEATURES
+        for word in toxicity._WORD.findall(low):
+            slow[-1] += 1
+            slow[0] += word in toxicity.INSULTS
+            slow[1] += word == "grim"
+            slow[3] += word == "vile"
+            slow[5] += word.startswith("rott") and len(word) > 4
+            slow[4] += word.startswith("wret") and len(word) > 4
+        slow[7:11] = [len(pattern.findall(low)) for pattern in toxicity.PATTERNS.values()]
+        assert voters.features(text) == slow, text
+        fired += slow
+    assert (fired[[0, 1, 3, 4, 5, 7, 8, 9, 10]] > 0).all()
