@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus jobs, each a module of this subpackage.
+"""Training-data operators: thirteen corpus jobs, each a module of this subpackage.
 
 Nothing outside this subpackage imports it; ``queries.py`` lists what the
 driver entry point registers.

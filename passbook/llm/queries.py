@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, mixing, quality, repeats, rules, simhash, sketches, toxicity
+from . import bpe, langid, linededup, mixing, quality, repeats, rules, simhash, sketches, toxicity, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": langid.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": repeats.query,
     "op9_fingerprints": sketches.query,
     "op10_mixing": mixing.query,
+    "op13_word_bpe": wordbpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_line_dedup": linededup.SQL}
