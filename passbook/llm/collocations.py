@@ -166,12 +166,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, string_split(trim(regexp_replace(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+', ' ', 'g'), ' '), ' ') AS w FROM documents
-), o AS (SELECT lang, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c FROM p WHERE w <> ['']
-), g AS (SELECT lang, a AS gram, count(*) AS f FROM o GROUP BY ALL UNION ALL SELECT lang, a || ' ' || b, count(*) FROM o WHERE b IS NOT NULL GROUP BY ALL UNION ALL SELECT lang, a || ' ' || b || ' ' || c, count(*) FROM o WHERE c IS NOT NULL GROUP BY ALL
+), o AS MATERIALIZED (SELECT lang, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c FROM p WHERE w <> ['']
+), g AS MATERIALIZED (SELECT lang, a AS gram, count(*) AS f FROM o GROUP BY ALL UNION ALL SELECT lang, a || ' ' || b, count(*) FROM o WHERE b IS NOT NULL GROUP BY ALL UNION ALL SELECT lang, a || ' ' || b || ' ' || c, count(*) FROM o WHERE c IS NOT NULL GROUP BY ALL
 ), n AS (SELECT lang, count(*) AS n FROM o GROUP BY lang
-), cand AS (SELECT lang, gram AS phrase, string_split(gram, ' ') AS w, f AS a FROM g WHERE f >= 10 AND contains(gram, ' ')
+), cand AS MATERIALIZED (SELECT lang, gram AS phrase, string_split(gram, ' ') AS w, f AS a FROM g WHERE f >= 10 AND contains(gram, ' ')
 ), cut AS (SELECT *, unnest(range(1, len(w))) AS k FROM cand
-), s AS (SELECT c.lang, c.phrase, c.w, c.a, c.k, x.f AS l, y.f AS r, CAST(1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score FROM cut c JOIN g x ON x.lang = c.lang AND x.gram = array_to_string(c.w[:c.k], ' ') JOIN g y ON y.lang = c.lang AND y.gram = array_to_string(c.w[c.k + 1:], ' ')
+), s AS MATERIALIZED (SELECT c.lang, c.phrase, c.w, c.a, c.k, x.f AS l, y.f AS r, CAST(1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score FROM cut c JOIN g x ON x.lang = c.lang AND x.gram = array_to_string(c.w[:c.k], ' ') JOIN g y ON y.lang = c.lang AND y.gram = array_to_string(c.w[c.k + 1:], ' ')
 ), low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), held AS (SELECT lang, array_to_string(w[:2], ' ') AS phrase, a FROM cand WHERE len(w) = 3 UNION ALL SELECT lang, array_to_string(w[2:], ' '), a FROM cand WHERE len(w) = 3
 ), kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.lang = low.lang AND h.phrase = low.phrase AND 100 * h.a >= 50 * low.a))
