@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, collocations, langid, linededup, mixing, quality, repeats, rules, simhash, sketches, toxicity, wordbpe
+from . import bpe, collocations, langid, linededup, mixing, quality, repeats, rules, simhash, sketches, toxicity, trie, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": langid.query,
@@ -19,11 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": repeats.query,
     "op9_fingerprints": sketches.query,
     "op10_mixing": mixing.query,
+    "op11_prefix_trie": trie.query,
     "op12_collocations": collocations.query,
     "op13_word_bpe": wordbpe.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": linededup.SQL, "op12_collocations": collocations.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": linededup.SQL, "op11_prefix_trie": trie.SQL, "op12_collocations": collocations.SQL}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
