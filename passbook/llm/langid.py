@@ -6,10 +6,10 @@ n-grams (1 to 4 bytes, letters lower-cased, other ASCII as blanks) of the whole
 text as shares of their number. All models are linear, so scoring a text is one
 pass that looks up and sums weights, vectorised over a buffer of many texts.
 
-Machines are fitted by dual coordinate descent on a sample of labelled documents,
-at most ``per_language`` a language and ``most_rows`` in all, of the ``languages``
-that label most documents; the executors make the features. Rarer values of lang
-are not learned: that bounds what the driver holds and the broadcast weights.
+Machines are fitted by dual coordinate descent on a sample of labelled documents:
+at most ``per_language`` a language, ``most_rows`` in all and ``most_features``
+features in all, but one document of every language whatever their number. The
+executors make the features. A machine's weights are 256 KB of the broadcast table.
 
 Defined cases: null text, or one without any letter: ``und`` with score 0. One
 learned language: it is predicted for every text with letters. No learned
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks
-from .common import bound_batches, fold, kinds, placed, quoted, sliced
+from .common import bound_batches, fold, kinds, placed, quoted, sliced, stash
 
-#: Documents a language, and documents in all, that the machines are fitted on; languages that are learned.
-PER_LANGUAGE, MOST_ROWS, LANGUAGES = 800, 12_000, 100
+#: Documents a language, documents in all, and features in all (8 bytes each) that the machines are fitted on.
+PER_LANGUAGE, MOST_ROWS, MOST_FEATURES = 800, 12_000, 16_000_000
 BITS, ORDERS, SCALE = 16, (1, 2, 3, 4), 40.0
 
 # ISO 639-1 codes by language family; a code not listed is a family of its own.
@@ -132,26 +132,31 @@ class Model:
         return langs, scores
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, languages: int = LANGUAGES) -> Model | None:
-    """Fit on a bounded sample of ``labelled`` (doc_id, text, lang), chosen by hash of the id."""
-    bound_batches(labelled.sparkSession)
-    labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    if not counts:
-        return None
-    per_language = min(per_language, max(1, most_rows // len(counts)))
-    share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    wanted = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        wanted = wanted | ((F.col("lang") == lang) & (share < per_language / n))
+def sample(labelled: DataFrame, per_language: int, most_rows: int, most_features: int) -> DataFrame:
+    """(doc_id, lang, rank, at, v): features of documents of each language, drawn by hash; the one of least hash in any case."""
+    share = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
+    known = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    known = known.select(F.col("doc_id").cast("long"), "lang", F.col("text").cast("binary").alias("text"), F.struct(share.alias("share"), F.xxhash64("text").alias("own")).alias("draw"))
+    counts, _ = stash(known.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")))
+    per_language = min(per_language, max(1, most_rows // max(1, counts.count())))
+    rank = F.col("draw.share") * F.col("n") / per_language  # below 1 for as many as are wanted, on average
+    first = F.col("draw") == F.col("least")
+    drawn = known.join(counts, "lang").where((rank < 1) | first).dropDuplicates(["lang", "doc_id", "draw"]).select("doc_id", "lang", rank.alias("rank"), first.alias("first"), "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            made = [features(t) if has_letter(t) else (np.zeros(0, np.int32), np.zeros(0, np.float32)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))], names=["doc_id", "lang", "at", "v"])
+            made = [features(t) if has_letter(t) else (np.zeros(0, np.int32), np.zeros(0, np.float32)) for t in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))], names=["doc_id", "lang", "rank", "first", "at", "v"])
+
+    made, _ = stash(drawn.mapInArrow(make, "doc_id long, lang string, rank double, first boolean, at array<int>, v array<float>"))
+    total = made.agg(F.sum(F.size("at"))).first()[0] or 0
+    return made.where((F.col("rank") * max(1.0, total / most_features) < 1) | F.col("first")).select("doc_id", "lang", "rank", "at", "v")
 
-    sample = labelled.where(wanted).select(F.col("doc_id").cast("long"), "lang", F.col("text").cast("binary").alias("text")).mapInArrow(make, "doc_id long, lang string, at array<int>, v array<float>")
-    got = sample.toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, most_features: int = MOST_FEATURES) -> Model | None:
+    """Fit on a bounded sample of ``labelled`` (doc_id, text, lang), chosen by hash of the id."""
+    bound_batches(labelled.sparkSession)
+    got = sample(labelled, per_language, most_rows, most_features).toArrow().sort_by([("lang", "ascending"), ("rank", "ascending"), ("doc_id", "ascending")])
     langs = got.column("lang").to_pylist()
     rows = list(zip((x.values.to_numpy() for x in got.column("at")), (x.values.to_numpy() for x in got.column("v")), strict=True))
     seen, keep = {}, []
@@ -167,13 +172,13 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int
     if not families:
         return None
     fam, lang_of = np.array([FAMILY_OF.get(x, x) for x in langs]), np.array(langs)
-    machines = [fit_svm(rows, np.where(fam == f, 1.0, -1.0)) for f in families] if len(families) > 1 else []
+    machines = [fit_svm(rows, np.where(fam == f, 1.0, -1.0)).astype(np.float32) for f in families] if len(families) > 1 else []
     pairs = [p for f in families for p in combinations(members[f], 2)]
     for a, b in pairs:
         own = np.flatnonzero((lang_of == a) | (lang_of == b))
-        machines.append(fit_svm([rows[i] for i in own], np.where(lang_of[own] == a, 1.0, -1.0)))
-    table = np.stack(machines, axis=1) if machines else np.zeros(((1 << BITS) + 1, 0))
-    return Model(families, members, pairs, np.ascontiguousarray(table[:-1]), table[-1])
+        machines.append(fit_svm([rows[i] for i in own], np.where(lang_of[own] == a, 1.0, -1.0)).astype(np.float32))
+    table = np.stack(machines, axis=1) if machines else np.zeros(((1 << BITS) + 1, 0), np.float32)
+    return Model(families, members, pairs, np.asfortranarray(table[:-1]), table[-1].astype(np.float64))
 
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -195,7 +200,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
                 sums = np.zeros((len(starts), m.weights.shape[1]))
                 for g in grams(buffer):
                     for j in range(m.weights.shape[1]):
-                        sums[:, j] += np.add.reduceat(np.append(m.weights[:, j][g], 0.0), cuts)[::2]
+                        sums[:, j] += np.add.reduceat(np.append(m.weights[:, j][g], np.float32(0)), cuts, dtype=np.float64)[::2]
                 total = np.maximum(1, (ends - starts + 3) * len(ORDERS))[:, None]
                 found, sure = m.predict(sums * (SCALE / total) + m.bias)
                 ascii_letters = np.add.reduceat(np.append(((buffer | 32) - 97 < 26)[:-1].astype(np.int64), 0), cuts)[::2]

@@ -95,3 +95,35 @@ def test_toxicity_features_match_a_search_of_everything(rng):
         assert voters.features(text) == slow, text
         fired += slow
     assert (fired[[0, 1, 3, 4, 5, 7, 8, 9, 10]] > 0).all()
+
+
+def test_every_language_is_learned(spark):
+    """More languages than families, two of them with one document; the bounds on rows and features leave one of each."""
+    names = [f"x{k}" for k in range(104)] + ["de", "nl"]
+    rows = [(100 * k + j, " ".join(chr(0x4E00 + 37 * k + (7 * i * j) % 30) * 3 for i in range(20)), lang) for k, lang in enumerate(names) for j in range(1 if k in (3, 104) else 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in ({}, {"most_rows": 50}, {"most_features": 10}):
+        model = langid.train(frame, **most)
+        assert sorted(x for f in model.families for x in model.members[f]) == sorted(names)
+    got = langid.identify(frame, langid.train(frame), ("doc_id", "lang")).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.95 * len(got)
+
+
+def test_margins_against_slow_sums(spark, docs):
+    """Language and score from n-grams of each text counted one by one, and the votes of all machines."""
+    model = langid.train(docs)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        raw = bytes(b if b > 127 else b | 32 if chr(b).isalpha() else 32 for b in (r["text"] or "").encode())
+        raw = b"   " + raw + b"    "
+        sums, n = np.zeros(len(model.bias)), 0
+        for k in langid.ORDERS:
+            for i in range(len(raw) - 4):
+                gram = int.from_bytes(raw[i : i + k], "little")
+                sums += model.weights[((gram + k) * 0x9E3779B1) % 2**32 >> (32 - langid.BITS)]
+                n += 1
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        langs, scores = model.predict((sums * langid.SCALE / n + model.bias)[None])
+        assert got[r["doc_id"]]["lang_pred"] == langs[0] and abs(got[r["doc_id"]]["score"] - scores[0]) < 1e-3
