@@ -11,15 +11,24 @@ from .text import clean_narration, first_match
 PAYMENT_WORDS = ["UPI", "NEFT", "IMPS", "RTGS", "ACH", "NACH", "ECS", "ATM", "POS", "CHQ", "CHEQUE", "REV-UPI", "TRANSFER", "BBPS", "DEPOSIT", "WITHDRAWAL", "INTEREST"]
 # Table headings by column; the first column one of whose headings is found counts.
 HEADINGS = [
-    ("DATE", r"\bdate\b|\btxndate\b"),
-    ("DESCRIPTION", r"\bdescription\b|\bparticulars?\b|\bnarrations?\b|\bremarks\b|\bdetails\b"),
-    ("REFERENCE", r"\breference\b|\bref\b|\bcheque\s*no\b|\bchq\b|\butr\b|\btransaction\s*id\b|\btxn\s*id\b|\bcha\s*/\s*ref\b"),
-    ("DEBIT", r"\bdebits?\b|\bdr\b|\bwithdrawals?\b|\bpaid\s*out\b|\(dr\.?\)|\bdr\.|\(or\.?\)"),
-    ("CREDIT", r"\bcredits?\b|\bcr\b|\bdeposits?\b|\bpaid\s*in\b|\(cr\.?\)|\bcr\."),
-    ("BALANCE", r"\bbalance\b|\bbal\b"),
-    ("AMOUNT", r"\bamount\b"),
+    ("DATE", r"\b(tran|trans|transaction|value|posting|txn)?date\b"),
+    ("DESCRIPTION", r"\bdescription\b|\bparticulars?\b|\bnarrations?\b|\bremarks\b|\b(transaction)?details\b"),
+    ("REFERENCE", r"\breference\b|\bref(no)?\b|\bcheque\s*no\b|\bchq(no)?\b|\butr\b|\btransaction\s*id\b|\btxn\s*id\b|\bcha\s*/\s*ref\b"),
+    ("DEBIT", r"\bdebits?\b|\bdebitamount\b|\bdr\b|\bwithdrawals?\b|\bpaid\s*out\b|\b(withdrawal|debit)dr\b|\(dr\.?\)|\bdr\.|\(or\.?\)"),
+    ("CREDIT", r"\bcredits?\b|\bcreditamount\b|\bcr\b|\bdeposits?\b|\bpaid\s*in\b|\b(deposit|credit)cr\b|\(cr\.?\)|\bcr\."),
+    ("BALANCE", r"\b(running|available|closing|net)?balance(inr|rs)?\b|\bbal\b"),
+    ("AMOUNT", r"\b(txn|transaction)?amount(inr|rs)?\b"),
     ("DR_CR", r"\bcr\s*/\s*dr\b|\bdr\s*/\s*cr\b|\btype\b|\bc\s*/\s*d\b|\bd\s*/\s*c\b"),
 ]
+# Words that go on a heading, whatever its column.
+HEADING_ENDS = ["no", "no.", "id", "num", "number", "details", "dr", "cr", "dr.", "cr.", "(dr)", "(cr)", "(dr.)", "(cr.)", "(or)", "(or.)"]
+# Whole words that are a column's heading in the second dialect.
+WHOLE_HEADINGS = [
+    ("DATE", r"(?i)^(date|tran\s*date|txn\s*date|value\s*date)$"), ("DESCRIPTION", r"(?i)^(particulars|narration|description|details)$"), ("REFERENCE", r"(?i)^(chq|ref|chq/ref|cheque|reference|chq\s*no)$"),
+    ("DEBIT", r"(?i)^(withdrawal|withdrawals|debit|dr|dr\.|withdrawal\s*\(dr\))$"), ("CREDIT", r"(?i)^(deposit|deposits|credit|cr|cr\.|deposit\s*\(cr\))$"), ("BALANCE", r"(?i)^(balance|running\s*balance|bal)$"),
+]
+# Phrases of pages without a table.
+NOTICES = ["important information", "account summary", "end of statement", "terms and conditions", "statutory notice", "step into the", "commonly used narrations"]
 # Display names of categories.
 CATEGORY_NAMES = {
     "RE_05": "Salary / Employment Income", "RE_17": "Inward UPI / Bank Transfers", "RE_07": "Inward Credit Transfers", "LO_05": "Loan Disbursal / Credit", "ZZ_98": "Other Inward Credits", "RE_11": "Investment Dividends / Returns", "TF_05": "Account Verification Credits",

@@ -7,11 +7,13 @@ their own earlier choices are grouped by page or document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import MONEY, clean_amount, indicator
+from ..functions.money import MONEY, clean_amount, indicator, let
 from ..functions.text import TYPED_CREDIT, TYPED_DEBIT
 
 
@@ -91,30 +93,82 @@ def bucket_rows(tokens: DataFrame, tolerance: float = 8.0) -> DataFrame:
     return folded.select("doc_id", "page", F.explode("out").alias("o")).select("doc_id", "page", "o.tok", F.col("o.anchor").alias("anchor"))
 
 
+def _ranked(starts: Column, down: bool = False) -> Column:
+    """Place of each line (from 1) when lines are in order of ``starts``; the one made first goes first among equals."""
+    order = F.transform(F.array_sort(F.transform(starts, lambda v, k: F.struct((-v if down else v).alias("v"), k.alias("k")))), lambda o: o["k"])
+    return F.transform(starts, lambda _, k: F.array_position(order, k))
+
+
+def _numbered(tokens: DataFrame, order: list[str], state: Column, step: Callable[[Column, Column], Column], down: bool = False) -> DataFrame:
+    """Line number of each token: a fold over a page's tokens in ``order`` whose state has ``tops`` of the lines and ``at``, the line of each token so far."""
+    page = F.array_sort(F.collect_list(F.struct(*order, *[c for c in ("tok", "x0", "y0", "y1") if c not in order])))
+    folded = tokens.groupBy("doc_id", "page").agg(page.alias("toks")).withColumn("done", F.aggregate("toks", state, step)).withColumn("place", _ranked(F.col("done.tops"), down))
+    spread = folded.select("doc_id", "page", F.posexplode("toks").alias("i", "t"), "done.at", "place")
+    return spread.select("doc_id", "page", "t.tok", F.get("place", F.get("at", F.col("i"))).alias("row"))
+
+
 def cluster_rows(tokens: DataFrame, overlap: float = 0.35, near: float = 3.5) -> DataFrame:
-    """Row number of each token: the nearest row it overlaps enough or whose middle is near, else a new one; rows grow as they gather."""
-
-    def page_rows(page: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list[float]] = []
-        member = []
-        page = page.sort_values(["y0", "x0", "tok"])
-        for y0, y1 in zip(page["y0"], page["y1"], strict=True):
-            middle, best, at = (y0 + y1) / 2, 999.0, -1
-            for k, (top, bottom) in enumerate(rows):
-                shared = max(0.0, min(y1, bottom) - max(y0, top)) / min(max(y1 - y0, 6.0), max(bottom - top, 6.0))
-                away = abs(middle - (top + bottom) / 2)
-                if (shared >= overlap or away <= near) and away < best:
-                    best, at = away, k
-            if at < 0:
-                rows.append([y0, y1])
-                at = len(rows) - 1
-            else:
-                rows[at] = [min(rows[at][0], y0), max(rows[at][1], y1)]
-            member.append(at)
-        order = {k: i + 1 for i, k in enumerate(sorted(range(len(rows)), key=lambda k: rows[k][0]))}
-        return pd.DataFrame({"doc_id": page["doc_id"], "page": page["page"], "tok": page["tok"], "row": [order[m] for m in member]})
+    """Row number of each token: the row it fits whose middle is nearest, else a new one; rows grow as they gather.
+
+    A token fits a row if they share ``overlap`` of the lower one's height (6 points
+    at least) or their middles are ``near``.
+    """
+    middle = lambda a, b: (a + b) / 2
+    tall = lambda a, b: F.greatest(b - a, F.lit(6.0))
+    state = F.struct(F.array().cast("array<double>").alias("tops"), F.array().cast("array<double>").alias("ends"), F.array().cast("array<int>").alias("at"))
+
+    def step(acc: Column, t: Column) -> Column:
+        top, end = t["y0"], t["y1"]
+        boxes = F.arrays_zip(acc["tops"], acc["ends"])
+        away = F.transform(boxes, lambda r: F.abs(middle(top, end) - middle(r["tops"], r["ends"])))
+        shared = F.transform(boxes, lambda r: F.greatest(F.least(end, r["ends"]) - F.greatest(top, r["tops"]), F.lit(0.0)) / F.least(tall(top, end), tall(r["tops"], r["ends"])))
+        fits = F.filter(F.transform(F.arrays_zip(away.alias("away"), shared.alias("shared")), lambda m, k: F.struct(m["away"].alias("away"), k.alias("k"), ((m["shared"] >= overlap) | (m["away"] <= near)).alias("fits"))), lambda m: m["fits"])
+
+        def joined(k: Column) -> Column:
+            grown = lambda side, merge, v: F.when(k.isNull(), F.array_append(acc[side], v)).otherwise(F.transform(acc[side], lambda old, j: F.when(j == k, merge(old, v)).otherwise(old)))
+            return F.struct(grown("tops", F.least, top).alias("tops"), grown("ends", F.greatest, end).alias("ends"), F.array_append(acc["at"], F.coalesce(k, F.size(acc["tops"]))).alias("at"))
+
+        return let(F.array_min(fits)["k"], joined)
+
+    return _numbered(tokens, ["y0", "x0", "tok"], state, step)
+
+
+def anchored_rows(tokens: DataFrame, tolerance: float, moving: bool, down: bool = False) -> DataFrame:
+    """Row number of each token in reading order: the first row whose anchor is within ``tolerance`` of its top, else a new one.
+
+    A ``moving`` anchor falls to the least top of its row. Rows are counted from the
+    least anchor up, or ``down`` from the greatest (pages with the origin below).
+    """
+    state = F.struct(F.array().cast("array<double>").alias("tops"), F.array().cast("array<int>").alias("at"))
+
+    def step(acc: Column, t: Column) -> Column:
+        near = F.filter(F.transform(acc["tops"], lambda v, k: F.when(F.abs(v - t["y0"]) <= tolerance, k)), lambda k: k.isNotNull())
+
+        def joined(k: Column) -> Column:
+            lower = F.transform(acc["tops"], lambda v, j: F.when(j == k, F.least(v, t["y0"])).otherwise(v)) if moving else acc["tops"]
+            return F.struct(F.when(k.isNull(), F.array_append(acc["tops"], t["y0"])).otherwise(lower).alias("tops"), F.array_append(acc["at"], F.coalesce(k, F.size(acc["tops"]))).alias("at"))
+
+        return let(F.get(near, 0), joined)
+
+    return _numbered(tokens, ["tok"], state, step, down)
+
+
+def row_slices(tokens: DataFrame) -> DataFrame:
+    """Rows of a table: tops within 5 points, anchors that fall."""
+    return anchored_rows(tokens, 5.0, moving=True)
+
+
+def visual_lines(tokens: DataFrame) -> DataFrame:
+    """Lines of a page whose origin is below: baselines within 3.5 points of the line's first."""
+    return anchored_rows(tokens, 3.5, moving=False, down=True)
+
 
-    return tokens.select("doc_id", "page", "tok", "x0", "y0", "y1").groupBy("doc_id", "page").applyInPandas(page_rows, "doc_id long, page long, tok long, row long")
+def reading_order(tokens: DataFrame, tolerance: float = 3.5) -> DataFrame:
+    """Place of each token (from 1): lines from the top, a line from the left. Tops that follow one another within ``tolerance`` are one line."""
+    by_top = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "tok")
+    cut = tokens.withColumn("cut", F.when(F.col("y0") - F.lag("y0").over(by_top) <= tolerance, 0).otherwise(1))
+    lines = cut.withColumn("line", F.sum("cut").over(by_top))
+    return lines.select("doc_id", "page", "tok", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("line", "x0", "tok")).cast("long").alias("place"))
 
 
 def join_decimals(cells: DataFrame, gap: float = 6.0) -> DataFrame:

@@ -100,12 +100,6 @@ def test_state_machine(spark):
     assert [r["balance"] for r in t] == [59000, 58550, 57750] and t[0]["description"] == "first wrapped" and {r["d"] for r in t} == {day}
 
 
-def test_row_clusters_against_brute_force(spark):
-    toks = [(1, 1, k, "w", 10.0 * k, y, 10.0 * k + 8, y + 9) for k, y in enumerate([10.0, 11.0, 10.5, 24.0, 23.0, 40.0])]
-    got = layout.cluster_rows(spark.createDataFrame(toks, "doc_id long, page long, tok long, text string, x0 double, y0 double, x1 double, y1 double")).collect()
-    assert {r["tok"]: r["row"] for r in got} == {0: 1, 1: 1, 2: 1, 3: 2, 4: 2, 5: 3}
-
-
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.integers(-10**9, 10**9), st.integers(1, 10**9)), min_size=1, max_size=20))
 def test_ratios_round_half_away(spark, pairs):
