@@ -1,20 +1,20 @@
 """Positioned tokens to rows, columns and transactions.
 
 tokens: doc_id, page, tok (reading index), text, x0, y0, x1, y1. The unit of work
-is a page: small joins are on (doc_id, page), and the greedy steps that depend on
-their own earlier choices are grouped by page or document.
+is a page: small joins are on (doc_id, page), greedy steps that depend on their own
+earlier choices are folds over a page, and steps over documents go in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, clean_amount, indicator, let
 from ..functions.text import TYPED_CREDIT, TYPED_DEBIT
+from .blocks import automaton, running
 
 
 def assign_columns(tokens: DataFrame, columns: DataFrame, default: str | None = "DESCRIPTION") -> DataFrame:
@@ -195,6 +195,7 @@ def to_points(boxes: DataFrame, pad: float, width: float, height: float, scale_x
     return boxes.select(*[c for c in boxes.columns if c not in ("x0", "x1", "y0", "y1")], x("x0"), y("y0"), x("x1"), y("y1"))
 
 
+# Words of a table header.
 HEADER_WORDS = {"what": ["particulars", "description", "narration", "details", "remarks"], "date": ["date"], "money": ["debit", "credit", "dr", "cr", "withdrawal", "deposit", "paid out", "paid in", "amount"], "balance": ["balance"]}
 # How summary and footer rows begin.
 FOOTER = r"^(?:total\s+(?:withdrawals?|deposits?|debit|credit|transactions?)[\s:.\-_]*[₹$€]?\s*[\d,.]+|(?:closing|opening|beginning|ending)\s+balance[\s:.\-_]*[₹$€]?\s*[\d,.]+|opening\s+balance\s*[-–—\s]+[\d,.]+|account\s+summary|statement\s+summary|(?:carried\s+forward|brought\s+forward|b/f|c/f)[\s:.\-_]*[₹$€]?\s*[\d,.]+|page\s+\d+\s+of\s+\d+|page\s+no[\s:.]*\d+|generated\s+on|statement\s+generated\s+on|computer\s+generated\s+statement|registered\s+office|branch\s+address|gstin|micr\s+code|end\s+of\s+statement|important\s+information|terms\s+and\s+conditions|step\s+into\s+the|enjoy\s+unlimited|kotak811)"
@@ -214,50 +215,89 @@ def row_kind(text: Column) -> Column:
     return F.when(header, "HEADER").when(low.rlike(FOOTER), "FOOTER").otherwise("ROW")
 
 
+#: What happens to a row of a ledger page.
+ACTIONS = ["ACCEPTED_DATE_ROW", "ACCEPTED_SAME_DAY_ROW", "MERGED_AMOUNT_ROW", "MERGED_CONTINUATION_ROW", "REJECTED_UNATTACHED_AMOUNT", "REJECTED_UNATTACHED_TEXT"]
+REMOVED = {"HEADER": "HEADER_ROW_REMOVED", "FOOTER": "NON_TRANSACTION_ROW_REMOVED"}
+#: A currency amount inside a narration.
+EMBEDDED = r"([₹$€]?\s*\d{1,3}(?:,\d{3})*(?:\.\d{2}))"
+
+
 def reconstruct(rows: DataFrame) -> DataFrame:
-    """Ledger rows (doc_id, seq, d, description, debit_raw, credit_raw, balance_raw) to drafts with an action for each row.
+    """Ledger rows (doc_id, seq, d, description, debit_raw, credit_raw, balance_raw; optional amount_raw, dr_cr_raw, page, row_text) with an action, the number of the draft they belong to and its date.
 
     A dated row opens a draft. A row with money or a balance opens a same-day
     draft if the open one has both, else fills its blanks. Plain text extends the
-    open draft. What has nothing to attach to is rejected.
+    open draft. What has nothing to attach to is rejected; headers and footers (by
+    ``row_text``) are removed. The automaton's states: no draft (0), else 1, and 1
+    more if the draft has an amount, and 2 more if a balance is printed.
     """
-    money = rows.withColumn("has_amount", F.coalesce(clean_amount(F.col("debit_raw")) > 0, F.lit(False)) | F.coalesce(clean_amount(F.col("credit_raw")) > 0, F.lit(False))).withColumn("has_balance", clean_amount(F.col("balance_raw")).isNotNull())
-
-    def document(doc: pd.DataFrame) -> pd.DataFrame:
-        doc = doc.sort_values("seq")
-        segment, amount, balance, last, out = 0, False, False, None, []
-        for d, a, b in zip(doc["d"], doc["has_amount"], doc["has_balance"], strict=True):
-            if not pd.isna(d):
-                segment, amount, balance, last, action = segment + 1, a, b, d, "ACCEPTED_DATE_ROW"
-            elif (a or b) and ((segment and amount and balance) or (not segment and last is not None)):
-                segment, amount, balance, action = segment + 1, a, b, "ACCEPTED_SAME_DAY_ROW"
-            elif a or b:
-                action = "MERGED_AMOUNT_ROW" if segment else "REJECTED_UNATTACHED_AMOUNT"
-                amount, balance = (amount or a, balance or b) if segment else (amount, balance)
-            else:
-                action = "MERGED_CONTINUATION_ROW" if segment else "REJECTED_UNATTACHED_TEXT"
-            out.append((segment, action, last))
-        return doc.assign(segment=[o[0] for o in out], action=[o[1] for o in out], date=[o[2] for o in out])[["doc_id", "seq", "segment", "action", "date", "description", "debit_raw", "credit_raw", "balance_raw"]]
-
-    return money.groupBy("doc_id").applyInPandas(document, "doc_id long, seq long, segment long, action string, date date, description string, debit_raw string, credit_raw string, balance_raw string")
+    blank = F.lit("")
+    rows = rows.select("*", *[kind.alias(c) for c, kind in (("amount_raw", blank), ("dr_cr_raw", blank), ("page", F.lit(1).cast("long")), ("row_text", F.lit(None).cast("string"))) if c not in rows.columns])
+    positive = lambda c: F.coalesce(clean_amount(F.col(c)) > 0, F.lit(False))
+    amount, printed = positive("debit_raw") | positive("credit_raw") | positive("amount_raw"), F.coalesce(F.trim("balance_raw") != "", F.lit(False))
+    has = F.when(amount, 1).otherwise(0) + F.when(printed, 2).otherwise(0)
+    money = amount | clean_amount(F.col("balance_raw")).isNotNull()
+    kind = F.when(F.col("row_text").isNull(), "ROW").otherwise(row_kind(F.col("row_text")))
+    # 0: changes nothing; 1 to 4: dated; 5 to 7: money without a date.
+    marked = rows.withColumn("kind", kind).withColumn("move", F.when(F.col("kind") != "ROW", 0).when(F.col("d").isNotNull(), has + 1).when(money, has + 4).otherwise(0))
+
+    def step(s: Column, r: Column) -> Column:
+        return F.when(r["move"] == 0, s).when(r["move"] < 5, r["move"]).when(s == 0, 0).when(s == 4, r["move"] - 3).otherwise((s - 1).bitwiseOR(r["move"] - 4) + 1)
+
+    known = automaton(marked, "doc_id", "seq", 5, step)
+    opens, attached = F.col("move").between(1, 4) | ((F.col("move") > 4) & (F.col("before") == 4)), F.col("before") > 0
+    action = (
+        F.when(F.col("kind") == "HEADER", REMOVED["HEADER"]).when(F.col("kind") == "FOOTER", REMOVED["FOOTER"]).when(F.col("move").between(1, 4), ACTIONS[0]).when(opens, ACTIONS[1])
+        .when(F.col("move") > 4, F.when(attached, ACTIONS[2]).otherwise(ACTIONS[4])).otherwise(F.when(attached, ACTIONS[3]).otherwise(ACTIONS[5]))
+    )
+    dated = F.when((F.col("kind") == "ROW") & F.col("d").isNotNull(), F.col("d"))
+    out = running(known.withColumn("action", action), "doc_id", "seq", sums={"segment": F.when(opens, 1).otherwise(0)}, lasts={"date": dated})
+    return out.select("doc_id", "seq", "page", "segment", "action", "date", "description", "debit_raw", "credit_raw", "amount_raw", "dr_cr_raw", "balance_raw")
 
 
 def audit(actions: DataFrame) -> DataFrame:
-    """Rows of each document by action."""
-    names = ["ACCEPTED_DATE_ROW", "ACCEPTED_SAME_DAY_ROW", "MERGED_AMOUNT_ROW", "MERGED_CONTINUATION_ROW", "REJECTED_UNATTACHED_AMOUNT", "REJECTED_UNATTACHED_TEXT"]
-    return actions.groupBy("doc_id").agg(F.count("*").alias("candidates"), *[F.count_if(F.col("action") == n).alias(n.lower()) for n in names])
+    """Rows of each document by action; headers and footers are candidates too."""
+    return actions.groupBy("doc_id").agg(F.count("*").alias("candidates"), *[F.count_if(F.col("action") == n).alias(n.lower()) for n in [*ACTIONS, *REMOVED.values()]])
+
+
+def audit_pages(actions: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Rows by action, and finished transactions, of each page of a document."""
+    counts = actions.groupBy("doc_id", "page").agg(F.count("*").alias("candidates"), *[F.count_if(F.col("action") == n).alias(n.lower()) for n in [*ACTIONS, *REMOVED.values()]])
+    done = transactions.groupBy("doc_id", "page").agg(F.count("*").alias("transactions"))
+    return counts.join(done, ["doc_id", "page"], "left").withColumn("transactions", F.coalesce("transactions", F.lit(0)))
 
 
 def finalize(actions: DataFrame) -> DataFrame:
-    """Transactions of drafts: blanks filled from later rows, narration joined, side by column, drafts without money dropped."""
-    kept = actions.where("segment > 0 and action not like 'REJECTED%'")
-    first = lambda c: F.min_by(F.nullif(F.col(c), F.lit("")), F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), F.col("seq"))).alias(c)
-    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "description"))), lambda r: r["description"]), " ")
-    g = kept.groupBy("doc_id", "segment").agg(F.min("date").alias("d"), first("debit_raw"), first("credit_raw"), first("balance_raw"), F.trim(words).alias("description"))
-    debit, credit = clean_amount(F.col("debit_raw")), clean_amount(F.col("credit_raw"))
-    kind = F.when(debit > 0, "DEBIT").when(credit > 0, "CREDIT")
-    t = g.withColumn("type", kind).where("type is not null")
-    return t.select("doc_id", "segment", "d", F.coalesce(F.nullif("description", F.lit("")), F.lit("Bank Transaction")).alias("description"), "type", F.when(F.col("type") == "DEBIT", debit).otherwise(credit).cast(MONEY).alias("amount"), clean_amount(F.col("balance_raw")).alias("balance"))
+    """Transactions of drafts: blanks filled from later money rows, narration joined; drafts without an amount go.
+
+    The amount is the debit, else the credit, else the general amount, else one inside
+    the narration; the last two get their side from the balance of the transaction
+    before, the column of sides, marks and words. An amount of which one printed
+    character differs from what the balances imply on its side is corrected.
+    """
+    kept = actions.where("segment > 0").where(F.col("action").isin(ACTIONS[:4]))
+    filled = lambda c: F.when((F.col("action") != ACTIONS[3]) & (F.nullif(F.col(c), F.lit("")).isNotNull()), F.col("seq"))
+    first = lambda c: F.min_by(c, filled(c)).alias(c)
+    words = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("seq", "description"))), lambda r: r["description"]), lambda x: x != ""), " ")
+    g = kept.groupBy("doc_id", "segment").agg(F.min("date").alias("d"), F.min_by("page", "seq").alias("page"), *map(first, ("debit_raw", "credit_raw", "amount_raw", "dr_cr_raw", "balance_raw")), F.trim(words).alias("description"))
+    inside = F.nullif(F.regexp_extract("description", EMBEDDED, 1), F.lit(""))
+    value = {c: clean_amount(F.col(f"{c}_raw")) for c in ("debit", "credit", "amount", "balance")}
+    typed = g.select("*", *[v.alias(c) for c, v in value.items()], inside.alias("inside"))
+    sided = F.when(F.col("debit") > 0, F.struct(F.lit("DEBIT").alias("type"), F.col("debit").alias("a"), F.lit(None).cast("string").alias("raw"))).when(F.col("credit") > 0, F.struct(F.lit("CREDIT").alias("type"), F.col("credit").alias("a"), F.lit(None).cast("string").alias("raw")))
+    open_ = lambda c, raw: F.struct(F.lit(None).cast("string").alias("type"), c.alias("a"), raw.alias("raw"))
+    chosen = F.coalesce(sided, F.when(F.col("amount") > 0, open_(F.col("amount"), F.col("amount_raw"))), F.when(clean_amount(F.col("inside")) > 0, open_(clean_amount(F.col("inside")), clean_amount(F.col("inside")).cast("string"))))
+    some = typed.withColumn("chosen", chosen).where("chosen is not null")
+    # The balance before: of the last transaction that has one, by place of the draft.
+    known = running(some.select("doc_id", "segment", "page", "d", "description", "dr_cr_raw", "balance", "chosen"), "doc_id", "segment", lasts={"upto": F.col("balance")})
+    before = Window.partitionBy("doc_id").orderBy("segment")
+    rows = known.withColumn("prev_balance", F.lag("upto").over(before)).select("*", F.col("chosen.raw").alias("raw"), F.col("dr_cr_raw").alias("column_type"))
+    t = classify_side(rows).drop("amount").withColumn("type", F.coalesce("chosen.type", "side")).withColumn("read", F.col("chosen.a").cast(MONEY))
+    change = (F.col("balance") - F.col("prev_balance")).cast(MONEY)
+    a, b = F.col("read").cast("string"), F.abs(change).cast(MONEY).cast("string")
+    differing = F.size(F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
+    right_way = ((F.col("type") == "DEBIT") & (change < 0)) | ((F.col("type") == "CREDIT") & (change > 0))
+    fix = F.coalesce(right_way & (F.length(a) == F.length(b)) & (differing == 1), F.lit(False))
+    return t.select("doc_id", "segment", "page", "d", F.coalesce(F.nullif("description", F.lit("")), F.lit("Bank Transaction")).alias("description"), "type", F.when(fix, F.abs(change)).otherwise(F.col("read")).cast(MONEY).alias("amount"), "balance", fix.alias("corrected"))
 
 
 def classify_side(rows: DataFrame) -> DataFrame:
@@ -287,12 +327,14 @@ def resolve_line_amounts(lines: DataFrame, opening: float | None = None, toleran
     The last of two amounts or more is the balance. Which side an amount is on, and
     which of several it is, follows from the balance before; else from the words. A
     row with one amount moves the balance, one with none keeps it. So the balance is
-    the last stated one and what single amounts added since: a running sum.
+    the last stated one and what single amounts added since: a running sum. A row with
+    ``reset`` states a balance and is no transaction.
     """
     order = Window.partitionBy("doc_id").orderBy("seq")
+    reset = F.col("reset") if "reset" in lines.columns else F.lit(None)
     hint = F.col("hint") if "hint" in lines.columns else F.lit(None).cast("string")
-    rows = lines.select("doc_id", "seq", infer_side(F.col("description"), hint).alias("guess"), F.transform("amounts", lambda a: a.cast(MONEY)).alias("a")).withColumn("n", F.size("a"))
-    rows = rows.withColumn("stated", F.when(F.col("n") >= 2, F.element_at("a", -1)))
+    rows = lines.select("doc_id", "seq", infer_side(F.col("description"), hint).alias("guess"), F.transform("amounts", lambda a: a.cast(MONEY)).alias("a"), reset.cast(MONEY).alias("reset")).withColumn("n", F.size("a"))
+    rows = rows.withColumn("stated", F.coalesce("reset", F.when(F.col("n") >= 2, F.element_at("a", -1))))
     rows = rows.withColumn("moved", F.sum(F.when(F.col("n") == 1, F.get("a", 0) * F.when(F.col("guess") == "CREDIT", 1).otherwise(-1)).otherwise(0)).over(order))
     first = F.lit(opening).cast(MONEY)
     rows = rows.withColumn("balance", (F.coalesce(F.last(F.col("stated") - F.col("moved"), ignorenulls=True).over(order), first) + F.col("moved")).cast(MONEY))
@@ -311,7 +353,7 @@ def resolve_line_amounts(lines: DataFrame, opening: float | None = None, toleran
     amount = F.when(F.col("n") == 0, 0).when(F.col("n") <= 2, one).when(F.col("fit").isNotNull(), F.col("fit")).when(known, F.get("a", F.col("n") - 2)).otherwise(F.when(either == "DEBIT", one).when(either == "CREDIT", two).otherwise(chosen))
     holds = F.when(F.col("n") == 0, False).when(F.col("n") == 1, True).when(known, F.col("fit").isNotNull()).otherwise((F.col("n") == 2) | either.isNotNull())
     unsure = (F.col("n") == 0) | ((F.col("n") == 2) & known & F.col("fit").isNull() & (change == 0)) | ((F.col("n") > 2) & ~known & either.isNull())
-    return rows.select("doc_id", "seq", side.alias("type"), amount.cast(MONEY).alias("amount"), "balance", holds.alias("continuous"), F.coalesce(unsure, F.lit(False)).alias("ambiguous"))
+    return rows.where("reset is null").select("doc_id", "seq", side.alias("type"), amount.cast(MONEY).alias("amount"), "balance", holds.alias("continuous"), F.coalesce(unsure, F.lit(False)).alias("ambiguous"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import TYPED_CREDIT
 from ..operators import accounts, fraud, integrity, layout
 from ..sources import ledgers
 from .ledger_queries import shown
@@ -95,11 +96,19 @@ def _points(spark, sf_dir):
 
 
 def raw_rows(spark, sf_dir) -> DataFrame:
-    """Ledger rows with blanks, as a page gives them."""
+    """Ledger rows with blanks, as a page gives them: money in the columns of sides, in a general column, or inside the narration; headers and footers between."""
     e = ledgers.events(spark, sf_dir)
-    k = F.col("id") % 6
-    money = lambda c, test: F.when(test & (F.col(c) > 0), F.col(c).cast("string")).otherwise("")
-    return e.select(F.col("acct").alias("doc_id"), "seq", F.when(k.isin(0, 1), F.col("d")).alias("d"), "description", money("debit", k != 5).alias("debit_raw"), money("credit", k != 5).alias("credit_raw"), F.when(k.isin(0, 2, 3), F.col("balance").cast("string")).otherwise("").alias("balance_raw"))
+    k, form = F.col("id") % 6, F.col("id") % 4
+    put = lambda value, test: F.coalesce(F.when(test, value.cast("string")), F.lit(""))
+    by_side = (k != 5) & (form < 2)
+    general = F.concat(F.col("amount").cast("string"), F.when((F.col("type") == "CREDIT") & (F.col("id") % 8 == 2), " Cr").otherwise(""))
+    text = F.when(F.col("id") % 17 == 0, "Opening balance: 1,200.00").when(F.col("id") % 19 == 0, "Date Particulars Debit Credit Balance").otherwise("row")
+    return e.select(
+        F.col("acct").alias("doc_id"), "seq", F.floor(F.col("seq") / 20).cast("long").alias("page"), F.when(k.isin(0, 1), F.col("d")).alias("d"),
+        F.when((form == 3) & (k == 1), F.concat_ws(" ", "description", F.format_number("amount", 2), F.lit("paid"))).otherwise(F.col("description")).alias("description"),
+        put(F.col("debit"), by_side & (F.col("debit") > 0)).alias("debit_raw"), put(F.col("credit"), by_side & (F.col("credit") > 0)).alias("credit_raw"),
+        put(general, (k != 5) & (form == 2) & (F.col("amount") > 0)).alias("amount_raw"), put(F.lit("CREDIT"), F.col("id") % 5 == 0).alias("dr_cr_raw"), put(F.col("balance"), k.isin(0, 2, 3)).alias("balance_raw"), text.alias("row_text"),
+    )
 
 
 def _actions(spark, sf_dir):
@@ -110,6 +119,32 @@ def _drafts(spark, sf_dir):
     return shown(layout.finalize(layout.reconstruct(raw_rows(spark, sf_dir))))
 
 
+def _by_page(spark, sf_dir):
+    actions = layout.reconstruct(raw_rows(spark, sf_dir))
+    return shown(layout.audit_pages(actions, layout.finalize(actions)))
+
+
+#: A recursion over the rows of each account: draft number, and whether the open draft has an amount and a printed balance.
+RAW = rf"""WITH RECURSIVE {EVENTS[5:]}, r AS MATERIALIZED (SELECT acct AS doc_id, seq, seq // 20 AS page, CASE WHEN id % 17 = 0 THEN 'FOOTER' WHEN id % 19 = 0 THEN 'HEADER' ELSE 'ROW' END AS kind, CASE WHEN id % 6 IN (0, 1) THEN d END AS d,
+  CASE WHEN id % 4 = 3 AND id % 6 = 1 THEN description || ' ' || format('{{:,.2f}}', amount::DOUBLE) || ' paid' ELSE description END AS description,
+  CASE WHEN id % 6 <> 5 AND id % 4 < 2 AND debit > 0 THEN debit END AS dr, CASE WHEN id % 6 <> 5 AND id % 4 < 2 AND credit > 0 THEN credit END AS cr, CASE WHEN id % 6 <> 5 AND id % 4 = 2 AND amount > 0 THEN amount END AS am,
+  CASE WHEN type = 'CREDIT' AND id % 8 = 2 THEN 1 ELSE 0 END AS marked, CASE WHEN id % 5 = 0 THEN 'CREDIT' END AS side, CASE WHEN id % 6 IN (0, 2, 3) THEN balance END AS bal FROM led
+), w AS (SELECT doc_id, 0::BIGINT AS seq, 0 AS seg, false AS has_a, false AS has_b, NULL::DATE AS date, '' AS action FROM (SELECT DISTINCT doc_id FROM r)
+  UNION ALL SELECT doc_id, seq, CASE WHEN opens THEN seg + 1 ELSE seg END, CASE WHEN opens THEN a WHEN fills THEN has_a OR a ELSE has_a END, CASE WHEN opens THEN b WHEN fills THEN has_b OR b ELSE has_b END, CASE WHEN dated THEN d ELSE date END,
+    CASE WHEN kind = 'HEADER' THEN 'HEADER_ROW_REMOVED' WHEN kind = 'FOOTER' THEN 'NON_TRANSACTION_ROW_REMOVED' WHEN dated THEN 'ACCEPTED_DATE_ROW' WHEN opens THEN 'ACCEPTED_SAME_DAY_ROW' WHEN a OR b THEN CASE WHEN seg > 0 THEN 'MERGED_AMOUNT_ROW' ELSE 'REJECTED_UNATTACHED_AMOUNT' END WHEN seg > 0 THEN 'MERGED_CONTINUATION_ROW' ELSE 'REJECTED_UNATTACHED_TEXT' END
+  FROM (SELECT *, dated OR (kind = 'ROW' AND (a OR b) AND seg > 0 AND has_a AND has_b) AS opens, kind = 'ROW' AND seg > 0 AND NOT dated AND (a OR b) AS fills FROM (
+    SELECT r.*, w.seg, w.has_a, w.has_b, w.date, kind = 'ROW' AND r.d IS NOT NULL AS dated, coalesce(dr, cr, am) IS NOT NULL AS a, bal IS NOT NULL AS b FROM w JOIN r ON r.doc_id = w.doc_id AND r.seq = w.seq + 1))
+), acts AS MATERIALIZED (SELECT w.*, r.page, r.description, dr, cr, am, marked, side, bal FROM w JOIN r USING (doc_id, seq)
+), g AS (SELECT doc_id, seg, min(date) AS d, arg_min(page, seq) AS page, trim(string_agg(description, ' ' ORDER BY seq)) AS description, arg_min(dr, seq) FILTER (f AND dr IS NOT NULL) AS dr, arg_min(cr, seq) FILTER (f AND cr IS NOT NULL) AS cr, arg_min(am, seq) FILTER (f AND am IS NOT NULL) AS am,
+    arg_min(marked, seq) FILTER (f AND am IS NOT NULL) AS marked, arg_min(side, seq) FILTER (f AND side IS NOT NULL) AS side, arg_min(bal, seq) FILTER (f AND bal IS NOT NULL) AS bal
+  FROM (SELECT *, action <> 'MERGED_CONTINUATION_ROW' AS f FROM acts WHERE seg > 0 AND action NOT LIKE '%REMOVED' AND action NOT LIKE 'REJECTED%') GROUP BY ALL
+), h AS (SELECT *, TRY_CAST(replace(regexp_extract(description, '\d{{1,3}}(?:,\d{{3}})*(?:\.\d{{2}})'), ',', '') AS DECIMAL(18,2)) AS inside FROM g
+), k AS (SELECT *, coalesce(dr, cr, am, inside) AS amt, last_value(bal IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM h WHERE coalesce(dr, cr, am, inside) > 0
+), t AS (SELECT *, CASE WHEN dr IS NOT NULL THEN 'DEBIT' WHEN cr IS NOT NULL THEN 'CREDIT' WHEN abs(abs(bal - prev) - amt) <= 0.05 AND bal > prev THEN 'CREDIT' WHEN abs(abs(bal - prev) - amt) <= 0.05 AND bal < prev THEN 'DEBIT' WHEN side = 'CREDIT' THEN 'CREDIT' WHEN am IS NOT NULL AND marked = 1 THEN 'CREDIT'
+    WHEN regexp_matches(lower(description), '{TYPED_CREDIT}') THEN 'CREDIT' ELSE 'DEBIT' END AS type, CAST(amt AS VARCHAR) AS sa, CAST(abs(bal - prev) AS VARCHAR) AS sb FROM k
+), fin AS (SELECT *, coalesce(((type = 'DEBIT' AND bal < prev) OR (type = 'CREDIT' AND bal > prev)) AND length(sa) = length(sb) AND len(list_filter(range(1, length(sa) + 1), lambda i: sa[i] <> sb[i])) = 1, false) AS fix FROM t)"""
+
+
 def _sides(spark, sf_dir):
     e = ledgers.events(spark, sf_dir)
     raw = F.concat(F.col("amount").cast("string"), F.when(F.col("id") % 3 == 0, " Cr").when(F.col("id") % 3 == 1, "").otherwise(" DR"))
@@ -164,10 +199,11 @@ QUERIES = {
     "column_assign": _assign, "column_bin": _bin, "row_text": _text, "column_bounds": _bounds, "region_segment": _regions, "table_zone": _zone,
     "dominant_schema": lambda spark, sf_dir: shown(layout.dominant_schema(headers(spark, sf_dir))), "schema_forward_fill": lambda spark, sf_dir: layout.inherit_schema(headers(spark, sf_dir)), "horizontal_values": _right,
     "y_bucket_cluster": lambda spark, sf_dir: layout.bucket_rows(tokens(spark, sf_dir).withColumn("page", F.lit(1).cast("long"))), "row_cluster": _clusters, "decimal_token_join": _decimals, "coord_transform": _points, "row_kind": _row_kinds,
-    "ledger_state_machine": _actions, "ledger_drafts": _drafts, "debit_credit_signals": _sides, "line_statement": _lines, "resolve_financials": _financials, "report_json": report,
+    "ledger_state_machine": _actions, "ledger_drafts": _drafts, "ledger_page_audit": _by_page, "debit_credit_signals": _sides, "line_statement": _lines, "resolve_financials": _financials, "report_json": report,
 }
 
 _COL = "CASE " + " ".join(f"WHEN (x0 + x1) / 2 BETWEEN {a} AND {b} THEN '{n}'" for n, a, b in COLUMNS) + " END"
+_COUNTS = ", ".join(f"count(*) FILTER (action = '{n}') AS {n.lower()}" for n in [*layout.ACTIONS, *layout.REMOVED.values()])
 ORACLE_SQL = {
     "column_assign": f"{TOKENS} SELECT doc_id, tok, coalesce({_COL}, 'DESCRIPTION') AS \"column\" FROM t",
     "column_bin": f"{TOKENS} SELECT doc_id, tok, {_COL} AS \"column\" FROM t WHERE {_COL} IS NOT NULL",
@@ -199,5 +235,8 @@ SELECT id, CASE WHEN amount = 0 THEN 'DEBIT' WHEN id % 10 = 0 THEN 'CREDIT' WHEN
       CASE WHEN n = 0 THEN false WHEN n = 1 THEN true WHEN prev IS NOT NULL THEN fit > 0 ELSE n = 2 OR (a1 > 0) <> (a2 > 0) END AS cont, n = 0 OR (n = 2 AND coalesce(st = prev AND fit = 0, false)) OR (n = 3 AND prev IS NULL AND NOT (a1 > 0) <> (a2 > 0)) AS unsure
     FROM (SELECT *, CASE fit WHEN 2 THEN a2 ELSE a1 END AS f FROM (SELECT x.*, w.bal AS prev, CASE WHEN w.bal IS NULL OR x.n < 2 THEN 0 WHEN x.n = 3 AND a2 > 0 AND abs(abs(st - w.bal) - a2) <= 0.05 THEN 2 WHEN (x.n = 2 OR a1 > 0) AND abs(abs(st - w.bal) - a1) <= 0.05 THEN 1 ELSE 0 END AS fit FROM w JOIN x ON x.acct = w.acct AND x.seq = w.seq + 1))))
 SELECT acct AS doc_id, seq, CASE WHEN side > 0 THEN 'CREDIT' ELSE 'DEBIT' END AS type, {dbl('amount')} AS amount, {dbl('bal')} AS balance, cont AS continuous, unsure AS ambiguous FROM w WHERE seq > 0""",
+    "ledger_state_machine": f"{RAW} SELECT doc_id, count(*) AS candidates, {_COUNTS} FROM acts GROUP BY doc_id",
+    "ledger_page_audit": f"{RAW} SELECT doc_id, page, count(*) AS candidates, {_COUNTS}, coalesce(any_value(n), 0) AS transactions FROM acts LEFT JOIN (SELECT doc_id, page, count(*) AS n FROM fin GROUP BY ALL) USING (doc_id, page) GROUP BY doc_id, page",
+    "ledger_drafts": f"{RAW} SELECT doc_id, CAST(seg AS BIGINT) AS segment, page, strftime(d, '%Y-%m-%d') AS d, description, type, CAST(CASE WHEN fix THEN abs(bal - prev) ELSE amt END AS DOUBLE) AS amount, CAST(bal AS DOUBLE) AS balance, fix AS corrected FROM fin",
     "line_statement": f"{EVENTS} SELECT acct AS doc_id, seq, {dbl('amount')} AS amount, {dbl('abs(balance)')} AS balance FROM led",
 }
