@@ -35,15 +35,9 @@ def ledger_report(ledger: DataFrame) -> DataFrame:
 
 
 def account_profiles(accounts: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Each account (acct, pos, connection) with the first profile (ord, bank, holder) whose bank has the connection's name; else the profile at its place.
-
-    With doc_id in both, profiles are those of the account's document; without, all rows are one document.
-    """
-    if "doc_id" in accounts.columns and "doc_id" in profiles.columns:
-        profiles, keys = profiles.withColumnRenamed("doc_id", "__doc"), ["doc_id", "acct"]
-        same = F.col("doc_id") == F.col("__doc")
-    else:
-        same, keys = F.lit(True), ["acct"]
+    """Each account (doc_id, acct, pos, connection) with the first profile (doc_id, ord, bank, holder) of its document whose bank has the connection's name; else the profile at its place."""
+    profiles, keys = profiles.withColumnRenamed("doc_id", "__doc"), ["doc_id", "acct"]
+    same = F.col("doc_id") == F.col("__doc")
     by_name = accounts.join(profiles, same & F.contains(F.lower("bank"), F.lower("connection"))).groupBy(keys).agg(F.min_by(F.struct("bank", "holder"), "ord").alias("named"))
     placed = accounts.join(profiles, same & (F.col("pos") == F.col("ord")), "left").select(*keys, "connection", F.struct("bank", "holder").alias("placed"))
     chosen = placed.join(by_name, keys, "left").withColumn("p", F.coalesce("named", "placed"))

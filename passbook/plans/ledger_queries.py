@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -86,8 +86,10 @@ def _history(spark, sf_dir):
 
 
 def _bridge(spark, sf_dir):
-    rows = ledgers.events(spark, sf_dir).where("id % 11 <> 0").withColumn("serial", F.col("seq"))
-    return shown(sequence.bridge_gaps(rows))
+    """Printed numbers step by one more, and balances fall by 7.00 more, at each eleventh id: rows that weren't printed."""
+    lost = F.count_if(F.col("id") % 11 == 0).over(Window.partitionBy("acct").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    rows = ledgers.events(spark, sf_dir).withColumn("lost", lost)
+    return shown(sequence.bridge_gaps(rows.withColumn("serial", F.col("seq") + F.col("lost")).withColumn("balance", (F.col("balance") - F.col("lost") * 7).cast(MONEY))))
 
 
 def _glyph(spark, sf_dir):
@@ -102,8 +104,10 @@ def _segments(spark, sf_dir):
 
 
 def _stated(spark, sf_dir):
-    rows = ledgers.events(spark, sf_dir)
-    return rows.where("id % 50 <> 0").withColumn("stated_closing", F.when(F.col("acct") % 3 == 0, F.lit(1234.5)).when(F.col("acct") % 3 == 1, F.lit(0)).cast(MONEY))
+    """Balances step by 5.00 at each fiftieth id."""
+    stepped = F.count_if(F.col("id") % 50 == 0).over(Window.partitionBy("acct").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) * 5
+    rows = ledgers.events(spark, sf_dir).withColumn("balance", (F.col("balance") + stepped).cast(MONEY))
+    return rows.withColumn("stated_closing", F.when(F.col("acct") % 3 == 0, F.lit(1234.5)).when(F.col("acct") % 3 == 1, F.lit(0)).cast(MONEY))
 
 
 def _audited(spark, sf_dir):
@@ -178,7 +182,7 @@ EMIED = f"(type = 'DEBIT' AND {hit(LOW, T.EMI)})"
 BOUNCE = hit(LOW, T.BOUNCED)
 BASE = "CASE WHEN inc > 0 THEN " + cents("inc") + " ELSE 100 END"
 
-STATED = f"""{S.EVENTS}, st AS (SELECT *, CASE WHEN acct % 3 = 0 THEN 1234.5 WHEN acct % 3 = 1 THEN 0.0 END AS stated FROM led WHERE id % 50 <> 0
+STATED = f"""{S.EVENTS}, st AS (SELECT * REPLACE (CAST(balance + 5 * count(*) FILTER (id % 50 = 0) OVER (PARTITION BY acct ORDER BY seq ROWS UNBOUNDED PRECEDING) AS DECIMAL(18,2)) AS balance), CASE WHEN acct % 3 = 0 THEN 1234.5 WHEN acct % 3 = 1 THEN 0.0 END AS stated FROM led
 ), w AS (SELECT *, lag(balance) OVER (PARTITION BY acct ORDER BY seq) + credit - debit - balance AS gap FROM st
 ), g AS (SELECT acct, coalesce(sum(credit), 0) AS cr, coalesce(sum(debit), 0) AS dr, count(*) AS n, arg_max(balance, seq) AS bn, max(stated) AS stated, count(*) FILTER (WHERE abs(gap) <= 0.05) AS passed, count(*) FILTER (WHERE abs(gap) > 0.05) AS failed,
     arg_min(CASE WHEN type = 'CREDIT' THEN balance - credit ELSE balance + debit END, seq) AS ob FROM w GROUP BY acct
@@ -234,7 +238,7 @@ SELECT acct, status, CASE WHEN status = 'RED' THEN concat_ws(', ', CASE WHEN che
 ), p AS (SELECT *, balance - {PREV} AS ch FROM a), q AS (SELECT *, CAST(amount AS VARCHAR) AS x, CAST(abs(ch) AS VARCHAR) AS y FROM p
 ), r AS (SELECT *, coalesce(((type = 'DEBIT' AND ch < 0) OR (type = 'CREDIT' AND ch > 0)) AND length(x) = length(y) AND hamming(x, y) = 1, false) AS repaired FROM (SELECT * FROM q WHERE length(x) = length(y) UNION ALL SELECT acct, id, seq, type, balance, amount, ch, x, rpad('', CAST(length(x) AS INTEGER), 'z') FROM q WHERE length(x) <> length(y) OR y IS NULL))
 SELECT acct, id, {dbl('CASE WHEN repaired THEN abs(ch) ELSE amount END')} AS amount, repaired FROM r""",
-    "gap_bridge": f"""{S.EVENTS}, r AS (SELECT * FROM led WHERE id % 11 <> 0), p AS (SELECT *, {PREV} + credit - debit - balance AS missing, seq - lag(seq) OVER (PARTITION BY acct ORDER BY seq) > 1 AS skipped FROM r
+    "gap_bridge": f"""{S.EVENTS}, r AS (SELECT * REPLACE (CAST(balance - 7 * count(*) FILTER (id % 11 = 0) OVER o AS DECIMAL(18,2)) AS balance), seq + count(*) FILTER (id % 11 = 0) OVER o AS serial FROM led WINDOW o AS (PARTITION BY acct ORDER BY seq ROWS UNBOUNDED PRECEDING)), p AS (SELECT *, {PREV} + credit - debit - balance AS missing, serial - lag(serial) OVER (PARTITION BY acct ORDER BY seq) > 1 AS skipped FROM r
 ) SELECT acct, id, seq, strftime(d, '%Y-%m-%d') AS d, false AS bridge, type, {dbl('amount')} AS amount, {dbl('balance')} AS balance FROM p
 UNION ALL SELECT acct, id, seq, strftime(d, '%Y-%m-%d'), true, 'DEBIT', {dbl('missing')}, {dbl('balance')} FROM p WHERE skipped AND missing > 0""",
     "delta_typing": f"{S.EVENTS}{HOLED}, p AS (SELECT *, balance - {PREV} AS ch FROM holed) SELECT acct, id, CASE WHEN abs(abs(ch) - amount) <= 0.05 AND ch > 0 THEN 'CREDIT' WHEN abs(abs(ch) - amount) <= 0.05 AND ch < 0 THEN 'DEBIT' ELSE type END AS derived_type FROM p",

@@ -55,9 +55,10 @@ def _pages(spark, sf_dir):
 
 
 def _profiles(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("acct"), (F.col("c_custkey") % 7).alias("pos"), F.substring("c_mktsegment", 1, 4).alias("connection"))
-    n = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 5").select(F.col("c_custkey").alias("ord"), F.concat(F.lit("Bank of "), F.lower("c_mktsegment")).alias("bank"), F.col("c_name").alias("holder"))
-    return reports.account_profiles(c, n)
+    """Documents of seven customers, each with all their profiles."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("doc_id", F.floor(F.col("c_custkey") / 7))
+    a = c.select("doc_id", F.col("c_custkey").alias("acct"), (F.col("c_custkey") % 8).alias("pos"), F.substring("c_mktsegment", 1, 4).alias("connection"))
+    return reports.account_profiles(a, c.select("doc_id", (F.col("c_custkey") % 7).alias("ord"), F.concat(F.lit("Bank of "), F.lower("c_mktsegment")).alias("bank"), F.col("c_name").alias("holder")))
 
 
 def _document_profiles(spark, sf_dir):
@@ -108,8 +109,8 @@ SELECT acct, CASE WHEN k = 0 THEN '2024-02-01' ELSE strftime(d1, '%Y-%m-%d') END
     "category_names": f"{S.EVENTS}, c AS (SELECT {S.CODE} AS code FROM led UNION ALL SELECT 'XX_01') SELECT code, {_NAMES} AS name, count(*) AS n FROM c GROUP BY code",
     "holder_names": "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN upper(left(c_mktsegment, 1)) || lower(substring(c_mktsegment, 2)) || ' Kumar' WHEN 1 THEN 'Ravi ' || upper(left(c_mktsegment, 1)) || lower(substring(c_mktsegment, 2)) END AS holder FROM customer",
     "extraction_counts": "WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM p) SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE q % 3 = 0) AS scanned, count(*) FILTER (WHERE q % 3 <> 0) AS native, round(avg(floor(q) / 64), 4) AS confidence, bool_and(page = k) AS page_sequence_valid, count(*) FILTER (WHERE CAST(q AS BIGINT) >= 10) >= 1 AS has_geometry FROM k GROUP BY doc_id",
-    "account_profiles": """WITH n AS (SELECT c_custkey AS ord, 'Bank of ' || lower(c_mktsegment) AS bank, c_name AS holder FROM customer WHERE c_custkey <= 5), a AS (SELECT c_custkey AS acct, c_custkey % 7 AS pos, substring(c_mktsegment, 1, 4) AS connection FROM customer
-), m AS (SELECT acct, arg_min(bank, ord) AS bank, arg_min(holder, ord) AS holder FROM a JOIN n ON contains(bank, lower(connection)) GROUP BY acct) SELECT a.acct, connection, coalesce(m.bank, n.bank, '') AS bank, coalesce(m.holder, n.holder, '') AS holder FROM a LEFT JOIN m USING (acct) LEFT JOIN n ON pos = ord""",
+    "account_profiles": """WITH c AS (SELECT *, c_custkey // 7 AS doc_id FROM customer), n AS (SELECT doc_id, c_custkey % 7 AS ord, 'Bank of ' || lower(c_mktsegment) AS bank, c_name AS holder FROM c), a AS (SELECT doc_id, c_custkey AS acct, c_custkey % 8 AS pos, substring(c_mktsegment, 1, 4) AS connection FROM c
+), m AS (SELECT doc_id, acct, arg_min(bank, ord) AS bank, arg_min(holder, ord) AS holder FROM a JOIN n USING (doc_id) WHERE contains(bank, lower(connection)) GROUP BY ALL) SELECT a.doc_id, a.acct, connection, coalesce(m.bank, n.bank, '') AS bank, coalesce(m.holder, n.holder, '') AS holder FROM a LEFT JOIN m ON a.doc_id = m.doc_id AND a.acct = m.acct LEFT JOIN n ON a.doc_id = n.doc_id AND pos = ord""",
     "document_profiles": """WITH c AS (SELECT *, c_custkey // 10 AS doc_id FROM customer), n AS (SELECT doc_id, 9 - c_custkey % 10 AS ord, CASE WHEN c_custkey % 3 > 0 THEN 'Bank of ' || lower(c_mktsegment) ELSE 'Bank' END AS bank, c_name AS holder FROM c), a AS (SELECT doc_id, c_custkey AS acct, c_custkey % 10 AS pos, substring(c_mktsegment, 1, 4) AS connection FROM c
 ), m AS (SELECT doc_id, acct, arg_min(bank, ord) AS bank, arg_min(holder, ord) AS holder FROM a JOIN n USING (doc_id) WHERE contains(bank, lower(connection)) GROUP BY ALL) SELECT a.doc_id, a.acct, connection, coalesce(m.bank, n.bank, '') AS bank, coalesce(m.holder, n.holder, '') AS holder FROM a LEFT JOIN m ON a.doc_id = m.doc_id AND a.acct = m.acct LEFT JOIN n ON a.doc_id = n.doc_id AND pos = ord""",
     "ledger_report": f"""{S.EVENTS}, w AS (SELECT *, abs(last_value(balance IGNORE NULLS) OVER (PARTITION BY acct ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + credit - debit - balance) AS gap, lag(row(d, amount, balance, description, type)) OVER (PARTITION BY acct ORDER BY seq) = row(d, amount, balance, description, type) AS rep FROM led
