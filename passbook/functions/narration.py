@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .money import let
+from .phrases import has_phrase, has_word
 from .text import clean_narration, first_match
 
 # Payment words that speak for a statement.
@@ -38,7 +40,28 @@ CATEGORY_NAMES = {
 # Labels before a holder's name, and what no name is.
 HOLDER = r"(?i)(?:customer\s*name|name\s*of\s*(?:the\s*)?(?:account\s*)?holder|account\s*holder(?:\s*name)?|a/c\s*holder(?:\s*name)?|primary\s*holder|account\s*name)[\s:.\-_#]*([A-Za-z\s.]{3,45})(?:\n|\r|,|account|a/c|address|cust|crn|cif|ifsc|micr|phone|mobile|$)"
 TITLED = r"(?i)(?:m/s|mr\.|mrs\.|ms\.|shri|smt\.|dr\.)[\s:]*([A-Za-z\s.]{3,35})(?:\n|\r|,|account|a/c|address|cust|crn|cif|$)"
-NOT_NAMES = ["primary account", "account", "savings account", "current account", "primary", "customer", "statement", "details", "bank", "transactions", "savings", "current", "overdraft", "nominee", "branch", "period", "number", "type", "date", "balance", "page", "total", "joint", "individual", "summary", "mobile", "email", "address", "currency"]
+NAMED = r"(?i)(?:^|\n|\r)(?:name)[\s:.\-_]+([A-Za-z\s.]{3,35})(?:\n|\r|,|account|a/c|address|$)"
+NOT_NAMES = [
+    "primary account", "account", "savings account", "current account", "primary", "customer", "statement", "details", "bank", "transactions", "savings", "current", "overdraft", "account holder", "customer name",
+    "nominee", "branch", "ifsc", "micr", "period", "number", "type", "of", "date", "balance", "opening", "closing", "page", "total", "joint account", "joint", "resident", "individual", "salaried", "particulars", "description", "summary", "crn", "cif", "pan",
+    "mobile", "email", "address", "registered", "branch code", "currency", "inr", "mode of operation", "nomination", "registered mobile", "customer id", "statement period", "statement date", "from date", "to date",
+]
+NOT_NAME_ENDS = ["primary account", "savings account", "current account", "account details", "bank statement"]
+# Phrases of which no customer's name has one, and words that are none of its words.
+NOT_CUSTOMERS = [
+    "goods and services tax", "goods & services tax", "gst", "tax", "tax invoice", "kotak", "kotak mahindra", "axis bank", "hdfc bank", "icici bank", "state bank", "bank", "statement", "statement of account", "account statement", "savings account", "current account", "overdraft", "crn", "ifsc", "micr",
+    "rtgs", "neft", "imps", "nomination", "registered office", "head office", "branch office", "zonal office", "terms and conditions", "banking ombudsman", "customer id", "customer care", "account number", "opening balance", "closing balance", "available balance", "particulars", "description",
+    "withdrawal", "deposit", "transaction", "badarpur", "badarpur border", "molar band", "molarband",
+]
+NOT_CUSTOMER_WORDS = [
+    "branch", "br", "bo", "border", "road", "rd", "street", "st", "marg", "lane", "gali", "nagar", "vihar", "pur", "pura", "puri", "enclave", "block", "sector", "sec", "phase", "pocket",
+    "delhi", "mumbai", "bangalore", "bengaluru", "kolkata", "chennai", "hyderabad", "noida", "gurgaon", "gurugram", "faridabad", "ghaziabad", "pune", "ahmedabad", "jaipur", "chandigarh", "lucknow",
+    "floor", "flr", "bldg", "building", "tower", "house", "plot", "flat", "apartment", "apt", "complex", "plaza", "chambers", "arcade", "centre", "center", "residency", "villas", "society",
+    "colony", "extn", "extension", "bazaar", "market", "mandi", "chowk", "junction", "circle", "bridge", "flyover", "station", "depot", "terminal", "airport", "cantt", "post", "po", "pin",
+    "pincode", "dist", "district", "state", "india", "opp", "opposite", "near", "nr", "behind", "ltd", "limited", "pvt", "private", "inc", "corp", "corporation", "services", "solutions",
+    "enterprises", "holdings", "ventures", "technologies", "industries", "trading", "agency", "associates", "consultancy", "management", "finance", "financial", "insurance", "capital",
+    "trust", "foundation", "association", "club", "board", "council", "authority", "commission", "ministry", "department", "govt", "government", "office", "gstin", "cin", "pan", "tan",
+]
 
 
 def merged(lines: Column) -> Column:
@@ -75,14 +98,41 @@ def nearest_column(at: Column, debit: Column, credit: Column, balance: Column) -
     return F.when(at.isNull() | debit.isNull() | credit.isNull(), "UNKNOWN").when((b < d) & (b < c), "BALANCE").when(d < c, "DEBIT").otherwise("CREDIT")
 
 
-def holder(text: Column) -> Column:
-    """Name behind a holder label or a title, if it is one: letters only, three at least, no banking word."""
-    def good(pattern: str) -> Column:
-        name = F.trim(F.regexp_replace(F.regexp_extract(text, pattern, 1), r"^[\s:.\-_#]+|[\s:.\-_#]+$", ""))
-        ok = (F.length(name) >= 3) & ~F.lower(name).isin(NOT_NAMES) & name.rlike(r"[A-Za-z]{2,}") & ~F.lower(name).rlike(r"^(primary account|savings account|current account|account details|bank statement)\b")
-        return F.when(ok, F.initcap(name))
+def customer(name: Column) -> Column:
+    """Whether ``name`` may be a customer's: three characters, no digit, none of the phrases and words that names don't have."""
+
+    def ok(low: Column) -> Column:
+        return (F.length(low) >= 3) & ~has_phrase(low, NOT_CUSTOMERS) & ~has_word(low, NOT_CUSTOMER_WORDS, r"\s,.\-_/\\()") & ~low.rlike(r"\d")
+
+    return F.coalesce(let(F.lower(F.trim(name)), ok), F.lit(False))
+
+
+def bare(text: Column) -> Column:
+    """Without blanks and marks at its ends."""
+    return F.regexp_replace(text, r"^[\s:.\-_#]+|[\s:.\-_#]+$", "")
+
+
+def holder_candidate(text: Column) -> Column:
+    """Whether a text may be a holder's name: three characters, no digit, no banking term, a word of letters that is no such term alone."""
+
+    def ok(name: Column) -> Column:
+        low, words = F.lower(name), F.filter(F.split(name, r"\s+"), lambda w: w.rlike(r"^\pL{2,}$"))
+        ends = "|".join(NOT_NAME_ENDS)
+        alone = (F.size(words) == 1) & F.lower(F.get(words, 0)).isin(NOT_NAMES)
+        return (F.length(name) >= 3) & ~name.rlike(r"\d") & ~low.isin(NOT_NAMES) & ~low.rlike(rf"^(?:{ends})(?: |$)|(?:^| )(?:{ends})$") & (F.size(words) > 0) & ~alone
+
+    return F.coalesce(let(bare(text), ok), F.lit(False))
+
+
+def titled(name: Column) -> Column:
+    """Each word, also behind a point, with a capital."""
+    return F.array_join(F.transform(F.split(name, r"\.", -1), F.initcap), ".")
+
 
-    return F.coalesce(good(HOLDER), good(TITLED))
+def holder(*texts: Column) -> Column:
+    """The first holder's name behind a holder label, else behind a title, else behind "name"; each is sought in all ``texts`` in turn."""
+    found = [F.coalesce(F.regexp_extract_all(t, F.lit(p), 1), F.array().cast("array<string>")) for p in (HOLDER, TITLED, NAMED) for t in texts]
+    return let(F.get(F.filter(F.concat(*found), holder_candidate), 0), lambda name: titled(bare(name)))
 
 
 def native_sufficient(text: Column) -> Column:

@@ -72,11 +72,29 @@ def inherit_schema(pages: DataFrame) -> DataFrame:
     return filled.join(dominant_schema(pages), "doc_id", "left").select("doc_id", "page", F.coalesce("own", "carried", "best_names").alias("names"), F.when(F.col("own").isNotNull(), 1.0).otherwise(0.9).alias("confidence"))
 
 
+#: Cells of a page for joins of what is near: as wide as values are sought, and about a line high.
+CELL_X, CELL_Y = 400.0, 16.0
+
+
+def near_right(tokens: DataFrame, labels: DataFrame, also: tuple[str, ...] = (), reach: float = 350.0) -> DataFrame:
+    """Each label (doc_id, page, tok, x1, y0, y1) with each token right of it on its line: columns of tokens, and label.
+
+    Pages are cut into cells: a token lies in one, a label looks into the few that its
+    reach touches. So the join is on equal cells, not on all pairs of a page.
+    """
+    middle = (F.col("y0") + F.col("y1")) / 2
+    tall = F.greatest(F.lit(8.0), F.col("y1") - F.col("y0")) * 0.85
+    cells = lambda a, b, size: F.explode(F.sequence(F.floor(a / size), F.floor(b / size)))
+    lab = labels.select("doc_id", "page", *also, F.col("tok").alias("label"), F.col("x1").alias("lx1"), middle.alias("ly"), tall.alias("lh"))
+    lab = lab.withColumn("cx", cells(F.col("lx1") - 2, F.col("lx1") + reach, CELL_X)).withColumn("cy", cells(F.col("ly") - F.col("lh"), F.col("ly") + F.col("lh"), CELL_Y))
+    placed = tokens.withColumn("cx", F.floor(F.col("x0") / CELL_X)).withColumn("cy", F.floor(middle / CELL_Y))
+    near = placed.join(lab, ["doc_id", "page", *also, "cx", "cy"])
+    return near.where((F.col("tok") != F.col("label")) & F.col("x0").between(F.col("lx1") - 2, F.col("lx1") + reach) & (F.abs(middle - F.col("ly")) <= F.col("lh"))).drop("cx", "cy", "lx1", "ly", "lh")
+
+
 def values_right_of(tokens: DataFrame, labels: DataFrame, reach: float = 350.0, most: int = 3) -> DataFrame:
-    """Up to ``most`` tokens right of each label (doc_id, page, tok, x1, y0, y1) on its line, from left to right."""
-    lab = labels.select("doc_id", "page", F.col("tok").alias("label"), F.col("x1").alias("lx1"), ((F.col("y0") + F.col("y1")) / 2).alias("ly"), (F.col("y1") - F.col("y0")).alias("lh"))
-    near = tokens.join(lab, ["doc_id", "page"]).where((F.col("tok") != F.col("label")) & F.col("x0").between(F.col("lx1") - 2, F.col("lx1") + reach) & (F.abs((F.col("y0") + F.col("y1")) / 2 - F.col("ly")) <= F.col("lh") * 0.85))
-    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "page", "label").orderBy("tok"))).where(F.col("k") <= most)
+    """Up to ``most`` tokens right of each label on its line, from left to right."""
+    ranked = near_right(tokens, labels, reach=reach).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "page", "label").orderBy("tok"))).where(F.col("k") <= most)
     return ranked.groupBy("doc_id", "page", "label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "tok", "text"))), lambda t: t["text"]), " ").alias("value"))
 
 

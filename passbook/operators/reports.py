@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.narration import native_sufficient
+from . import layout, lines
 from .accounts import summary
+from .chain import staged
 from .sequence import continuity_flags
 
 
@@ -61,6 +63,21 @@ def routes(pages: DataFrame) -> DataFrame:
     return g.select("doc_id", F.when(F.col("axis"), "BANK_LINES").when(F.col("placed"), "COORDINATES").otherwise("LINES").alias("route"))
 
 
+def parsed(rows: DataFrame, printed: DataFrame) -> DataFrame:
+    """Transactions of each document by coordinates (``layout.reconstruct`` rows), or, where that gives none, by its printed lines (``lines``): with ``level``, the parser that gave them."""
+    docs = printed.select("doc_id").unionByName(rows.select("doc_id")).distinct()
+    columns = ["doc_id", "seq", "page", "d", "description", "type", "amount", "balance"]
+
+    def by_rows(left: DataFrame) -> DataFrame:
+        own = rows.join(left, "doc_id", "left_semi")
+        return layout.finalize(layout.reconstruct(own)).withColumnRenamed("segment", "seq").select(*columns)
+
+    def by_lines(left: DataFrame) -> DataFrame:
+        return lines.transactions(lines.read_lines(printed.join(left, "doc_id", "left_semi"))).select(*columns)
+
+    return staged(docs, [("COORDINATES", by_rows), ("LINES", by_lines)])
+
+
 def latest(ledger: DataFrame, most: int = 100) -> DataFrame:
     """The first ``most`` rows of each account in ledger order."""
     return ledger.withColumn("__k", F.row_number().over(Window.partitionBy("acct").orderBy("seq"))).where(F.col("__k") <= most).drop("__k")

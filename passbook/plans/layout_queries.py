@@ -215,7 +215,7 @@ UNION ALL SELECT doc_id, tok, 'TRANSACTION_TABLE' FROM r WHERE (page = 1 AND rel
     "dominant_schema": f"{HEADERS} SELECT doc_id, best_page, best_names, CAST(score AS BIGINT) AS score FROM best",
     "schema_forward_fill": f"{HEADERS} SELECT doc_id, page, coalesce(names, last_value(names IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), best_names) AS names, CASE WHEN names IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS confidence FROM h LEFT JOIN best USING (doc_id)",
     "horizontal_values": f"""{TOKENS}, j AS (SELECT a.doc_id, a.page, b.tok AS label, a.text, a.x0, a.tok, row_number() OVER (PARTITION BY a.doc_id, a.page, b.tok ORDER BY a.tok) AS k FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.page = b.page AND b.tok % 3 = 2 AND a.tok <> b.tok
-  WHERE a.x0 BETWEEN b.x1 - 2 AND b.x1 + 350 AND abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) <= (b.y1 - b.y0) * 0.85) SELECT doc_id, page, label, string_agg(text, ' ' ORDER BY x0, tok) AS value FROM j WHERE k <= 3 GROUP BY ALL""",
+  WHERE a.x0 BETWEEN b.x1 - 2 AND b.x1 + 350 AND abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) <= greatest(8, b.y1 - b.y0) * 0.85) SELECT doc_id, page, label, string_agg(text, ' ' ORDER BY x0, tok) AS value FROM j WHERE k <= 3 GROUP BY ALL""",
     "y_bucket_cluster": f"""WITH RECURSIVE {TOKENS[5:]}, o AS (SELECT doc_id, tok, y0, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, tok) AS k FROM t
 ), w AS (SELECT doc_id, tok, k, floor(y0) AS anchor FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.tok, o.k, CASE WHEN abs(o.y0 - w.anchor) <= 8 THEN w.anchor ELSE floor(o.y0) END FROM w JOIN o ON o.doc_id = w.doc_id AND o.k = w.k + 1) SELECT doc_id, CAST(1 AS BIGINT) AS page, tok, anchor FROM w""",
     "decimal_token_join": f"""{TOKENS}, c AS (SELECT doc_id, tok, CASE WHEN tok % 2 = 0 THEN lpad(CAST(tok * 7 AS VARCHAR), 2, '0') ELSE CAST(tok * 31 AS VARCHAR) END AS x FROM t), p AS (SELECT doc_id, tok, x, lead(x) OVER w AS nx, lead(tok) OVER w AS nt, lag(tok) OVER w AS pt FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY tok))
