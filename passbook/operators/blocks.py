@@ -1,53 +1,58 @@
 """Ordered steps over long documents: every document is cut into blocks of its order, and blocks are joined by what they carry.
 
 A window over a document runs in one task, however long the document. Here each block
-is a group of its own; what the blocks before it leave (a sum, a last value, the
-state of an automaton) is worked out from one row a block.
+is a group of its own; what the blocks before it leave is worked out from one row a
+block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.money import let
+
 #: Places of the order in a block.
 SIZE = 512
+Step = Callable[[Column, Column], Column]
 
 
-def cut(rows: DataFrame, order: str, size: int = SIZE) -> DataFrame:
-    return rows.withColumn("__block", F.floor(F.col(order) / size).cast("long"))
+def transducer(rows: DataFrame, key: str, order: str, states: int, step: Step, sums: Mapping[str, Step] | None = None, lasts: Mapping[str, tuple[str, Step]] | None = None, start: int = 0, size: int = SIZE) -> DataFrame:
+    """``rows`` run through a finite automaton, document by document in ``order`` (unique in a document).
 
+    ``step`` gives the state (0 to ``states`` - 1) after a row from the state before and
+    the row; ``sums`` whole numbers that are added up, ``lasts`` (type and value) values
+    of which the last known one counts. Added are ``before``, the state in front of the
+    row, and the sums and lasts up to and with it.
 
-def running(rows: DataFrame, key: str, order: str, sums: Mapping[str, Column] | None = None, lasts: Mapping[str, Column] | None = None, size: int = SIZE) -> DataFrame:
-    """``rows`` with sums, and last known values, of each document up to and with the row; ``order`` is unique in a document."""
-    sums, lasts = dict(sums or {}), dict(lasts or {})
-    blocks = cut(rows, order, size).select("*", *[v.alias(f"__{c}") for c, v in (sums | lasts).items()])
-    one = blocks.groupBy(key, "__block").agg(*[F.sum(f"__{c}").alias(c) for c in sums], *[F.max_by(f"__{c}", F.when(F.col(f"__{c}").isNotNull(), F.col(order))).alias(c) for c in lasts])
-    before = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = one.select(key, "__block", *[F.sum(c).over(before).alias(f"__c_{c}") for c in sums], *[F.last(c, ignorenulls=True).over(before).alias(f"__c_{c}") for c in lasts])
-    within = Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    total = [(F.coalesce(f"__c_{c}", F.lit(0)) + F.coalesce(F.sum(f"__{c}").over(within), F.lit(0))).alias(c) for c in sums]
-    last = [F.coalesce(F.last(f"__{c}", ignorenulls=True).over(within), F.col(f"__c_{c}")).alias(c) for c in lasts]
-    return blocks.join(carried, [key, "__block"]).select(*[c for c in rows.columns if c not in sums and c not in lasts], *total, *last)
-
-
-def automaton(rows: DataFrame, key: str, order: str, states: int, step: Callable[[Column, Column], Column], start: int = 0, size: int = SIZE) -> DataFrame:
-    """``rows`` with ``before``: the state of a finite automaton in front of each row of its document.
-
-    ``step`` gives the state (0 to ``states`` - 1) after a row from the state before
-    and the row. A block is a function from states to states, given by a table; the
-    tables of a document are applied one after another, then each block runs from the
-    state that it begins in.
+    A block is a function of the state it begins in, given by a table with the state,
+    sums and lasts at its end for each; the tables of a document are applied one after
+    another, then each block runs from what it begins with.
     """
+    sums, lasts = dict(sums or {}), dict(lasts or {})
+    names = [*sums, *lasts]
     others = [c for c in rows.columns if c not in (key, order)]
-    packed = cut(rows, order, size).groupBy(key, "__block").agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias("__rows"))
-    table = F.aggregate("__rows", F.array(*map(F.lit, range(states))), lambda acc, r: F.transform(acc, lambda s: step(s, r).cast("int")))
-    begun = F.struct(F.lit(start).alias("s"), F.array().cast("array<struct<__block:bigint,__start:int>>").alias("out"))
-    chained = F.aggregate(F.array_sort(F.collect_list(F.struct("__block", "__table"))), begun, lambda acc, b: F.struct(F.get(b["__table"], acc["s"]).alias("s"), F.array_append(acc["out"], F.struct(b["__block"], acc["s"].alias("__start"))).alias("out")))
+    packed = rows.withColumn("__block", F.floor(F.col(order) / size).cast("long")).groupBy(key, "__block").agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias("__rows"))
+
+    def zero(s: Column) -> Column:
+        return F.struct(s.cast("int").alias("s"), *[F.lit(0).cast("long").alias(c) for c in sums], *[F.lit(None).cast(kind).alias(c) for c, (kind, _) in lasts.items()])
+
+    def after(e: Column, r: Column) -> Column:
+        return F.struct(step(e["s"], r).cast("int").alias("s"), *[(e[c] + f(e["s"], r)).cast("long").alias(c) for c, f in sums.items()], *[F.coalesce(f(e["s"], r), e[c]).cast(kind).alias(c) for c, (kind, f) in lasts.items()])
+
+    def joined(e: Column, t: Column) -> Column:
+        return F.struct(t["s"].alias("s"), *[(e[c] + t[c]).alias(c) for c in sums], *[F.coalesce(t[c], e[c]).alias(c) for c in lasts])
+
+    table = F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda s: F.aggregate("__rows", zero(s), after))
+    kinds = "s:int" + "".join(f",{c}:bigint" for c in sums) + "".join(f",{c}:{kind}" for c, (kind, _) in lasts.items())
+    begun = F.struct(zero(F.lit(start)).alias("e"), F.array().cast(f"array<struct<__block:bigint,__e:struct<{kinds}>>>").alias("out"))
+    chained = F.aggregate(F.array_sort(F.collect_list(F.struct("__block", "__table"))), begun, lambda acc, b: F.struct(joined(acc["e"], F.get(b["__table"], acc["e"]["s"])).alias("e"), F.array_append(acc["out"], F.struct(b["__block"], acc["e"].alias("__e"))).alias("out")))
     starts = packed.select(key, "__block", table.alias("__table")).groupBy(key).agg(chained["out"].alias("out")).select(key, F.inline("out"))
-    state = F.struct(F.col("__start").alias("s"), F.array().cast("array<int>").alias("out"))
-    walked = F.aggregate("__rows", state, lambda acc, r: F.struct(step(acc["s"], r).cast("int").alias("s"), F.array_append(acc["out"], acc["s"]).alias("out")))["out"]
-    spread = packed.join(starts, [key, "__block"]).select(key, "__rows", walked.alias("__before")).select(key, F.posexplode("__rows").alias("__i", "__r"), "__before")
-    return spread.select(key, F.col(f"__r.{order}").alias(order), *[F.col("__r")[c].alias(c) for c in others], F.get("__before", F.col("__i")).alias("before"))
+
+    told = f"array<struct<{kinds.replace('s:int', 'before:int', 1)}>>"
+    state = F.struct(F.col("__e").alias("e"), F.array().cast(told).alias("out"))
+    walked = F.aggregate("__rows", state, lambda acc, r: let(after(acc["e"], r), lambda e: F.struct(e.alias("e"), F.array_append(acc["out"], F.struct(acc["e"]["s"].alias("before"), *[e[c].alias(c) for c in names])).alias("out"))))["out"]
+    spread = packed.join(starts, [key, "__block"]).select(key, "__rows", walked.alias("__told")).select(key, F.posexplode("__rows").alias("__i", "__r"), "__told").withColumn("__t", F.get("__told", F.col("__i")))
+    return spread.select(key, F.col(f"__r.{order}").alias(order), *[F.col("__r")[c].alias(c) for c in others if c not in names], F.col("__t.before").alias("before"), *[F.col("__t")[c].alias(c) for c in names])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, clean_amount, indicator, let
 from ..functions.text import TYPED_CREDIT, TYPED_DEBIT
-from .blocks import automaton, running
+from .blocks import transducer
 
 
 def assign_columns(tokens: DataFrame, columns: DataFrame, default: str | None = "DESCRIPTION") -> DataFrame:
@@ -262,14 +262,15 @@ def reconstruct(rows: DataFrame) -> DataFrame:
     def step(s: Column, r: Column) -> Column:
         return F.when(r["move"] == 0, s).when(r["move"] < 5, r["move"]).when(s == 0, 0).when(s == 4, r["move"] - 3).otherwise((s - 1).bitwiseOR(r["move"] - 4) + 1)
 
-    known = automaton(marked, "doc_id", "seq", 5, step)
-    opens, attached = F.col("move").between(1, 4) | ((F.col("move") > 4) & (F.col("before") == 4)), F.col("before") > 0
+    opened = lambda s, move: move.between(1, 4) | ((move > 4) & (s == 4))
+    dated = F.when((F.col("kind") == "ROW") & F.col("d").isNotNull(), F.col("d"))
+    known = transducer(marked.withColumn("dated", dated), "doc_id", "seq", 5, step, {"segment": lambda s, r: F.when(opened(s, r["move"]), 1).otherwise(0)}, {"date": ("date", lambda s, r: r["dated"])})
+    opens, attached = opened(F.col("before"), F.col("move")), F.col("before") > 0
     action = (
         F.when(F.col("kind") == "HEADER", REMOVED["HEADER"]).when(F.col("kind") == "FOOTER", REMOVED["FOOTER"]).when(F.col("move").between(1, 4), ACTIONS[0]).when(opens, ACTIONS[1])
         .when(F.col("move") > 4, F.when(attached, ACTIONS[2]).otherwise(ACTIONS[4])).otherwise(F.when(attached, ACTIONS[3]).otherwise(ACTIONS[5]))
     )
-    dated = F.when((F.col("kind") == "ROW") & F.col("d").isNotNull(), F.col("d"))
-    out = running(known.withColumn("action", action), "doc_id", "seq", sums={"segment": F.when(opens, 1).otherwise(0)}, lasts={"date": dated})
+    out = known.withColumn("action", action)
     return out.select("doc_id", "seq", "page", "segment", "action", "date", "description", "debit_raw", "credit_raw", "amount_raw", "dr_cr_raw", "balance_raw")
 
 
@@ -305,10 +306,8 @@ def finalize(actions: DataFrame) -> DataFrame:
     open_ = lambda c, raw: F.struct(F.lit(None).cast("string").alias("type"), c.alias("a"), raw.alias("raw"))
     chosen = F.coalesce(sided, F.when(F.col("amount") > 0, open_(F.col("amount"), F.col("amount_raw"))), F.when(clean_amount(F.col("inside")) > 0, open_(clean_amount(F.col("inside")), clean_amount(F.col("inside")).cast("string"))))
     some = typed.withColumn("chosen", chosen).where("chosen is not null")
-    # The balance before: of the last transaction that has one, by place of the draft.
-    known = running(some.select("doc_id", "segment", "page", "d", "description", "dr_cr_raw", "balance", "chosen"), "doc_id", "segment", lasts={"upto": F.col("balance")})
-    before = Window.partitionBy("doc_id").orderBy("segment")
-    rows = known.withColumn("prev_balance", F.lag("upto").over(before)).select("*", F.col("chosen.raw").alias("raw"), F.col("dr_cr_raw").alias("column_type"))
+    before = Window.partitionBy("doc_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    rows = some.drop("debit", "credit", "amount").select("*", F.last("balance", ignorenulls=True).over(before).alias("prev_balance"), F.col("chosen.raw").alias("raw"), F.col("dr_cr_raw").alias("column_type"))
     t = classify_side(rows).drop("amount").withColumn("type", F.coalesce("chosen.type", "side")).withColumn("read", F.col("chosen.a").cast(MONEY))
     change = (F.col("balance") - F.col("prev_balance")).cast(MONEY)
     a, b = F.col("read").cast("string"), F.abs(change).cast(MONEY).cast("string")
@@ -339,24 +338,23 @@ def infer_side(narration: Column, hint: Column) -> Column:
     return F.coalesce(hint, F.when(F.upper(narration).rlike(CREDIT_WORDS), "CREDIT"), F.lit("DEBIT"))
 
 
-def resolve_line_amounts(lines: DataFrame, opening: float | None = None, tolerance: float = 0.05) -> DataFrame:
-    """Transactions (doc_id, seq, description, amounts; hint: side of the column, if known) to type, amount, balance, continuous and ambiguous.
+def resolve_line_amounts(lines: DataFrame, opening: float | None = None, tolerance: float = 0.05, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Transactions (doc_id, seq, description, amounts; hint: side of the column; reset: a balance stated just before, if known) to type, amount, balance, continuous and ambiguous; columns of ``keep`` stay.
 
     The last of two amounts or more is the balance. Which side an amount is on, and
     which of several it is, follows from the balance before; else from the words. A
     row with one amount moves the balance, one with none keeps it. So the balance is
-    the last stated one and what single amounts added since: a running sum. A row with
-    ``reset`` states a balance and is no transaction.
+    the last stated one and what single amounts added since: a running sum.
     """
     order = Window.partitionBy("doc_id").orderBy("seq")
-    reset = F.col("reset") if "reset" in lines.columns else F.lit(None)
-    hint = F.col("hint") if "hint" in lines.columns else F.lit(None).cast("string")
-    rows = lines.select("doc_id", "seq", infer_side(F.col("description"), hint).alias("guess"), F.transform("amounts", lambda a: a.cast(MONEY)).alias("a"), reset.cast(MONEY).alias("reset")).withColumn("n", F.size("a"))
-    rows = rows.withColumn("stated", F.coalesce("reset", F.when(F.col("n") >= 2, F.element_at("a", -1))))
-    rows = rows.withColumn("moved", F.sum(F.when(F.col("n") == 1, F.get("a", 0) * F.when(F.col("guess") == "CREDIT", 1).otherwise(-1)).otherwise(0)).over(order))
+    given = lambda c, kind: F.col(c).cast(kind) if c in lines.columns else F.lit(None).cast(kind)
+    rows = lines.select("doc_id", "seq", *keep, infer_side(F.col("description"), given("hint", "string")).alias("guess"), F.transform("amounts", lambda a: a.cast(MONEY)).alias("a"), given("reset", MONEY).alias("reset")).withColumn("n", F.size("a"))
+    rows = rows.withColumn("stated", F.when(F.col("n") >= 2, F.element_at("a", -1)))
+    rows = rows.withColumn("move", F.when(F.col("n") == 1, F.get("a", 0) * F.when(F.col("guess") == "CREDIT", 1).otherwise(-1)).otherwise(0)).withColumn("moved", F.sum("move").over(order))
     first = F.lit(opening).cast(MONEY)
-    rows = rows.withColumn("balance", (F.coalesce(F.last(F.col("stated") - F.col("moved"), ignorenulls=True).over(order), first) + F.col("moved")).cast(MONEY))
-    rows = rows.withColumn("prev", F.coalesce(F.lag("balance").over(order), first))
+    level = F.coalesce(F.col("stated") - F.col("moved"), F.col("reset") - F.col("moved") + F.col("move"))
+    rows = rows.withColumn("balance", (F.coalesce(F.last(level, ignorenulls=True).over(order), first) + F.col("moved")).cast(MONEY))
+    rows = rows.withColumn("prev", F.coalesce("reset", F.lag("balance").over(order), first))
     change, near = F.col("stated") - F.col("prev"), F.lit(tolerance).cast(MONEY)
     up, down = (lambda x: F.abs(change - x) <= near), (lambda x: F.abs(change + x) <= near)
     # Of two amounts the first, whatever its sign; of more the last positive one that explains the change.
@@ -371,7 +369,7 @@ def resolve_line_amounts(lines: DataFrame, opening: float | None = None, toleran
     amount = F.when(F.col("n") == 0, 0).when(F.col("n") <= 2, one).when(F.col("fit").isNotNull(), F.col("fit")).when(known, F.get("a", F.col("n") - 2)).otherwise(F.when(either == "DEBIT", one).when(either == "CREDIT", two).otherwise(chosen))
     holds = F.when(F.col("n") == 0, False).when(F.col("n") == 1, True).when(known, F.col("fit").isNotNull()).otherwise((F.col("n") == 2) | either.isNotNull())
     unsure = (F.col("n") == 0) | ((F.col("n") == 2) & known & F.col("fit").isNull() & (change == 0)) | ((F.col("n") > 2) & ~known & either.isNull())
-    return rows.where("reset is null").select("doc_id", "seq", side.alias("type"), amount.cast(MONEY).alias("amount"), "balance", holds.alias("continuous"), F.coalesce(unsure, F.lit(False)).alias("ambiguous"))
+    return rows.select("doc_id", "seq", *keep, side.alias("type"), amount.cast(MONEY).alias("amount"), "balance", holds.alias("continuous"), F.coalesce(unsure, F.lit(False)).alias("ambiguous"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

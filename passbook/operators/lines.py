@@ -5,15 +5,13 @@ lines: doc_id, seq (place in the document, over all pages), page, line.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.money import MONEY, let
 from ..functions.narration import merged, nearest_column
-from .blocks import automaton, running
+from .blocks import transducer
 from .layout import resolve_line_amounts
 
 # Printed money, totals that are no transactions, and what a line of a statement begins with or says.
@@ -97,18 +95,16 @@ def sliced(line: Column, header: Column, name: str) -> Column:
 
 
 def classified(lines: DataFrame) -> DataFrame:
-    """Each line with its kind: BLANK, OPENING (the first of a document), HEADER, BANNER, DATED, DATED_AMOUNTS, AMOUNTS or TEXT; and what it holds."""
-    text = lines.withColumn("text", F.trim("line"))
-    first = text.where(F.col("text").rlike(OPENING)).groupBy("doc_id").agg(F.min("seq").alias("opens"))
-    rows = text.join(first, "doc_id", "left")
+    """Each line with what it holds, whether it may state the opening balance, and its kind: BLANK, HEADER, BANNER, DATED, DATED_AMOUNTS, AMOUNTS or TEXT."""
     date = F.regexp_extract("text", DATED, 0)
+    rows = lines.withColumn("text", F.coalesce(F.trim("line"), F.lit(""))).withColumn("opens", F.col("text").rlike(OPENING))
     told = rows.withColumn("date_text", F.nullif(F.regexp_extract("text", DATED, 1), F.lit(""))).withColumn("rest", F.trim(F.substring(F.col("text"), F.length(date) + 1, F.length("text")))).withColumn("places", heading_places(F.col("text")))
     told = told.withColumn("money", line_amounts(F.col("rest")))
     kind = (
-        F.when(F.coalesce(F.col("text"), F.lit("")) == "", "BLANK").when(F.col("seq") == F.col("opens"), "OPENING").when(F.col("places").isNotNull(), "HEADER").when(F.col("text").rlike(BANNERS), "BANNER")
+        F.when(F.col("text") == "", "BLANK").when(F.col("places").isNotNull(), "HEADER").when(F.col("text").rlike(BANNERS), "BANNER")
         .when(F.col("date_text").isNotNull(), F.when(F.col("money.dedicated"), "DATED_AMOUNTS").otherwise("DATED")).when(F.col("money.dedicated"), "AMOUNTS").otherwise("TEXT")
     )
-    return told.select("doc_id", "seq", "page", "text", "date_text", "rest", "places", "money", kind.alias("kind"))
+    return told.select("doc_id", "seq", "page", "text", "date_text", "rest", "places", "money", "opens", kind.alias("kind"))
 
 
 def without_amounts(text: Column, money: Column) -> Column:
@@ -118,68 +114,76 @@ def without_amounts(text: Column, money: Column) -> Column:
 
 
 def read_lines(lines: DataFrame) -> DataFrame:
-    """``classified`` lines with the number of their transaction (0 before the first) and their action: OPENED, NARRATION, CLOSED, or IGNORED.
+    """``classified`` lines with the number of their transaction (0 before the first), the opening balance and the table header so far, and their action: OPENED, NARRATION, CLOSED, or IGNORED.
 
     A dated line opens a transaction, and closes it too if it holds its amounts. While
     one without amounts is open, a line for amounts closes it and any other extends it;
-    while none is, lines are ignored.
+    while none is, lines are ignored. The first line of a document that states an
+    opening balance (kind OPENING) does nothing else.
+    States: whether a transaction without amounts is open, and 2 more once an opening balance is stated.
     """
     rows = classified(lines)
-    rows = rows.withColumn("move", F.when(F.col("kind") == "DATED", READING).when(F.col("kind").isin("DATED_AMOUNTS", "AMOUNTS"), WAITING))
-    known = automaton(rows, "doc_id", "seq", 2, lambda s, r: F.coalesce(r["move"], s))
-    dated = F.col("kind").isin("DATED", "DATED_AMOUNTS")
-    reading = F.col("before") == READING
-    action = F.when(F.col("kind") == "DATED", "OPENED").when(F.col("kind") == "DATED_AMOUNTS", "CLOSED").when(reading & (F.col("kind") == "AMOUNTS"), "CLOSED").when(reading & (F.col("kind") == "TEXT"), "NARRATION").otherwise("IGNORED")
     centre = lambda n: (F.col(f"places.{n}.start") + F.col(f"places.{n}.end")) / 2
-    header = F.when(F.col("kind") == "HEADER", F.struct(centre("debit").alias("debit"), centre("credit").alias("credit"), centre("balance").alias("balance")))
-    return running(known.withColumn("action", action), "doc_id", "seq", sums={"segment": F.when(dated, 1).otherwise(0)}, lasts={"header": header}).drop("move", "before", "places")
+    here = F.when(F.col("kind") == "HEADER", F.struct(centre("debit").alias("debit"), centre("credit").alias("credit"), centre("balance").alias("balance")))
+    move = F.when(F.col("kind") == "DATED", READING).when(F.col("kind").isin("DATED_AMOUNTS", "AMOUNTS"), WAITING)
+    rows = rows.withColumn("move", move).withColumn("dated", F.col("kind").isin("DATED", "DATED_AMOUNTS")).withColumn("here", here).withColumn("states", F.when(F.col("opens"), printed(F.regexp_extract("text", OPENING, 1))))
+    opening = lambda s, opens: opens & (s < 2)
+
+    def step(s: Column, r: Column) -> Column:
+        return F.when(opening(s, r["opens"]), s + 2).when(r["move"].isNull(), s).otherwise(s - s % 2 + r["move"])
+
+    known = transducer(
+        rows.drop("places"), "doc_id", "seq", 4, step, {"segment": lambda s, r: F.when(r["dated"] & ~opening(s, r["opens"]), 1).otherwise(0)},
+        {"opening": (MONEY, lambda s, r: F.when(opening(s, r["opens"]), r["states"])), "header": ("struct<debit:double,credit:double,balance:double>", lambda s, r: F.when(~opening(s, r["opens"]), r["here"]))},
+    )
+    known = known.withColumn("kind", F.when(opening(F.col("before"), F.col("opens")), "OPENING").otherwise(F.col("kind")))
+    reading, kind = F.col("before") % 2 == READING, F.col("kind")
+    action = F.when(kind == "DATED", "OPENED").when(kind == "DATED_AMOUNTS", "CLOSED").when(reading & (kind == "AMOUNTS"), "CLOSED").when(reading & (kind == "TEXT"), "NARRATION").otherwise("IGNORED")
+    return known.select("doc_id", "seq", "page", "text", "date_text", "rest", "money", "kind", action.alias("action"), "segment", "opening", "header")
 
 
-def transactions(read: DataFrame) -> DataFrame:
-    """Transactions of ``read_lines``: doc_id, seq, page, d, description, type, amount, balance, continuous, ambiguous, branch, cheque.
+def drafts(read: DataFrame) -> DataFrame:
+    """One row a transaction of ``read_lines``, closed or not, and one (seq 0) for the lines before the first."""
+    own, closing = F.col("action") != "IGNORED", F.col("action") == "CLOSED"
+    narration = F.when(closing, without_amounts(F.when(F.col("date_text").isNull(), F.col("text")).otherwise(F.col("rest")), F.col("money"))).when(F.col("date_text").isNotNull(), F.col("rest")).otherwise(F.col("text"))
+    said = F.filter(F.transform(F.array_sort(F.collect_list(F.when(own, F.struct("seq", narration.alias("n"))))), lambda r: r["n"]), lambda x: x != "")
+    last = lambda c: F.max_by(c, F.when(closing, F.col("seq"))).alias(c)
+    stated = F.min_by(printed(F.regexp_extract("text", CLOSING, 1)), F.when((F.col("kind") != "OPENING") & F.col("text").rlike(CLOSING), F.col("seq")))
+    return read.groupBy("doc_id", F.col("segment").alias("seq")).agg(F.min_by("page", "seq").alias("page"), F.min_by("date_text", F.when(own, F.col("seq"))).alias("date_text"), said.alias("said"), last("money"), last("header"), last("opening"), F.max("opening").alias("known"), stated.alias("closing"), (F.count_if(closing) > 0).alias("closed"))
+
+
+def transactions(made: DataFrame) -> DataFrame:
+    """Transactions of ``drafts``: doc_id, seq, page, d, description, type, amount, balance, continuous, ambiguous, branch, cheque.
 
     Those never closed are left out. Of equal ones that follow each other one stays.
     """
-    own = read.where("segment > 0 and action <> 'IGNORED'")
-    closing = F.col("action") == "CLOSED"
-    narration = F.when(closing, without_amounts(F.when(F.col("date_text").isNull(), F.col("text")).otherwise(F.col("rest")), F.col("money"))).when(F.col("date_text").isNotNull(), F.col("rest")).otherwise(F.col("text"))
-    said = F.transform(F.array_sort(F.collect_list(F.struct("seq", narration.alias("n")))), lambda r: r["n"])
-    last = lambda c: F.max_by(c, F.when(closing, F.col("seq")))
-    t = own.groupBy("doc_id", F.col("segment").alias("seq")).agg(F.min_by("page", "seq").alias("page"), F.min_by("date_text", "seq").alias("date_text"), said.alias("said"), last("money").alias("money"), last("header").alias("header"), F.count_if(closing).alias("closed")).where("closed > 0")
-    t = t.withColumn("said", F.filter("said", lambda x: x != "")).withColumn("description", merged(F.col("said")))
+    t = made.where("closed").withColumn("description", merged(F.col("said")))
     at = F.nullif(F.instr(F.array_join("said", " "), F.get("money.amounts", 0).cast("string")), F.lit(0)) - 1
     near = nearest_column(at, F.col("header.debit"), F.col("header.credit"), F.col("header.balance"))
-    t = t.withColumn("hint", F.when(near.isin("DEBIT", "CREDIT"), near)).withColumn("amounts", F.col("money.amounts"))
-    opening = read.where("kind = 'OPENING'").select("doc_id", printed(F.regexp_extract("text", OPENING, 1)).alias("reset"), (F.col("segment") + 0.5).alias("place"))
-    rows = t.select("doc_id", F.col("seq").cast("double").alias("place"), "description", "hint", "amounts").withColumn("reset", F.lit(None).cast(MONEY))
-    none = F.array().cast(f"array<{MONEY}>")
-    given = opening.select("doc_id", "place", F.lit("").alias("description"), F.lit(None).cast("string").alias("hint"), none.alias("amounts"), "reset")
-    placed = rows.unionByName(given).withColumn("seq", (F.col("place") * 2).cast("long")).drop("place")
-    money = resolve_line_amounts(placed).withColumn("seq", (F.col("seq") / 2).cast("long"))
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    first = F.when(F.lag("opening").over(order).isNull(), F.col("opening"))
+    t = t.select("doc_id", "seq", "page", "date_text", "description", F.when(near.isin("DEBIT", "CREDIT"), near).alias("hint"), F.col("money.amounts").alias("amounts"), first.alias("reset"), F.col("money.branch").alias("branch"), F.col("money.cheque").alias("cheque"))
+    money = resolve_line_amounts(t, keep=("page", "date_text", "description", "branch", "cheque"))
     bare = F.regexp_replace("date_text", r"^\d{1,2}(?=\d{2}[/\-.\s][A-Za-z])", "")  # of a day merged with a row's number its last two digits stay
-    out = t.select("doc_id", "seq", "page", dates.parse(bare).alias("d"), "description", F.col("money.branch").alias("branch"), F.col("money.cheque").alias("cheque")).join(money, ["doc_id", "seq"])
+    out = money.withColumn("d", dates.parse(bare)).drop("date_text")
     same = F.struct("d", "amount", "balance", "description", "type")
-    before = F.lag(same).over(Window.partitionBy("doc_id").orderBy("seq"))
+    before = F.lag(same).over(order)
     return out.withColumn("again", F.coalesce(before.eqNullSafe(same), F.lit(False))).where("not again").drop("again")
 
 
-def fragments(read: DataFrame) -> DataFrame:
+def fragments(made: DataFrame) -> DataFrame:
     """Transactions dropped without amounts (doc_id, seq, page, date_text): a later one opened, and they had some narration."""
-    own = read.where("segment > 0 and action <> 'IGNORED'")
-    n = own.groupBy("doc_id", F.col("segment").alias("seq")).agg(F.min_by("page", "seq").alias("page"), F.min_by("date_text", "seq").alias("date_text"), F.count_if(F.col("action") == "CLOSED").alias("closed"), F.count_if((F.col("action") == "NARRATION") | (F.col("rest") != "")).alias("said"))
-    last = read.groupBy("doc_id").agg(F.max("segment").alias("last"))
-    return n.where("closed = 0 and said > 0").join(last, "doc_id").where("seq < last").select("doc_id", "seq", "page", "date_text")
+    return made.withColumn("later", F.lead("seq").over(Window.partitionBy("doc_id").orderBy("seq"))).where("seq > 0 and not closed and size(said) > 0 and later is not null").select("doc_id", "seq", "page", "date_text")
 
 
-def report(read: DataFrame, txns: DataFrame) -> DataFrame:
-    """Each document's opening and closing balance, totals, counts, and whether the totals explain the closing balance."""
-    first = lambda kind, pattern: read.where(kind).where(F.col("text").rlike(pattern)).groupBy("doc_id").agg(F.min_by(printed(F.regexp_extract("text", pattern, 1)), "seq").alias("v"))
+def report(made: DataFrame) -> DataFrame:
+    """Each document's opening and closing balance, totals, counts, and whether the totals explain the closing balance; from ``drafts``."""
     side = lambda s: F.coalesce(F.sum(F.when(F.col("type") == s, F.col("amount"))), F.lit(0)).cast(MONEY)
     signed = F.when(F.col("type") == "CREDIT", F.col("amount")).otherwise(-F.col("amount"))
-    t = txns.groupBy("doc_id").agg(side("CREDIT").alias("credits"), side("DEBIT").alias("debits"), F.count("*").alias("n"), F.count_if(~F.col("continuous")).alias("broken"), F.count_if("ambiguous").alias("ambiguous"), F.min_by((F.col("balance") - signed).cast(MONEY), "seq").alias("implied"), F.max_by("balance", "seq").alias("ended"))
-    dropped = fragments(read).groupBy("doc_id").agg(F.count("*").alias("dropped"))
-    opened, closed = first("kind = 'OPENING'", OPENING).withColumnRenamed("v", "opening"), first("kind <> 'OPENING'", CLOSING).withColumnRenamed("v", "closing")
-    out = reduce(lambda a, b: a.join(b, "doc_id", "left"), (t, dropped, opened, closed), read.select("doc_id").distinct())
+    t = transactions(made).groupBy("doc_id").agg(side("CREDIT").alias("credits"), side("DEBIT").alias("debits"), F.count("*").alias("n"), F.count_if(~F.col("continuous")).alias("broken"), F.count_if("ambiguous").alias("ambiguous"), F.min_by((F.col("balance") - signed).cast(MONEY), "seq").alias("implied"), F.max_by("balance", "seq").alias("ended"))
+    lost = (F.col("seq") > 0) & ~F.col("closed") & (F.size("said") > 0)
+    docs = made.groupBy("doc_id").agg(F.max("known").alias("opening"), F.min_by("closing", F.when(F.col("closing").isNotNull(), F.col("seq"))).alias("closing"), F.count_if(lost).alias("lost"), F.max_by(lost, "seq").alias("last_lost"))
+    out = docs.join(t, "doc_id", "left").withColumn("dropped", F.col("lost") - F.when(F.col("last_lost"), 1).otherwise(0))
     zero = F.lit(0)
     opening = F.coalesce("opening", "implied", zero).cast(MONEY)
     moved = (opening + F.coalesce("credits", zero) - F.coalesce("debits", zero)).cast(MONEY)

@@ -73,7 +73,7 @@ def parsed(rows: DataFrame, printed: DataFrame) -> DataFrame:
         return layout.finalize(layout.reconstruct(own)).withColumnRenamed("segment", "seq").select(*columns)
 
     def by_lines(left: DataFrame) -> DataFrame:
-        return lines.transactions(lines.read_lines(printed.join(left, "doc_id", "left_semi"))).select(*columns)
+        return lines.transactions(lines.drafts(lines.read_lines(printed.join(left, "doc_id", "left_semi")))).select(*columns)
 
     return staged(docs, [("COORDINATES", by_rows), ("LINES", by_lines)])
 

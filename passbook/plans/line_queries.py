@@ -40,12 +40,11 @@ def _actions(spark, sf_dir):
 
 
 def _transactions(spark, sf_dir):
-    return shown(lines.transactions(_read(spark, sf_dir)))
+    return shown(lines.transactions(lines.drafts(_read(spark, sf_dir))))
 
 
 def _report(spark, sf_dir):
-    read = _read(spark, sf_dir)
-    return shown(lines.report(read, lines.transactions(read)))
+    return shown(lines.report(lines.drafts(_read(spark, sf_dir))))
 
 
 def fixed_width(spark, sf_dir) -> DataFrame:

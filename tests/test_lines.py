@@ -64,13 +64,13 @@ Closing Balance: 72,289.13"""
 
 def test_several_lines_over_pages(spark):
     read = statement(spark, AXIS, MORE)
-    t = lines.transactions(read)
+    t = lines.transactions(lines.drafts(read))
     got = [(r["type"], float(r["amount"]), float(r["balance"]), r["page"], r["branch"], r["continuous"]) for r in t.orderBy("seq").collect()]
     assert got == [("CREDIT", 16758, 16807.13, 1, "4378", True), ("DEBIT", 25, 16782.13, 1, "4378", True), ("CREDIT", 15500, 32282.13, 2, "4378", True), ("CREDIT", 40007, 72289.13, 2, "248", True)]
     first = t.orderBy("seq").first()
     assert first["description"] == "IMPS/P2A/607717366683/IdfFinan/IDFCBank/Paymentd/9198452472199751001" and first["d"] == datetime.date(2026, 3, 18)
-    assert [(r["page"], r["date_text"]) for r in lines.fragments(read).collect()] == [(2, "28-03-2026")]
-    r = lines.report(read, t).first()
+    assert [(r["page"], r["date_text"]) for r in lines.fragments(lines.drafts(read)).collect()] == [(2, "28-03-2026")]
+    r = lines.report(lines.drafts(read)).first()
     assert (float(r["opening_balance"]), float(r["closing_balance"]), r["n"], r["dropped"], r["verified"]) == (49.13, 72289.13, 4, 1, True)
 
 
@@ -83,9 +83,9 @@ Date | Transaction Details | Debit | Credit | Balance
 3 12 Aug 2026 Merchant Purchase Coffee $15.50 $6,684.50
 Ending Balance: $6,684.50"""
     read = statement(spark, usd)
-    t = lines.transactions(read)
+    t = lines.transactions(lines.drafts(read))
     assert [(r["d"].day, r["type"], float(r["amount"])) for r in t.orderBy("seq").collect()][:3] == [(2, "CREDIT", 3200), (5, "DEBIT", 1500), (12, "DEBIT", 15.5)]
-    r = lines.report(read, t).first()
+    r = lines.report(lines.drafts(read)).first()
     assert (float(r["opening_balance"]), float(r["closing_balance"])) == (5000, 6684.5)
 
 
@@ -110,8 +110,7 @@ def test_blocks_give_what_one_pass_gives(spark, size):
         state[doc] = (total, last, table[move][s])
     frame = spark.createDataFrame(rows, "doc long, place long, v long, move int").repartition(4)
     steps = F.array(*[F.array(*map(F.lit, t)) for t in table])
-    known = blocks.automaton(frame, "doc", "place", 5, lambda s, r: F.get(F.get(steps, r["move"]), s), size=size)
-    got = blocks.running(known, "doc", "place", {"total": F.coalesce("v", F.lit(0))}, {"last": F.col("v")}, size=size).collect()
+    got = blocks.transducer(frame, "doc", "place", 5, lambda s, r: F.get(F.get(steps, r["move"]), s), {"total": lambda s, r: F.coalesce(r["v"], F.lit(0))}, {"last": ("long", lambda s, r: r["v"])}, size=size).collect()
     assert {(r["doc"], r["place"]): (r["total"], r["last"], r["before"]) for r in got} == want
 
 
