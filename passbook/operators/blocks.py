@@ -20,7 +20,7 @@ Step = Callable[[Column, Column], Column]
 
 
 def transducer(rows: DataFrame, key: str, order: str, states: int, step: Step, sums: Mapping[str, Step] | None = None, lasts: Mapping[str, tuple[str, Step]] | None = None, start: int = 0, size: int = SIZE) -> DataFrame:
-    """``rows`` run through a finite automaton, document by document in ``order`` (unique in a document).
+    """``rows`` run through a finite automaton, document by document in ``order`` (whole numbers from 0, unique in a document).
 
     ``step`` gives the state (0 to ``states`` - 1) after a row from the state before and
     the row; ``sums`` whole numbers that are added up, ``lasts`` (type and value) values
@@ -45,10 +45,11 @@ def transducer(rows: DataFrame, key: str, order: str, states: int, step: Step, s
     def joined(e: Column, t: Column) -> Column:
         return F.struct(t["s"].alias("s"), *[(e[c] + t[c]).alias(c) for c in sums], *[F.coalesce(t[c], e[c]).alias(c) for c in lasts])
 
-    table = F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda s: F.aggregate("__rows", zero(s), after))
+    # Block 0 begins a document if there is one: it is run from the start only.
+    table = F.transform(F.when(F.col("__block") == 0, F.array(F.lit(start))).otherwise(F.array(*map(F.lit, range(states)))), lambda s: F.aggregate("__rows", zero(s), after))
     kinds = "s:int" + "".join(f",{c}:bigint" for c in sums) + "".join(f",{c}:{kind}" for c, (kind, _) in lasts.items())
     begun = F.struct(zero(F.lit(start)).alias("e"), F.array().cast(f"array<struct<__block:bigint,__e:struct<{kinds}>>>").alias("out"))
-    chained = F.aggregate(F.array_sort(F.collect_list(F.struct("__block", "__table"))), begun, lambda acc, b: F.struct(joined(acc["e"], F.get(b["__table"], acc["e"]["s"])).alias("e"), F.array_append(acc["out"], F.struct(b["__block"], acc["e"].alias("__e"))).alias("out")))
+    chained = F.aggregate(F.array_sort(F.collect_list(F.struct("__block", "__table"))), begun, lambda acc, b: F.struct(joined(acc["e"], F.get(b["__table"], F.when(b["__block"] == 0, 0).otherwise(acc["e"]["s"]))).alias("e"), F.array_append(acc["out"], F.struct(b["__block"], acc["e"].alias("__e"))).alias("out")))
     starts = packed.select(key, "__block", table.alias("__table")).groupBy(key).agg(chained["out"].alias("out")).select(key, F.inline("out"))
 
     told = f"array<struct<{kinds.replace('s:int', 'before:int', 1)}>>"

@@ -120,9 +120,9 @@ def page_schemas(headers: DataFrame, pages: DataFrame) -> DataFrame:
     the last schema; notices have none.
     """
     names = F.transform("columns", lambda c: c["name"])
-    scored = headers.where(F.size("columns") > 0).withColumn("rank", schema_score(names))
-    best = scored.groupBy("doc_id").agg(F.max_by(F.struct("columns", "raw_text", "confidence"), F.struct("rank", -F.col("page"))).alias("best"))
-    both = pages.select("doc_id", "page", F.col("raw_text").alias("page_text")).join(headers.select("doc_id", "page", "y0", "y1", "columns", "raw_text", "confidence"), ["doc_id", "page"], "left").join(best, "doc_id")
+    both = pages.select("doc_id", "page", F.col("raw_text").alias("page_text")).join(headers.select("doc_id", "page", "y0", "y1", "columns", "raw_text", "confidence"), ["doc_id", "page"], "left")
+    rank = F.when(F.size("columns") > 0, F.struct(schema_score(names).alias("rank"), (-F.col("page")).alias("first")))
+    both = both.withColumn("best", F.max_by(F.struct("columns", "raw_text", "confidence"), rank).over(Window.partitionBy("doc_id"))).where("best is not null")
     own = F.coalesce(F.size("columns") > 0, F.lit(False))
     same = F.array_sort(names) == F.array_sort(F.transform("best.columns", lambda c: c["name"]))
     whole = (F.size("columns") >= F.size("best.columns")) | same
