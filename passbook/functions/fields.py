@@ -179,3 +179,17 @@ def evidence(where: dict[str, Column], header: Column, rows: Column) -> Column:
     items += [item(~ledger & pay["title"] & pay["employee"] & (pay["earnings"] | pay["deductions"]), "PAYSLIP", "PAYSLIP", 75, -1), item(~ledger & where["all"].rlike(AADHAAR), "AADHAAR", "AADHAAR", 80, -1)]
     items += [item(~ledger & ~identity & where["all"].rlike(PAN_CARD), "PAN_CARD", "PAN_CARD", 80, -1), item(~ledger & title.rlike(RESUME[0]) & where["one"].rlike(RESUME[1]), "RESUME", "RESUME", 80, -1)]
     return F.array_compact(F.array(*items))
+
+
+#: Lines of a page that are read for its head and its foot, and letters of a document that tell its bank and its kind.
+HEAD_LINES, FOOT_LINES, BANK_LETTERS, KIND_LETTERS = 35, 30, 1500, 1000
+
+
+def head_lines(text: Column, most: int = HEAD_LINES) -> Column:
+    """The first lines of a page."""
+    return F.array_join(F.slice(F.split(text, "\n"), 1, most), "\n")
+
+
+def foot_lines(text: Column, most: int = FOOT_LINES) -> Column:
+    """The last lines of a page."""
+    return let(F.split(text, "\n"), lambda x: F.array_join(F.slice(x, F.greatest(F.size(x) - most + 1, F.lit(1)), F.lit(most)), "\n"))

@@ -80,3 +80,9 @@ def validate(ledger: DataFrame) -> DataFrame:
     g = ledger.groupBy("acct").agg(F.count_if(bad(F.col("amount")) | (F.col("amount") < 0)).alias("bad_amounts"), F.count_if(bad(F.col("balance"))).alias("bad_balances"), F.count("*").alias("n"))
     errors = F.array_compact(F.array(F.when(F.col("bad_amounts") > 0, "amount"), F.when(F.col("bad_balances") > 0, "balance")))
     return g.select("acct", "n", "bad_amounts", "bad_balances", F.array_join(errors, ",").alias("errors"), (F.size(errors) == 0).alias("valid"))
+
+
+def warnings(accounts: DataFrame) -> DataFrame:
+    """Warnings of each account (acct, n: transactions, difference): nothing found, and totals that do not reconcile by more than a cent."""
+    said = F.array_compact(F.array(F.when(F.coalesce("n", F.lit(0)) == 0, "No individual transaction lines were identified from the statement."), F.when(F.col("difference") > 0.01, F.format_string("Balance difference of %s", F.col("difference").cast("decimal(18,2)").cast("string")))))
+    return accounts.select("acct", said.alias("warnings"), F.size(said).cast("long").alias("n_warnings"))

@@ -10,6 +10,16 @@ from .accounts import summary
 from .sequence import continuity
 
 
+# Messages by status, and reasons of a failure.
+MESSAGES = {
+    "verified": "Mathematical integrity verified: ledger arithmetic, running balance continuity, and statement totals reconcile within tolerance.",
+    "plain": "Transactions extracted and validated without internal contradictions.",
+    "minor": "Minor discrepancy detected in intermediate row continuity, but document totals reconcile.",
+    "failed": "Mathematical integrity verification failed: %s.",
+    "a": "transaction ledger arithmetic mismatch", "b": "statement summary reconciliation difference", "c": " running balance gap(s)", "d": "completeness ratio %s%% below threshold",
+}
+
+
 def _status(applies: Column, passes: Column) -> Column:
     return F.when(~applies, "NOT_APPLICABLE").when(passes, "PASS").otherwise("FAIL")
 
@@ -41,7 +51,7 @@ def checks(ledger: DataFrame, tolerance: float = 0.01, least_ratio: float = 0.98
     if audit is not None:
         f = f.join(audit.select("acct", "candidates", "accounted", "suspicious"), "acct", "left")
         share = F.when(F.col("candidates") > 0, divided(F.col("accounted"), F.greatest("candidates", F.lit(1)).cast("long"), 10_000)).otherwise(1.0)
-        complete, ratio = (share >= least_ratio) & (F.coalesce("suspicious", F.lit(0)) <= most_suspicious), [share.alias("completeness_ratio")]
+        complete, ratio = (share >= least_ratio) & (F.coalesce("suspicious", F.lit(0)) <= most_suspicious), [share.alias("completeness_ratio"), F.coalesce("suspicious", F.lit(0)).alias("suspicious")]
     close = lambda a, b: F.coalesce(F.abs(a - b), F.lit(0)) <= tolerance
     a_diff = F.abs(F.col("calculated_closing") - F.col("last_balance")).cast(MONEY)
     b_diff = F.abs(F.col("calculated_closing") - F.col("stated_closing")).cast(MONEY)
@@ -56,7 +66,7 @@ def checks(ledger: DataFrame, tolerance: float = 0.01, least_ratio: float = 0.98
 
 
 def status(ledger: DataFrame, audit: DataFrame | None = None) -> DataFrame:
-    """GREEN, YELLOW or RED with its message, and the blended confidence.
+    """GREEN, YELLOW or RED with short reasons and the message shown, and the blended confidence.
 
     Confidences of an account's document are columns of ``audit`` if it has them:
     classification_confidence (else .95), spatial_confidence (.96), page_confidence (1).
@@ -71,11 +81,15 @@ def status(ledger: DataFrame, audit: DataFrame | None = None) -> DataFrame:
     applicable = F.size(F.filter(abc, lambda x: x != "NOT_APPLICABLE"))
     failing = F.array_contains(abc, "FAIL")
     green = (F.col("check_d") == "PASS") & ~failing & ((applicable == 0) | (F.col("failed") == 0))
-    yellow = (F.col("check_a") != "FAIL") & (F.col("check_b") != "FAIL") & (F.col("failed") <= 1)
+    counted = "suspicious" in c.columns
+    yellow = (F.col("check_a") != "FAIL") & (F.col("check_b") != "FAIL") & (F.col("failed") <= 1) & ((F.col("suspicious") <= 2) if counted else F.lit(True))
+    share = F.format_number((F.col("completeness_ratio") if counted else F.lit(1.0)) * 100, 1)
+    said = F.concat_ws(", ", F.array_compact(F.array(F.when(F.col("check_a") == "FAIL", MESSAGES["a"]), F.when(F.col("check_b") == "FAIL", MESSAGES["b"]), F.when(F.col("check_c") == "FAIL", F.concat(F.col("failed").cast("string"), F.lit(MESSAGES["c"]))), F.when(F.col("check_d") == "FAIL", F.format_string(MESSAGES["d"], share)))))
+    message = F.when(green, F.when(applicable > 0, MESSAGES["verified"]).otherwise(MESSAGES["plain"])).when(yellow, MESSAGES["minor"]).otherwise(F.format_string(MESSAGES["failed"], said))
     reasons = F.concat_ws(", ", F.array_compact(F.array(F.when(F.col("check_a") == "FAIL", "arithmetic"), F.when(F.col("check_b") == "FAIL", "statement"), F.when(F.col("check_c") == "FAIL", F.concat(F.col("failed").cast("string"), F.lit(" gap(s)"))))))
     present = sum((F.when(x, 1).otherwise(0) for x in (F.col("stated_closing").isNotNull(), F.col("total_credits") > 0, F.col("total_debits") > 0, F.col("transaction_count") > 0)), F.lit(1))
-    s = c.withColumn("status", F.when(green, "GREEN").when(yellow, "YELLOW").otherwise("RED")).withColumn("fields_present", present.cast("long"))
+    s = c.withColumn("message", message).withColumn("status", F.when(green, "GREEN").when(yellow, "YELLOW").otherwise("RED")).withColumn("fields_present", present.cast("long"))
     pct = F.when(F.col("status") == "GREEN", 100).when(F.col("status") == "YELLOW", 70).otherwise(30)
     # In units of 1e-4: .20 classification, .25 spatial, .15 page confidence, .15 fields / 5, .25 reconciliation.
     blend = (part("classification_confidence") + part("spatial_confidence") + part("page_confidence") + 300 * F.col("fields_present") + 25 * pct) / 10_000.0
-    return s.select("acct", "status", F.when(F.col("status") == "RED", reasons).otherwise("").alias("reasons"), "fields_present", blend.alias("confidence"))
+    return s.select("acct", "status", F.when(F.col("status") == "RED", reasons).otherwise("").alias("reasons"), "message", "fields_present", blend.alias("confidence"))

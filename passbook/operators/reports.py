@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fields import BANK_LETTERS
 from ..functions.narration import native_sufficient
 from . import layout, lines
 from .accounts import summary
@@ -58,7 +59,8 @@ def backfill(ledger: DataFrame, stated: DataFrame) -> DataFrame:
 
 def routes(pages: DataFrame) -> DataFrame:
     """How each document (doc_id, raw_text, words) is to be read: by the bank's own line parser, by coordinates where a page has ten words or more, else by lines."""
-    axis = F.lower("raw_text").rlike(r"\baxis\s*bank\b|\butib0")
+    low = F.lower("raw_text")
+    axis = F.substring(low, 1, BANK_LETTERS).rlike(r"\b(axis\s+bank|uti\s+bank|axis\b)") | low.rlike(r"\butib[0-9]{7}\b|statement\s+of\s+axis\s+account")
     g = pages.groupBy("doc_id").agg(F.bool_or(axis).alias("axis"), (F.max("words") >= 10).alias("placed"))
     return g.select("doc_id", F.when(F.col("axis"), "BANK_LINES").when(F.col("placed"), "COORDINATES").otherwise("LINES").alias("route"))
 

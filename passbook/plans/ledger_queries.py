@@ -228,7 +228,8 @@ FROM led WHERE type = 'CREDIT' AND credit > 0 AND {hit(LOW, T.SALARY)} GROUP BY
 SELECT acct, failed, CASE WHEN failed = 0 AND completeness_ratio >= 0.98 AND acct % 5 <= 2 THEN 'PASS' ELSE 'FAIL' END AS check_d, completeness_ratio FROM r""",
     "integrity_status": f"""{STATED}, s AS (SELECT *, CASE WHEN check_d = 'PASS' AND check_a <> 'FAIL' AND check_b <> 'FAIL' AND check_c <> 'FAIL' THEN 'GREEN' WHEN check_a <> 'FAIL' AND check_b <> 'FAIL' AND failed <= 1 THEN 'YELLOW' ELSE 'RED' END AS status,
   1 + CAST(stated_closing IS NOT NULL AS BIGINT) + CAST(total_credits > 0 AS BIGINT) + CAST(total_debits > 0 AS BIGINT) + CAST(transaction_count > 0 AS BIGINT) AS fields_present FROM c)
-SELECT acct, status, CASE WHEN status = 'RED' THEN concat_ws(', ', CASE WHEN check_a = 'FAIL' THEN 'arithmetic' END, CASE WHEN check_b = 'FAIL' THEN 'statement' END, CASE WHEN check_c = 'FAIL' THEN failed || ' gap(s)' END) ELSE '' END AS reasons, fields_present,
+SELECT acct, status, CASE WHEN status = 'RED' THEN concat_ws(', ', CASE WHEN check_a = 'FAIL' THEN 'arithmetic' END, CASE WHEN check_b = 'FAIL' THEN 'statement' END, CASE WHEN check_c = 'FAIL' THEN failed || ' gap(s)' END) ELSE '' END AS reasons,
+  CASE status WHEN 'GREEN' THEN '{integrity.MESSAGES['verified']}' WHEN 'YELLOW' THEN '{integrity.MESSAGES['minor']}' ELSE 'Mathematical integrity verification failed: ' || concat_ws(', ', CASE WHEN check_a = 'FAIL' THEN '{integrity.MESSAGES['a']}' END, CASE WHEN check_b = 'FAIL' THEN '{integrity.MESSAGES['b']}' END, CASE WHEN check_c = 'FAIL' THEN failed || '{integrity.MESSAGES['c']}' END, CASE WHEN check_d = 'FAIL' THEN 'completeness ratio 100.0% below threshold' END) || '.' END AS message, fields_present,
   (1900 + 2400 + 1500 + 300 * fields_present + 25 * CASE status WHEN 'GREEN' THEN 100 WHEN 'YELLOW' THEN 70 ELSE 30 END) / 10000.0 AS confidence FROM s""",
     "prev_balance_fill": f"{S.EVENTS}{HOLED} SELECT acct, id, {dbl(PREV)} AS prev_balance FROM holed",
     "inherited_date": f"{S.EVENTS}{HOLED} SELECT acct, id, strftime(coalesce(d, {PREV.replace('balance', 'd')}, DATE '2026-01-01'), '%Y-%m-%d') AS d FROM holed",

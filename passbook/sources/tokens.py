@@ -38,6 +38,21 @@ def extract(files: DataFrame, engine: Engine) -> DataFrame:
     return files.select(F.col("doc_id").cast("string"), "content").mapInArrow(run, SCHEMA)
 
 
+def rescanned(pages: DataFrame, first: DataFrame, again: Callable[[DataFrame], DataFrame], least: int = 10, sure: float = 0.45) -> DataFrame:
+    """Tokens of scanned ``pages`` (doc_id, page and what ``again`` needs): of the first scan, or of a second one where that has more.
+
+    Only pages without tokens, or with fewer than ``least`` that are less than ``sure``
+    on average, are scanned again.
+    """
+    key = ["doc_id", "page"]
+    seen = pages.join(first.groupBy(*key).agg(F.count("*").alias("__n"), F.coalesce(F.avg(F.when(F.col("conf") > 0, F.col("conf"))), F.lit(0.0)).alias("__sure")), key, "left")
+    weak = F.coalesce("__n", F.lit(0)).alias("__n")
+    poor = seen.where(F.col("__n").isNull() | ((F.col("__sure") < sure) & (F.col("__n") < least)))
+    second = again(poor.select(*pages.columns))
+    better = second.groupBy(*key).agg(F.count("*").alias("__m")).join(poor.select(*key, weak), key).where(F.col("__m") > F.col("__n")).select(*key)
+    return first.join(better, key, "left_anti").unionByName(second.join(better, key, "left_semi"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Token files as JSON lines."""
     return spark.read.schema(SCHEMA).json(path)
