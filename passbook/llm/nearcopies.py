@@ -19,7 +19,8 @@ all pairs of a crowd (a large family of texts that are loosely alike) would cost
 square of its size. Texts that meet in a crowd emit the balls of ``MORE`` more bands
 instead, in two rounds: a pair at 0.8 meets in a round of 20 with probability 0.92 and
 is within the bits with 0.98, of 10 with 0.70 in all; so all four rounds miss it in 9
-of 10,000 cases.
+of 10,000 cases. With ``crowd=None`` there are no crowds: all texts at a place are
+compared, and no text is left out beforehand, so no pair at 0.8 is missed anywhere.
 
 Only texts that can have a near copy are looked at: a near copy shares at least
 0.8 of the hashes of the larger text, so a text of which fewer than 19 of the 48 least
@@ -136,7 +137,7 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(shared >= LIKENESS * (F.size("lo_grams") + F.size("hi_grams") - shared) - SLACK).select("lo", "hi")
 
 
-def apart(nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apart(nodes: DataFrame, roots: DataFrame, crowd: int | None = CROWD) -> tuple[DataFrame, DataFrame]:
     """Pairs (lo, hi) of ``nodes`` (node, grams) of different ``roots`` (node, root) that can be alike, and nodes that meet in a crowd.
 
     Shingles are ordered by how many texts have them, then by hash; one number holds
@@ -160,11 +161,11 @@ def apart(nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     discard(spark, recur_path)
     mixed = rare.groupBy("x").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b").select("x", "n")
     at, _ = stash(rare.join(mixed, "x"))
-    few = at.where(F.col("n") <= CROWD)
+    few = at if crowd is None else at.where(F.col("n") <= crowd)
     side = lambda n: few.select("x", F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("root").alias(f"{n}_root"))
     fits = F.least("lo_size", "hi_size") >= LIKENESS * F.greatest("lo_size", "hi_size") - SLACK
     pairs = side("lo").join(side("hi"), "x").where((F.col("lo") < F.col("hi")) & (F.col("lo_root") != F.col("hi_root")) & fits).select("lo", "hi").distinct()
-    return pairs, at.where(F.col("n") > CROWD).select("node").distinct()
+    return pairs, at.where(F.lit(False) if crowd is None else F.col("n") > crowd).select("node").distinct()
 
 
 def _by_balls(some: DataFrame, nodes: DataFrame, roots: DataFrame, first: int, n_bands: int) -> DataFrame:
@@ -176,8 +177,8 @@ def _by_balls(some: DataFrame, nodes: DataFrame, roots: DataFrame, first: int, n
     return found
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay."""
+def keep_one(docs: DataFrame, crowd: int | None = CROWD) -> DataFrame:
+    """The rows of ``docs`` that stay; at places of more than ``crowd`` texts pairs are proposed by balls only, with None nowhere."""
     spark = docs.sparkSession
     bound_batches(spark)
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("binary")).alias("whole"), F.col("text").cast("binary").alias("text"))
@@ -189,7 +190,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     hashes = texts.select("node", F.explode("least").alias("h"))
     recur, recur_path = stash(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     enough = hashes.join(recur, "h").groupBy("node").agg(F.count("*").alias("n"))
-    able, _ = stash(texts.join(enough, "node").where(F.col("n") * LEAST >= RECUR * F.size("least")).select("node", "first", F.col("whole").alias("of")))
+    able = texts.join(enough, "node").where(F.col("n") * LEAST >= RECUR * F.size("least")) if crowd is not None else texts
+    able, _ = stash(able.select("node", "first", F.col("whole").alias("of")))
     discard(spark, recur_path)
     release(spark)
     own = raw.join(able, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("whole") == F.col("of"))).select("node", "text")
@@ -200,12 +202,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
         found = _by_balls(nodes, nodes, roots, first, ROUND)
         links = found if links is None else links.union(found)
         roots = components(links)
-    pairs, crowd = apart(nodes, roots)
+    pairs, crowded = apart(nodes, roots, crowd)
     rest, _ = stash(verified(pairs, nodes))
-    links, (crowd, _) = links.union(rest), stash(crowd)
-    if not crowd.isEmpty():
+    links, (crowded, _) = links.union(rest), stash(crowded)
+    if not crowded.isEmpty():
         for first in range(BANDS, BANDS + MORE, MORE_ROUND):
-            links = links.union(_by_balls(nodes.join(crowd, "node"), nodes, roots, first, MORE_ROUND))
+            links = links.union(_by_balls(nodes.join(crowded, "node"), nodes, roots, first, MORE_ROUND))
     discard(spark, nodes_path)
     roots = components(links)
     named = texts.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))

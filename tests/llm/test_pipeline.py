@@ -27,7 +27,7 @@ def test_near_copies(spark, rng):
             rows[10 * base + copy] = " ".join(edited)
     rows |= {1000 + k: " ".join(words(80)) for k in range(60)}
     frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r["doc_id"] for r in nearcopies.keep_one(frame).collect()}
+    kept = {r["doc_id"] for r in nearcopies.keep_one(frame, **options).collect()}
     sets = {i: shingles(t) for i, t in rows.items()}
     assert set(range(1000, 1060)) <= kept and {10 * b for b in range(30)} <= kept
     for i in set(rows) - kept:
@@ -91,9 +91,9 @@ def groups(rows):
     return set(root.values())
 
 
-def kept_ids(spark, rows):
+def kept_ids(spark, rows, **options):
     frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
-    return {r["doc_id"] for r in nearcopies.keep_one(frame).collect()}
+    return {r["doc_id"] for r in nearcopies.keep_one(frame, **options).collect()}
 
 
 def changed(rng, text, share):
@@ -126,3 +126,15 @@ def test_near_copies_are_those_of_brute_force(spark, rng):
         common = changed(rng, common[20:] + common[:20], 0.85)
         rows[2000 + k] = " ".join(common)
     assert kept_ids(spark, rows) == groups(rows)
+
+
+def test_without_crowds_no_pair_is_missed(spark, rng):
+    """A family of 120 loosely alike texts, all of which meet at its shingles, with pairs at 0.8 exactly; and texts without words."""
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(n)]
+    common, rows = words(150), {900: "", 901: " ", 902: "one two"}
+    for k in range(60):
+        text = common + words(50)
+        rows[2 * k], rows[2 * k + 1] = " ".join(text), " ".join(changed(rng, text, 0.8 + 0.01 * (k % 3)))
+    plain = {i: t.strip() for i, t in rows.items()}
+    alone = groups({i: t for i, t in plain.items() if t})
+    assert kept_ids(spark, rows, crowd=None) == alone | {900}
