@@ -25,7 +25,7 @@ from __future__ import annotations
 import shutil
 import string
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -40,6 +40,7 @@ MEMORY, CHUNK, BUCKETS = "256MB", 200_000, 2
 PIECE_END, GAP = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 
 GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("f", pa.int64())])
+PACKED = pa.schema([("lang", pa.dictionary(pa.int32(), pa.string())), ("gram", pa.string()), ("f", pa.int64())])
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -63,14 +64,19 @@ def database():
         shutil.rmtree(folder, ignore_errors=True)
 
 
-def packed(batches: Iterable[pa.RecordBatch]) -> bytes:
+def packed(rows: pa.RecordBatch) -> bytes:
+    """Sorted counts as a compressed stream; languages as numbers, since offsets of short words would take more room than the words."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, GRAMS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        for b in batches:
-            out.write_batch(b)
+    with pa.ipc.new_stream(sink, PACKED, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([rows.column(0).dictionary_encode(), rows.column(1), rows.column(2)], schema=PACKED))
     return sink.getvalue().to_pybytes()
 
 
+def unpacked(grams: pa.Buffer) -> Iterator[pa.RecordBatch]:
+    for b in pa.ipc.open_stream(grams):
+        yield pa.RecordBatch.from_arrays([b.column(0).dictionary_decode(), b.column(1), b.column(2)], schema=GRAMS)
+
+
 def phrases(parts: DataFrame, longest: int, buckets: int) -> DataFrame:
     """(bucket, grams): counts of each task's phrases, sorted and packed by bucket."""
 
@@ -91,7 +97,7 @@ def phrases(parts: DataFrame, longest: int, buckets: int) -> DataFrame:
                 starts = [0, *((bucket[1:] != bucket[:-1]).nonzero()[0] + 1).tolist()] if len(bucket) else []
                 rows = batch.select(["lang", "gram", "f"]).cast(GRAMS)
                 for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([packed([rows.slice(a, b - a)])], pa.binary())], names=["bucket", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([packed(rows.slice(a, b - a))], pa.binary())], names=["bucket", "grams"])
 
     return parts.mapInArrow(run, "bucket int, grams binary")
 
@@ -109,7 +115,7 @@ def summed(chunks: DataFrame, least: int) -> DataFrame:
                 def chunk(current=current) -> Iterator[pa.RecordBatch]:
                     nonlocal row
                     while row is not None and row[0] == current:
-                        yield from pa.ipc.open_stream(row[1].as_buffer())
+                        yield from unpacked(row[1].as_buffer())
                         row = next(rows, None)
 
                 con.register("chunks", pa.RecordBatchReader.from_batches(GRAMS, chunk()))
