@@ -36,6 +36,8 @@ from .common import bound_batches, partitions, stash, table
 
 #: Memory of a task's duckdb, rows of a packed chunk, and hash buckets for each shuffle partition.
 MEMORY, CHUNK, BUCKETS = "256MB", 200_000, 2
+#: Shares of a language that are ranked apart before the language is.
+SHARES = 16
 #: Ends of pieces, and gaps between words.
 PIECE_END, GAP = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 
@@ -159,8 +161,12 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, inside: int
     within = several.where(size > 2).select("lang", F.explode(held).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     alone = best.join(within, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {inside} * a")
 
-    order = Window.partitionBy("lang").orderBy(F.col("b.score").desc(), F.col("a").desc(), "phrase")
-    first = alone.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    # The first of each language are among the first of its shares, so that no task sorts all of a language.
+    order = [F.col("b.score").desc(), F.col("a").desc(), F.col("phrase")]
+    shared = alone.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    for keys in (["lang", "share"], ["lang"]):
+        shared = shared.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    first = shared
     totals = found.where("gram is null").groupBy("lang").agg(F.sum("f").alias("n"))
     return first.join(totals, "lang").select("lang", "rank", "phrase", "a", F.col("b.l").alias("l"), F.col("b.r").alias("r"), "n", F.col("b.score").alias("score"))
 
