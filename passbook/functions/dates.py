@@ -9,6 +9,7 @@ from .money import let
 
 # Month names, with misreadings that scans produce.
 MONTHS = {"01": "jan january", "02": "feb february", "03": "mar march", "04": "apr april", "05": "may", "06": "jun june", "07": "jul july", "08": "aug august aus avg auq", "09": "sep sept september", "10": "oct october", "11": "nov november", "12": "dec december"}
+# The forms of printed dates.
 DAY, MONTH, YEAR = r"(0?[1-9]|[12]\d|3[01])", r"(0?[1-9]|1[0-2])", r"(20\d{2}|19\d{2}|\d{2})"
 DAY_NAME = rf"\b{DAY}[\s\-_/]*([a-zA-Z]{{3,9}})[\s\-_/]+{YEAR}\b"
 NAME_DAY = rf"\b([a-zA-Z]{{3,9}})[\s\-_/]+{DAY}(?:,)?[\s\-_/]+{YEAR}\b"
@@ -52,6 +53,7 @@ def parse(raw: Column) -> Column:
     return let(F.trim(raw), of)
 
 
+# Labels of a period's two dates.
 RANGE = r"(?i)(?:period|statement\s+period|from|dated|duration)[\s:]*([^\n\r]+?)(?:to|through|-|–|\s+till\s+)([^\n\r,]+)"
 BETWEEN = r"(?i)(?:between)[\s:]*([^\n\r]+?)(?:and)([^\n\r,]+)"
 

@@ -29,6 +29,7 @@ CLOSING = [r"(?i)(?:closing\s*balance|ending\s*balance|close\s*bal|cl\s*bal|tota
 CREDITS = [r"(?i)(?:total\s*credits?|total\s*deposits?|total\s*cr(?:\.?\s*amount)?)[\s:.\-_#=]*" + AMOUNT]
 DEBITS = [r"(?i)(?:total\s*debits?|total\s*withdrawals?|total\s*dr(?:\.?\s*amount)?)[\s:.\-_#=]*" + AMOUNT]
 ACCOUNT = [r"(?i)(?:account\s*(?:number|num|no)|a/c\s*(?:number|num|no)|acc\s*(?:no|number)|a/c)[\s:.\-_#]*([A-Za-z0-9]{8,22})", r"(?i)(?:account)[\s:.\-_#]+([A-Za-z0-9]{8,22})"]
+# Words that look like account numbers to the patterns, and words that speak for a scanned statement.
 NOT_ACCOUNTS = ["statement", "transactions", "particulars", "description", "information", "summary", "category", "financial", "details", "opening", "closing", "balance"]
 GATE_WORDS = ["statement", "account", "balance", "transaction", "debit", "credit", "withdrawal", "deposit", "bank", "branch", "ifsc", "particulars", "narration", "cheque", "opening", "closing", "date", "amount", "inr", "cr", "dr"]
 # Words that tell kinds of pages: what must and what must not be there.

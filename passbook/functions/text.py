@@ -110,6 +110,7 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
 
 def reference_number(narration: Column) -> Column:
     """UPI reference, any 12 digits, IMPS, NEFT, cash deposit: the first there is; else null."""
+    # How references are printed.
     bna = r"(?i)BNA/([A-Z0-9]+)/(\d+)"
     return F.coalesce(
         _found(narration, r"(?i)UPI/(?:P2A|P2M|PAY)/(\d{12})\b"),
@@ -136,6 +137,7 @@ def recurring_key(text: Column) -> Column:
 
 def safe_filename(name: Column) -> Column:
     """No NULs or parent paths, odd characters as underscores, at most 190 characters and the extension."""
+    # What file names may hold.
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.translate(name, "\0", ""), r"(\.\.[/\\])+", ""), r"[^a-zA-Z0-9._\s-]", "_"))
     short = F.when(F.length(clean) > 200, F.concat(F.substring(clean, 1, 190), F.regexp_extract(clean, r"(\.[^.]*)$", 1))).otherwise(clean)
     return F.when(name.isNull() | (name == ""), "unnamed.pdf").when(short == "", "document.pdf").otherwise(short)
@@ -146,6 +148,7 @@ def error_code(message: Column) -> Column:
 
 
 def ifsc(text: Column) -> Column:
+    # Fixed value: the form of a routing code.
     return _found(text, r"\b([A-Z]{4}0[A-Z0-9]{6})\b")
 
 
