@@ -127,3 +127,32 @@ def test_margins_against_slow_sums(spark, docs):
             continue
         langs, scores = model.predict((sums * langid.SCALE / n + model.bias)[None])
         assert got[r["doc_id"]]["lang_pred"] == langs[0] and abs(got[r["doc_id"]]["score"] - scores[0]) < 1e-3
+
+
+def test_trees_against_slow_walks_and_splits(rng):
+    """Scores by walking each tree node by node; the first split by trying every cut of every column."""
+    x = np.array([[rng.random(), rng.randrange(5), rng.gauss(0, 1)] for _ in range(600)])
+    y = ((x[:, 0] > 0.6) | (x[:, 1] == 3)).astype(float)
+    forest = quality.fit(x, y)
+    for row, score in zip(x[:80], forest.score(x[:80]), strict=True):
+        total = forest.start
+        for f, t, leaf in zip(forest.feature, forest.threshold, forest.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += leaf[node - len(f)]
+        assert abs(1 / (1 + np.exp(-total)) - score) < 1e-12
+    p = y.mean()
+    g, h = y - p, p * (1 - p)
+
+    def gain(j, cut):
+        left = x[:, j] <= cut
+        n = left.sum()
+        if n < 20 or len(y) - n < 20:
+            return 0.0
+        part = lambda m: g[m].sum() ** 2 / (h * m.sum() + 1)
+        return part(left) + part(~left) - g.sum() ** 2 / (h * len(y) + 1)
+
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for j in range(3)]
+    best = max(gain(j, c) for j in range(3) for c in cuts[j])
+    assert abs(gain(forest.feature[0][0], forest.threshold[0][0]) - best) < 1e-9

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -72,3 +73,30 @@ def test_rule_edges(edge, empty):
         got[r["doc_id"]].append(r)
     assert sum(map(len, got.values())) == 11 and rules.judge(rules.counts(empty)).count() == 0
     assert got[6][0]["n_repeat_words"] == 60_000 and got[1][0]["base_failed"] and got[7][0]["word_chars"] == 5000
+
+
+def test_verdicts_against_sorted_quartiles(docs, edge):
+    """Kept or not, from quartiles of each group's sorted ratios (groups here are smaller than the sketches' accuracy)."""
+    for frame in (docs, edge.select("doc_id", "text", "lang", "source").unionByName(docs.select("doc_id", "text", "lang", "source"))):
+        counted = [r.asDict() for r in rules.judge(rules.counts(frame)).collect()]
+        rated = []
+        for r in counted:
+            n = max(1, r["n_words"])
+            rated.append({"word_length": r["word_chars"] / n, "symbols": r["n_symbols"] / n, "dup_lines": r["n_dup_lines"] / max(1, r["n_lines"]), "repeats": r["n_repeat_words"] / n})
+        groups = {}
+        for r, x in zip(counted, rated, strict=True):
+            assert r["base_failed"] == (r["n_words"] < 50 or 2 * r["n_repeat_words"] > r["n_words"])
+            if not r["base_failed"]:
+                groups.setdefault((r["lang"], r["source"]), []).append(x)
+        failed = 0
+        for r, x in zip(counted, rated, strict=True):
+            kept = not r["base_failed"]
+            for k, slack in rules.SLACK.items():
+                values = sorted(g[k] for g in groups.get((r["lang"], r["source"]), []))
+                if values:
+                    low, high = (values[max(0, math.ceil(p * len(values)) - 1)] for p in (0.25, 0.75))
+                    room = rules.REACH * (high - low) + slack
+                    kept = kept and x[k] <= high + room and (k != "word_length" or x[k] >= low - room)
+            assert r["kept"] == kept
+            failed += not kept
+        assert 0 < failed < len(counted)
