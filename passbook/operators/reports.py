@@ -34,7 +34,7 @@ def ledger_report(ledger: DataFrame) -> DataFrame:
     extra = flags.groupBy("acct").agg(F.count_if("continuous").alias("continuity_passed"), F.count_if(~F.col("continuous")).alias("continuity_failed"), F.count_if((F.col("credit") == 0) & (F.col("debit") == 0)).alias("neither_side"), F.count_if((F.col("credit") > 0) & (F.col("debit") > 0)).alias("both_sides"), F.count_if("repeat").alias("duplicates"))
     s = summary(ledger)
     gap = F.abs(F.col("calculated_closing") - F.col("closing_balance"))
-    return s.join(extra, "acct").select("acct", "opening_balance", "total_credits", "total_debits", "calculated_closing", "closing_balance", gap.cast("decimal(18,2)").alias("difference"), (gap <= 0.01).alias("verified"), "transaction_count", "credit_count", "debit_count", "continuity_passed", "continuity_failed", "neither_side", "both_sides", "duplicates")
+    return s.join(extra, "acct").select("acct", "opening_balance", "total_credits", "total_debits", "calculated_closing", "closing_balance", gap.cast("decimal(18,2)").alias("difference"), (gap <= 0.01).alias("verified"), "transaction_count", "credit_count", "debit_count", "continuity_passed", "continuity_failed", "neither_side", "both_sides", "duplicates", F.col("continuity_failed").alias("suspicious"), F.col("total_credits").alias("calculated_credits"), F.col("total_debits").alias("calculated_debits"), F.col("closing_balance").alias("stated_closing"))
 
 
 def account_profiles(accounts: DataFrame, profiles: DataFrame) -> DataFrame:

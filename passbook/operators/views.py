@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
+from ..functions.text import payment_mode_alt
 from .accounts import summary
 
 
@@ -38,6 +39,23 @@ def months(ledger: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     return out.withColumn("saving_ratio", ratio.cast("double"))
 
 
+# Words of instalments, of cash and of returned debits.
+INSTALMENT, CASH, RETURNED = r"\b(emi|loan|repayment|instalment)\b", r"\b(atm|cash|wdl)\b", r"\b(bounce|return|chg\s*ret|dishonour|ecs\s*ret|nach\s*ret)\b"
+
+
+def risk(ledger: DataFrame) -> DataFrame:
+    """Instalments, cash and returned debits of each account: totals, counts, monthly averages; the share of income that instalments take; how often cash is drawn a month."""
+    low, debit = F.lower(F.coalesce("description", F.lit(""))), F.col("type") == "DEBIT"
+    kinds = {"emi": debit & low.rlike(INSTALMENT), "cash": debit & (payment_mode_alt(F.col("description")).eqNullSafe("ATM") | low.rlike(CASH)), "returned": low.rlike(RETURNED)}
+    days = F.coalesce(F.nullif(F.abs(F.datediff(F.max("d"), F.min("d"))), F.lit(0)), F.lit(30))
+    sums = [F.coalesce(F.sum(F.when(t, F.col("amount"))), F.lit(0)).cast(MONEY).alias(f"{k}_total") for k, t in kinds.items()] + [F.count_if(t).alias(f"{k}_count") for k, t in kinds.items()]
+    g = ledger.groupBy("acct").agg(F.coalesce(F.sum("credit"), F.lit(0)).cast(MONEY).alias("income"), F.greatest(F.lit(30), days).alias("days"), *sums)
+    monthly = lambda c: half_up((c.cast("decimal(24,2)") * 30 / F.col("days")).cast("decimal(28,8)"))
+    ratio = F.when(F.col("income") > 0, half_up((F.col("emi_total") / F.col("income")).cast("decimal(28,8)"))).otherwise(0)
+    averages = [monthly(F.col(f"{k}_total")).cast(MONEY).alias(f"{k}_monthly") for k in kinds]
+    return g.select("acct", ratio.cast("double").alias("income_ratio"), monthly(F.col("cash_count")).cast("double").alias("cash_regularity"), *averages, *[F.col(f"{k}_{c}") for k in kinds for c in ("total", "count")])
+
+
 def account_type(text: Column) -> Column:
     """Kind of account by the first that its bank's statement names: current, overdraft, salary; else savings."""
     low = F.lower(text)

@@ -76,7 +76,7 @@ def _responses(spark, sf_dir):
     return views.response(led, stated).select("acct", "response.success", "response.data.summary.openingBalance", "response.data.summary.statedClosingBalance", "response.data.summary.statementStatedCredits", "response.data.summary.statementStatedDebits", "response.data.summary.totalTransactions", "response.data.summary.netCashFlow", F.col("response.data.summary.total_debits").alias("total_debits"))
 
 
-QUERIES = {"document_signals": _signals, "monthly_cash_flow_alt": _months, "account_kinds": _kinds, "subjects": _subjects, "profile_view": _profiles, "recurring_view": _recurring, "overview": _overview, "response_summary": _responses}
+QUERIES = {"risk_alt": lambda spark, sf_dir: shown(views.risk(ledgers.orders(spark, sf_dir).unionByName(ledgers.events(spark, sf_dir).withColumn("acct", F.col("acct") + 1_000_000)))), "document_signals": _signals, "monthly_cash_flow_alt": _months, "account_kinds": _kinds, "subjects": _subjects, "profile_view": _profiles, "recurring_view": _recurring, "overview": _overview, "response_summary": _responses}
 
 _has = lambda k: hit("t", signals.SIGNALS[k])
 _at = lambda p: "length(regexp_extract(t, '(?is)^(.*?)" + p.removeprefix("(?i)") + "', 1))"
@@ -97,7 +97,18 @@ def _mean(total: str, n: str) -> str:
 
 _some = lambda m, v: f"CASE c_custkey % {m} WHEN 0 THEN {v} WHEN 1 THEN '' END"
 _profile = lambda k, n, word: f"coalesce(nullif({_some(2 + k, chr(39) + n + chr(39) + ' || c_name')}, ''), nullif({_some(5 + k, chr(39) + 'p_' + n + chr(39) + ' || c_name')}, ''), '{word}') AS {n}"
+def _risk(base: str, shift: int) -> str:
+    """Figures of one ledger; shares of a month in whole cents, ties up."""
+    test = {"emi": f"type = 'DEBIT' AND {hit('lower(description)', views.INSTALMENT)}", "cash": f"type = 'DEBIT' AND ({S.MODE_ALT} = 'ATM' OR {hit('lower(description)', views.CASH)})", "returned": hit("lower(description)", views.RETURNED)}
+    sums = ", ".join(f"coalesce(sum(amount) FILTER ({t}), 0) AS {k}_t, count(*) FILTER ({t}) AS {k}_n" for k, t in test.items())
+    monthly = lambda c: f"((2 * {c} * 30 + m) // (2 * m)) / 100.0::DOUBLE"
+    shown_ = ", ".join(f"{monthly(f'CAST({k}_t * 100 AS BIGINT)')} AS {k}_monthly, {dbl(f'{k}_t')} AS {k}_total, {k}_n AS {k}_count" for k in test)
+    return f"""SELECT acct + {shift} AS acct, CASE WHEN inc > 0 THEN ((2 * CAST(emi_t * 100 AS HUGEINT) * 100 + CAST(inc * 100 AS HUGEINT)) // (2 * CAST(inc * 100 AS HUGEINT))) / 100.0::DOUBLE ELSE 0.0 END AS income_ratio, {monthly('cash_n * 100')} AS cash_regularity, {shown_}
+FROM ({base} SELECT acct, sum(credit) AS inc, greatest(30, coalesce(nullif(abs(max(d) - min(d)), 0), 30)) AS m, {sums} FROM led GROUP BY acct)"""
+
+
 ORACLE_SQL = {
+    "risk_alt": f"{_risk(S.ORDERS, 0)} UNION ALL {_risk(S.EVENTS, 1_000_000)}",
     "document_signals": f"""WITH x AS (SELECT c_custkey AS doc_id, trim({TEXT}) AS t FROM customer
 ), y AS (SELECT *, {_FIRST} AS bank, {_WORDS} AS words, len(regexp_extract_all(t, '{signals.SIGNALS['row']}')) AS rows, {_has('date_column')} AND {_has('text_column')} AND ({_has('amount_column')} OR {_has('balance_column')}) AS cols FROM x
 ), z AS (SELECT *, CASE WHEN bank IS NOT NULL THEN 20 WHEN {_has('bank_word')} THEN 12 WHEN {_has('statement_word')} THEN 10 ELSE 0 END AS b, CASE WHEN {_has('ifsc')} THEN 10 WHEN {_has('routing')} THEN 6 ELSE 0 END + CASE WHEN {_has('account')} THEN 10 WHEN {_has('account_word')} THEN 7 ELSE 0 END AS a, CASE WHEN {_has('period')} THEN 15 WHEN {_has('period_word')} AND {_has('day')} THEN 12 ELSE 0 END AS p,

@@ -115,5 +115,5 @@ SELECT acct, CASE WHEN k = 0 THEN '2024-02-01' ELSE strftime(d1, '%Y-%m-%d') END
 ), m AS (SELECT doc_id, acct, arg_min(bank, ord) AS bank, arg_min(holder, ord) AS holder FROM a JOIN n USING (doc_id) WHERE contains(bank, lower(connection)) GROUP BY ALL) SELECT a.doc_id, a.acct, connection, coalesce(m.bank, n.bank, '') AS bank, coalesce(m.holder, n.holder, '') AS holder FROM a LEFT JOIN m ON a.doc_id = m.doc_id AND a.acct = m.acct LEFT JOIN n ON a.doc_id = n.doc_id AND pos = ord""",
     "ledger_report": f"""{S.EVENTS}, w AS (SELECT *, abs(last_value(balance IGNORE NULLS) OVER (PARTITION BY acct ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + credit - debit - balance) AS gap, lag(row(d, amount, balance, description, type)) OVER (PARTITION BY acct ORDER BY seq) = row(d, amount, balance, description, type) AS rep FROM led
 ), g AS (SELECT acct, arg_min(CASE WHEN type = 'CREDIT' THEN balance - credit ELSE balance + debit END, seq) AS ob, sum(credit) AS cr, sum(debit) AS dr, arg_max(balance, seq) AS bn, count(*) AS n, count(*) FILTER (WHERE credit > 0) AS nc, count(*) FILTER (WHERE debit > 0) AS nd, count(*) FILTER (WHERE coalesce(gap <= 0.01, true)) AS cp, count(*) FILTER (WHERE gap > 0.01) AS cf, count(*) FILTER (WHERE credit = 0 AND debit = 0) AS nn, count(*) FILTER (WHERE rep) AS du FROM w GROUP BY acct)
-SELECT acct, {dbl('ob')} AS opening_balance, {dbl('cr')} AS total_credits, {dbl('dr')} AS total_debits, {dbl('ob + cr - dr')} AS calculated_closing, {dbl('bn')} AS closing_balance, {dbl('abs(ob + cr - dr - bn)')} AS difference, abs(ob + cr - dr - bn) <= 0.01 AS verified, n AS transaction_count, nc AS credit_count, nd AS debit_count, cp AS continuity_passed, cf AS continuity_failed, nn AS neither_side, CAST(0 AS BIGINT) AS both_sides, du AS duplicates FROM g""",
+SELECT acct, {dbl('ob')} AS opening_balance, {dbl('cr')} AS total_credits, {dbl('dr')} AS total_debits, {dbl('ob + cr - dr')} AS calculated_closing, {dbl('bn')} AS closing_balance, {dbl('abs(ob + cr - dr - bn)')} AS difference, abs(ob + cr - dr - bn) <= 0.01 AS verified, n AS transaction_count, nc AS credit_count, nd AS debit_count, cp AS continuity_passed, cf AS continuity_failed, nn AS neither_side, CAST(0 AS BIGINT) AS both_sides, du AS duplicates, cf AS suspicious, {dbl('cr')} AS calculated_credits, {dbl('dr')} AS calculated_debits, {dbl('bn')} AS stated_closing FROM g""",
 }
