@@ -111,6 +111,12 @@ def bucket_rows(tokens: DataFrame, tolerance: float = 8.0) -> DataFrame:
     return folded.select("doc_id", "page", F.explode("out").alias("o")).select("doc_id", "page", "o.tok", F.col("o.anchor").alias("anchor"))
 
 
+def page_text(tokens: DataFrame, tolerance: float = 6.0) -> DataFrame:
+    """Text of each page, a line a bucket of tops (``bucket_rows``), from left to right: what document evidence reads of tokens."""
+    lines = tokens.join(bucket_rows(tokens, tolerance), ["doc_id", "page", "tok"]).groupBy("doc_id", "page", "anchor").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "tok", "text"))), lambda t: t["text"]), " ").alias("line"))
+    return lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("anchor", "line"))), lambda r: r["line"]), "\n").alias("raw_text"))
+
+
 def _ranked(starts: Column, down: bool = False) -> Column:
     """Place of each line (from 1) when lines are in order of ``starts``; the one made first goes first among equals."""
     order = F.transform(F.array_sort(F.transform(starts, lambda v, k: F.struct((-v if down else v).alias("v"), k.alias("k")))), lambda o: o["k"])

@@ -55,6 +55,7 @@ def _one_page(spark, sf_dir):
 
 
 QUERIES = {
+    "token_page_text": lambda spark, sf_dir: layout.page_text(words(spark, sf_dir)),
     "page_headers": _headers, "page_schemas": _schemas, "band_headers": _bands,
     "row_slices": lambda spark, sf_dir: layout.row_slices(_one_page(spark, sf_dir)),
     "visual_lines": lambda spark, sf_dir: layout.visual_lines(_one_page(spark, sf_dir)),
@@ -104,6 +105,9 @@ _NOTICE = "list_extract([" + ", ".join(f"'{p}'" for p in NOTICES) + f"], CAST(1
 _WHOLE = case([(hit("text", p), f"'{n}'") for n, p in WHOLE_HEADINGS], "NULL")
 
 ORACLE_SQL = {
+    "token_page_text": f"""WITH RECURSIVE {T}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, tok) AS k FROM t
+), a AS (SELECT doc_id, page, tok, k, floor(y0) AS anchor FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.page, o.tok, o.k, CASE WHEN abs(o.y0 - a.anchor) <= 6 THEN a.anchor ELSE floor(o.y0) END FROM a JOIN o ON o.doc_id = a.doc_id AND o.page = a.page AND o.k = a.k + 1
+), l AS (SELECT doc_id, page, anchor, string_agg(text, ' ' ORDER BY x0, tok) AS line FROM t JOIN a USING (doc_id, page, tok) GROUP BY ALL) SELECT doc_id, page, string_agg(line, chr(10) ORDER BY anchor) AS raw_text FROM l GROUP BY ALL""",
     "page_headers": f"{_HEADERS} SELECT hd.doc_id, hd.page, hd.y0, hd.y1, hd.raw_text, CAST(score AS BIGINT) AS score, confidence, name, coalesce((lag(x1) OVER g + x0) / 2, 0.0) AS x0, coalesce((x1 + lead(x0) OVER g) / 2, 10000.0) AS x1 FROM hd JOIN ph USING (doc_id, page, anchor) WINDOW g AS (PARTITION BY hd.doc_id, hd.page ORDER BY began)",
     "page_schemas": f"""{_HEADERS}, best AS (SELECT doc_id, names AS bn, raw_text AS bt, confidence AS bc FROM hd QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {_SCHEMA_SCORE} DESC, page) = 1
 ), p AS (SELECT *, (doc_id + page) % 4 = 0 AND NOT coalesce(list_contains(names, 'DATE'), false) AS notice FROM (SELECT DISTINCT doc_id, page FROM t) LEFT JOIN hd USING (doc_id, page) JOIN best USING (doc_id)

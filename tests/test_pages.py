@@ -2,7 +2,7 @@
 
 import pytest
 
-from passbook.operators import headers, layout
+from passbook.operators import documents, headers, layout
 
 KINDS = "doc_id long, page long, tok long, text string, x0 double, y0 double, x1 double, y1 double"
 
@@ -122,3 +122,14 @@ def test_second_dialect_bands(spark):
     h = headers.band_headers(spark.createDataFrame(rows, KINDS)).collect()
     assert [(r["doc_id"], r["bottom"], [c["name"] for c in r["columns"]]) for r in h] == [(1, 109, ["DATE", "DESCRIPTION", "REFERENCE", "DEBIT", "CREDIT", "BALANCE"])]
     assert [(c["x0"], c["x1"]) for c in h[0]["columns"]][2:4] == [(180, 255), (255, 327.5)]
+
+
+def test_evidence_of_tokens(spark):
+    """A ledger's header and rows count as evidence when only words with places are known, also where a line's words differ in height."""
+    rows = line(1, 1, 100, *FULL)
+    for k in range(5):
+        rows += [(d, p, t, w, x, y + (3 if t % 2 else 0), x1, y1) for d, p, t, w, x, y, x1, y1 in line(1, 1, 130 + 20 * k, ("05/08/2026", 10, 60), ("shop", 90, 120), ("12.50", 220, 250), ("99.00", 400, 450), first=20 + 10 * k)]
+    pages = layout.page_text(spark.createDataFrame(rows, KINDS))
+    assert pages.first()["raw_text"].split("\n")[:2] == ["Txn Date Particulars Chq No Withdrawal (Dr) Deposit (Cr) Balance", "05/08/2026 shop 12.50 99.00"]
+    found = {r["signal"]: r["weight"] for r in documents.evidence(pages).collect()}
+    assert (found["TABLE_HEADER"], found["LEDGER_ROWS"]) == (35, 25)
