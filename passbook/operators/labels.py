@@ -12,7 +12,7 @@ from ..functions.money import MONEY, clean_amount, let
 from ..functions.narration import customer, holder, holder_candidate, titled
 from ..functions.text import _found
 from .chain import staged
-from .layout import bucket_rows, near_right
+from .layout import bucketed, near_right
 
 # Labels of fields on a page, how many words right of them are read, and the zone where they stand.
 LABELS = {
@@ -82,26 +82,23 @@ def holder_names(pages: DataFrame, tokens: DataFrame) -> DataFrame:
     """
     info = F.coalesce("info", F.lit("")) if "info" in pages.columns else F.lit("")
     numbered = pages.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("page")))
-    docs = numbered.select("doc_id", "page", "nth", F.coalesce("raw_text", F.lit("")).alias("raw_text"), info.alias("info"))
+    said = F.when(F.col("nth") == 1, holder(info, F.coalesce("raw_text", F.lit(""))))
+    docs = numbered.select("doc_id", "page", "nth", said.alias("said"))
+    labelled = docs.where("said is not null").select("doc_id", F.lit(0).alias("rank"), F.col("said").alias("holder"))
+    # Pages of all documents are too many to be sent to every task, whatever the file's size promises.
+    left = docs.withColumn("known", F.max("said").over(Window.partitionBy("doc_id"))).where("known is null").select("doc_id", "page", "nth")
     by_x = lambda: F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "y0", "tok", "text"))), lambda t: t["text"]), " "))
+    top, side = (F.col("nth") > 1) & (F.col("y0") < 25), (F.col("nth") == 1) & F.col("y0").between(140, 220) & (F.col("x0") < 300)
+    near = tokens.where((F.col("y0") < 25) | (F.col("y0").between(140, 220) & (F.col("x0") < 300))).join(left.hint("merge"), ["doc_id", "page"])
 
-    def labelled(left: DataFrame) -> DataFrame:
-        return left.where("nth = 1").select("doc_id", holder(F.col("info"), F.col("raw_text")).alias("holder")).where("holder is not null")
+    def best(lines: DataFrame, rank: int, order: str) -> DataFrame:
+        return lines.where(holder_candidate(F.col("line"))).groupBy("doc_id").agg(titled(F.min_by("line", order)).alias("holder")).select("doc_id", F.lit(rank).alias("rank"), "holder")
 
-    def placed(left: DataFrame, test: Column) -> DataFrame:
-        return tokens.join(left.select("doc_id", "page", "nth"), ["doc_id", "page"]).where(test)
-
-    def running(left: DataFrame) -> DataFrame:
-        tops = placed(left, (F.col("nth") > 1) & (F.col("y0") < 25)).groupBy("doc_id", "page").agg(by_x().alias("line"))
-        return tops.where(holder_candidate(F.col("line"))).groupBy("doc_id").agg(titled(F.min_by("line", "page")).alias("holder"))
-
-    def block(left: DataFrame) -> DataFrame:
-        some = placed(left, (F.col("nth") == 1) & F.col("y0").between(140, 220) & (F.col("x0") < 300))
-        lines = some.join(bucket_rows(some, 4.0), ["doc_id", "page", "tok"]).groupBy("doc_id", "anchor").agg(by_x().alias("line"))
-        clean = lines.withColumn("line", F.trim(F.regexp_replace("line", r"[H;:.\-_#0-9]", "")))
-        return clean.where(holder_candidate(F.col("line"))).groupBy("doc_id").agg(titled(F.min_by("line", "anchor")).alias("holder"))
-
-    return staged(docs, [("LABEL", labelled), ("RUNNING_HEADER", running), ("CUSTOMER_BLOCK", block)])
+    running = best(near.where(top).groupBy("doc_id", "page").agg(by_x().alias("line")), 1, "page")
+    lines = bucketed(near.where(side), 4.0).groupBy("doc_id", "anchor").agg(by_x().alias("line"))
+    block = best(lines.withColumn("line", F.trim(F.regexp_replace("line", r"[H;:.\-_#0-9]", ""))), 2, "anchor")
+    first = labelled.unionByName(running).unionByName(block).groupBy("doc_id").agg(F.min_by("holder", "rank").alias("holder"), F.min("rank").alias("rank"))
+    return first.select("doc_id", "holder", F.get(F.array(*map(F.lit, ("LABEL", "RUNNING_HEADER", "CUSTOMER_BLOCK"))), F.col("rank")).alias("level"))
 
 
 def _amount(patterns: list[str], *texts: Column) -> Column:

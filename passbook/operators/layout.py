@@ -98,17 +98,29 @@ def values_right_of(tokens: DataFrame, labels: DataFrame, reach: float = 350.0,
     return ranked.groupBy("doc_id", "page", "label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "tok", "text"))), lambda t: t["text"]), " ").alias("value"))
 
 
-def bucket_rows(tokens: DataFrame, tolerance: float = 8.0) -> DataFrame:
-    """Anchor of each token's line: tokens by height, a new anchor (whole points) where the last one is farther than ``tolerance``."""
-    ordered = F.array_sort(F.collect_list(F.struct("y0", "x0", "tok")))
-    state = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<struct<tok:bigint,anchor:double>>").alias("out"))
+def _anchors(ordered: Column, tolerance: float) -> Column:
+    """Anchor of each of a page's tokens, which are in order of height."""
+    state = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<double>").alias("out"))
 
     def step(acc: Column, t: Column) -> Column:
         anchor = F.when(acc["anchor"].isNotNull() & (F.abs(t["y0"] - acc["anchor"]) <= tolerance), acc["anchor"]).otherwise(F.floor(t["y0"]).cast("double"))
-        return F.struct(anchor.alias("anchor"), F.array_append(acc["out"], F.struct(t["tok"].cast("long").alias("tok"), anchor.alias("anchor"))).alias("out"))
+        return let(anchor, lambda a: F.struct(a.alias("anchor"), F.array_append(acc["out"], a).alias("out")))
+
+    return F.aggregate(ordered, state, step)["out"]
+
 
-    folded = tokens.groupBy("doc_id", "page").agg(F.aggregate(ordered, state, step)["out"].alias("out"))
-    return folded.select("doc_id", "page", F.explode("out").alias("o")).select("doc_id", "page", "o.tok", F.col("o.anchor").alias("anchor"))
+def bucketed(tokens: DataFrame, tolerance: float = 8.0) -> DataFrame:
+    """Tokens with the anchor of their line: tokens by height, a new anchor (whole points) where the last one is farther than ``tolerance``. Their other columns go along, so that nothing is joined."""
+    others = [c for c in tokens.columns if c not in ("doc_id", "page", "y0", "x0", "tok")]
+    pages = tokens.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "tok", *others))).alias("__t"))
+    pages = pages.select("doc_id", "page", "__t", _anchors(F.col("__t"), tolerance).alias("__a"))
+    rows = pages.select("doc_id", "page", F.explode(F.transform("__t", lambda t, k: F.struct(t.alias("t"), F.get("__a", k).alias("anchor")))).alias("r"))
+    return rows.select("doc_id", "page", *[F.col(f"r.t.{c}").alias(c) for c in tokens.columns if c not in ("doc_id", "page")], F.col("r.anchor").alias("anchor"))
+
+
+def bucket_rows(tokens: DataFrame, tolerance: float = 8.0) -> DataFrame:
+    """Anchor of each token's line (``bucketed``)."""
+    return bucketed(tokens.select("doc_id", "page", "tok", "x0", "y0"), tolerance).select("doc_id", "page", F.col("tok").cast("long").alias("tok"), "anchor")
 
 
 def page_text(tokens: DataFrame, tolerance: float = 6.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fields
 from ..functions import narration as N
 from ..operators import labels, reports
+from ..sources.tables import customers
 from . import layout_queries, line_queries
 from .ledger_queries import shown
 from .sql import dbl
@@ -59,7 +60,7 @@ def _balances(spark, sf_dir):
 
 def holder_pages(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Pages and tokens of documents whose holder stands behind a label, in a running header, in the customer block, or nowhere."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = customers(spark, sf_dir)
     k, seg = F.col("c_custkey") % 6, F.lower("c_mktsegment")
     text = F.when(k == 0, F.concat(F.lit("Account holder: "), seg, F.lit(" KUMAR, address"))).when(k == 1, F.concat(F.lit("Customer name: Savings Account\nMr. ravi "), seg, F.lit(", x"))).when(k == 5, "Name: joint").otherwise("nothing")
     info = F.when(k == 5, F.concat(F.lit("Account name asha "), seg, F.lit(" address"))).otherwise("")
