@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.money import let
 from ..functions.narration import payment_words
+from ..functions.text import first_match
 
 # Banks and the words that tell them; of several the one that stands first counts.
 BANKS = [
@@ -69,10 +71,17 @@ SIGNALS = {
 }
 
 
+#: All banks as one pattern: it finds the first place that has any, and there the first of the list.
+_ANY_BANK = "(?i)\\b(?:" + "|".join(p.removeprefix(r"(?i)\b").removesuffix(r"\b") for _, p in BANKS) + r")\b"
+
+
 def first_bank(text: Column) -> Column:
-    """The bank whose words stand first; among equals the first of the list."""
-    places = [F.when(F.regexp_instr(text, F.lit(p)) > 0, F.struct(F.regexp_instr(text, F.lit(p)).alias("at"), F.lit(k).alias("k"), F.lit(n).alias("name"))) for k, (n, p) in enumerate(BANKS)]
-    return F.array_min(F.array_compact(F.array(*places)))["name"]
+    """The bank whose words stand first; among equals the first of the list. The text is searched once; the words found then tell the bank."""
+
+    def named(words: Column) -> Column:
+        return first_match([(words.rlike("^(?i:" + p.removeprefix("(?i)") + ")"), n) for n, p in BANKS], None)
+
+    return let(F.regexp_extract(text, _ANY_BANK, 0), lambda words: F.when(words != "", named(words)))
 
 
 def score(documents: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.narration import PAYMENT_WORDS
 from ..operators import signals, views
 from ..sources import ledgers
+from ..sources.tables import customers
 from . import sql as S
 from .ledger_queries import shown
 from .sql import dbl, hit
@@ -23,7 +24,7 @@ TEXT = f"CASE WHEN c_custkey % 13 = 0 THEN '  short ' ELSE concat({_BANK}, chr(1
 
 
 def texts(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.expr(TEXT.replace("VARCHAR(20)", "STRING")).alias("raw_text"))
+    return customers(spark, sf_dir).select(F.col("c_custkey").alias("doc_id"), F.expr(TEXT.replace("VARCHAR(20)", "STRING")).alias("raw_text"))
 
 
 def _signals(spark, sf_dir):
@@ -32,7 +33,7 @@ def _signals(spark, sf_dir):
 
 def _months(spark, sf_dir):
     """Orders by month; customers without orders by what their statement says."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = customers(spark, sf_dir)
     m = lambda c: c.cast("decimal(18,2)")
     stated = c.select(F.col("c_custkey").alias("acct"), F.when(F.col("c_custkey") % 2 == 0, F.lit("2026-03-04").cast("date")).alias("start"), m(F.col("c_custkey")).alias("credits"), m(F.lit(7.5)).alias("debits"), m(F.col("c_acctbal")).alias("opening"), m(F.lit(100)).alias("closing"))
     return shown(views.months(ledgers.orders(spark, sf_dir), stated))
@@ -41,7 +42,7 @@ def _months(spark, sf_dir):
 def _kinds(spark, sf_dir):
     words = ["salary account", "current a/c and overdraft", "OD account", "Savings", "CA a/c", "checking", "overdraft of a saving account", "none"]
     t = F.get(F.array(*map(F.lit, words)), (F.col("c_custkey") % len(words)).cast("int"))
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.concat_ws(" ", t, "c_mktsegment").alias("text"))
+    c = customers(spark, sf_dir).select("c_custkey", F.concat_ws(" ", t, "c_mktsegment").alias("text"))
     return c.select("c_custkey", views.account_type(F.col("text")).alias("by_bank"), views.account_type_by_header(F.col("text")).alias("by_header"))
 
 
@@ -52,7 +53,7 @@ def _subjects(spark, sf_dir):
 
 
 def _profiles(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = customers(spark, sf_dir)
     some = lambda m, v: F.when(F.col("c_custkey") % m == 0, v).when(F.col("c_custkey") % m == 1, F.lit(""))
     named = [some(2 + k, F.concat(F.lit(n), F.col("c_name"))).alias(n) for k, n in enumerate(("name", "account", "bank", "ifsc", "type"))] + [some(5 + k, F.concat(F.lit(f"p_{n}"), F.col("c_name"))).alias(f"p_{n}") for k, n in enumerate(("name", "account", "bank", "ifsc", "type"))]
     return views.profile(c.select(F.col("c_custkey").alias("doc_id"), *named))

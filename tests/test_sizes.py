@@ -1,6 +1,12 @@
 """Plans that hold at size: nothing whole goes to every task, and small files are dealt out before their rows become texts."""
 
-from passbook.operators import labels
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from passbook.operators import labels, signals
+from passbook.plans import catalogue
 
 
 def plan(df) -> str:
@@ -13,3 +19,16 @@ def test_holders_send_no_pages_to_all_tasks(spark):
     out = labels.holder_names(pages, tokens)
     assert "Broadcast" not in plan(out)
     assert sorted(map(tuple, out.collect())) == [(1, "Asha Rao", "LABEL"), (2, "Ravi", "RUNNING_HEADER"), (3, "Meera Kumar", "CUSTOMER_BLOCK")]
+
+
+@pytest.mark.parametrize("name", ["document_signals"])
+def test_customers_are_dealt_out(spark, sf_dir, name):
+    assert "REPARTITION_BY_NUM" in plan(catalogue.QUERIES[name](spark, sf_dir))
+
+
+def test_first_bank_by_one_search(spark):
+    texts = ["paid to chase bank, bob", "Punjab & Sind Bank", "South Indian Bank", "indian bank", "union bank of india", "bank of  india", "psbx hdfcbank SBI", "uco", "none", "", "the sbi card of axis", "city union bank; citi bank", "J&K Bank", "State Bank of Indiana, rbl", None]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(signals.first_bank(F.col("t")).alias("b"))
+    slow = lambda t: min(((m.start(), k, n) for k, (n, p) in enumerate(signals.BANKS) if (m := re.search(p, t))), default=(0, 0, None))[2] if t else None
+    assert [r["b"] for r in found.collect()] == [slow(t) for t in texts]
+    assert len(re.findall("regexp_extract", plan(found))) == 1 and "regexp_instr" not in plan(found)
