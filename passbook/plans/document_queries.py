@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, fields, masking, money, text
 from ..operators import documents
 from ..sources import guards
+from ..sources.tables import customers
 from .ledger_queries import shown
 from .sql import case, dbl, hit
 
@@ -86,7 +87,7 @@ PAGE_SQL = f"CASE c_custkey % {len(STATEMENTS)} " + " ".join(f"WHEN {k} THEN {s}
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), "c_acctbal", F.expr(PAGE_SQL).alias("raw_text"))
+    return customers(spark, sf_dir).select(F.col("c_custkey").alias("doc_id"), "c_acctbal", F.expr(PAGE_SQL).alias("raw_text"))
 
 
 # Documents of every kind; the first line is the header region, the next two the account region. Some customers' documents have two pages.
@@ -109,7 +110,7 @@ SECOND_SQL = f"CASE WHEN c_custkey % 5 = 0 THEN concat('page two', chr(10), '09/
 
 
 def evidence_pages(spark, sf_dir) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = customers(spark, sf_dir)
     first = c.select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("page"), F.expr(EVIDENCE_SQL).alias("raw_text"))
     second = c.select(F.col("c_custkey").alias("doc_id"), F.lit(2).alias("page"), F.expr(SECOND_SQL).alias("raw_text")).where("raw_text is not null")
     lines = F.split("raw_text", "\n")

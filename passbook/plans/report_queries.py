@@ -8,6 +8,7 @@ from ..functions import narration as N
 from ..functions import text as T
 from ..operators import reports
 from ..sources import ledgers
+from ..sources.tables import customers
 from . import sql as S
 from .document_queries import PAGE_SQL
 from .ledger_queries import shown
@@ -41,7 +42,7 @@ def _names(spark, sf_dir):
 
 
 def _holders(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = customers(spark, sf_dir)
     k = F.col("c_custkey") % 5
     seg = F.lower("c_mktsegment")
     t = F.when(k == 0, F.concat(F.lit("Account holder: "), seg, F.lit(" KUMAR, address"))).when(k == 1, F.concat(F.lit("Mr. ravi "), seg, F.lit(", x"))).when(k == 2, "Customer name: Savings Account").when(k == 3, F.concat(F.lit("Customer Name - "), F.lit("A"), F.lit(","))).otherwise("nothing")
@@ -56,13 +57,13 @@ def _pages(spark, sf_dir):
 
 def _profiles(spark, sf_dir):
     """Documents of seven customers, each with all their profiles."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("doc_id", F.floor(F.col("c_custkey") / 7))
+    c = customers(spark, sf_dir).withColumn("doc_id", F.floor(F.col("c_custkey") / 7))
     a = c.select("doc_id", F.col("c_custkey").alias("acct"), (F.col("c_custkey") % 8).alias("pos"), F.substring("c_mktsegment", 1, 4).alias("connection"))
     return reports.account_profiles(a, c.select("doc_id", (F.col("c_custkey") % 7).alias("ord"), F.concat(F.lit("Bank of "), F.lower("c_mktsegment")).alias("bank"), F.col("c_name").alias("holder")))
 
 
 def _document_profiles(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("doc_id", F.floor(F.col("c_custkey") / 10))
+    c = customers(spark, sf_dir).withColumn("doc_id", F.floor(F.col("c_custkey") / 10))
     a = c.select("doc_id", F.col("c_custkey").alias("acct"), (F.col("c_custkey") % 10).alias("pos"), F.substring("c_mktsegment", 1, 4).alias("connection"))
     p = c.select("doc_id", (F.lit(9) - F.col("c_custkey") % 10).alias("ord"), F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("Bank of "), F.lower("c_mktsegment"))).otherwise("Bank").alias("bank"), F.col("c_name").alias("holder"))
     return reports.account_profiles(a, p)
@@ -77,12 +78,12 @@ def _backfill(spark, sf_dir):
 
 
 def _routes(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.expr(PAGE_SQL).alias("raw_text"), (F.col("c_custkey") % 20).alias("words"))
+    c = customers(spark, sf_dir).select(F.col("c_custkey").alias("doc_id"), F.expr(PAGE_SQL).alias("raw_text"), (F.col("c_custkey") % 20).alias("words"))
     return reports.routes(c)
 
 
 def _masked_map(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = customers(spark, sf_dir)
     m = c.select("c_custkey", F.create_map(F.lit("Name"), "c_name", F.lit("segment"), "c_mktsegment").alias("m"))
     return reports.masked_map(m, "m").select("c_custkey", F.col("m")["Name"].alias("name"), F.col("m")["segment"].alias("segment"))
 

@@ -21,7 +21,7 @@ def test_holders_send_no_pages_to_all_tasks(spark):
     assert sorted(map(tuple, out.collect())) == [(1, "Asha Rao", "LABEL"), (2, "Ravi", "RUNNING_HEADER"), (3, "Meera Kumar", "CUSTOMER_BLOCK")]
 
 
-@pytest.mark.parametrize("name", ["document_signals"])
+@pytest.mark.parametrize("name", ["document_signals", "account_fields"])
 def test_customers_are_dealt_out(spark, sf_dir, name):
     assert "REPARTITION_BY_NUM" in plan(catalogue.QUERIES[name](spark, sf_dir))
 
