@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from ..functions import fields
 from ..functions.money import MONEY, clean_amount, let
 from ..functions.narration import customer, holder, holder_candidate, titled
 from ..functions.text import _found
-from .chain import staged
 from .layout import bucketed, near_right
 
 # Labels of fields on a page, how many words right of them are read, and the zone where they stand.
@@ -111,30 +108,30 @@ def stated_balances(pages: DataFrame) -> DataFrame:
 
     Opening: the summary region, then page one (PAGE_ONE); a summary line with both
     balances (PAIR); all pages (ALL). Closing: PAIR, then the last page (LAST), then ALL.
-    Totals: PAGE_ONE, LAST, ALL. Texts of all pages are only joined for what is left.
+    Totals: PAGE_ONE, LAST, ALL. Texts of all pages are only joined for what is left. One grouping by document; nothing is joined or read again.
     """
     region = F.coalesce("summary", F.lit("")) if "summary" in pages.columns else F.lit("")
-    w = Window.partitionBy("doc_id")
-    docs = pages.select("doc_id", "page", F.coalesce("raw_text", F.lit("")).alias("raw_text"), region.alias("region"), (F.col("page") == F.min("page").over(w)).alias("is_first"), (F.col("page") == F.max("page").over(w)).alias("is_last"))
-    known = lambda df: df.where("value is not null")
     both = lambda g: clean_amount(F.get(F.array(F.regexp_extract("raw_text", PAIR, 1), F.regexp_extract("raw_text", PAIR, 2)), g))
-
-    def pair(g: int):
-        return lambda left: known(left.where(F.col("raw_text").rlike(PAIR)).select("doc_id", "page", both(g).alias("value"))).groupBy("doc_id").agg(F.min_by("value", "page").alias("value"))
-
-    def one(patterns: list[str], side: str):
-        texts = (F.nullif("region", F.lit("")), F.col("raw_text")) if side == "is_first" else (F.col("raw_text"),)
-        return lambda left: known(left.where(side).select("doc_id", _amount(patterns, *texts).alias("value")))
-
-    def every(patterns: list[str]):
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "raw_text"))), lambda p: p["raw_text"]), " ")
-        return lambda left: known(left.groupBy("doc_id").agg(text.alias("all")).select("doc_id", _amount(patterns, F.col("all")).alias("value")))
+    docs = pages.select("doc_id", "page", F.coalesce("raw_text", F.lit("")).alias("raw_text"), region.alias("region"))
+    docs = docs.withColumn("pair", F.when(F.col("raw_text").rlike(PAIR), F.struct(both(0).alias("p0"), both(1).alias("p1"))))
+    known = lambda p: F.min_by(f"pair.{p}", F.when(F.col(f"pair.{p}").isNotNull(), F.col("page"))).alias(p)
+    own = F.struct("region", "raw_text")
+    texts = F.array_sort(F.collect_list(F.struct("page", "raw_text"))).alias("texts")
+    g = docs.groupBy("doc_id").agg(F.min_by(own, "page").alias("one"), F.max_by("raw_text", "page").alias("last"), known("p0"), known("p1"), texts)
+    one = (F.nullif(F.col("one.region"), F.lit("")), F.col("one.raw_text"))
+    whole = F.array_join(F.transform("texts", lambda p: p["raw_text"]), " ")
+
+    def either(first: tuple[Column, ...], second: tuple[Column, ...], patterns: list[str]) -> Column:
+        """struct(value, level) of the first of: two sources (level, value), and the text of all pages."""
+        found = lambda level, value: let(value, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(level).alias("level"))))
+        return F.coalesce(found(*first), found(*second), found("ALL", _amount(patterns, whole)))
 
     plans = {
-        "opening_balance": [("PAGE_ONE", one(fields.OPENING, "is_first")), ("PAIR", pair(0)), ("ALL", every(fields.OPENING))],
-        "closing_balance": [("PAIR", pair(1)), ("LAST", one(fields.CLOSING, "is_last")), ("ALL", every(fields.CLOSING))],
-        "stated_credits": [("PAGE_ONE", one(fields.CREDITS, "is_first")), ("LAST", one(fields.CREDITS, "is_last")), ("ALL", every(fields.CREDITS))],
-        "stated_debits": [("PAGE_ONE", one(fields.DEBITS, "is_first")), ("LAST", one(fields.DEBITS, "is_last")), ("ALL", every(fields.DEBITS))],
+        "opening_balance": either(("PAGE_ONE", _amount(fields.OPENING, *one)), ("PAIR", F.col("p0")), fields.OPENING),
+        "closing_balance": either(("PAIR", F.col("p1")), ("LAST", _amount(fields.CLOSING, F.col("last"))), fields.CLOSING),
+        "stated_credits": either(("PAGE_ONE", _amount(fields.CREDITS, *one)), ("LAST", _amount(fields.CREDITS, F.col("last"))), fields.CREDITS),
+        "stated_debits": either(("PAGE_ONE", _amount(fields.DEBITS, *one)), ("LAST", _amount(fields.DEBITS, F.col("last"))), fields.DEBITS),
     }
-    parts = [staged(docs, stages).select("doc_id", F.col("value").alias(name), F.col("level").alias(f"{name.split('_')[0] if name.endswith('balance') else name}_level")) for name, stages in plans.items()]
-    return reduce(lambda a, b: a.join(b, "doc_id", "left"), parts, docs.select("doc_id").distinct())
+    told = g.select("doc_id", *[c.alias(n) for n, c in plans.items()])
+    level = lambda n: f"{n.split('_')[0] if n.endswith('balance') else n}_level"
+    return told.select("doc_id", *[x for n in plans for x in (F.col(f"{n}.value").alias(n), F.col(f"{n}.level").alias(level(n)))])

@@ -21,7 +21,7 @@ def test_holders_send_no_pages_to_all_tasks(spark):
     assert sorted(map(tuple, out.collect())) == [(1, "Asha Rao", "LABEL"), (2, "Ravi", "RUNNING_HEADER"), (3, "Meera Kumar", "CUSTOMER_BLOCK")]
 
 
-@pytest.mark.parametrize("name", ["document_signals", "account_fields"])
+@pytest.mark.parametrize("name", ["document_signals", "account_fields", "stated_balances"])
 def test_customers_are_dealt_out(spark, sf_dir, name):
     assert "REPARTITION_BY_NUM" in plan(catalogue.QUERIES[name](spark, sf_dir))
 
@@ -32,3 +32,11 @@ def test_first_bank_by_one_search(spark):
     slow = lambda t: min(((m.start(), k, n) for k, (n, p) in enumerate(signals.BANKS) if (m := re.search(p, t))), default=(0, 0, None))[2] if t else None
     assert [r["b"] for r in found.collect()] == [slow(t) for t in texts]
     assert len(re.findall("regexp_extract", plan(found))) == 1 and "regexp_instr" not in plan(found)
+
+
+def test_balances_by_one_grouping(spark):
+    rows = [(1, 1, "opening balance 5.00", ""), (1, 2, "x", ""), (1, 3, "closing balance: 7.00", ""), (2, 1, "a", "opening balance 9.00"), (2, 2, "Savings Account: 1.00 2.00", ""), (2, 3, "b", ""), (3, 1, "a", ""), (3, 2, "b/f 4.00 closing balance 3.00 total credits 6.00", ""), (3, 3, None, "")]
+    out = labels.stated_balances(spark.createDataFrame(rows, "doc_id long, page long, raw_text string, summary string"))
+    assert "Join" not in plan(out)
+    told = {r["doc_id"]: tuple(str(r[c]) for c in ("opening_balance", "opening_level", "closing_balance", "closing_level", "stated_credits", "stated_credits_level", "stated_debits")) for r in out.collect()}
+    assert told == {1: ("5.00", "PAGE_ONE", "7.00", "LAST", "None", "None", "None"), 2: ("9.00", "PAGE_ONE", "2.00", "PAIR", "None", "None", "None"), 3: ("4.00", "ALL", "3.00", "ALL", "6.00", "ALL", "None")}
