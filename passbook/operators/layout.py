@@ -19,9 +19,12 @@ from .blocks import transducer
 
 def assign_columns(tokens: DataFrame, columns: DataFrame, default: str | None = "DESCRIPTION") -> DataFrame:
     """Name of the first column (doc_id, page, ord, name, x0, x1) whose closed range has the token's centre; without a default unmatched tokens go."""
-    ranges = columns.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "name", F.col("x0").alias("lo"), F.col("x1").alias("hi")))).alias("cols"))
+    ranges = columns.where("doc_id is not null and page is not null").select("doc_id", "page", F.struct("ord", "name", F.col("x0").alias("lo"), F.col("x1").alias("hi")).alias("__range"))
+    # Ranges travel as rows of their page: one sort of slim rows, where a join would sort the tokens and an array a page beside them.
+    both = tokens.withColumn("__token", F.lit(True)).unionByName(ranges, allowMissingColumns=True)
+    known = both.withColumn("__ranges", F.collect_list("__range").over(Window.partitionBy("doc_id", "page"))).where("__token")
     centre = (F.col("x0") + F.col("x1")) / 2
-    named = tokens.join(ranges, ["doc_id", "page"], "left").withColumn("column", F.get(F.filter("cols", lambda c: centre.between(c["lo"], c["hi"])), 0)["name"]).drop("cols")
+    named = known.withColumn("column", F.array_min(F.filter("__ranges", lambda c: centre.between(c["lo"], c["hi"])))["name"]).select(*tokens.columns, "column")
     return named.where("column is not null") if default is None else named.withColumn("column", F.coalesce("column", F.lit(default)))
 
 
@@ -114,8 +117,8 @@ def bucketed(tokens: DataFrame, tolerance: float = 8.0) -> DataFrame:
     others = [c for c in tokens.columns if c not in ("doc_id", "page", "y0", "x0", "tok")]
     pages = tokens.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "tok", *others))).alias("__t"))
     pages = pages.select("doc_id", "page", "__t", _anchors(F.col("__t"), tolerance).alias("__a"))
-    rows = pages.select("doc_id", "page", F.explode(F.transform("__t", lambda t, k: F.struct(t.alias("t"), F.get("__a", k).alias("anchor")))).alias("r"))
-    return rows.select("doc_id", "page", *[F.col(f"r.t.{c}").alias(c) for c in tokens.columns if c not in ("doc_id", "page")], F.col("r.anchor").alias("anchor"))
+    rows = pages.select("doc_id", "page", F.explode(F.arrays_zip("__t", "__a")).alias("r"))
+    return rows.select("doc_id", "page", *[F.col(f"r.__t.{c}").alias(c) for c in tokens.columns if c not in ("doc_id", "page")], F.col("r.__a").alias("anchor"))
 
 
 def bucket_rows(tokens: DataFrame, tolerance: float = 8.0) -> DataFrame:

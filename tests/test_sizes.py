@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from passbook.operators import labels, signals
+from passbook.operators import labels, layout, signals
 from passbook.plans import catalogue
 
 
@@ -40,3 +40,12 @@ def test_balances_by_one_grouping(spark):
     assert "Join" not in plan(out)
     told = {r["doc_id"]: tuple(str(r[c]) for c in ("opening_balance", "opening_level", "closing_balance", "closing_level", "stated_credits", "stated_credits_level", "stated_debits")) for r in out.collect()}
     assert told == {1: ("5.00", "PAGE_ONE", "7.00", "LAST", "None", "None", "None"), 2: ("9.00", "PAGE_ONE", "2.00", "PAIR", "None", "None", "None"), 3: ("4.00", "ALL", "3.00", "ALL", "6.00", "ALL", "None")}
+
+
+def test_columns_travel_as_rows(spark):
+    tokens = spark.createDataFrame([(1, 1, 1, 0.0, 10.0), (1, 1, 2, 40.0, 60.0), (1, 1, 3, 90.0, 99.0), (2, 1, 4, 0.0, 10.0), (None, 1, 5, 0.0, 10.0)], "doc_id long, page long, tok long, x0 double, x1 double")
+    columns = spark.createDataFrame([(1, 1, 1, "B", 0.0, 50.0), (1, 1, 0, "A", 0.0, 5.0), (1, 1, 2, "C", 50.0, 80.0), (3, 1, 0, "Z", 0.0, 99.0), (None, 1, 0, "Z", 0.0, 99.0)], "doc_id long, page long, ord int, name string, x0 double, x1 double")
+    out, bare = layout.assign_columns(tokens, columns), layout.assign_columns(tokens, columns, default=None)
+    assert "Join" not in plan(out) and out.columns == [*tokens.columns, "column"]
+    assert sorted((r["tok"], r["column"]) for r in out.collect()) == [(1, "A"), (2, "B"), (3, "DESCRIPTION"), (4, "DESCRIPTION"), (5, "DESCRIPTION")]
+    assert sorted((r["tok"], r["column"]) for r in bare.collect()) == [(1, "A"), (2, "B")]
