@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fields
 from ..functions import narration as N
 from ..operators import labels, reports
-from ..sources.tables import customers
+from ..sources.tables import customers, items
 from . import layout_queries, line_queries
 from .ledger_queries import shown
 from .sql import dbl
@@ -20,7 +20,7 @@ HEIGHT = 50.0
 def tokens(spark, sf_dir) -> DataFrame:
     """A word a line item: a document a part, pages of four lines of three words."""
     order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("tok", F.row_number().over(order).cast("long"))
+    li = items(spark, sf_dir, "l_partkey").withColumn("tok", F.row_number().over(order).cast("long"))
     spot = (F.col("tok") - 1) % 12
     x, y = (spot % 3) * 130 + F.col("l_quantity") % 10, F.floor(spot / 3) * 12 + (F.col("l_suppkey") % 3) * 1.0
     text = F.get(F.array(*map(F.lit, WORDS)), ((F.col("l_suppkey") * 7 + F.col("l_linenumber") * 5 + F.col("tok")) % len(WORDS)).cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import TYPED_CREDIT
 from ..operators import accounts, fraud, integrity, layout
 from ..sources import ledgers
+from ..sources.tables import items
 from .ledger_queries import shown
 from .sql import EVENTS, dbl
 
@@ -18,7 +19,7 @@ COLUMNS = [("DATE", 0, 90), ("DESCRIPTION", 90, 215), ("DEBIT", 215, 290), ("CRE
 def tokens(spark, sf_dir) -> DataFrame:
     """A token a line item: page of 3 tokens, x by quantity, y by number with some jitter."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("tok", F.row_number().over(order).cast("long"))
+    li = items(spark, sf_dir, "l_orderkey").withColumn("tok", F.row_number().over(order).cast("long"))
     x, y = F.col("l_quantity") * 10, F.col("tok") * 5 + F.col("l_partkey") % 3 * 2.0
     return li.select(
         F.col("l_orderkey").alias("doc_id"), F.floor((F.col("tok") + 2) / 3).cast("long").alias("page"), "tok", F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("text"),

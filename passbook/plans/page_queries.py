@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.narration import HEADING_ENDS, HEADINGS, NOTICES, WHOLE_HEADINGS
 from ..operators import headers, layout
+from ..sources.tables import items
 from . import layout_queries
 from .sql import case, hit
 
@@ -16,7 +17,7 @@ WORDS = ["Date", "Value", "Particulars", "Debit", "Credit", "Balance", "Withdraw
 def words(spark, sf_dir) -> DataFrame:
     """A word a line item: a document a part, pages of two lines of five words, tops with some jitter."""
     order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("tok", F.row_number().over(order).cast("long"))
+    li = items(spark, sf_dir, "l_partkey").withColumn("tok", F.row_number().over(order).cast("long"))
     spot = (F.col("tok") - 1) % 10
     x, y = (spot % 5) * 60 + F.col("l_quantity") % 10, F.floor(spot / 5) * 20 + (F.col("l_suppkey") % 4) * 2.0
     text = F.get(F.array(*map(F.lit, WORDS)), ((F.col("l_suppkey") * 7 + F.col("l_linenumber") * 5 + F.col("tok")) % len(WORDS)).cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passbook.operators import labels, layout, signals
 from passbook.plans import catalogue
+from passbook.sources import tables
 
 
 def plan(df) -> str:
@@ -49,3 +50,10 @@ def test_columns_travel_as_rows(spark):
     assert "Join" not in plan(out) and out.columns == [*tokens.columns, "column"]
     assert sorted((r["tok"], r["column"]) for r in out.collect()) == [(1, "A"), (2, "B"), (3, "DESCRIPTION"), (4, "DESCRIPTION"), (5, "DESCRIPTION")]
     assert sorted((r["tok"], r["column"]) for r in bare.collect()) == [(1, "A"), (2, "B")]
+
+
+@pytest.mark.parametrize("name", ["column_bin", "column_assign"])
+def test_items_are_dealt_out_in_bounded_parts(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(tables, "ROWS", 100)
+    n = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 100)
+    assert f", {n})" in re.search(r"hashpartitioning\(l_orderkey#\d+L, \d+\), REPARTITION_BY_NUM", plan(catalogue.QUERIES[name](spark, sf_dir))).group().replace("), REPARTITION_BY_NUM", ")")
