@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.money import let
 from ..functions.narration import HEADING_ENDS, NOTICES, WHOLE_HEADINGS, heading
 from ..functions.text import first_match
-from .layout import bucket_rows, schema_score
+from .layout import bucketed, schema_score
 
 COLUMNS = "array<struct<name:string,x0:double,x1:double>>"
 
@@ -43,8 +43,7 @@ def phrases(words: Column) -> Column:
 
 def once(columns: Column) -> Column:
     """The first phrase of each name."""
-    names = F.transform(columns, lambda c: c["name"])
-    return F.filter(columns, lambda c, k: F.array_position(names, c["name"]) == k + 1)
+    return let(F.transform(columns, lambda c: c["name"]), lambda names: F.filter(columns, lambda c, k: F.array_position(names, c["name"]) == k + 1))
 
 
 def widened(columns: Column) -> Column:
@@ -62,13 +61,13 @@ def widened(columns: Column) -> Column:
 
 def line_headings(tokens: DataFrame, tolerance: float = 8.0) -> DataFrame:
     """Each line with its heading phrases: doc_id, page, anchor, y0, y1, raw_text, columns."""
-    lines = tokens.join(bucket_rows(tokens, tolerance), ["doc_id", "page", "tok"])
+    lines = bucketed(tokens, tolerance)
     order = Window.partitionBy("doc_id", "page", "anchor").orderBy("x0", "y0", "tok")
     following = F.lead("text").over(order)
     words = lines.select("*", heading(F.col("text")).alias("own"), F.when(following.isNotNull(), heading(F.concat_ws(" ", "text", following))).alias("pair"), F.lower("text").isin(HEADING_ENDS).alias("ends"))
     line = F.array_sort(F.collect_list(F.struct("x0", "y0", "tok", "x1", "text", "own", "pair", "ends")))
     grouped = words.groupBy("doc_id", "page", "anchor").agg(line.alias("w"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count("own").alias("known"), F.count("pair").alias("pairs"))
-    found = F.when(F.col("known") + F.col("pairs") > 0, once(phrases(F.col("w")))).otherwise(F.array().cast(COLUMNS))
+    found = F.when(F.col("known") + F.col("pairs") > 0, let(phrases(F.col("w")), once)).otherwise(F.array().cast(COLUMNS))
     return grouped.select("doc_id", "page", "anchor", "y0", "y1", F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("raw_text"), found.alias("columns"))
 
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from passbook.operators import labels, layout, signals
+from passbook.operators import headers, labels, layout, signals
 from passbook.plans import catalogue
 from passbook.sources import tables
 
@@ -57,3 +57,12 @@ def test_items_are_dealt_out_in_bounded_parts(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(tables, "ROWS", 100)
     n = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 100)
     assert f", {n})" in re.search(r"hashpartitioning\(l_orderkey#\d+L, \d+\), REPARTITION_BY_NUM", plan(catalogue.QUERIES[name](spark, sf_dir))).group().replace("), REPARTITION_BY_NUM", ")")
+
+
+def test_headers_without_a_self_join(spark):
+    rows = [(1, 1, 1, "Date", 0.0, 10.0, 40.0, 19.0), (1, 1, 2, "Particulars", 60.0, 12.0, 100.0, 21.0), (1, 1, 3, "Balance", 120.0, 10.0, 160.0, 19.0), (1, 1, 4, "shop", 0.0, 30.0, 40.0, 39.0)]
+    tokens = spark.createDataFrame(rows, "doc_id long, page long, tok long, text string, x0 double, y0 double, x1 double, y1 double")
+    out = headers.page_headers(tokens)
+    assert "Join" not in plan(out)
+    found = out.first()
+    assert [c["name"] for c in found["columns"]] == ["DATE", "DESCRIPTION", "BALANCE"] and found["raw_text"] == "Date Particulars Balance"
