@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stashed import discard, scratch, stash  # noqa: F401
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_open: ContextVar[list[str] | None] = ContextVar("_open", default=None)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,48 +67,6 @@ def sliced(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.R
             yield batch.slice(start, most)
 
 
-def _shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set and all of Spark is on this machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def stash(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there.
-
-    Unlike executor-local copies the table outlives lost executors.
-    """
-    spark = df.sparkSession
-    path = f"{_shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
-    if _open.get() is not None:
-        _open.get().append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete stashed tables that no later plan reads."""
-    for path in paths:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Tables stashed inside are deleted at its end; take a path off the list to keep its table."""
-    token = _open.set([])
-    try:
-        yield _open.get()
-        discard(spark, *_open.get())
-    finally:
-        _open.reset(token)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished jobs: it learns of them when the driver collects garbage."""
     spark.sparkContext._jvm.java.lang.System.gc()

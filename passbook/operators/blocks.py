@@ -34,7 +34,10 @@ def transducer(rows: DataFrame, key: str, order: str, states: int, step: Step, s
     sums, lasts = dict(sums or {}), dict(lasts or {})
     names = [*sums, *lasts]
     others = [c for c in rows.columns if c not in (key, order)]
-    packed = rows.withColumn("__block", F.floor(F.col(order) / size).cast("long")).groupBy(key, "__block").agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias("__rows"))
+    packed = rows.withColumn("__block", F.floor(F.col(order) / size).cast("long")).where(F.col(key).isNotNull() & F.col("__block").isNotNull()).groupBy(key, "__block").agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias("__rows"))
+    # One shuffle of the packed rows serves both the tables and the walk: else all that made the rows would run for each.
+    # Rows without key or place go first, as the join below would drop them on one of its sides only, and the two would differ.
+    packed = packed.repartition(key, "__block")
 
     def zero(s: Column) -> Column:
         return F.struct(s.cast("int").alias("s"), *[F.lit(0).cast("long").alias(c) for c in sums], *[F.lit(None).cast(kind).alias(c) for c, (kind, _) in lasts.items()])
@@ -55,5 +58,6 @@ def transducer(rows: DataFrame, key: str, order: str, states: int, step: Step, s
     told = f"array<struct<{kinds.replace('s:int', 'before:int', 1)}>>"
     state = F.struct(F.col("__e").alias("e"), F.array().cast(told).alias("out"))
     walked = F.aggregate("__rows", state, lambda acc, r: let(after(acc["e"], r), lambda e: F.struct(e.alias("e"), F.array_append(acc["out"], F.struct(acc["e"]["s"].alias("before"), *[e[c].alias(c) for c in names])).alias("out"))))["out"]
-    spread = packed.join(starts, [key, "__block"]).select(key, "__rows", walked.alias("__told")).select(key, F.posexplode("__rows").alias("__i", "__r"), "__told").withColumn("__t", F.get("__told", F.col("__i")))
-    return spread.select(key, F.col(f"__r.{order}").alias(order), *[F.col("__r")[c].alias(c) for c in others if c not in names], F.col("__t.before").alias("before"), *[F.col("__t")[c].alias(c) for c in names])
+    zipped = packed.join(starts, [key, "__block"]).select(key, "__rows", walked.alias("__told")).select(key, F.explode(F.arrays_zip("__rows", "__told")).alias("__z"))
+    row, told = F.col("__z")["__rows"], F.col("__z")["__told"]
+    return zipped.select(key, row[order].alias(order), *[row[c].alias(c) for c in others if c not in names], told["before"].alias("before"), *[told[c].alias(c) for c in names])

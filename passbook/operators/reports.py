@@ -67,17 +67,16 @@ def routes(pages: DataFrame) -> DataFrame:
 
 def parsed(rows: DataFrame, printed: DataFrame) -> DataFrame:
     """Transactions of each document by coordinates (``layout.reconstruct`` rows), or, where that gives none, by its printed lines (``lines``): with ``level``, the parser that gave them."""
-    docs = printed.select("doc_id").unionByName(rows.select("doc_id")).distinct()
     columns = ["doc_id", "seq", "page", "d", "description", "type", "amount", "balance"]
 
-    def by_rows(left: DataFrame) -> DataFrame:
-        own = rows.join(left, "doc_id", "left_semi")
-        return layout.finalize(layout.reconstruct(own)).withColumnRenamed("segment", "seq").select(*columns)
+    def by_rows(_: DataFrame) -> DataFrame:
+        """All rows: the first parser has every document to itself, printed or not."""
+        return layout.finalize(layout.reconstruct(rows.where("doc_id is not null"))).withColumnRenamed("segment", "seq").select(*columns)
 
     def by_lines(left: DataFrame) -> DataFrame:
-        return lines.transactions(lines.drafts(lines.read_lines(printed.join(left, "doc_id", "left_semi")))).select(*columns)
+        return lines.transactions(lines.drafts(lines.read_lines(left))).select(*columns)
 
-    return staged(docs, [("COORDINATES", by_rows), ("LINES", by_lines)])
+    return staged(printed.where("doc_id is not null"), [("COORDINATES", by_rows), ("LINES", by_lines)])
 
 
 def latest(ledger: DataFrame, most: int = 100) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from passbook.operators import headers, labels, layout, signals
+from passbook.operators import headers, labels, layout, reports, signals
 from passbook.plans import catalogue
 from passbook.sources import tables
 
@@ -66,3 +66,26 @@ def test_headers_without_a_self_join(spark):
     assert "Join" not in plan(out)
     found = out.first()
     assert [c["name"] for c in found["columns"]] == ["DATE", "DESCRIPTION", "BALANCE"] and found["raw_text"] == "Date Particulars Balance"
+
+
+@pytest.fixture
+def settled(spark):
+    """Plans as they are run, with reused shuffles."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("name", ["ledger_drafts", "line_actions", "parser_chain"])
+def test_rows_of_an_automaton_are_made_once(spark, sf_dir, settled, name):
+    """The tables of blocks and the walk through them share one shuffle; what a first parser found is read back, not found again."""
+    p = plan(catalogue.QUERIES[name](spark, sf_dir))
+    assert p.count("FileScan parquet [event_id") == 1 and "ReusedExchange" in p
+
+
+def test_first_parser_reads_documents_without_print(spark):
+    """Documents need not be in both sources; those without id are in no result."""
+    rows = spark.createDataFrame([(1, 1, "a", "5.00"), (3, 1, "b", ""), (None, 1, "c", "6.00")], "doc_id long, seq long, description string, debit_raw string").selectExpr("*", "date'2024-01-02' as d", "'' as credit_raw", "'' as balance_raw")
+    printed = spark.createDataFrame([(2, 1, "01-02-2024 shop 5.00 95.00"), (3, 1, "01-02-2024 shop 7.00 93.00"), (None, 1, "01-02-2024 shop 8.00 92.00")], "doc_id long, seq long, line string").selectExpr("*", "1L as page")
+    out = reports.parsed(rows, printed)
+    assert sorted((r["doc_id"], str(r["amount"]), r["level"]) for r in out.collect()) == [(1, "5.00", "COORDINATES"), (2, "5.00", "LINES"), (3, "7.00", "LINES")]
