@@ -359,15 +359,15 @@ def infer_side(narration: Column, hint: Column) -> Column:
     return F.coalesce(hint, F.when(F.upper(narration).rlike(CREDIT_WORDS), "CREDIT"), F.lit("DEBIT"))
 
 
-def resolve_line_amounts(lines: DataFrame, opening: float | None = None, tolerance: float = 0.05, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Transactions (doc_id, seq, description, amounts; hint: side of the column; reset: a balance stated just before, if known) to type, amount, balance, continuous and ambiguous; columns of ``keep`` stay.
+def resolve_line_amounts(lines: DataFrame, opening: float | None = None, tolerance: float = 0.05, keep: tuple[str, ...] = (), by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Transactions (doc_id, seq, description, amounts; hint: side of the column; reset: a balance stated just before, if known) to type, amount, balance, continuous and ambiguous; columns of ``keep`` stay. Rows alike in ``by`` are one ledger.
 
     The last of two amounts or more is the balance. Which side an amount is on, and
     which of several it is, follows from the balance before; else from the words. A
     row with one amount moves the balance, one with none keeps it. So the balance is
     the last stated one and what single amounts added since: a running sum.
     """
-    order = Window.partitionBy("doc_id").orderBy("seq")
+    order = Window.partitionBy(*by).orderBy("seq")
     given = lambda c, kind: F.col(c).cast(kind) if c in lines.columns else F.lit(None).cast(kind)
     rows = lines.select("doc_id", "seq", *keep, infer_side(F.col("description"), given("hint", "string")).alias("guess"), F.transform("amounts", lambda a: a.cast(MONEY)).alias("a"), given("reset", MONEY).alias("reset")).withColumn("n", F.size("a"))
     rows = rows.withColumn("stated", F.when(F.col("n") >= 2, F.element_at("a", -1)))

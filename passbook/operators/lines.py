@@ -152,23 +152,28 @@ def drafts(read: DataFrame) -> DataFrame:
     return read.groupBy("doc_id", F.col("segment").alias("seq")).agg(F.min_by("page", "seq").alias("page"), F.min_by("date_text", F.when(own, F.col("seq"))).alias("date_text"), said.alias("said"), last("money"), last("header"), last("opening"), F.max("opening").alias("known"), stated.alias("closing"), (F.count_if(closing) > 0).alias("closed"))
 
 
-def transactions(made: DataFrame) -> DataFrame:
-    """Transactions of ``drafts``: doc_id, seq, page, d, description, type, amount, balance, continuous, ambiguous, branch, cheque.
-
-    Those never closed are left out. Of equal ones that follow each other one stays.
-    """
-    t = made.where("closed").withColumn("description", merged(F.col("said")))
+def _resolved(made: DataFrame, by: tuple[str, ...] = ("doc_id",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """``made`` as transactions, with ``again``: equal to the one before it. Rows alike in ``by`` follow one another; columns of ``keep`` stay."""
+    t = made.withColumn("description", merged(F.col("said")))
     at = F.nullif(F.instr(F.array_join("said", " "), F.get("money.amounts", 0).cast("string")), F.lit(0)) - 1
     near = nearest_column(at, F.col("header.debit"), F.col("header.credit"), F.col("header.balance"))
-    order = Window.partitionBy("doc_id").orderBy("seq")
+    order = Window.partitionBy(*by).orderBy("seq")
     first = F.when(F.lag("opening").over(order).isNull(), F.col("opening"))
-    t = t.select("doc_id", "seq", "page", "date_text", "description", F.when(near.isin("DEBIT", "CREDIT"), near).alias("hint"), F.col("money.amounts").alias("amounts"), first.alias("reset"), F.col("money.branch").alias("branch"), F.col("money.cheque").alias("cheque"))
-    money = resolve_line_amounts(t, keep=("page", "date_text", "description", "branch", "cheque"))
+    t = t.select("doc_id", "seq", "page", "date_text", "description", F.when(near.isin("DEBIT", "CREDIT"), near).alias("hint"), F.col("money.amounts").alias("amounts"), first.alias("reset"), F.col("money.branch").alias("branch"), F.col("money.cheque").alias("cheque"), *keep)
+    money = resolve_line_amounts(t, keep=("page", "date_text", "description", "branch", "cheque", *keep), by=by)
     bare = F.regexp_replace("date_text", r"^\d{1,2}(?=\d{2}[/\-.\s][A-Za-z])", "")  # of a day merged with a row's number its last two digits stay
     out = money.withColumn("d", dates.parse(bare)).drop("date_text")
     same = F.struct("d", "amount", "balance", "description", "type")
     before = F.lag(same).over(order)
-    return out.withColumn("again", F.coalesce(before.eqNullSafe(same), F.lit(False))).where("not again").drop("again")
+    return out.withColumn("again", F.coalesce(before.eqNullSafe(same), F.lit(False)))
+
+
+def transactions(made: DataFrame) -> DataFrame:
+    """Transactions of ``drafts``: doc_id, seq, page, d, description, type, amount, balance, continuous, ambiguous, branch, cheque.
+
+    Those never closed are left out. Of equal ones that follow each other one stays.
+    """
+    return _resolved(made.where("closed")).where("not again").drop("again")
 
 
 def fragments(made: DataFrame) -> DataFrame:
@@ -177,13 +182,21 @@ def fragments(made: DataFrame) -> DataFrame:
 
 
 def report(made: DataFrame) -> DataFrame:
-    """Each document's opening and closing balance, totals, counts, and whether the totals explain the closing balance; from ``drafts``."""
-    side = lambda s: F.coalesce(F.sum(F.when(F.col("type") == s, F.col("amount"))), F.lit(0)).cast(MONEY)
-    signed = F.when(F.col("type") == "CREDIT", F.col("amount")).otherwise(-F.col("amount"))
-    t = transactions(made).groupBy("doc_id").agg(side("CREDIT").alias("credits"), side("DEBIT").alias("debits"), F.count("*").alias("n"), F.count_if(~F.col("continuous")).alias("broken"), F.count_if("ambiguous").alias("ambiguous"), F.min_by((F.col("balance") - signed).cast(MONEY), "seq").alias("implied"), F.max_by("balance", "seq").alias("ended"))
+    """Each document's opening and closing balance, totals, counts, and whether the totals explain the closing balance; from ``drafts``.
+
+    Drafts never closed, which may hold what a document states, pass beside its
+    transactions as a ledger of their own: all is one grouping, and drafts are made once.
+    """
     lost = (F.col("seq") > 0) & ~F.col("closed") & (F.size("said") > 0)
-    docs = made.groupBy("doc_id").agg(F.max("known").alias("opening"), F.min_by("closing", F.when(F.col("closing").isNotNull(), F.col("seq"))).alias("closing"), F.count_if(lost).alias("lost"), F.max_by(lost, "seq").alias("last_lost"))
-    out = docs.join(t, "doc_id", "left").withColumn("dropped", F.col("lost") - F.when(F.col("last_lost"), 1).otherwise(0))
+    rows = _resolved(made.withColumn("lost", lost), ("doc_id", "closed"), ("closed", "known", "closing", "lost")).withColumn("own", F.col("closed") & ~F.col("again"))
+    at, own = F.when(F.col("own"), F.col("seq")), F.col("own")
+    side = lambda s: F.coalesce(F.sum(F.when(own & (F.col("type") == s), F.col("amount"))), F.lit(0)).cast(MONEY)
+    signed = F.when(F.col("type") == "CREDIT", F.col("amount")).otherwise(-F.col("amount"))
+    docs = rows.groupBy("doc_id").agg(
+        side("CREDIT").alias("credits"), side("DEBIT").alias("debits"), F.count_if(own).alias("n"), F.count_if(own & ~F.col("continuous")).alias("broken"), F.count_if(own & F.col("ambiguous")).alias("ambiguous"), F.min_by((F.col("balance") - signed).cast(MONEY), at).alias("implied"), F.max_by("balance", at).alias("ended"),
+        F.max("known").alias("opening"), F.min_by("closing", F.when(F.col("closing").isNotNull(), F.col("seq"))).alias("closing"), F.count_if("lost").alias("lost"), F.max_by("lost", "seq").alias("last_lost"),
+    )
+    out = docs.withColumn("dropped", F.col("lost") - F.when(F.col("last_lost"), 1).otherwise(0))
     zero = F.lit(0)
     opening = F.coalesce("opening", "implied", zero).cast(MONEY)
     moved = (opening + F.coalesce("credits", zero) - F.coalesce("debits", zero)).cast(MONEY)

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from passbook.operators import headers, labels, layout, reports, signals
+from passbook.operators import headers, labels, layout, lines, reports, signals
 from passbook.plans import catalogue
 from passbook.sources import tables
 
@@ -76,7 +76,7 @@ def settled(spark):
     spark.conf.unset("spark.sql.adaptive.enabled")
 
 
-@pytest.mark.parametrize("name", ["ledger_drafts", "line_actions", "parser_chain"])
+@pytest.mark.parametrize("name", ["ledger_drafts", "line_actions", "line_report", "parser_chain"])
 def test_rows_of_an_automaton_are_made_once(spark, sf_dir, settled, name):
     """The tables of blocks and the walk through them share one shuffle; what a first parser found is read back, not found again."""
     p = plan(catalogue.QUERIES[name](spark, sf_dir))
@@ -89,3 +89,13 @@ def test_first_parser_reads_documents_without_print(spark):
     printed = spark.createDataFrame([(2, 1, "01-02-2024 shop 5.00 95.00"), (3, 1, "01-02-2024 shop 7.00 93.00"), (None, 1, "01-02-2024 shop 8.00 92.00")], "doc_id long, seq long, line string").selectExpr("*", "1L as page")
     out = reports.parsed(rows, printed)
     assert sorted((r["doc_id"], str(r["amount"]), r["level"]) for r in out.collect()) == [(1, "5.00", "COORDINATES"), (2, "5.00", "LINES"), (3, "7.00", "LINES")]
+
+
+def test_open_drafts_pass_beside_the_report(spark):
+    """Transactions never closed change no balance and are no repeat, but what their lines state counts, also where nothing was closed."""
+    said = ["Opening Balance: 100.00", "01-02-2024 lost one", "02-02-2024 shop 5.00 95.00", "02-02-2024 shop 5.00 95.00", "03-02-2024 rent", "Closing Balance: 90.00"]
+    rows = [(1, i, s) for i, s in enumerate(said, 1)] + [(2, 1, "03-02-2024 rent"), (2, 2, "Closing Balance: 7.00"), (3, 1, "nothing")]
+    r = lines.report(lines.drafts(lines.read_lines(spark.createDataFrame(rows, "doc_id long, seq long, line string").selectExpr("*", "1L as page"))))
+    assert "Join" not in plan(r).split("__told")[0]
+    names = ("doc_id", "opening_balance", "closing_balance", "debits", "n", "dropped", "verified")
+    assert sorted(tuple(float(x[c]) for c in names) for x in r.collect()) == [(1, 100, 90, 5, 1, 1, 0), (2, 0, 7, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0, 1)]
