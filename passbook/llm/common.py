@@ -67,6 +67,12 @@ def sliced(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.R
             yield batch.slice(start, most)
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last, Arrow's pool gives back what it holds unused, else a Python process keeps it as long as it lives."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished jobs: it learns of them when the driver collects garbage."""
     spark.sparkContext._jvm.java.lang.System.gc()

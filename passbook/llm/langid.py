@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks
-from .common import bound_batches, fold, kinds, placed, quoted, sliced, stash
+from .common import bound_batches, fold, kinds, placed, quoted, sliced, stash, trimmed
 
 #: Documents a language, documents in all, and features in all (8 bytes each) that the machines are fitted on.
 PER_LANGUAGE, MOST_ROWS, MOST_FEATURES = 800, 12_000, 16_000_000
@@ -144,7 +144,7 @@ def sample(labelled: DataFrame, per_language: int, most_rows: int, most_features
     drawn = known.join(counts, "lang").where((rank < 1) | first).dropDuplicates(["lang", "doc_id", "draw"]).select("doc_id", "lang", rank.alias("rank"), first.alias("first"), "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(trimmed(batches)):
             made = [features(t) if has_letter(t) else (np.zeros(0, np.int32), np.zeros(0, np.float32)) for t in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))], names=["doc_id", "lang", "rank", "first", "at", "v"])
 
@@ -156,7 +156,13 @@ def sample(labelled: DataFrame, per_language: int, most_rows: int, most_features
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, most_features: int = MOST_FEATURES) -> Model | None:
     """Fit on a bounded sample of ``labelled`` (doc_id, text, lang), chosen by hash of the id."""
     bound_batches(labelled.sparkSession)
-    got = sample(labelled, per_language, most_rows, most_features).toArrow().sort_by([("lang", "ascending"), ("rank", "ascending"), ("doc_id", "ascending")])
+    model = fit(sample(labelled, per_language, most_rows, most_features).toArrow().sort_by([("lang", "ascending"), ("rank", "ascending"), ("doc_id", "ascending")]), per_language)
+    pa.default_memory_pool().release_unused()  # the sample's memory, which the driver's Python would keep beside its JVM
+    return model
+
+
+def fit(got: pa.Table, per_language: int) -> Model | None:
+    """Fit on the sample ``got`` (doc_id, lang, rank, at, v), in order of language and rank."""
     langs = got.column("lang").to_pylist()
     rows = list(zip((x.values.to_numpy() for x in got.column("at")), (x.values.to_numpy() for x in got.column("v")), strict=True))
     seen, keep = {}, []
@@ -188,7 +194,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value and Model(*shared.value)
-        for batch in sliced(batches):
+        for batch in sliced(trimmed(batches)):
             langs: list[str] = []
             scores: list[float] = []
             for _, _, buffer, starts, ends in chunks(batch, text_at):

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, kinds, placed, quoted, release, sliced, stash, unused
+from .common import bound_batches, discard, kinds, placed, quoted, release, sliced, stash, trimmed, unused
 from .components import components
 from .simhash import ones, plain, shingle_hashes
 
@@ -78,7 +78,7 @@ def _key(raw: bytes) -> bytes:
 
 
 def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
+    for batch in sliced(trimmed(batches)):
         keys, least = [], []
         for text in batch.column(2):
             raw = text.as_py() or b""
@@ -89,13 +89,13 @@ def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
+    for batch in sliced(trimmed(batches)):
         sets = [np.unique(shingle_hashes(text.as_py(), WORDS).reshape(-1).view(">u8")).astype(np.uint64).view(np.int64) for text in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch], first: int, n_bands: int) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
+    for batch in sliced(trimmed(batches)):
         bands = [bits(grams.values.to_numpy().view(np.uint64), first, n_bands) for grams in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64()))], names=["node", "bands"])
 
@@ -177,6 +177,11 @@ def _by_balls(some: DataFrame, nodes: DataFrame, roots: DataFrame, first: int, n
     return found
 
 
+def stars(roots: DataFrame) -> DataFrame:
+    """Links (lo, hi) that join the same groups as those ``roots`` (node, root) come from, and need no rounds of components."""
+    return roots.where("node <> root").select(F.col("root").alias("lo"), F.col("node").alias("hi"))
+
+
 def keep_one(docs: DataFrame, crowd: int | None = CROWD) -> DataFrame:
     """The rows of ``docs`` that stay; at places of more than ``crowd`` texts pairs are proposed by balls only, with None nowhere."""
     spark = docs.sparkSession
@@ -197,14 +202,12 @@ def keep_one(docs: DataFrame, crowd: int | None = CROWD) -> DataFrame:
     own = raw.join(able, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("whole") == F.col("of"))).select("node", "text")
     nodes, nodes_path = stash(own.mapInArrow(_sets, "node long, grams array<long>").dropDuplicates(["node"]))
     release(spark)
-    roots, links = spark.createDataFrame([], "node long, root long"), None
+    roots = spark.createDataFrame([], "node long, root long")
     for first in range(0, BANDS, ROUND):
-        found = _by_balls(nodes, nodes, roots, first, ROUND)
-        links = found if links is None else links.union(found)
-        roots = components(links)
+        roots = components(stars(roots).union(_by_balls(nodes, nodes, roots, first, ROUND)))
     pairs, crowded = apart(nodes, roots, crowd)
     rest, _ = stash(verified(pairs, nodes))
-    links, (crowded, _) = links.union(rest), stash(crowded)
+    links, (crowded, _) = stars(roots).union(rest), stash(crowded)
     if not crowded.isEmpty():
         for first in range(BANDS, BANDS + MORE, MORE_ROUND):
             links = links.union(_by_balls(nodes.join(crowded, "node"), nodes, roots, first, MORE_ROUND))
@@ -223,7 +226,7 @@ def _rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     own, spot = unused(docs.columns, "words", "spot")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(trimmed(batches)):
             keys = [_key(t.as_py() or b"") for t in batch.column(at).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "words"])
 

@@ -2,7 +2,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from passbook.llm import bpe, nearcopies
+from passbook.llm import bpe, components, nearcopies
 from passbook.llm.common import stash
 
 
@@ -138,3 +138,25 @@ def test_without_crowds_no_pair_is_missed(spark, rng):
     plain = {i: t.strip() for i, t in rows.items()}
     alone = groups({i: t for i, t in plain.items() if t})
     assert kept_ids(spark, rows, crowd=None) == alone | {900}
+
+
+def test_later_rounds_start_from_the_groups_found(spark, rng, monkeypatch):
+    """Groups are found once: with no new link, components ends after one round, not after as many as a long chain takes."""
+    rounds, state, common = [], components._state, [f"w{rng.randrange(10**6)}" for _ in range(200)]
+
+    def counted(links):
+        rounds[-1] += 1
+        return state(links)
+
+    def begun(links):
+        rounds.append(-1)  # the state before the first round is no round
+        return components.components(links)
+
+    monkeypatch.setattr(components, "_state", counted)
+    monkeypatch.setattr(nearcopies, "components", begun)
+    rows = {}
+    for k in range(12):  # each is like the next only
+        common = changed(rng, common[12:] + common[:12], 0.92)
+        rows[k] = " ".join(common)
+    assert kept_ids(spark, rows) == groups(rows) == {0}
+    assert rounds[0] > 1 and rounds[-1] == 1
