@@ -2,12 +2,13 @@
 
 Texts are cut into pieces (at punctuation and line ends), and equal pieces of a
 language become one with a multiplicity, so that copies are counted once. Tasks
-count their phrases in duckdb, which goes to disk beyond its memory, and send the
-counts, packed, to the hash bucket of each phrase: a phrase reaches its bucket at
-most once a task, however often it stands anywhere. A bucket is summed in duckdb
-again, and phrases below the least count go. The parts of a phrase lie in other
-buckets: each phrase sends a request for either part of each cut, the requests are
-joined with the counts, and the answers are gathered by phrase.
+count their phrases in blocks of bounded size, by sorting numbers of words, and send
+the counts, packed, to the hash bucket of each phrase: a phrase reaches its bucket at
+most once a block, however often it stands there, and a task of any size holds one
+block at a time. A bucket is summed in duckdb, which goes to disk beyond its memory,
+and phrases below the least count go. The parts of a phrase lie in other buckets:
+each phrase sends a request for either part of each cut, the requests are joined with
+the counts, and the answers are gathered by phrase.
 
 Every phrase of ``longest`` words or less is counted over all documents. Scores are
 whole numbers, computed in decimals of 38 digits: exact below 10^15 words.
@@ -25,22 +26,28 @@ from __future__ import annotations
 import shutil
 import string
 import tempfile
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, partitions, stash, table
+from .common import bound_batches, partitions, sliced, stash, table
 
 #: Memory of a task's duckdb, rows of a packed chunk, and hash buckets for each shuffle partition.
 MEMORY, CHUNK, BUCKETS = "256MB", 200_000, 2
+#: Words and bytes of the pieces that a task counts at once.
+WORDS, BYTES = 2_500_000, 24 << 20
 #: Shares of a language that are ranked apart before the language is.
 SHARES = 16
 #: Ends of pieces, and gaps between words.
 PIECE_END, GAP = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 
+PIECES = pa.schema([("lang", pa.string()), ("piece", pa.string()), ("m", pa.int64())])
 GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("f", pa.int64())])
 PACKED = pa.schema([("lang", pa.dictionary(pa.int32(), pa.string())), ("gram", pa.string()), ("f", pa.int64())])
 
@@ -79,27 +86,108 @@ def unpacked(grams: pa.Buffer) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).dictionary_decode(), b.column(1), b.column(2)], schema=GRAMS)
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The pieces in blocks of at most WORDS words and BYTES bytes; a slice that is larger by itself is one block."""
+    held, words, size = [], 0, 0
+    for b in sliced(b.cast(PIECES) for b in batches):
+        w = b.num_rows + (pc.sum(pc.count_substring(b.column(1), " ")).as_py() or 0)
+        if held and (words + w > WORDS or size + b.nbytes > BYTES):
+            yield pa.Table.from_batches(held)
+            held, words, size = [], 0, 0
+        held, words, size = [*held, b], words + w, size + b.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Numbers of ``values`` from 1, in byte order; the values by number (0: null), and a hash of each."""
+    coded = values.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    names = coded.dictionary.take(order)
+    rank = np.empty(len(order), np.int32)
+    rank[order.to_numpy()] = np.arange(1, len(order) + 1, dtype=np.int32)
+    hashes = np.zeros(len(names) + 1, np.uint64)
+    for a in range(0, len(names), CHUNK):
+        some = names.slice(a, CHUNK).cast(pa.binary()).to_pylist()
+        hashes[a + 1 : a + 1 + len(some)] = list(map(zlib.crc32, some))
+    return rank[coded.indices.to_numpy()], pa.concat_arrays([pa.nulls(1, pa.string()), names]), hashes
+
+
+def spread(rows: np.ndarray, columns: list[np.ndarray], hashes: list[np.ndarray], buckets: int) -> np.ndarray:
+    """Hash buckets of phrases; the same in every block, as they come from the words alone."""
+    x = np.zeros(len(rows), np.uint64)
+    for c, h in zip(columns, hashes, strict=True):
+        x = (x ^ h[c[rows]]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+    return (x % np.uint64(buckets)).astype(np.int64)
+
+
+def sorted_rows(columns: list[np.ndarray], limits: list[int]) -> np.ndarray:
+    """Order of rows by all columns, whose numbers are below ``limits``; columns that fit share a key of 63 bits."""
+    keys, room = [columns[0].astype(np.int64)], limits[0]
+    for c, limit in zip(columns[1:], limits[1:], strict=True):
+        if room * limit < 2**63:
+            keys[-1] = keys[-1] * limit + c
+            room *= limit
+        else:
+            keys.append(c.astype(np.int64))
+            room = limit
+    return np.lexsort(keys[::-1])
+
+
+def counted(block: pa.Table, longest: int, buckets: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Counts of a block's phrases by bucket, CHUNK rows at a time: buckets, and rows of GRAMS. A piece longer than a block is counted in stretches of WORDS first words."""
+    lists = pc.split_pattern(block["piece"].combine_chunks(), " ")
+    ends = lists.offsets.to_numpy()[1:]
+    word, words, word_hash = numbered(lists.values)
+    del lists
+    lang, langs, lang_hash = numbered(block["lang"].combine_chunks())
+    m = block["m"].to_numpy()
+    for start in range(0, len(word), WORDS):
+        place = np.arange(start, min(start + WORDS, len(word)))
+        row = np.searchsorted(ends, place, side="right")
+        columns = [lang[row]]
+        for k in range(longest):  # the words that follow in the piece; 0 after its end
+            columns.append(np.where(place + k < ends[row], word[np.minimum(place + k, len(word) - 1)], np.int32(0)))
+        order = sorted_rows(columns, [len(langs)] + [len(words)] * longest)
+        columns, times = [c[order] for c in columns], m[row][order]
+        del place, row, order
+        # In this order phrases with the same first words stand together, so each length is cut from one sort.
+        new, keys, sums = np.zeros(len(times), bool), [], []
+        new[0] = True
+        new[1:] = columns[0][1:] != columns[0][:-1]
+        for k in range(1, longest + 1):
+            new[1:] |= columns[k][1:] != columns[k][:-1]
+            at = np.flatnonzero(new)
+            f, there = np.add.reduceat(times, at), columns[k][at] > 0
+            at, f = at[there], f[there]
+            keys.append((spread(at, columns[: k + 1], [lang_hash] + [word_hash] * k, buckets) * len(times) + at) * longest + k - 1)
+            sums.append(f)
+        del new, times, at, f, there
+        key = np.concatenate(keys)
+        del keys
+        f = np.concatenate(sums)
+        del sums
+        order = np.argsort(key)
+        for a in range(0, len(order), CHUNK):
+            some = order[a : a + CHUNK]
+            rest, k = np.divmod(key[some], longest)
+            bucket, at = np.divmod(rest, len(columns[0]))
+            taken = [words.take(pa.array(np.where(k >= j, columns[j + 1][at], np.int32(0)))) for j in range(longest)]
+            gram = pc.binary_join_element_wise(*taken, " ", null_handling="skip")
+            yield bucket, pa.RecordBatch.from_arrays([langs.take(pa.array(columns[0][at])), gram, pa.array(f[some])], schema=GRAMS)
+
+
 def phrases(parts: DataFrame, longest: int, buckets: int) -> DataFrame:
-    """(bucket, grams): counts of each task's phrases, sorted and packed by bucket."""
+    """(bucket, grams): counts of each block's phrases, sorted and packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with database() as con:
-            schema = pa.schema([("lang", pa.string()), ("piece", pa.string()), ("m", pa.int64())])
-            con.register("pieces", pa.RecordBatchReader.from_batches(schema, (b.cast(schema) for b in batches)))
-            words = [f"w{k}" for k in range(1, longest + 1)]
-            # Lists that are unnested side by side are filled up with nulls: a row a word, with the words after it.
-            side = ", ".join(f"unnest(w[{k}:]) AS w{k}" for k in range(1, longest + 1))
-            con.execute(f"CREATE TABLE g{longest} AS SELECT lang, {', '.join(words)}, sum(m)::BIGINT AS f FROM (SELECT lang, m, {side} FROM (SELECT lang, m, string_split(piece, ' ') AS w FROM pieces)) GROUP BY ALL")
-            for k in range(longest - 1, 0, -1):
-                con.execute(f"CREATE TABLE g{k} AS SELECT lang, {', '.join(words[:k])}, sum(f)::BIGINT AS f FROM g{k + 1} GROUP BY ALL")
-            every = " UNION ALL ".join(f"SELECT lang, {' || chr(32) || '.join(words[:k])} AS gram, f FROM g{k} WHERE w{k} IS NOT NULL" for k in range(1, longest + 1))
-            found = con.sql(f"SELECT (hash(lang, gram) % {buckets})::INTEGER AS bucket, lang, gram, f FROM ({every}) ORDER BY bucket, lang, gram").to_arrow_reader(CHUNK)
-            for batch in found:
-                bucket = batch.column(0).to_numpy()
-                starts = [0, *((bucket[1:] != bucket[:-1]).nonzero()[0] + 1).tolist()] if len(bucket) else []
-                rows = batch.select(["lang", "gram", "f"]).cast(GRAMS)
+        for block in blocks(batches):
+            for bucket, rows in counted(block, longest, buckets):
+                starts = [0, *((bucket[1:] != bucket[:-1]).nonzero()[0] + 1).tolist()]
                 for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([packed(rows.slice(a, b - a))], pa.binary())], names=["bucket", "grams"])
+            pa.default_memory_pool().release_unused()
 
     return parts.mapInArrow(run, "bucket int, grams binary")
 

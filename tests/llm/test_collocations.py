@@ -73,6 +73,24 @@ def test_buckets_that_spill(spark, docs, monkeypatch):
     assert sorted(map(tuple, C.counts(docs.unionByName(docs.limit(0)).repartition(13), 2).where("gram is not null").collect())) == whole
 
 
+def test_blocks_and_long_pieces(spark, docs, edge, monkeypatch):
+    """The same counts whatever the blocks of a task; pieces longer than a block keep the phrases across its ends."""
+    every = docs.select("text", "lang").unionByName(edge.select("text", "lang"))
+    whole = sorted(map(tuple, C.counts(every, 2).where("gram is not null").collect()))
+    monkeypatch.setattr(C, "WORDS", 997)
+    monkeypatch.setattr(C, "BYTES", 9000)
+    assert sorted(map(tuple, C.counts(every.coalesce(1), 2).where("gram is not null").collect())) == whole
+
+
+def test_a_large_task_of_different_words(spark):
+    """A task with a million long words, all different: more than duckdb could sort in its memory."""
+    word = lambda k: F.repeat(F.hex(F.xxhash64("id", F.lit(k))), 4)
+    parts = spark.range(100_000, numPartitions=1).select(F.lit("en").alias("lang"), F.concat_ws(" ", *map(word, range(10))).alias("piece"), F.lit(3).cast("long").alias("m"))
+    chunks = C.phrases(parts, 3, 16).repartition(8, "bucket").sortWithinPartitions("bucket")
+    found = C.summed(chunks, 1).where("gram is not null").groupBy(F.size(F.split("gram", " "))).agg(F.count("*"), F.min("f"), F.max("f"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1_000_000, 3, 3), (2, 900_000, 3, 3), (3, 800_000, 3, 3)]
+
+
 def test_exact_beyond_64_bits(spark):
     """1000000 * a * a passes 64 bits; the quotient is exact."""
     a, l, r = 987_654_321_012, 987_654_321_013, 987_654_321_099
